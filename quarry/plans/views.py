@@ -247,11 +247,12 @@ SELECT e.event_id AS finding_id, e.event_type AS tool,
             ELSE 0.50 END::DOUBLE AS confidence
 FROM events e"""),
     "v_scored": ([], f"""
+SELECT *, {' + '.join(f'CAST({w} AS DOUBLE) * s{i}' for i, w in enumerate(MEMBER_WEIGHTS, 1))} AS score FROM (
 SELECT l.doc_id, 'doc_' || CAST(l.doc_id AS VARCHAR) AS id, d.lang AS language, d.source AS dataset,
        CAST(l.toxic AS INTEGER) AS label, {_CWE10_SQL}[l.doc_id % 12 + 1] AS category,
        {', '.join(_score_sql('l.doc_id', 'CAST(l.toxic AS INTEGER)', p) + f' AS s{i}' for i, p in enumerate(MEMBER_PRIMES, 1))},
        {', '.join(_score_sql('l.doc_id', 'CAST(l.toxic AS INTEGER)', p) + f' AS stage{i}' for i, p in enumerate(STAGE_PRIMES, 1))}
-FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""),
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id) sc"""),
     "v_files": ([], "SELECT page_id, url AS path, html AS content, CAST(strlen(html) AS BIGINT) AS size FROM pages"),
     "v_logs": ([], """
 SELECT event_id AS entry_id, user_id AS job_id, ts,
