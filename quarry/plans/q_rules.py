@@ -1,3 +1,174 @@
-"""Queries registered on import."""
+"""Rule-scan and feature queries (J7-J10, X1-X8) over all code units.
+
+Units = documents (as functions) + pages (one unit per page) + a small C
+sample written for this repo, so both volume and real rule hits occur.
+Lookaround / back-reference rules run in Java regex only: their query has
+no SQL oracle; the RE2-safe subset has one.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rules as RU
+from ..sources.fixed import SEVERITY_CONFIDENCE, TEXT_RULES
+from . import views as V
+from .registry import register
+
+# Our own small C sample (not taken from anywhere): known weak spots per function.
+C_SAMPLE = [
+    ("sample/net.c", "copy_name", 3,
+     'void copy_name(char *dst, const char *src) {\n    char tmp[16];\n    strcpy(tmp, src);\n'
+     '    sprintf(dst, "%s!", tmp);\n}'),
+    ("sample/net.c", "run_tool", 10,
+     'int run_tool(const char *arg) {\n    char cmd[128];\n    snprintf(cmd, sizeof(cmd), "tool %s", arg);\n'
+     '    return system(cmd);\n}'),
+    ("sample/net.c", "parse_len", 17,
+     'int parse_len(const char *s) {\n    int n = atoi(s);\n    char *p = malloc(n * sizeof(int));\n'
+     '    p[0] = 1;\n    free(p);\n    printf(s);\n    return n;\n}'),
+    ("sample/mem.c", "reuse", 1,
+     'void reuse(char *q) {\n    free(q);\n    q->next = 0;\n    FILE *f = fopen(q, "r");\n    fread(buf, 1, 8, f);\n}'),
+    ("sample/mem.c", "race", 9,
+     'int race(const char *path) {\n    if (access(path, W_OK) == 0) {\n        int fd = open(path, O_WRONLY);\n'
+     '        return fd;\n    }\n    return -1;\n}'),
+    ("sample/mem.c", "walk", 18,
+     'void walk(char **argv) {\n    char *line = gets(buf);\n    memcpy(dst, src, len);\n'
+     '    char *x = strdup("../etc");\n    int y;\n    y++;\n}'),
+]
+
+
+def code_units(spark, d):
+    u = V.v_units(spark, d).select("uid", "file_path", "start_line", "code")
+    p = V.table(spark, d, "pages").select(
+        F.concat(F.lit("page::"), F.col("page_id").cast("string")).alias("uid"), F.col("url").alias("file_path"),
+        F.lit(1).cast("long").alias("start_line"), F.col("html").alias("code"))
+    s = spark.createDataFrame([(f"{f}::{n}::{st}", f, st, c) for f, n, st, c in C_SAMPLE],
+                              "uid string, file_path string, start_line long, code string")
+    return u.unionByName(p).unionByName(s)
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+V.SQL_VIEWS["v_code_units"] = (["v_units"], """
+SELECT uid, file_path, start_line, code FROM v_units
+UNION ALL SELECT 'page::' || CAST(page_id AS VARCHAR), url, CAST(1 AS BIGINT), html FROM pages
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"({_sql_str(f'{f}::{n}::{st}')}, {_sql_str(f)}, CAST({st} AS BIGINT), {_sql_str(c)})" for f, n, st, c in C_SAMPLE)
+    + ") AS fx(uid, file_path, start_line, code)")
+
+
+def _rules_sql(rules, flags="(?is)"):
+    rows = []
+    for cwe, name, sev, idx, p, msg, safe in rules:
+        conf = SEVERITY_CONFIDENCE[sev]
+        safe_sql = "[" + ", ".join(_sql_str(flags + s) for s in safe) + "]::VARCHAR[]"
+        rows.append(f"({_sql_str(cwe)}, {_sql_str(name)}, {_sql_str(sev)}, {_sql_str(f'{cwe}#{idx}')}, "
+                    f"{_sql_str(flags + p)}, {_sql_str(msg)}, CAST({conf!r} AS DOUBLE), CAST({round(conf * 0.6, 2)!r} AS DOUBLE), "
+                    f"{safe_sql})")
+    return "(VALUES " + ", ".join(rows) + ") AS r(cwe_id, cwe_name, sev, pattern_id, pat, message, conf, conf_low, safe)"
+
+
+NL = "length({x}) - length(replace({x}, chr(10), ''))"
+
+
+def scan_sql(rules, flags="(?is)", tool="pattern_matcher", rule_id="'regex:' || cwe_id", name_col="cwe_name"):
+    return f"""
+WITH m AS (SELECT u.uid, u.file_path, u.start_line, u.code, r.*,
+                  len(list_filter(r.safe, lambda sp: regexp_matches(u.code, sp))) > 0 AS has_safe,
+                  regexp_split_to_array(u.code, r.pat) AS segs, regexp_extract_all(u.code, r.pat, 0) AS ms
+           FROM v_code_units u JOIN {_rules_sql(rules, flags)} ON regexp_matches(u.code, r.pat)),
+x AS (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM m),
+o AS (SELECT *, CAST(coalesce(list_sum(list_transform(segs[1:i], lambda s: {NL.format(x='s')})), 0)
+              + coalesce(list_sum(list_transform(ms[1:i - 1], lambda s: {NL.format(x='s')})), 0) AS BIGINT) AS off FROM x)
+SELECT uid, file_path, '{tool}' AS tool, {rule_id} AS rule_id, pattern_id, cwe_id, {name_col} AS cwe_name,
+       CASE WHEN has_safe THEN 'LOW' ELSE sev END AS severity, CASE WHEN has_safe THEN conf_low ELSE conf END AS confidence,
+       message, start_line + off AS line,
+       regexp_replace(string_split(code, chr(10))[off + 1], '^\\s+|\\s+$', '', 'g') AS highlighted_code
+FROM o"""
+
+
+@register("scan_rules_re2", scan_sql(RU.live_c_rules(re2_only=True)))
+def scan_rules_re2(spark, d):
+    """All matches of the RE2-compatible rules (20 of 26 live patterns) with line and snippet."""
+    return RU.scan_rules(code_units(spark, d), RU.live_c_rules(re2_only=True))
+
+
+@register("scan_rules")
+def scan_rules(spark, d):
+    """All 26 live patterns incl. lookaround/back-reference ones (Java regex only)."""
+    return RU.scan_rules(code_units(spark, d))
+
+
+@register("rule_hits_by_cwe")
+def rule_hits_by_cwe(spark, d):
+    """Rule-hit counts per unit pivoted by CWE (all rules)."""
+    hits = RU.scan_rules(code_units(spark, d))
+    cwes = sorted({r[0] for r in RU.live_c_rules()})
+    return hits.groupBy("uid").pivot("cwe_id", cwes).count().na.fill(0)
+
+
+def _detect_sql():
+    parts = []
+    for cwe, name, sev, pats, safe, mit, fix in TEXT_RULES:
+        vul = " OR ".join(f"regexp_matches(code, {_sql_str('(?i)' + p)})" for p in pats)
+        ok = " OR ".join(f"regexp_matches(code, {_sql_str('(?i)' + p)})" for p in safe) or "FALSE"
+        parts.append(f"SELECT uid, '{cwe}' AS cwe_id, {_sql_str(name)} AS name, '{sev}' AS severity, 'high' AS confidence "
+                     f"FROM v_code_units WHERE ({vul}) AND NOT ({ok})")
+    return " UNION ALL ".join(parts)
+
+
+@register("detect_rules", _detect_sql())
+def detect_rules(spark, d):
+    """Second rule base: any vulnerable pattern and no safe pattern -> one row per CWE."""
+    return RU.detect_rules(code_units(spark, d))
+
+
+def _keywords_sql():
+    from ..sources.fixed import KEYWORD_RULES
+    items = []
+    for cwe, needles, name in KEYWORD_RULES:
+        cond = " OR ".join(f"contains(lower(code), {_sql_str(n)})" for n in needles.split("|"))
+        items.append(f"CASE WHEN {cond} THEN '{cwe}: {name}' END")
+    arr = "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+    return f"SELECT uid, CASE WHEN len({arr}) = 0 THEN 'CWE-Unknown' ELSE array_to_string({arr}, '; ') END AS cwe_types FROM v_code_units"
+
+
+@register("detect_keywords", _keywords_sql())
+def detect_keywords(spark, d):
+    k = RU.detect_keywords(code_units(spark, d))
+    return k.select("uid", F.array_join("cwe_types", "; ").alias("cwe_types"))
+
+
+def _call_rules():
+    from ..sources.fixed import CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY
+    return [(cwe, rid, JSON_TOOL_SEVERITY.get(level, "LOW"), 0, CALL_RULE_REGEX[rid], msg, [])
+            for rid, level, cwe, msg in CALL_RULES]
+
+
+@register("scan_calls", scan_sql(_call_rules(), flags="(?s)", tool="call_rules", rule_id="cwe_name",
+                                 name_col="CAST(NULL AS VARCHAR)"))
+def scan_calls(spark, d):
+    return RU.scan_calls(code_units(spark, d))
+
+
+@register("lexical_features", """
+WITH b AS (SELECT uid, code, string_split(code, chr(10)) AS lines, regexp_extract_all(code, '[{}]', 0) AS br FROM v_code_units)
+SELECT uid, len(lines) AS total_lines, len(list_filter(lines, lambda l: trim(l) = '')) AS blank_lines,
+       round(CAST(len(list_filter(lines, lambda l: trim(l) = '')) AS DOUBLE) / CAST(len(lines) AS DOUBLE), 6) AS blank_ratio,
+       round(CAST(list_sum(list_transform(lines, lambda l: length(l))) AS DOUBLE) / CAST(len(lines) AS DOUBLE), 6) AS mean_line_length,
+       len(regexp_extract_all(code, '\\b(?:strcpy|strcat|sprintf|vsprintf|gets|scanf|memcpy|memmove)\\s*\\(', 0)) AS unsafe_calls,
+       len(regexp_extract_all(code, '\\b(?:strncpy|strncat|snprintf|fgets|strlcpy|memcpy_s)\\s*\\(', 0)) AS safe_calls,
+       len(regexp_extract_all(code, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\|', 0)) AS branches,
+       len(regexp_extract_all(code, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\|', 0)) + 1 AS cyclomatic,
+       greatest(coalesce(list_max(list_transform(generate_series(1, len(br)),
+           lambda k: list_sum(list_transform(br[1:k], lambda c: CASE WHEN c = '{' THEN 1 ELSE -1 END)))), 0), 0)
+         AS max_brace_depth,
+       len(regexp_extract_all(code, '\\b(?:malloc|calloc|realloc|strdup)\\s*\\(', 0)) AS allocations,
+       len(regexp_extract_all(code, '\\bfree\\s*\\(', 0)) AS frees,
+       len(regexp_extract_all(code, '\\w\\s*\\*\\s*\\w', 0)) AS pointer_ops
+FROM b""")
+def lexical_features(spark, d):
+    """Line stats, unsafe/safe calls, branches, cyclomatic, brace depth, allocations."""
+    return RU.lexical_features(code_units(spark, d))
