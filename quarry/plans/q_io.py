@@ -1,3 +1,114 @@
-"""Queries registered on import."""
+"""Source/sink round trips (S1, S3, K1-K4) and streaming jobs.
+
+Each query writes data Spark derives from the driver tables into the shared
+checkpoint folder, reads it back through the library reader or a stream, and
+returns the result, so the readers and sinks run at table scale.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import corpus as C
+from ..operators import evaluate as EV
+from ..session import shared_path
+from ..sources import files as FS
+from ..streaming import jobs as ST
+from . import q_corpus, q_eval, q_rules
+from . import views as V
+from .registry import REGISTRY, register
+
+
+@register("corpus_jsonl_roundtrip", "SELECT id, dataset, language, code, label_binary, label_cwe, label_cve FROM v_corpus")
+def corpus_jsonl_roundtrip(spark, d):
+    """K1 write canonical JSONL (all 7 keys, nulls kept) -> S1 read with declared schema."""
+    path = shared_path(spark, "corpus-jsonl")
+    FS.write_corpus_jsonl(V.v_corpus(spark, d), path)
+    return FS.read_corpus(spark, path).drop("_corrupt_record")
+
+
+@register("raw_values_roundtrip")
+def raw_values_roundtrip(spark, d):
+    """S3: raw records as one JSON value per line -> typed read -> normaliser."""
+    path = shared_path(spark, "raw-values")
+    V.v_raw_diversevul(spark, d).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    raw = FS.read_raw_json_values(spark, path, "ordinal long, func string, target int, cwe string, message string")
+    return C.normalize_diversevul(raw)
+
+
+# same oracle as the direct normaliser
+REGISTRY["raw_values_roundtrip"] = (raw_values_roundtrip, REGISTRY["normalize_diversevul"][1])
+
+
+@register("splits_roundtrip", q_corpus.SPLIT_SQL + "SELECT split, count(*) AS n FROM s GROUP BY split")
+def splits_roundtrip(spark, d):
+    """K2: one dataset per split (partitionBy) -> partition-pruned reads."""
+    path = shared_path(spark, "splits")
+    FS.write_splits(q_corpus._split(spark, d), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("metrics_roundtrip", f"SELECT threshold, tp, fp, fn, tn FROM ({q_eval.SWEEP_SQL}) x")
+def metrics_roundtrip(spark, d):
+    """K4: sweep rows written as JSON metrics and read back."""
+    path = shared_path(spark, "metrics")
+    FS.write_metrics(EV.threshold_sweep(V.v_scored(spark, d)).select("threshold", "tp", "fp", "fn", "tn"), path)
+    return spark.read.schema("threshold double, tp long, fp long, fn long, tn long").json(path)
+
+
+@register("report_roundtrip", "SELECT count(*) AS n, count_if(is_vulnerable) AS flagged FROM v_results")
+def report_roundtrip(spark, d):
+    """K3: nested JSON report per unit (to_json of the result row) -> read back -> counts."""
+    from . import q_findings
+    path = shared_path(spark, "report")
+    FS.write_report(q_findings._results(spark, d), path)
+    r = spark.read.schema("uid string, report string").json(path)
+    rep = F.from_json("report", "is_vulnerable boolean, confidence double")
+    return r.select(rep.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if("x.is_vulnerable").alias("flagged"))
+
+
+# ------------------------------------------------------------------ streaming
+UNIT_SCHEMA = "uid string, file_path string, start_line long, code string"
+
+
+@register("stream_scan")
+def stream_scan(spark, d):
+    """Code units landing as files -> rule scan stream -> findings (equals batch scan_rules)."""
+    src = shared_path(spark, "units-in")
+    q_rules.code_units(spark, d).write.mode("overwrite").parquet(src)
+    return ST.stream_scan(spark, src, UNIT_SCHEMA)
+
+
+@register("stream_dedup")
+def stream_dedup(spark, d):
+    """Content dedup within a watermark on arriving corpus records."""
+    src = shared_path(spark, "corpus-in")
+    c = V.v_corpus(spark, d).select("id", "code", "ordinal",
+                                    F.timestamp_seconds(F.col("ordinal") * 60).alias("event_time"))
+    c.write.mode("overwrite").parquet(src)
+    return ST.stream_dedup(spark, src, "id string, code string, ordinal long, event_time timestamp", "1 hour")
+
+
+@register("log_rollup", """
+SELECT CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS window_start, level, count(*) AS n FROM v_logs GROUP BY 1, 2""")
+def log_rollup(spark, d):
+    """T3 batch twin: 10-minute tumbling windows per level."""
+    r = ST.log_rollup(V.v_logs(spark, d), "10 minutes")
+    return r.select(F.unix_timestamp(F.col("w.start")).alias("window_start"), "level", "n")
+
+
+@register("stream_log_rollup")
+def stream_log_rollup(spark, d):
+    """T3 as a stream with a watermark (append mode)."""
+    src = shared_path(spark, "logs-in")
+    V.v_logs(spark, d).write.mode("overwrite").parquet(src)
+    return ST.stream_log_rollup(spark, src, "entry_id long, job_id long, ts timestamp, level string, msg string")
+
+
+@register("log_tail", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, entry_id) AS "offset",
+                  count(*) OVER (PARTITION BY job_id) AS total FROM v_logs)
+SELECT job_id, entry_id, level, "offset", total FROM r WHERE "offset" > 5""")
+def log_tail(spark, d):
+    """T4: entries after offset 5 per job, with the job total."""
+    return ST.log_tail(V.v_logs(spark, d), 5).select("job_id", "entry_id", "level", "offset", "total")

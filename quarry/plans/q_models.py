@@ -1,3 +1,64 @@
-"""Queries registered on import."""
+"""MLlib scoring queries (S12, X10, X11, M1, M2, M4, M5, M6, M9): rows-only oracles
+except the embedding reader, which is exact."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import scoring as SC
+from . import views as V
+from .registry import register
+
+
+def _prepared(spark, d):
+    e = SC.read_embeddings(V.table(spark, d, "embeddings"))
+    e = e.withColumn("label", (F.col("label") % 2 == 0).cast("int"))
+    e = SC.pca_features(e, k=8)
+    e = SC.assemble_scale(e, ["pca"])
+    return SC.split_part(e, "vec_id")
+
+
+@register("read_embeddings", "SELECT vec_id, label, len(embedding) AS dim, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def read_embeddings(spark, d):
+    e = SC.read_embeddings(V.table(spark, d, "embeddings"))
+    return e.select("vec_id", "label", F.size("embedding").alias("dim"), F.get("embedding", 0).cast("double").alias("first"))
+
+
+@register("pca_embeddings")
+def pca_embeddings(spark, d):
+    """PCA-8 of the 64-dim embeddings, then standard scaling."""
+    e = _prepared(spark, d)
+    from pyspark.ml.functions import vector_to_array
+    return e.select("vec_id", vector_to_array("features").alias("features"))
+
+
+@register("ensemble_predictions")
+def ensemble_predictions(spark, d):
+    """M1-M5: four members -> weighted vote -> isotonic calibration on val -> decision."""
+    e = _prepared(spark, d).cache()
+    models = SC.fit_members(e.filter(F.col("part") == "train"))
+    scored = SC.weighted_vote(SC.member_scores(e, models), SC.MEMBER_WEIGHTS)
+    cal = SC.calibrate(scored, scored.filter(F.col("part") == "val"))
+    out = SC.decide(cal, 0.5)
+    return out.select("vec_id", "part", "label", "score", "calibrated", "is_vulnerable", "label_pred", "threshold",
+                      "individual_models")
+
+
+@register("stacked_predictions")
+def stacked_predictions(spark, d):
+    """M6: logistic meta-model over member scores."""
+    e = _prepared(spark, d).cache()
+    models = SC.fit_members(e.filter(F.col("part") == "train"))
+    scored = SC.member_scores(e, models)
+    meta = SC.stack_members(scored.filter(F.col("part") == "val"), list(models))
+    from pyspark.ml.functions import vector_to_array
+    return meta.transform(scored).select("vec_id", "label", F.get(vector_to_array("_stack_prob"), 1).alias("stack_score"))
+
+
+@register("feature_importance")
+def feature_importance(spark, d):
+    """M9: global importance of the forest member (a vector bounded by the feature count)."""
+    e = _prepared(spark, d)
+    models = SC.fit_members(e.filter(F.col("part") == "train"))
+    imp = models["rf_deep"].featureImportances.toArray().tolist()
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "feature int, importance double")

@@ -74,7 +74,25 @@ def v_corpus(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def _memo(kind: str, spark: SparkSession, d: str, build):
+    """Reuse one DataFrame per (session, dir) so its persisted scan is shared
+    by every branch of a query instead of being rebuilt."""
+    key = (kind, id(spark), spark.sparkContext.applicationId, d)
+    df = _MEMO.get(key)
+    if df is None:
+        df = build()
+        _MEMO[key] = df
+    return df
+
+
 def v_units(spark: SparkSession, d: str) -> DataFrame:
+    return _memo("units", spark, d, lambda: _v_units(spark, d))
+
+
+def _v_units(spark: SparkSession, d: str) -> DataFrame:
     """One unit per document; file = source; units stacked with 3-line gaps.
 
     start_line is an exclusive running sum per file; every file is a hot key
@@ -94,7 +112,11 @@ def v_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_findings(spark: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
-    units = units if units is not None else v_units(spark, d)
+    return _memo("findings", spark, d, lambda: _v_findings(spark, d))
+
+
+def _v_findings(spark: SparkSession, d: str) -> DataFrame:
+    units = v_units(spark, d)
     # scalar subquery (planned by Spark, no driver round trip)
     m = units.select((F.floor(F.max("end_line") * 11 / 10) + 1).cast("long")).scalar()
     ev = table(spark, d, "events")
