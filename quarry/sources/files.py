@@ -103,6 +103,9 @@ def read_findings_xml(spark: SparkSession, path: str, file_path: str | None = No
 def read_findings_csv(spark: SparkSession, path: str, file_path: str | None = None) -> DataFrame:
     """CSV report with header; CWE from Warning/Category/Note/URL/CWEs, else URL definitions/<n>."""
     c = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    for k in ("Line", "Column", "Level", "DefaultLevel", "Category", "Name", "Warning", "Note", "CWEs", "Context", "URL"):
+        if k not in c.columns:  # tool versions differ in their column set
+            c = c.withColumn(k, F.lit(None).cast("string"))
     searchable = F.concat_ws(" ", *[F.coalesce(F.col(k), F.lit("")) for k in ("Warning", "Category", "Note", "URL", "CWEs")])
     n1 = F.regexp_extract(searchable, r"CWE-(\d+)", 1)
     n2 = F.regexp_extract(searchable, r"definitions/(\d+)", 1)
