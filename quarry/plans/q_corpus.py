@@ -191,7 +191,8 @@ def category_split(spark, d):
 
 
 @register("category_label_counts", f"""WITH {LF_SQL}
-SELECT category, count(*) AS total, count_if(label = 1) AS vulnerable, count_if(label = 0) AS safe
+SELECT category, count(*) AS total, count(*) FILTER (WHERE label = 1) AS vulnerable,
+       count(*) FILTER (WHERE label = 0) AS safe
 FROM lf GROUP BY category""")
 def category_label_counts(spark, d):
     lf = C.with_path_labels(V.v_labelled_files(spark, d))
