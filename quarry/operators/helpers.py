@@ -247,3 +247,21 @@ def bucket_sweep(
     fp = F.coalesce(F.col("fp"), F.lit(0)).cast("long")
     return out.select(*by, "threshold", tp.alias("tp"), fp.alias("fp"),
                       (F.col("_P") - tp).alias("fn"), (F.col("_N") - fp).alias("tn"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows before CPU-heavy per-row work (regex scans) when the
+    input comes from fewer files than the cluster has task slots.
+
+    A single parquet row group is read by one task whatever its size; on a
+    large input (files >= slots) nothing changes and no shuffle is added.
+    """
+    spark = df.sparkSession
+    slots = min_partitions or spark.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - streaming or local relations
+        return df
+    if df.isStreaming or n_files >= slots:
+        return df
+    return df.repartition(slots)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .helpers import spread
 from ..sources.fixed import C_RULES, CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY, KEYWORD_RULES, SEVERITY_CONFIDENCE, TEXT_RULES
 
 
@@ -60,6 +61,7 @@ def scan_rules(units: DataFrame, rules: Sequence[tuple] | None = None, code: str
     Returns (uid, file_path, tool, rule_id, cwe_id, cwe_name, severity,
     confidence, message, line, highlighted_code)."""
     rules = list(rules if rules is not None else live_c_rules())
+    units = spread(units)
     c = F.col(code)
     hits = []
     for cwe, name, sev, idx, p, msg, safe in rules:
@@ -85,6 +87,7 @@ def scan_rules(units: DataFrame, rules: Sequence[tuple] | None = None, code: str
 
 def detect_rules(units: DataFrame, code: str = "code", flags: str = "(?id)") -> DataFrame:
     """Rule base 2: one row per (unit, CWE) having a vulnerable pattern and no safe one."""
+    units = spread(units)
     c = F.col(code)
     rows = []
     for cwe, name, sev, pats, safe, mit, fix in TEXT_RULES:
@@ -102,6 +105,7 @@ def detect_rules(units: DataFrame, code: str = "code", flags: str = "(?id)") ->
 
 def detect_keywords(units: DataFrame, code: str = "code") -> DataFrame:
     """Lower-cased substring tests; ['CWE-Unknown'] when nothing matches."""
+    units = spread(units)
     low = F.lower(F.col(code))
     labels = []
     for cwe, needles, name in KEYWORD_RULES:
@@ -134,6 +138,7 @@ def _count(code: Column, pattern: str) -> Column:
 
 
 def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
+    units = spread(units)
     c = F.col(code)
     lines = F.split(c, "\n", -1)
     lens = F.transform(lines, lambda l: F.length(l))

@@ -97,18 +97,19 @@ def _v_units(spark: SparkSession, d: str) -> DataFrame:
 
     start_line is an exclusive running sum per file; every file is a hot key
     (20 files at any scale), so it runs through the range-partitioned scan
-    rather than a per-file window.
+    rather than a per-file window.  Only the narrow (file, doc, n_lines)
+    projection goes through the scan; the text joins back on doc_id.
     """
-    docs = table(spark, d, "documents").select(
-        F.col("source").alias("file_path"),
-        F.concat(F.lit("fn_"), F.col("doc_id").cast("string")).alias("function_name"),
-        F.col("text").alias("code"), "doc_id", F.col("lang").alias("language"),
-        TX.line_count("text").cast("long").alias("n_lines"),
-    ).withColumn("_gap", F.col("n_lines") + 3)
-    u = ordered_scan(docs, ["doc_id"], "_gap", ["file_path"], "_before", inclusive=False)
-    u = u.withColumn("start_line", F.col("_before") + 1).drop("_before", "_gap")
+    docs = table(spark, d, "documents")
+    narrow = docs.select(F.col("source").alias("file_path"), "doc_id",
+                         TX.line_count("text").cast("long").alias("n_lines")).withColumn("_gap", F.col("n_lines") + 3)
+    u = ordered_scan(narrow, ["doc_id"], "_gap", ["file_path"], "_before", inclusive=False)
+    u = u.select("file_path", "doc_id", "n_lines", (F.col("_before") + 1).alias("start_line"))
     u = u.withColumn("end_line", F.col("start_line") + F.col("n_lines") - 1)
-    return u.withColumn("uid", F.concat_ws("::", "file_path", "function_name", F.col("start_line").cast("string")))
+    u = u.withColumn("function_name", F.concat(F.lit("fn_"), F.col("doc_id").cast("string")))
+    u = u.withColumn("uid", F.concat_ws("::", "file_path", "function_name", F.col("start_line").cast("string")))
+    text = docs.select("doc_id", F.col("text").alias("code"), F.col("lang").alias("language"))
+    return u.join(text, "doc_id")
 
 
 def v_findings(spark: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
