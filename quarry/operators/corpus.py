@@ -365,3 +365,76 @@ def pad_truncate(df: DataFrame, ids: str = "chunk", length: int = 512, pad: int
     fill = length - F.size(cut)
     return df.withColumn("input_ids", F.concat(cut, F.array_repeat(F.lit(pad), fill))).withColumn(
         "attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(cut)), F.array_repeat(F.lit(0), fill)))
+
+
+# ---------------------------------------------------------------- A5-A7 validation
+REQUIRED_FIELDS = ["id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"]
+
+
+def validate_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Validate raw JSONL lines; the first failing check names the error.
+
+    Order: invalid JSON, missing key (in schema order), code not a non-blank
+    string, label not 0/1 (JSON true/false count as 1/0).  A key that is
+    present with null is not missing; reading lines as text keeps that
+    distinction, which a fixed-schema scan would lose.
+    """
+    v = F.col(text)
+    keys = F.json_object_keys(v)
+    missing = F.coalesce(*[F.when(~F.array_contains(keys, f), F.lit(f"missing_field_{f}")) for f in REQUIRED_FIELDS])
+    code = F.get_json_object(v, "$.code")
+    code_is_str = v.rlike(r'"code"\s*:\s*"')
+    label_tok = F.regexp_extract(v, r'"label_binary"\s*:\s*("[^"]*"|[^,}\s]+)', 1)
+    label_ok = label_tok.isin("0", "1", "true", "false")
+    label_name = F.when(label_tok == "null", F.lit("None")).otherwise(F.regexp_replace(label_tok, r'^"|"$', ""))
+    error = (F.when(keys.isNull(), F.lit("json_decode_error"))
+             .when(missing.isNotNull(), missing)
+             .when(~code_is_str | (TX.strip_ws(F.coalesce(code, F.lit(""))) == ""), F.lit("empty_code"))
+             .when(~label_ok, F.concat(F.lit("invalid_label_"), label_name)))
+    lang = F.get_json_object(v, "$.language")
+    return lines.select(
+        "*", error.alias("error"),
+        F.get_json_object(v, "$.dataset").alias("dataset"), lang.alias("language"),
+        F.when(label_tok.isin("1", "true"), 1).when(label_tok.isin("0", "false"), 0).alias("label"),
+        F.when(error.isNull() & ~F.coalesce(lang, F.lit("None")).isin(*VALID_LANGUAGES),
+               F.concat(F.lit("unknown_language_"), F.coalesce(lang, F.lit("None")))).alias("warning"),
+        F.get_json_object(v, "$.label_cwe").isNull().alias("cwe_empty"),
+        F.get_json_object(v, "$.label_cve").isNull().alias("cve_empty"),
+    )
+
+
+def corpus_verdict(validated: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Per group: totals and the list of issues (empty list = safe for training).
+
+    Issues: no valid records; more than 10% invalid; a present class under 2%
+    of valid records (checked Safe then Vulnerable); no valid language seen."""
+    by = list(by)
+    ok = F.col("error").isNull()
+    agg = validated.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("valid"),
+        F.count_if(ok & (F.col("label") == 0)).alias("n_safe"), F.count_if(ok & (F.col("label") == 1)).alias("n_vulnerable"),
+        F.count_if(ok & F.col("language").isin(*VALID_LANGUAGES)).alias("n_valid_language"),
+        F.count_if(ok & F.col("cwe_empty")).alias("empty_cwe"), F.count_if(ok & F.col("cve_empty")).alias("empty_cve"),
+    )
+    invalid_pct = (F.col("total") - F.col("valid")) * 100.0 / F.col("total")
+    safe_pct = F.col("n_safe") * 100.0 / F.col("valid")
+    vul_pct = F.col("n_vulnerable") * 100.0 / F.col("valid")
+    issues = F.array_compact(F.array(
+        F.when(F.col("valid") == 0, F.lit("No valid records found")),
+        F.when((F.col("valid") > 0) & (F.col("valid") < F.col("total")) & (invalid_pct > 10), F.lit("Invalid records over 10%")),
+        F.when((F.col("valid") > 0) & (F.col("n_safe") > 0) & (safe_pct < 2), F.lit("Class imbalance: Safe")),
+        F.when((F.col("valid") > 0) & (F.col("n_vulnerable") > 0) & (vul_pct < 2), F.lit("Class imbalance: Vulnerable")),
+        F.when(F.col("n_valid_language") == 0, F.lit("No valid languages found")),
+    ))
+    return agg.select(*by, "total", "valid", F.round(invalid_pct, 6).alias("invalid_pct"), "n_safe", "n_vulnerable",
+                      "empty_cwe", "empty_cve", F.array_join(issues, "; ").alias("issues"),
+                      (F.size(issues) == 0).alias("is_safe"))
+
+
+def tokenize(df: DataFrame, col: str = "code", fn=None, out: str = "tokens") -> DataFrame:
+    """Default: regex tokens (JVM).  ``fn``: a vectorised pandas Series -> Series
+    of lists (e.g. a sub-word tokenizer), run as an Arrow-batched pandas UDF."""
+    if fn is None:
+        return df.withColumn(out, TX.regex_tokens(col))
+    udf = F.pandas_udf(fn, "array<string>")
+    return df.withColumn(out, udf(F.col(col)))

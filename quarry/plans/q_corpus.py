@@ -490,3 +490,79 @@ def pad_truncate(spark, d):
     return p.select("id", F.size("ids").alias("n_tokens"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
                     F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+# -------------------------------------------------------------- validation
+def _validated(spark, d):
+    """The corpus written twice as JSONL: with every key (nulls kept) and with
+    null keys dropped, read back as raw lines and validated."""
+    from ..session import shared_path
+    from ..sources import files as FS
+    c = V.v_corpus(spark, d)
+    full, sparse = shared_path(spark, "val-full"), shared_path(spark, "val-sparse")
+    FS.write_corpus_jsonl(c, full)
+    c.select(*C.CORPUS_COLS).write.mode("overwrite").option("ignoreNullFields", True).json(sparse)
+    lines = (spark.read.text(full).withColumn("variant", F.lit("full"))
+             .unionByName(spark.read.text(sparse).withColumn("variant", F.lit("sparse"))))
+    return C.validate_lines(lines)
+
+
+VALIDATE_SQL = f"""
+WITH b AS (SELECT dataset, language, label_binary, label_cwe, label_cve, {STRIP_SQL.format(c='code')} = '' AS empty FROM v_corpus),
+u AS (
+  SELECT 'full' AS variant, dataset, language, label_binary, label_cwe, label_cve,
+         CASE WHEN empty THEN 'empty_code' WHEN label_binary IS NULL THEN 'invalid_label_None'
+              WHEN label_binary NOT IN (0, 1) THEN 'invalid_label_' || CAST(label_binary AS VARCHAR) END AS error FROM b
+  UNION ALL
+  SELECT 'sparse', dataset, language, label_binary, label_cwe, label_cve,
+         CASE WHEN label_binary IS NULL THEN 'missing_field_label_binary' WHEN label_cwe IS NULL THEN 'missing_field_label_cwe'
+              WHEN label_cve IS NULL THEN 'missing_field_label_cve' WHEN empty THEN 'empty_code'
+              WHEN label_binary NOT IN (0, 1) THEN 'invalid_label_' || CAST(label_binary AS VARCHAR) END FROM b)
+"""
+
+
+@register("validate_corpus", VALIDATE_SQL + """
+SELECT variant, dataset, coalesce(error, 'valid') AS outcome, count(*) AS n FROM u GROUP BY variant, dataset, outcome""")
+def validate_corpus(spark, d):
+    """A5: first failing check per record, counted per dataset; missing keys vs nulls."""
+    v = _validated(spark, d)
+    return v.groupBy("variant", "dataset", F.coalesce("error", F.lit("valid")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+_ISSUES_SQL = """list_filter([
+    CASE WHEN valid = 0 THEN 'No valid records found' END,
+    CASE WHEN valid > 0 AND valid < total AND CAST(total - valid AS DOUBLE) * 100.0 / CAST(total AS DOUBLE) > 10
+         THEN 'Invalid records over 10%' END,
+    CASE WHEN valid > 0 AND n_safe > 0 AND CAST(n_safe AS DOUBLE) * 100.0 / CAST(valid AS DOUBLE) < 2 THEN 'Class imbalance: Safe' END,
+    CASE WHEN valid > 0 AND n_vulnerable > 0 AND CAST(n_vulnerable AS DOUBLE) * 100.0 / CAST(valid AS DOUBLE) < 2
+         THEN 'Class imbalance: Vulnerable' END,
+    CASE WHEN n_valid_language = 0 THEN 'No valid languages found' END], lambda x: x IS NOT NULL)"""
+
+
+@register("corpus_verdicts", VALIDATE_SQL + f"""
+, a AS (SELECT variant, dataset, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS valid,
+              count(*) FILTER (WHERE error IS NULL AND label_binary = 0) AS n_safe,
+              count(*) FILTER (WHERE error IS NULL AND label_binary = 1) AS n_vulnerable,
+              count(*) FILTER (WHERE error IS NULL AND language IN ('c', 'cpp')) AS n_valid_language,
+              count(*) FILTER (WHERE error IS NULL AND label_cwe IS NULL) AS empty_cwe,
+              count(*) FILTER (WHERE error IS NULL AND label_cve IS NULL) AS empty_cve
+       FROM u GROUP BY variant, dataset)
+SELECT variant, dataset, total, valid, round(CAST(total - valid AS DOUBLE) * 100.0 / CAST(total AS DOUBLE), 6) AS invalid_pct,
+       n_safe, n_vulnerable, empty_cwe, empty_cve, array_to_string({_ISSUES_SQL}, '; ') AS issues,
+       len({_ISSUES_SQL}) = 0 AS is_safe, bool_and(len({_ISSUES_SQL}) = 0) OVER (PARTITION BY variant) AS all_safe
+FROM a""")
+def corpus_verdicts(spark, d):
+    """A6 + A7: per-dataset verdict (issues list) and the all-datasets-safe flag."""
+    from pyspark.sql import Window
+    r = C.corpus_verdict(_validated(spark, d), ["variant", "dataset"])
+    return r.withColumn("all_safe", F.bool_and("is_safe").over(Window.partitionBy("variant")))
+
+
+@register("token_counts", """
+SELECT id, len(regexp_extract_all(code, '\\w+|[^\\w\\s]', 0)) AS n_tokens,
+       len(list_distinct(regexp_extract_all(code, '\\w+|[^\\w\\s]', 0))) AS n_distinct FROM v_corpus""")
+def token_counts(spark, d):
+    """U1 default tokenizer (regex tokens, JVM side)."""
+    t = C.tokenize(V.v_corpus(spark, d))
+    return t.select("id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"))

@@ -268,3 +268,56 @@ def precision_at_10pct(spark, d):
     r = global_rank(s.select("id", "label", (-F.col("score")).alias("_ns")), ["_ns", "id"], out_col="rk")
     top = r.filter(F.col("rk") <= n)
     return top.agg(F.round(F.avg("label"), 6).alias("precision_at_10pct"), F.count(F.lit(1)).alias("k"))
+
+
+CHUNK_SQL = """
+WITH t AS (SELECT s.doc_id, s.label, len(regexp_extract_all(c.code, '\\w+|[^\\w\\s]', 0)) AS n
+           FROM v_scored s JOIN v_corpus c ON c.ordinal = s.doc_id),
+k AS (SELECT *, CASE WHEN n <= 510 THEN 1 ELSE 1 + CAST(ceil((n - 510) / 256) AS INTEGER) END AS k FROM t),
+w AS (SELECT doc_id, label, g.i AS chunk_idx FROM k, range(0, k) AS g(i))
+"""
+
+
+def _chunk_score_sql():
+    return ("CAST(0.3 AS DOUBLE) * label + CAST(0.7 AS DOUBLE) * CAST((doc_id * 7919 + chunk_idx * 31) % 1000 AS DOUBLE)"
+            " / CAST(1000.0 AS DOUBLE)")
+
+
+@register("max_over_windows", CHUNK_SQL + f"""
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, count(*) AS n_chunks, round(max({_chunk_score_sql()}), 4) AS score
+FROM w GROUP BY doc_id""")
+def max_over_windows(spark, d):
+    """Record score = max chunk score (rounded to 4) over its token windows."""
+    from ..functions import text as TX
+    from ..operators import corpus as C
+    s = V.v_scored(spark, d).select("doc_id", "label")
+    c = V.v_corpus(spark, d).select(F.col("ordinal").alias("doc_id"), TX.regex_tokens("code").alias("tokens"))
+    w = C.token_windows(s.join(c, "doc_id"), "tokens", 510, 256)
+    sc = (F.lit(0.3) * F.col("label") + F.lit(0.7) * ((F.col("doc_id") * 7919 + F.col("chunk_idx") * 31) % 1000).cast("double")
+          / F.lit(1000.0))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.max(sc), 4).alias("score")).select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), "n_chunks", "score")
+
+
+@register("joint_optimise")
+def joint_optimise(spark, d, rounds: int = 3, tol: float = 1e-4):
+    """Alternate weight grid (at the current threshold) and threshold sweep
+    (at the current weights) until the F1 gain is below ``tol``.  Rows stay
+    distributed and cached; only the 969- and 200-row results reach the driver."""
+    s = V.v_scored(spark, d).select("label", "s1", "s2", "s3", "s4").cache()
+    weights, thr, best = (0.3, 0.25, 0.25, 0.2), 0.5, -1.0
+    hist = []
+    for r in range(rounds):
+        g = EV.weight_grid(s, ["s1", "s2", "s3", "s4"], threshold=thr)
+        top = g.orderBy(F.desc("f1"), "vid").select("w1", "w2", "w3", "w4", "f1").first()
+        weights = (top.w1, top.w2, top.w3, top.w4)
+        vote = sum((F.lit(w) * F.col(f"s{i + 1}") for i, w in enumerate(weights)), F.lit(0.0))
+        sw = EV.threshold_sweep(s.withColumn("score", vote))
+        tb = EV.pick_threshold(sw).first()
+        gain = tb.best_f1 - best
+        thr, best = tb.best_f1_threshold, tb.best_f1
+        hist.append((r + 1, *weights, float(thr), float(best)))
+        if gain < tol:
+            break
+    s.unpersist()
+    return spark.createDataFrame(hist, "round int, w1 double, w2 double, w3 double, w4 double, threshold double, f1 double")

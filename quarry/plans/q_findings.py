@@ -377,3 +377,21 @@ def ml_severity(spark, d):
     """Window-model banding (MEDIUM from 0.45)."""
     s = V.v_scored(spark, d).withColumn("flagged", F.col("score") >= 0.5)
     return s.select("id", FD.ml_severity("score", "flagged", 0.45).alias("severity"))
+
+
+@register("report_counts", """
+WITH ml AS (SELECT 'fn_' || CAST(doc_id AS VARCHAR) AS function_name, score >= 0.5 AS flagged FROM v_scored),
+j AS (SELECT r.*, coalesce(ml.flagged, FALSE) AS ml_flag FROM v_results r LEFT JOIN ml USING (function_name))
+SELECT count(*) AS total_functions, count_if(is_vulnerable) AS static_flagged, count_if(ml_flag) AS ml_flagged,
+       count_if(is_vulnerable AND ml_flag) AS both_flagged, CAST(sum(n_findings) AS BIGINT) AS total_findings,
+       round(coalesce(avg(CASE WHEN is_vulnerable THEN confidence END), 0.0), 6) AS avg_static_confidence FROM j""")
+def report_counts(spark, d):
+    """Report metadata and summaries (flagged lists stay DataFrames for the JSON sink)."""
+    r = _results(spark, d)
+    ml = _ml(spark, d).select("function_name", F.col("flagged").alias("ml_flag"))
+    j = r.join(ml, "function_name", "left").withColumn("ml_flag", F.coalesce("ml_flag", F.lit(False)))
+    return j.agg(
+        F.count(F.lit(1)).alias("total_functions"), F.count_if("is_vulnerable").alias("static_flagged"),
+        F.count_if("ml_flag").alias("ml_flagged"), F.count_if(F.col("is_vulnerable") & F.col("ml_flag")).alias("both_flagged"),
+        F.sum("n_findings").cast("long").alias("total_findings"),
+        F.round(F.coalesce(F.avg(F.when(F.col("is_vulnerable"), F.col("confidence"))), F.lit(0.0)), 6).alias("avg_static_confidence"))
