@@ -133,8 +133,18 @@ SAFE_FUNCS = ["strncpy", "strncat", "snprintf", "fgets", "strlcpy", "memcpy_s"]
 BRANCH_KW = ["if", "else if", "for", "while", "case", "catch", "&&", "\\|\\|", "\\?"]
 
 
+_ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_b(pattern: str) -> str:
+    """Rewrite \\b as an ASCII word boundary (Java 17's \\b also treats non-ASCII
+    letters as word characters, unlike its ASCII \\w); feature counts then mean
+    the same on any text."""
+    return pattern.replace("\\b", _ASCII_B)
+
+
 def _count(code: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(code, F.lit(pattern), 0))
+    return F.size(F.regexp_extract_all(code, F.lit(ascii_b(pattern)), 0))
 
 
 def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
@@ -163,3 +173,103 @@ def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
         _count(c, r"\bfree\s*\(").alias("frees"),
         _count(c, r"\w\s*\*\s*\w").alias("pointer_ops"),
     )
+
+
+# ------------------------------------------------------------------ X5-X7
+CONTROL_KW = ["if", "for", "while", "switch", "catch", "do"]
+HALSTEAD_OPERATORS = r"[-+*/%=<>!&|^~?:]+|\b(?:sizeof|return|if|else|for|while|do|switch|case|break|continue|goto)\b|[\[\]().,;{}]"
+HALSTEAD_OPERANDS = r"\b[A-Za-z_]\w*\b|\b\d+(?:\.\d+)?\b|\"[^\"]*\"|'[^']*'"
+
+
+def complexity_features(units: DataFrame, code: str = "code") -> DataFrame:
+    """X5 bounds-check score and X7 Halstead measures (our definitions; the
+    reference's extractor is not in its tree).
+
+    bounds = accesses * (1 - min(checks, accesses) / accesses), accesses are
+    ``name[`` index expressions and checks are if/while conditions with < or >.
+    Halstead: n1/n2 distinct operators/operands, N1/N2 totals,
+    difficulty = n1 / 2 * N2 / n2 (0 without operands)."""
+    units = spread(units)
+    c = F.col(code)
+    acc = _count(c, r"[A-Za-z_]\w*\s*\[")
+    chk = _count(c, r"\b(?:if|while)\s*\([^)]*[<>]")
+    bounds = (acc - F.least(chk, acc)).cast("double")  # = acc * (1 - min(chk, acc) / acc), exactly
+    ops = F.regexp_extract_all(c, F.lit(ascii_b(HALSTEAD_OPERATORS)), 0)
+    opd = F.regexp_extract_all(c, F.lit(ascii_b(HALSTEAD_OPERANDS)), 0)
+    n1, n2 = F.size(F.array_distinct(ops)), F.size(F.array_distinct(opd))
+    N1, N2 = F.size(ops), F.size(opd)
+    diff = F.when(n2 == 0, F.lit(0.0)).otherwise((n1 * N2).cast("double") / (n2 * 2).cast("double"))
+    return units.select("uid", acc.alias("accesses"), chk.alias("checks"), bounds.alias("bounds_score"),
+                        n1.alias("n1"), n2.alias("n2"), N1.alias("N1"), N2.alias("N2"), diff.alias("halstead_difficulty"))
+
+
+def cognitive_complexity(units: DataFrame, code: str = "code") -> DataFrame:
+    """Each control keyword adds 1 + current nesting; only braces opened
+    right after a control keyword increase nesting; '}' closes the innermost
+    brace first.  State (nesting, pending, score, brace stack) folds over the
+    token array of each unit."""
+    units = spread(units)
+    toks = F.regexp_extract_all(F.col(code), F.lit(ascii_b(r"\b(?:" + "|".join(CONTROL_KW) + r")\b|[{}]")), 0)
+    init = F.struct(F.lit(0).alias("nest"), F.lit(False).alias("pend"), F.lit(0).alias("score"),
+                    F.array().cast("array<boolean>").alias("stack"))
+
+    def step(s, t):
+        is_kw = (t != "{") & (t != "}")
+        opened = F.concat(s["stack"], F.array(s["pend"]))
+        top = F.get(s["stack"], F.size(s["stack"]) - 1)
+        popped = F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))
+        return F.when(is_kw, F.struct(s["nest"].alias("nest"), F.lit(True).alias("pend"),
+                                      (s["score"] + 1 + s["nest"]).alias("score"), s["stack"].alias("stack"))) \
+            .when(t == "{", F.struct((s["nest"] + F.when(s["pend"], 1).otherwise(0)).alias("nest"), F.lit(False).alias("pend"),
+                                     s["score"].alias("score"), opened.alias("stack"))) \
+            .otherwise(F.struct((s["nest"] - F.when(F.coalesce(top, F.lit(False)), 1).otherwise(0)).alias("nest"),
+                                s["pend"].alias("pend"), s["score"].alias("score"), popped.alias("stack")))
+
+    res = F.aggregate(toks, init, step)
+    return units.select("uid", res["score"].alias("cognitive_complexity"))
+
+
+# ------------------------------------------------------------------ U2 unit segmentation
+def segment_units(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Source text -> top-level brace units with start/end lines and names.
+
+    Lines are exploded with their number; string/char literals and comments
+    are blanked before counting braces; the depth before each line is a
+    running sum per file (range-partitioned scan, so one huge file does not
+    land in one task); a unit starts on a line entered at depth 0 with an
+    opening brace and runs to the line where depth returns to 0.  The unit
+    text is assembled from its lines (files are capped at 1 MB upstream, so a
+    unit's line list is bounded)."""
+    from .helpers import ordered_scan
+
+    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(content), "\n", -1)).alias("ln0", "text"),
+                         ).withColumn("line", F.col("ln0") + 1)
+    # blank literals and same-line comments before counting braces
+    bare = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|//.*$|/\*.*?\*/", "")
+    lines = lines.withColumn("bare", bare)
+    lines = lines.withColumn("opens", F.length("bare") - F.length(F.regexp_replace("bare", r"\{", ""))) \
+                 .withColumn("closes", F.length("bare") - F.length(F.regexp_replace("bare", r"\}", ""))) \
+                 .withColumn("delta", F.col("opens") - F.col("closes"))
+    d = ordered_scan(lines, ["line"], "delta", ["path"], "depth_after")
+    d = d.withColumn("depth_before", F.col("depth_after") - F.col("delta"))
+    start = (F.col("depth_before") == 0) & (F.col("opens") > 0)
+    d = d.withColumn("_start", F.when(start, F.col("line")))
+    d = ordered_scan(d, ["line"], "_start", ["path"], "unit_start", op="last")
+    inside = d.filter(F.col("unit_start").isNotNull() & ((F.col("depth_before") > 0) | start))
+    units = inside.groupBy("path", "unit_start").agg(
+        F.max("line").alias("end_line"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("code"),
+        F.max_by("text", F.when(F.col("line") == F.col("unit_start"), 1).otherwise(0)).alias("_head"))
+    sig = r"([A-Za-z_]\w*)\s*\([^;{}]*\)?\s*$"
+    name = F.regexp_extract(F.substring_index("_head", "{", 1), sig, 1)
+    # K&R layout: a lone '{' line -> the signature is the line before it
+    prev = lines.select("path", (F.col("line") + 1).alias("unit_start"), F.col("text").alias("_prev"))
+    units = units.join(prev, ["path", "unit_start"], "left")
+    prev_name = F.regexp_extract(F.coalesce("_prev", F.lit("")), sig, 1)
+    lone = (F.trim(F.substring_index("_head", "{", 1)) == "") & (prev_name != "")
+    code = F.when(lone, F.concat(F.col("_prev"), F.lit("\n"), F.col("code"))).otherwise(F.col("code"))
+    return units.select(
+        F.col("path").alias("file_path"),
+        F.when(lone, prev_name).when(name != "", name).otherwise(F.lit("<block>")).alias("function_name"),
+        F.when(lone, F.col("unit_start") - 1).otherwise(F.col("unit_start")).alias("start_line"), "end_line",
+        code.alias("code"))

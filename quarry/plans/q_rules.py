@@ -172,3 +172,42 @@ FROM b""")
 def lexical_features(spark, d):
     """Line stats, unsafe/safe calls, branches, cyclomatic, brace depth, allocations."""
     return RU.lexical_features(code_units(spark, d))
+
+
+@register("complexity_features", """
+SELECT uid, accesses, checks,
+       CAST(accesses - least(checks, accesses) AS DOUBLE) AS bounds_score,
+       len(list_distinct(ops)) AS n1, len(list_distinct(opd)) AS n2, len(ops) AS N1, len(opd) AS N2,
+       CASE WHEN len(list_distinct(opd)) = 0 THEN 0.0
+            ELSE CAST(len(list_distinct(ops)) * len(opd) AS DOUBLE) / CAST(len(list_distinct(opd)) * 2 AS DOUBLE) END
+         AS halstead_difficulty
+FROM (SELECT uid, len(regexp_extract_all(code, '[A-Za-z_]\\w*\\s*\\[', 0)) AS accesses,
+             len(regexp_extract_all(code, '\\b(?:if|while)\\s*\\([^)]*[<>]', 0)) AS checks,
+             regexp_extract_all(code, '""" + RU.HALSTEAD_OPERATORS.replace("'", "''") + """', 0) AS ops,
+             regexp_extract_all(code, '""" + RU.HALSTEAD_OPERANDS.replace("'", "''") + """', 0) AS opd
+      FROM v_code_units) x""")
+def complexity_features(spark, d):
+    """X5 bounds-check score and X7 Halstead counts/difficulty."""
+    return RU.complexity_features(code_units(spark, d))
+
+
+@register("cognitive_complexity")
+def cognitive_complexity(spark, d):
+    """Control keywords weighted by control-brace nesting (fold over tokens)."""
+    return RU.cognitive_complexity(code_units(spark, d))
+
+
+def source_files(spark, d):
+    """pages as source files plus the C sample assembled into its two files."""
+    files: dict[str, list[str]] = {}
+    for f, n, st, c in C_SAMPLE:
+        files.setdefault(f, []).append(c)
+    sample = spark.createDataFrame([(f, "\n\n".join(cs)) for f, cs in files.items()], "path string, content string")
+    pages = V.table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    return pages.unionByName(sample)
+
+
+@register("segment_units")
+def segment_units(spark, d):
+    """Source text -> top-level brace units (start/end line, name, code)."""
+    return RU.segment_units(source_files(spark, d))

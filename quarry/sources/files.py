@@ -178,3 +178,10 @@ def write_report(df: DataFrame, path: str, key: str = "uid") -> None:
 
 def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_labelled_files(spark: SparkSession, root: str, glob: str = "*.c*") -> DataFrame:
+    """Test-suite tree: category from the path, label from the file name."""
+    from ..operators.corpus import with_path_labels
+    t = read_source_tree(spark, root, glob).withColumnRenamed("abs_path", "path")
+    return with_path_labels(t, "path")
