@@ -21,7 +21,7 @@ from ..sources.fixed import (
     XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS, cwe_categories, cwe_dim,
 )
 from ..functions import text as TX
-from .helpers import bucketed_range_join, ordered_scan
+from .helpers import bucketed_range_join, ordered_fill
 
 
 def severity_rank(c: str = "severity"):
@@ -45,18 +45,12 @@ def map_findings(findings: DataFrame, units: DataFrame, bucket: int = 64) -> Dat
     starts = u.groupBy("file_path", "start_line").agg(F.min("uid").alias("uid"))
     ups = starts.select("file_path", F.col("start_line").alias("pos"), F.lit(None).cast("long").alias("finding_id"),
                         F.col("start_line").cast("long").alias("ustart"))
-    both = pts.unionByName(ups)
-    # predecessor: units sort before points at equal position
-    pred = ordered_scan(both.withColumn("_k", F.when(F.col("finding_id").isNull(), 0).otherwise(1))
-                        .withColumn("_t", F.coalesce("finding_id", F.lit(-1))),
-                        ["pos", "_k", "_t"], "ustart", ["file_path"], "pred", op="last")
-    pred = pred.filter(F.col("finding_id").isNotNull()).select("finding_id", "file_path", "pos", "pred")
-    succ = ordered_scan(both.withColumn("_np", -F.col("pos"))
-                        .withColumn("_k", F.when(F.col("finding_id").isNull(), 1).otherwise(0))
-                        .withColumn("_t", F.coalesce("finding_id", F.lit(-1))),
-                        ["_np", "_k", "_t"], "ustart", ["file_path"], "succ", op="last")
-    succ = succ.filter(F.col("finding_id").isNotNull()).select("finding_id", "succ")
-    near = pred.join(succ, "finding_id")
+    both = (pts.unionByName(ups)
+            .withColumn("_k", F.when(F.col("finding_id").isNull(), 0).otherwise(1))  # units first at equal line
+            .withColumn("_t", F.coalesce("finding_id", F.lit(-1))))
+    # one ordered pass: predecessor start (<= line) and successor start (> line)
+    near = ordered_fill(both, ["pos", "_k", "_t"], "ustart", ["file_path"], "pred", "succ")
+    near = near.filter(F.col("finding_id").isNotNull()).select("finding_id", "file_path", "pos", "pred", "succ")
     dp = F.col("pos") - F.col("pred")
     ds = F.col("succ") - F.col("pos")
     chosen = (F.when(F.col("pred").isNull(), F.col("succ")).when(F.col("succ").isNull(), F.col("pred"))

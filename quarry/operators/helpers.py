@@ -265,3 +265,69 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.isStreaming or n_files >= slots:
         return df
     return df.repartition(slots)
+
+
+def _fill_both_fn(part_cols, order_cols, value_col, prev_col, next_col):
+    seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
+
+    def run(batches):
+        # narrow rows only; a range partition is sized to fit a task
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        n = len(pdf)
+        change = np.zeros(n, dtype=bool)
+        change[0] = True
+        for c in part_cols:
+            arr = pdf[c].to_numpy()
+            change[1:] |= arr[1:] != arr[:-1]
+        gid = np.cumsum(change)
+        grp = pd.Series(gid, index=pdf.index)
+        s = pdf[value_col]
+        pdf[prev_col] = s.groupby(grp).ffill()
+        pdf[next_col] = s.groupby(grp).bfill()
+        starts = np.flatnonzero(change)
+        for sc, oc in zip(seg_cols, order_cols):
+            col = pdf[oc].to_numpy()
+            first = np.empty(len(starts) + 1, dtype=object)
+            first[1:] = col[starts]
+            pdf[sc] = first[gid]
+        yield pdf
+
+    return run
+
+
+def ordered_fill(df: DataFrame, order_cols: Sequence[str], value_col: str, partition_cols: Sequence[str] = (),
+                 prev_col: str = "_prev", next_col: str = "_next", num_partitions: int | None = None) -> DataFrame:
+    """Last non-null value at or before each row (``prev_col``) and first
+    non-null at or after it (``next_col``), per key, in one range-partitioned
+    pass.  Cross-partition carries come from a per-segment summary; only
+    segments that have an earlier or a later segment of the same key need
+    one, at most two per partition, so the carry table is broadcast-safe."""
+    part_cols, order_cols = list(partition_cols), list(order_cols)
+    keys = part_cols + order_cols
+    n = _num_partitions(df, num_partitions)
+    vt = df.schema[value_col].dataType
+    seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(prev_col, vt, True), T.StructField(next_col, vt, True)]
+                          + [T.StructField(s, df.schema[o].dataType, True) for s, o in zip(seg_cols, order_cols)])
+    scanned = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+               .mapInPandas(_fill_both_fn(part_cols, order_cols, value_col, prev_col, next_col), schema)
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    order = F.struct(*[F.col(o) for o in order_cols])
+    summ = scanned.groupBy(*part_cols, *seg_cols).agg(
+        F.max_by(F.col(prev_col), order).alias("_seg_last"), F.min_by(F.col(next_col), order).alias("_seg_first"))
+    w_before = Window.partitionBy(*part_cols).orderBy(*seg_cols).rowsBetween(Window.unboundedPreceding, -1)
+    w_after = Window.partitionBy(*part_cols).orderBy(*seg_cols).rowsBetween(1, Window.unboundedFollowing)
+    w_rank = Window.partitionBy(*part_cols).orderBy(*seg_cols)
+    w_all = Window.partitionBy(*part_cols)
+    carry = (summ.withColumn("_c_prev", F.last("_seg_last", ignorenulls=True).over(w_before))
+             .withColumn("_c_next", F.first("_seg_first", ignorenulls=True).over(w_after))
+             .withColumn("_rn", F.row_number().over(w_rank)).withColumn("_cnt", F.count(F.lit(1)).over(w_all))
+             .filter((F.col("_rn") > 1) | (F.col("_rn") < F.col("_cnt")))
+             .select(*part_cols, *seg_cols, "_c_prev", "_c_next"))
+    j = scanned.join(F.broadcast(carry), on=[*part_cols, *seg_cols], how="left")
+    return (j.withColumn(prev_col, F.coalesce(F.col(prev_col), F.col("_c_prev")))
+            .withColumn(next_col, F.coalesce(F.col(next_col), F.col("_c_next")))
+            .drop("_c_prev", "_c_next", *seg_cols))
