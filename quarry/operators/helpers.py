@@ -33,6 +33,15 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _range(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``keys``; without an explicit count AQE sizes (and may
+    coalesce adjacent) ranges by data volume.  Segments are identified by
+    their first order value, so coalesced ranges stay correct."""
+    if num_partitions:
+        return df.repartitionByRange(int(num_partitions), *keys)
+    return df.repartitionByRange(*keys)
+
+
 def _segment_scan_fn(part_cols: list[str], order_cols: list[str], value_col: str, op: str, out_col: str):
     """Per-partition scan: rows arrive sorted by (part, order)."""
     seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
@@ -115,7 +124,6 @@ def ordered_scan(
     part_cols = list(partition_cols)
     order_cols = list(order_cols)
     keys = part_cols + order_cols
-    n = _num_partitions(df, num_partitions)
     vcol = "_q_v"
     if op == "sum":
         base = df.withColumn(vcol, (F.col(value_col) if value_col else F.lit(1)).cast("long"))
@@ -129,7 +137,7 @@ def ordered_scan(
     fields += [T.StructField(_KIND, T.StringType(), True)]
     schema = T.StructType(fields)
 
-    ranged = base.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = _range(base, keys, num_partitions).sortWithinPartitions(*keys)
     scanned = ranged.mapInPandas(_segment_scan_fn(part_cols, order_cols, vcol, op, out_col), schema)
     # Both branches below must see the same range bounds: persist once.
     scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
@@ -307,12 +315,11 @@ def ordered_fill(df: DataFrame, order_cols: Sequence[str], value_col: str, parti
     one, at most two per partition, so the carry table is broadcast-safe."""
     part_cols, order_cols = list(partition_cols), list(order_cols)
     keys = part_cols + order_cols
-    n = _num_partitions(df, num_partitions)
     vt = df.schema[value_col].dataType
     seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
     schema = T.StructType(list(df.schema.fields) + [T.StructField(prev_col, vt, True), T.StructField(next_col, vt, True)]
                           + [T.StructField(s, df.schema[o].dataType, True) for s, o in zip(seg_cols, order_cols)])
-    scanned = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    scanned = (_range(df, keys, num_partitions).sortWithinPartitions(*keys)
                .mapInPandas(_fill_both_fn(part_cols, order_cols, value_col, prev_col, next_col), schema)
                .persist(StorageLevel.MEMORY_AND_DISK))
     order = F.struct(*[F.col(o) for o in order_cols])
