@@ -95,3 +95,25 @@ def stack_members(train: DataFrame, members: Sequence[str], label: str = "label"
     lr = LogisticRegression(featuresCol="_meta", labelCol=label, predictionCol="_stack_pred",
                             probabilityCol="_stack_prob", rawPredictionCol="_stack_raw")
     return Pipeline(stages=[va, lr]).fit(train)
+
+
+def fp_drivers(df: DataFrame, lr_model, features: str = "features", label: str = "label", pred: str = "is_vulnerable",
+               k: int = 3, names: Sequence[str] | None = None) -> DataFrame:
+    """Share of false positives having each feature among their top-k positive
+    contributions, with linear contributions coef_i * x_i (a linear stand-in
+    for tree explanations).  Per row, the ranking is over the feature count
+    only (a bounded group), computed with posexplode + a per-row rank."""
+    coef = [float(c) for c in lr_model.coefficients.toArray()]
+    arr = F.array(*[F.lit(c) for c in coef])
+    fp = df.filter(F.col(pred) & (F.col(label) == 0)).select(
+        F.monotonically_increasing_id().alias("_rid"), vector_to_array(F.col(features)).alias("_x"))
+    contrib = fp.select("_rid", F.posexplode(F.zip_with("_x", arr, lambda x, c: x * c)).alias("feature", "contribution"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("_rid").orderBy(F.desc("contribution"), "feature")
+    top = contrib.filter(F.col("contribution") > 0).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    n_fp = fp.select(F.count(F.lit(1))).scalar()
+    out = top.groupBy("feature").agg(F.count(F.lit(1)).alias("n_fp_top"))
+    out = out.withColumn("share", F.round(F.try_divide(F.col("n_fp_top"), n_fp), 6))
+    if names:
+        out = out.withColumn("name", F.get(F.array(*[F.lit(x) for x in names]), F.col("feature")))
+    return out

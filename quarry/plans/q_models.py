@@ -62,3 +62,12 @@ def feature_importance(spark, d):
     models = SC.fit_members(e.filter(F.col("part") == "train"))
     imp = models["rf_deep"].featureImportances.toArray().tolist()
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "feature int, importance double")
+
+
+@register("fp_drivers")
+def fp_drivers(spark, d):
+    """M9 (second part): which features most often drive false positives."""
+    e = _prepared(spark, d).cache()
+    models = SC.fit_members(e.filter(F.col("part") == "train"))
+    scored = SC.decide(SC.weighted_vote(SC.member_scores(e, models), SC.MEMBER_WEIGHTS), 0.5, score="score")
+    return SC.fp_drivers(scored, models["logreg"], k=3, names=[f"pca{i}" for i in range(8)])
