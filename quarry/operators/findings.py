@@ -143,17 +143,22 @@ def untracked_categories(f: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- J6
 def resolve_report_paths(report: DataFrame, files: DataFrame, path_col: str = "path", rel_col: str = "rel_path") -> DataFrame:
     """Exact path match, else the smallest rel_path that is a suffix of the
-    report path; unmatched rows are dropped.  The suffix step is an equi join
-    on every suffix of the report path (no theta join)."""
+    report path; unmatched rows are dropped.
+
+    Resolution runs once per distinct report path (many findings share a
+    path), and the suffix step is an equi join on every suffix of the path,
+    not a theta join; the small path -> rel_path map then joins back."""
     fl = files.select(F.col(rel_col).alias("_rel")).distinct()
-    exact = report.join(fl, report[path_col] == fl["_rel"], "inner")
-    rest = report.join(fl, report[path_col] == fl["_rel"], "left_anti")
-    sfx = rest.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length(path_col), F.lit(1))))) \
-              .withColumn("_sfx", F.substring(F.col(path_col), F.col("_i"), 1 << 20))
-    cand = sfx.join(fl, sfx["_sfx"] == fl["_rel"], "inner").drop("_i", "_sfx")
-    key = [c for c in report.columns]
-    best = cand.groupBy(*key).agg(F.min("_rel").alias("_rel"))
-    return exact.unionByName(best).withColumnRenamed("_rel", rel_col)
+    paths = report.select(F.col(path_col).alias("_p")).distinct()
+    exact = paths.join(fl, paths["_p"] == fl["_rel"], "inner")
+    rest = paths.join(fl, paths["_p"] == fl["_rel"], "left_anti")
+    sfx = rest.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_p"), F.lit(1))))) \
+              .withColumn("_sfx", F.substring(F.col("_p"), F.col("_i"), 1 << 20))
+    cand = sfx.join(fl, sfx["_sfx"] == fl["_rel"], "inner")
+    best = cand.groupBy("_p").agg(F.min("_rel").alias("_rel"))
+    resolved = exact.select("_p", "_rel").unionByName(best)
+    out = report.join(resolved, report[path_col] == resolved["_p"], "inner").drop("_p")
+    return out.withColumnRenamed("_rel", rel_col)
 
 
 # ---------------------------------------------------------------- F7
@@ -219,3 +224,20 @@ def detector_agreement(static: DataFrame, ml: DataFrame, key: str = "uid") -> Da
 
 def cube_report(f: DataFrame, dims: Sequence[str] = ("tool", "severity", "category")) -> DataFrame:
     return f.cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+
+
+def with_severity(df: DataFrame, level_col: str, tool: str) -> DataFrame:
+    """Tool level -> normalised severity for the three report vocabularies."""
+    from ..sources.fixed import CSV_TOOL_LEVEL, JSON_TOOL_SEVERITY
+    if tool == "xml":
+        sev = TX.map_lookup(level_col, XML_TOOL_SEVERITY, "MEDIUM")
+    elif tool == "csv":
+        sev = TX.map_lookup(F.col(level_col).cast("int"), CSV_TOOL_LEVEL, "LOW")
+    else:
+        sev = TX.map_lookup(F.upper(F.col(level_col)), JSON_TOOL_SEVERITY, "LOW")
+    return df.withColumn("severity", sev)
+
+
+def with_confidence(df: DataFrame, default: float = 0.5) -> DataFrame:
+    """Severity -> confidence."""
+    return df.withColumn("confidence", TX.map_lookup("severity", SEVERITY_CONFIDENCE, default))

@@ -395,3 +395,29 @@ def report_counts(spark, d):
         F.count_if("ml_flag").alias("ml_flagged"), F.count_if(F.col("is_vulnerable") & F.col("ml_flag")).alias("both_flagged"),
         F.sum("n_findings").cast("long").alias("total_findings"),
         F.round(F.coalesce(F.avg(F.when(F.col("is_vulnerable"), F.col("confidence"))), F.lit(0.0)), 6).alias("avg_static_confidence"))
+
+
+@register("severity_maps", """
+WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'style' END AS xml_level,
+                  CAST(floor(value / 100) AS INTEGER) % 6 AS csv_level,
+                  CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'info' ELSE 'Warning' END AS json_level FROM events),
+s AS (SELECT event_id,
+             CASE xml_level WHEN 'error' THEN 'HIGH' WHEN 'warning' THEN 'MEDIUM' ELSE 'MEDIUM' END AS xml_severity,
+             CASE csv_level WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS csv_severity,
+             CASE upper(json_level) WHEN 'ERROR' THEN 'HIGH' WHEN 'WARNING' THEN 'MEDIUM' ELSE 'LOW' END AS json_severity FROM e)
+SELECT event_id, xml_severity, csv_severity, json_severity,
+       CASE csv_severity WHEN 'CRITICAL' THEN 0.95 WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 0.7 ELSE 0.5 END::DOUBLE AS csv_confidence
+FROM s""")
+def severity_maps(spark, d):
+    """The three tool level vocabularies mapped to severity, then confidence."""
+    ev = V.table(spark, d, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "warning")
+        .otherwise("style").alias("xml_level"),
+        (F.floor(F.col("value") / 100).cast("int") % 6).alias("csv_level"),
+        F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "info")
+        .otherwise("Warning").alias("json_level"))
+    x = FD.with_severity(ev, "xml_level", "xml").withColumnRenamed("severity", "xml_severity")
+    x = FD.with_severity(x, "json_level", "json").withColumnRenamed("severity", "json_severity")
+    x = FD.with_confidence(FD.with_severity(x, "csv_level", "csv")).withColumnRenamed("severity", "csv_severity")
+    return x.select("event_id", "xml_severity", "csv_severity", "json_severity", F.col("confidence").alias("csv_confidence"))
