@@ -112,3 +112,33 @@ SELECT job_id, entry_id, level, "offset", total FROM r WHERE "offset" > 5""")
 def log_tail(spark, d):
     """T4: entries after offset 5 per job, with the job total."""
     return ST.log_tail(V.v_logs(spark, d), 5).select("job_id", "entry_id", "level", "offset", "total")
+
+
+# ------------------------------------------------------------------ unions
+@register("merge_corpora")
+def merge_corpora(spark, d):
+    """The four normalised datasets in one canonical corpus; counts per dataset and label."""
+    m = C.merge_corpora(C.normalize_zenodo(V.v_raw_zenodo(spark, d)), C.normalize_devign(V.v_raw_devign(spark, d)),
+                        C.normalize_diversevul(V.v_raw_diversevul(spark, d)), C.normalize_megavul(V.v_raw_megavul(spark, d)))
+    return m.groupBy("dataset", "label_binary").agg(F.count(F.lit(1)).alias("n"))
+
+
+REGISTRY["merge_corpora"] = (merge_corpora, "SELECT dataset, label_binary, count(*) AS n FROM ("
+                             + " UNION ALL ".join(f"({REGISTRY[k][1]})" for k in (
+                                 "normalize_zenodo", "normalize_devign", "normalize_diversevul", "normalize_megavul"))
+                             + ") u GROUP BY dataset, label_binary")
+
+
+@register("union_findings")
+def union_findings(spark, d):
+    """Findings of every source (tool reports and the rule scan) in one table; counts per tool and CWE."""
+    from . import q_findings
+    from ..operators import rules as RU
+    tools = q_findings._findings(spark, d).select("tool", "cwe_id")
+    scan = RU.scan_rules(q_rules.code_units(spark, d), RU.live_c_rules(re2_only=True)).select("tool", "cwe_id")
+    return tools.unionByName(scan).groupBy("tool", "cwe_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+REGISTRY["union_findings"] = (union_findings, "SELECT tool, cwe_id, count(*) AS n FROM ("
+                              f"(SELECT tool, cwe_id FROM ({REGISTRY['enrich_findings'][1].replace('SELECT f.finding_id, f.cwe_id,', 'SELECT f.tool, f.cwe_id, f.finding_id,', 1)}) a) "
+                              f"UNION ALL (SELECT tool, cwe_id FROM ({REGISTRY['scan_rules_re2'][1]}) b)) u GROUP BY tool, cwe_id")
