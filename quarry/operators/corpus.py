@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from .helpers import global_rank
+from .helpers import global_rank, spread
 
 CORPUS_COLS = ["id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"]
 VALID_LANGUAGES = ["c", "cpp"]
@@ -186,14 +186,14 @@ def with_snippet(df: DataFrame, col: str = "code", n: int = 500, out: str = "sni
 
 
 def clean_code(df: DataFrame, col: str = "code", out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, TX.clean_code(col))
+    return spread(df).withColumn(out or col, TX.clean_code(col))
 
 
 def text_metrics(df: DataFrame, col: str = "code") -> DataFrame:
     """total lines, non-empty lines, chars, average line length (chars / lines)."""
     lines = F.split(F.col(col), "\n", -1)
     return (
-        df.withColumn("total_lines", F.size(lines))
+        spread(df).withColumn("total_lines", F.size(lines))
         .withColumn("non_empty_lines", F.size(F.filter(lines, lambda l: F.trim(l) != "")))
         .withColumn("n_chars", F.length(col))
         .withColumn("avg_line_length", F.col("n_chars") / F.col("total_lines"))
@@ -227,7 +227,7 @@ def function_length(df: DataFrame, col: str = "code", lo: int = 10, hi: int = 50
 
 # ---------------------------------------------------------------- D1-D4 dedup
 def content_hash(df: DataFrame, col: str = "code", out: str = "hash") -> DataFrame:
-    return df.withColumn(out, TX.content_hash(col))
+    return spread(df).withColumn(out, TX.content_hash(col))
 
 
 def dedup_first(df: DataFrame, key: str = "hash", ordinal: str = "ordinal") -> DataFrame:
@@ -434,6 +434,7 @@ def corpus_verdict(validated: DataFrame, by: Sequence[str] = ("dataset",)) -> Da
 def tokenize(df: DataFrame, col: str = "code", fn=None, out: str = "tokens") -> DataFrame:
     """Default: regex tokens (JVM).  ``fn``: a vectorised pandas Series -> Series
     of lists (e.g. a sub-word tokenizer), run as an Arrow-batched pandas UDF."""
+    df = spread(df)
     if fn is None:
         return df.withColumn(out, TX.regex_tokens(col))
     udf = F.pandas_udf(fn, "array<string>")

@@ -259,18 +259,25 @@ def bucket_sweep(
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin rows before CPU-heavy per-row work (regex scans) when the
-    input comes from fewer files than the cluster has task slots.
+    input is small relative to the cluster.
 
-    A single parquet row group is read by one task whatever its size; on a
-    large input (files >= slots) nothing changes and no shuffle is added.
+    A single parquet row group is read by one task whatever its size, so a
+    small table can end up in one task.  The check uses the planner's size
+    estimate: only when the input is below ``slots x maxPartitionBytes`` is a
+    (then cheap) shuffle added; on large inputs this is a no-op.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     slots = min_partitions or spark.sparkContext.defaultParallelism
     try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - streaming or local relations
+        jvm = spark.sparkContext._jvm
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        max_part = int(jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
+    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
         return df
-    if df.isStreaming or n_files >= slots:
+    if size >= slots * max_part:
         return df
     return df.repartition(slots)
 
