@@ -262,17 +262,25 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     input is small relative to the cluster.
 
     A single parquet row group is read by one task whatever its size, so a
-    small table can end up in one task.  The check uses the planner's size
-    estimate: only when the input is below ``slots x maxPartitionBytes`` is a
-    (then cheap) shuffle added; on large inputs this is a no-op.
+    small table can end up in one task.  Only when the input has fewer files
+    than slots and is below ``slots x maxPartitionBytes`` in total is a (then
+    cheap) shuffle added; on large inputs this is a no-op.
     """
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    slots = min_partitions or spark.sparkContext.defaultParallelism
+    sc = spark.sparkContext
+    slots = min_partitions or sc.defaultParallelism
     try:
-        jvm = spark.sparkContext._jvm
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files = df.inputFiles()
+        if not files or len(files) >= slots:  # many files: the scan is already parallel
+            return df
+        jvm = sc._jvm
+        conf = sc._jsc.hadoopConfiguration()
+        size = 0
+        for f in files:  # fewer files than slots: a handful of metadata calls
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            size += int(path.getFileSystem(conf).getFileStatus(path).getLen())
         max_part = int(jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
             spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
     except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
