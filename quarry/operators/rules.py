@@ -63,11 +63,20 @@ def scan_rules(units: DataFrame, rules: Sequence[tuple] | None = None, code: str
     rules = list(rules if rules is not None else live_c_rules())
     units = spread(units)
     c = F.col(code)
-    hits = []
+    # one safe-pattern flag per CWE, evaluated once per unit and shared by its rules
+    safe_sets = {}
     for cwe, name, sev, idx, p, msg, safe in rules:
-        has_safe = F.lit(False)
+        safe_sets.setdefault(cwe, tuple(safe))
+    flag_cols = {}
+    for k, (cwe, safe) in enumerate(safe_sets.items()):
+        flag = F.lit(False)
         for sp in safe:
-            has_safe = has_safe | c.rlike(flags + sp)
+            flag = flag | c.rlike(flags + sp)
+        flag_cols[cwe] = f"_safe{k}"
+        units = units.withColumn(f"_safe{k}", flag)
+    hits = []
+    for cwe, name, sev, idx, p, msg, safe in rules:
+        has_safe = F.col(flag_cols[cwe])
         conf = SEVERITY_CONFIDENCE[sev]
         hits.append(F.struct(
             F.lit(cwe).alias("cwe_id"), F.lit(name).alias("cwe_name"), F.lit(f"{cwe}#{idx}").alias("pattern_id"),
