@@ -75,7 +75,9 @@ def normalize_diversevul(raw: DataFrame, ordinal: str = "ordinal") -> DataFrame:
         raw.select(F.col(ordinal), code.alias("code"), "target", "cwe", "message")
         .filter(F.col("code") != "")
     )
-    kept = global_rank(kept, [ordinal], out_col="_acc")
+    # rank a narrow projection (the persisted scan stays small), then join the ids back
+    ids = global_rank(kept.select(ordinal), [ordinal], out_col="_acc")
+    kept = kept.join(ids, ordinal)
     return kept.select(
         F.concat(F.lit("diversevul_"), (F.col("_acc") - 1).cast("string")).alias("id"),
         F.lit("diversevul").alias("dataset"), F.lit("c").alias("language"), "code",
