@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "corpus_label_mix", "dedup_first", "undersample", "stratified_split", "funnel_stats",
+    "corpus_label_mix", "dedup_first", "undersample", "stratified_split", "funnel_stats", "prepare_corpus",
     "scan_rules", "detect_rules", "lexical_features",
     "map_findings", "merge_findings", "static_results",
     "threshold_sweep", "weight_grid", "gate_grid", "metrics_by_category", "roc_auc",

@@ -566,3 +566,33 @@ def token_counts(spark, d):
     """U1 default tokenizer (regex tokens, JVM side)."""
     t = C.tokenize(V.v_corpus(spark, d))
     return t.select("id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
+
+
+# -------------------------------------------------------------- end-to-end preparation (entry 2)
+@register("prepare_corpus", DEDUP_SQL + f"""
+, l AS (SELECT id, label_binary, sha256('42:' || id) AS h FROM dd WHERE language IN ('en', 'fr') AND label_binary IS NOT NULL),
+us AS (SELECT id, label_binary FROM l WHERE label_binary = 1
+       UNION ALL
+       SELECT id, label_binary FROM (SELECT *, row_number() OVER (ORDER BY h, id) AS rk FROM l WHERE label_binary = 0) z
+       WHERE rk <= 3 * (SELECT count(*) FROM l WHERE label_binary = 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_binary ORDER BY sha256('42:' || id), id) AS rk,
+             count(*) OVER (PARTITION BY label_binary) AS n FROM us),
+sp AS (SELECT id, label_binary, CASE WHEN rk <= floor(n * 0.8) THEN 'train'
+                  WHEN rk <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r),
+tk AS (SELECT sp.*, len(regexp_extract_all(trim(regexp_replace({COMMENT_SQL.format(c='v.code')}, '\\s+', ' ', 'g')),
+                                           '\\w+|[^\\w\\s]', 0)) AS n_tokens
+       FROM sp JOIN v_corpus v USING (id))
+SELECT id, label_binary, split, n_tokens,
+       CASE WHEN n_tokens <= 510 THEN 1 ELSE 1 + CAST(ceil((n_tokens - 510) / 256) AS INTEGER) END AS n_chunks FROM tk""")
+def prepare_corpus(spark, d):
+    """Load -> drop empty -> hash -> first-wins dedup -> language filter -> undersample 3:1 ->
+    clean -> token windows -> stratified 80/10/10 split, as one plan."""
+    c = V.v_corpus(spark, d)
+    dd = C.keep_languages(_deduped(spark, d), KEEP_LANGS).filter(F.col("label_binary").isNotNull())
+    bal = C.undersample(dd.select("id", "label_binary"), ratio=3)
+    sp = C.stratified_split(bal, ["label_binary"])
+    code = C.clean_code(c.select("id", "code"))
+    tok = C.tokenize(sp.join(code, "id"), "code", out="tokens")
+    n = F.size("tokens")
+    return tok.select("id", "label_binary", "split", n.alias("n_tokens"),
+                      F.when(n <= 510, 1).otherwise(1 + F.ceil((n - 510) / F.lit(256)).cast("int")).alias("n_chunks"))
