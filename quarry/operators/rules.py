@@ -142,14 +142,30 @@ SAFE_FUNCS = ["strncpy", "strncat", "snprintf", "fgets", "strlcpy", "memcpy_s"]
 BRANCH_KW = ["if", "else if", "for", "while", "case", "catch", "&&", "\\|\\|", "\\?"]
 
 
-_ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_NOT_WORD_BEFORE = r"(?<![A-Za-z0-9_])"
+_NOT_WORD_AFTER = r"(?![A-Za-z0-9_])"
 
 
 def ascii_b(pattern: str) -> str:
     """Rewrite \\b as an ASCII word boundary (Java 17's \\b also treats non-ASCII
     letters as word characters, unlike its ASCII \\w); feature counts then mean
-    the same on any text."""
-    return pattern.replace("\\b", _ASCII_B)
+    the same on any text.  In the feature patterns every \\b touches a word
+    character, so a leading one is 'no word char before' and any other one
+    'no word char after' (cheaper than a general boundary test)."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern.startswith("\\\\", i):
+            out.append("\\\\")
+            i += 2
+            continue
+        if pattern.startswith("\\b", i):
+            prev = pattern[i - 1] if i else ""
+            out.append(_NOT_WORD_BEFORE if prev in ("", "|", "(") or pattern.endswith("(?:", 0, i) else _NOT_WORD_AFTER)
+            i += 2
+            continue
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
 
 
 def _count(code: Column, pattern: str) -> Column:
