@@ -78,20 +78,22 @@ def scan_rules(units: DataFrame, rules: Sequence[tuple] | None = None, code: str
     for cwe, name, sev, idx, p, msg, safe in rules:
         has_safe = F.col(flag_cols[cwe])
         conf = SEVERITY_CONFIDENCE[sev]
+        offs = match_lines(c, flags + p)
         hits.append(F.struct(
             F.lit(cwe).alias("cwe_id"), F.lit(name).alias("cwe_name"), F.lit(f"{cwe}#{idx}").alias("pattern_id"),
             F.when(has_safe, F.lit("LOW")).otherwise(F.lit(sev)).alias("severity"),
             F.when(has_safe, F.lit(round(conf * 0.6, 2))).otherwise(F.lit(conf)).alias("confidence"),
-            F.lit(msg).alias("message"), match_lines(c, flags + p).alias("offs")))
-    per = units.select("uid", "file_path", "start_line", code, F.inline(F.array(*hits)))
-    per = per.filter(F.size("offs") > 0)
+            F.lit(msg).alias("message"), offs.alias("offs")))
+    # keep only matching rules before generating rows, so the unit text is
+    # carried only for units that have a match
+    matched = F.filter(F.array(*hits), lambda h: F.size(h["offs"]) > 0)
+    per = units.select("uid", "file_path", "start_line", F.col(code).alias("_code"), F.inline(matched))
     ex = per.select("*", F.explode("offs").alias("off")).drop("offs")
-    lines = F.split(F.col(code), "\n", -1)
     return ex.select(
         "uid", "file_path", F.lit(tool).alias("tool"), F.concat(F.lit("regex:"), F.col("cwe_id")).alias("rule_id"),
         "pattern_id", "cwe_id", "cwe_name", "severity", "confidence", "message",
         (F.col("start_line") + F.col("off")).alias("line"),
-        F.regexp_replace(F.get(lines, F.col("off")), r"^\s+|\s+$", "").alias("highlighted_code"))
+        F.regexp_replace(F.get(F.split("_code", "\n", -1), F.col("off")), r"^\s+|\s+$", "").alias("highlighted_code"))
 
 
 def detect_rules(units: DataFrame, code: str = "code", flags: str = "(?id)") -> DataFrame:
