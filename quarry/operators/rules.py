@@ -257,7 +257,8 @@ def cognitive_complexity(units: DataFrame, code: str = "code") -> DataFrame:
 
 
 # ------------------------------------------------------------------ U2 unit segmentation
-def segment_units(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def segment_units(files: DataFrame, path: str = "path", content: str = "content",
+                  max_bytes: int | None = None) -> DataFrame:
     """Source text -> top-level brace units with start/end lines and names.
 
     Lines are exploded with their number; string/char literals and comments
@@ -268,7 +269,10 @@ def segment_units(files: DataFrame, path: str = "path", content: str = "content"
     text is assembled from its lines (files are capped at 1 MB upstream, so a
     unit's line list is bounded)."""
     from .helpers import ordered_scan
+    from ..sources.fixed import MAX_FILE_SIZE
 
+    # the ingestion size cap (files over 1 MB are skipped) bounds every unit's line list
+    files = files.filter(F.octet_length(F.col(content)) <= (max_bytes or MAX_FILE_SIZE))
     lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(content), "\n", -1)).alias("ln0", "text"),
                          ).withColumn("line", F.col("ln0") + 1)
     # blank literals and same-line comments before counting braces
