@@ -435,20 +435,18 @@ SELECT (SELECT count(*) FROM cc) AS n_loaded,
        (SELECT count_if(label_binary = 1) + least(count_if(label_binary = 0), 3 * count_if(label_binary = 1))
         FROM dd WHERE language IN ('en', 'fr')) AS n_after_undersample""")
 def funnel_stats(spark, d):
-    """Rows after each preparation step, one aggregate over per-row step flags."""
-    c = C.content_hash(V.v_corpus(spark, d)).select(
-        "hash", "ordinal", "language", "label_binary", (F.length(F.trim("code")) > 0).alias("_ne"))
-    first = c.filter("_ne").groupBy("hash").agg(F.min("ordinal").alias("_first"))
-    flagged = c.join(first, "hash", "left").withColumn(
-        "_kept", F.col("_ne") & (F.col("ordinal") == F.col("_first")))
-    lang = F.col("_kept") & F.col("language").isin(*KEEP_LANGS)
-    agg = flagged.agg(
-        F.count(F.lit(1)).alias("n_loaded"), F.count_if("_kept").alias("n_after_dedup"),
-        F.count_if(lang).alias("n_after_language"),
+    """Rows after each preparation step.  Counts come from the first-wins
+    dedup aggregate (partial min_by per hash), so a hash shared by a third of
+    the rows is reduced map-side instead of being joined back row by row."""
+    n_loaded = V.v_corpus(spark, d).select(F.count(F.lit(1))).scalar()
+    dd = _deduped(spark, d)
+    lang = F.col("language").isin(*KEEP_LANGS)
+    agg = dd.agg(
+        F.count(F.lit(1)).alias("n_after_dedup"), F.count_if(lang).alias("n_after_language"),
         F.count_if(lang & (F.col("label_binary") == 1)).alias("n_vulnerable"),
         F.count_if(lang & (F.col("label_binary") == 0)).alias("n_safe"))
-    return agg.withColumn("n_after_undersample",
-                          F.col("n_vulnerable") + F.least(F.col("n_safe"), F.col("n_vulnerable") * 3))
+    return agg.select(n_loaded.alias("n_loaded"), "*").withColumn(
+        "n_after_undersample", F.col("n_vulnerable") + F.least(F.col("n_safe"), F.col("n_vulnerable") * 3))
 
 
 # -------------------------------------------------------------- tokens and windows
