@@ -117,15 +117,13 @@ def weight_grid(df: DataFrame, members: Sequence[str], threshold: float = 0.5, s
     label, flag) counts are reduced map-side before a tiny shuffle."""
     vecs = weight_vectors(step, len(members))
     arr = F.array(*[F.array(*[F.lit(w) for w in v]) for v in vecs])
-
-    def vote(w):
-        expr = None
-        for i, m in enumerate(members):
-            t = w[i] * F.col(m)
-            expr = t if expr is None else expr + t
-        return expr >= threshold
-
-    flags = df.select(F.col(label).alias("_y"), F.posexplode(F.transform(arr, vote)).alias("vid", "_f"))
+    # explode the (fixed) vectors first so the vote is a plain, code-generated projection
+    rows = df.select(F.col(label).alias("_y"), *members, F.posexplode(arr).alias("vid", "_w"))
+    vote = None
+    for i, m in enumerate(members):
+        t = F.get("_w", i) * F.col(m)
+        vote = t if vote is None else vote + t
+    flags = rows.select("_y", "vid", (vote >= threshold).alias("_f"))
     c = flags.groupBy("vid").agg(
         F.count_if(F.col("_f") & (F.col("_y") == 1)).alias("tp"), F.count_if(F.col("_f") & (F.col("_y") != 1)).alias("fp"),
         F.count_if(~F.col("_f") & (F.col("_y") == 1)).alias("fn"), F.count_if(~F.col("_f") & (F.col("_y") != 1)).alias("tn"))
