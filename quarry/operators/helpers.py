@@ -208,11 +208,26 @@ def bucketed_range_join(
 
 
 def grid_bucket(score: Column, grid: Sequence[float], inclusive: bool = True) -> Column:
-    """Number of grid thresholds passed by ``score`` (>= if inclusive else >)."""
-    arr = F.array(*[F.lit(float(t)) for t in grid])
-    if inclusive:
-        return F.size(F.filter(arr, lambda t: t <= score))
-    return F.size(F.filter(arr, lambda t: t < score))
+    """Number of grid thresholds passed by ``score`` (>= if inclusive else >).
+
+    The grid is a sorted literal, so the count is a binary search written as a
+    nested CASE of depth log2(len(grid)): plain code-generated comparisons,
+    no per-row array or lambda."""
+    g = [float(t) for t in grid]
+    if any(b < a for a, b in zip(g, g[1:])):
+        raise ValueError("grid must be ascending")
+
+    def passes(t: float) -> Column:
+        return score >= F.lit(t) if inclusive else score > F.lit(t)
+
+    def search(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(passes(g[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(g))
 
 
 def bucket_sweep(
