@@ -91,7 +91,9 @@ def test_corpus_jsonl_keeps_nulls(spark, tmp_path):
                                "id string, dataset string, language string, code string, label_binary int, "
                                "label_cwe string, label_cve string")
     FS.write_corpus_jsonl(df, str(tmp_path / "c"))
-    line = next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part-")).read_text().strip()
-    assert set(json.loads(line)) == {"id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"}
+    lines = [ln for p in (tmp_path / "c").iterdir() if p.name.startswith("part-")
+             for ln in p.read_text().splitlines() if ln.strip()]
+    assert len(lines) == 1
+    assert set(json.loads(lines[0])) == {"id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"}
     back = FS.read_corpus(spark, str(tmp_path / "c")).collect()[0]
     assert back.label_cwe is None and back._corrupt_record is None
