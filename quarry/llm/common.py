@@ -65,6 +65,11 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = S
             at = to
 
 
+def hash_share(rate: float, id_col: str = "doc_id", seed: int = 1) -> Column:
+    """True for about ``rate`` of the ids, the same ones on every run."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 32)) < F.lit(int(rate * (1 << 32)))
+
+
 def map_text(df: DataFrame, columns: list, schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``mapInArrow`` over the named columns (the text second), a bounded slice at a time.
     ``fn`` returns the output columns by name."""

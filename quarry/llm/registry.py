@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, mixing, repetition, token_counts
+from quarry.llm import chat, decontaminate, language_cnn, mixing, pii_crf, repetition, token_counts, warc_zip
 
 
 def queries() -> dict:
-    fns = [repetition.op1_suffix_repetition, chat.op6_content_parts, token_counts.op8_pretoken_counts, mixing.op9_poisson_mixing]
+    fns = [
+        repetition.op1_suffix_repetition,
+        pii_crf.op2_crf_spans,
+        language_cnn.op3_byte_cnn,
+        warc_zip.op4_zip_archives,
+        chat.op6_content_parts,
+        token_counts.op8_pretoken_counts,
+        mixing.op9_poisson_mixing,
+        decontaminate.op10_latent_retrieval,
+    ]
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_content_parts": chat.OP6_SQL, "op9_poisson_mixing": mixing.OP9_SQL}
+    return {"op4_zip_archives": warc_zip.OP4_SQL, "op6_content_parts": chat.OP6_SQL, "op9_poisson_mixing": mixing.OP9_SQL}
