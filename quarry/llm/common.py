@@ -70,13 +70,13 @@ def hash_share(rate: float, id_col: str = "doc_id", seed: int = 1) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 32)) < F.lit(int(rate * (1 << 32)))
 
 
-def map_text(df: DataFrame, columns: list, schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def map_text(df: DataFrame, columns: list, schema: str, fn: Callable[[pa.RecordBatch], dict], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over the named columns (the text second), a bounded slice at a time.
     ``fn`` returns the output columns by name."""
     names = [f.split()[0] for f in _split_schema(schema)]
 
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, 1, limit):
             out = fn(part)
             yield pa.RecordBatch.from_arrays([_array(out[c]) for c in names], names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate, language_cnn, mixing, pii_crf, repetition, token_counts, warc_zip
+from quarry.llm import chat, decontaminate, language_cnn, mixing, ngram_lm, pii_crf, repetition, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         language_cnn.op3_byte_cnn,
         warc_zip.op4_zip_archives,
         chat.op6_content_parts,
+        ngram_lm.op7_elias_fano_lm,
         token_counts.op8_pretoken_counts,
         mixing.op9_poisson_mixing,
         decontaminate.op10_latent_retrieval,
