@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate, language_cnn, mixing, ngram_lm, pii_crf, repetition, token_counts, warc_zip
+from quarry.llm import chat, decontaminate, jaccard_join, language_cnn, mixing, ngram_lm, pii_crf, repetition, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         pii_crf.op2_crf_spans,
         language_cnn.op3_byte_cnn,
         warc_zip.op4_zip_archives,
+        jaccard_join.op5_count_rtree_join,
         chat.op6_content_parts,
         ngram_lm.op7_elias_fano_lm,
         token_counts.op8_pretoken_counts,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_zip_archives": warc_zip.OP4_SQL, "op6_content_parts": chat.OP6_SQL, "op9_poisson_mixing": mixing.OP9_SQL}
+    return {"op4_zip_archives": warc_zip.OP4_SQL, "op5_count_rtree_join": jaccard_join.OP5_SQL, "op6_content_parts": chat.OP6_SQL, "op9_poisson_mixing": mixing.OP9_SQL}
