@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -83,6 +84,25 @@ def map_text(df: DataFrame, columns: list, schema: str, fn: Callable[[pa.RecordB
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def text_column(fn: Callable[[list[str]], list], kind: str, text: Column) -> Column:
+    """``fn`` over the texts of a column (null: empty), a bounded slice at a time."""
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        texts = s.fillna("").tolist()
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE_BYTES):
+                size += len(texts[to])
+                to += 1
+            out += fn(texts[at:to])
+            at = to
+        return pd.Series(out, index=s.index, dtype=object)
+
+    return run(text.cast("string"))
+
+
 def _split_schema(schema: str) -> list[str]:
     out, depth, cur = [], 0, ""
     for ch in schema:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, map_text, table, text_slices
+from quarry.llm.common import as_bytes, map_text, table, text_column, text_slices
 
 #: Passages of one block (its words and vectors go to every task), and latent dimensions.
 BLOCK_ITEMS, RANK = 1000, 128
@@ -225,35 +225,50 @@ class Matcher:
         return found
 
 
+def finder(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs_share: float = LCS_SHARE):
+    """A function from texts (UTF-8) to the item_ids found in each and the best share, fitted
+    on all rows of ``docs`` and ``benchmark``; for use inside tasks."""
+    models = [docs.sparkSession.sparkContext.broadcast(fit(docs, p)) for p in load_blocks(benchmark)]
+    made: list[Matcher] = []
+
+    def find(raw: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
+        if not made:
+            made.extend(Matcher(m.value, cosine, lcs_share) for m in models)
+        texts = [tokens(t) for t in raw]
+        items: list[set[int]] = [set() for _ in texts]
+        best = np.zeros(len(texts))
+        for m in made:
+            for i, hits in enumerate(m.find(texts)):
+                items[i].update(m.p.ids[item] for item in hits)
+                best[i] = max([best[i], *hits.values()])
+        return [sorted(x) for x in items], best
+
+    return find
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs_share: float = LCS_SHARE) -> DataFrame:
     """doc_id, contaminated, kept, n_items, items (item_ids, ascending), best_share: a row for
     each row of ``docs``.
 
     A null text holds nothing.  Passages without text, without item_id or under five words
     are left out.  Repeated passages are each found.  An empty benchmark flags nothing."""
-    models = []
-    for p in load_blocks(benchmark):
-        models.append(docs.sparkSession.sparkContext.broadcast(fit(docs, p)))
-    made: list[Matcher] = []
+    find = finder(docs, benchmark, cosine, lcs_share)
 
     def block(part: pa.RecordBatch) -> dict:
-        if not made:
-            made.extend(Matcher(m.value, cosine, lcs_share) for m in models)
-        texts = [tokens(t) for t in as_bytes(part.column(1))]
-        items: list[list[int]] = [[] for _ in texts]
-        best = np.zeros(len(texts))
-        for m in made:
-            for i, hits in enumerate(m.find(texts)):
-                for item, share in hits.items():
-                    items[i].append(m.p.ids[item])
-                    best[i] = max(best[i], share)
-        items = [sorted(set(x)) for x in items]
+        items, best = find(as_bytes(part.column(1)))
         n = np.fromiter(map(len, items), np.int64, len(items))
         return {"doc_id": part.column(0), "contaminated": n > 0, "kept": n == 0, "n_items": n, "items": pa.array(items, pa.list_(pa.int64())), "best_share": best}
 
     return map_text(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], "doc_id long, contaminated boolean, kept boolean, n_items long, items array<long>, best_share double", block)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs`` in which no benchmark passage is found, all columns."""
+    find = finder(docs, benchmark)
+    clean = lambda texts: [not x for x in find([t.encode() for t in texts])[0]]
+    return docs.filter(text_column(clean, "boolean", F.col("text")))
+
+
 def op10_latent_retrieval(spark, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -466,14 +466,24 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group, that of the smallest doc_id; all columns.
+    Repeated rows are a group; texts without words and rows without doc_id stay."""
+    kept = shingle_components(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    # the join deals rows out by __id, so the copies of a row are in one place already
+    one = named.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"])
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op5_count_rtree_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w),
 n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
 e AS (SELECT doc_id, unnest(s) AS x FROM s),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod5, map_text, table
+from quarry.llm.common import crc_mod5, map_text, table, text_column
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -151,6 +151,23 @@ def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> ByteCnn | None:
     return train_cnn(x, y, langs) if len(x) else None
 
 
+def identify(model: ByteCnn | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and windows of each text; ``und`` and 0 without a letter or a model."""
+    has = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+    lang, score, count = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    if model is not None and has.any():
+        rows = np.flatnonzero(has)
+        x, of, n = windows([texts[i] for i in rows])
+        p = model.probabilities(x) * n[:, None]
+        total = np.add.reduceat(p, np.searchsorted(of, np.arange(len(rows))), axis=0)
+        total /= total.sum(1, keepdims=True)
+        best = total.argmax(1)
+        lang[rows] = np.array(model.langs, object)[best]
+        score[rows] = np.clip(total[np.arange(len(rows)), best], 0, 1)
+        count[rows] = np.bincount(of, minlength=len(rows))
+    return lang, score, count
+
+
 def predict_languages(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_windows: a row for each row of ``docs``.
 
@@ -158,24 +175,29 @@ def predict_languages(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     doc_id and text are read; doc_id decides held_out alone (null id: held out)."""
 
     def block(part: pa.RecordBatch) -> dict:
-        texts = part.column(1).fill_null("").to_pylist()
-        has = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
-        lang, score, count = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        if model is not None and has.any():
-            rows = np.flatnonzero(has)
-            x, of, n = windows([texts[i] for i in rows])
-            p = model.probabilities(x) * n[:, None]
-            total = np.add.reduceat(p, np.searchsorted(of, np.arange(len(rows))), axis=0)
-            total /= total.sum(1, keepdims=True)
-            best = total.argmax(1)
-            lang[rows] = np.array(model.langs, object)[best]
-            score[rows] = np.clip(total[np.arange(len(rows)), best], 0, 1)
-            count[rows] = np.bincount(of, minlength=len(rows))
+        lang, score, count = identify(model, part.column(1).fill_null("").to_pylist())
         return {"doc_id": part.column(0), "held_out": part.column(2), "lang_pred": pa.array(lang.tolist(), pa.string()), "score": score, "n_windows": count}
 
     return map_text(docs, [F.col("doc_id").cast("long"), "text", (crc_mod5() == 0).alias("held_out")], "doc_id long, held_out boolean, lang_pred string, score double, n_windows long", block)
 
 
+#: A text whose best language has less than this is in none of the languages learned.
+MIN_SCORE = 0.4
+
+
+def keep_languages(docs: DataFrame, model: ByteCnn | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """Rows of ``docs`` with a language: not ``und``, and ``min_score`` at least.  Without a
+    model (no labelled row) nothing can be told apart, so every row stays."""
+    if model is None:
+        return docs
+
+    def has_language(texts: list[str]) -> list[bool]:
+        lang, score, _ = identify(model, texts)
+        return ((lang != "und") & (score >= min_score)).tolist()
+
+    return docs.filter(text_column(has_language, "boolean", F.col("text")))
+
+
 def op3_byte_cnn(spark, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_share, map_text, table
+from quarry.llm.common import hash_share, map_text, table, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -375,21 +374,9 @@ def redact_documents(docs: DataFrame, model: Crf, text: str = "text", n_chars: s
     """``docs`` with its personal data masked in ``text``, and ``n_chars`` (if there is such a
     column) counted anew for masked rows.  Every row and column stays; null text stays null."""
 
-    @F.pandas_udf("string")
-    def mask(s: pd.Series) -> pd.Series:
-        texts = s.fillna("").tolist()
-        out, at = [], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 4 << 20):
-                size += len(texts[to])
-                to += 1
-            out += [redact(t, spans) for t, (_, spans) in zip(texts[at:to], find_spans(model, texts[at:to]))]
-            at = to
-        return s.where(s.isna(), out)
-
+    mask = lambda texts: [redact(t, spans) for t, (_, spans) in zip(texts, find_spans(model, texts))]
     columns = docs.columns
-    masked = docs.withColumn("__masked", mask(F.col(text).cast("string")))
+    masked = docs.withColumn("__masked", F.when(F.col(text).isNotNull(), text_column(mask, "string", F.col(text))))
     if n_chars in columns:
         changed = ~F.col("__masked").eqNullSafe(F.col(text))
         masked = masked.withColumn(n_chars, F.when(changed, F.length("__masked")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
