@@ -153,7 +153,7 @@ def read_file(uri: str) -> np.ndarray:
     """Bytes of a shared file: memory-mapped where the folder is mounted, else read."""
     fs, path = open_fs(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=np.uint8, mode="r")
+        return np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
     with fs.open_input_file(path) as f:
         return np.frombuffer(f.read(), dtype=np.uint8)
 

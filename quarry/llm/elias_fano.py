@@ -79,8 +79,10 @@ class EliasFano:
         x = np.where(over, x | (self.low[word + 1] << ((U(64) - shift) & U(63))), x)
         return x & U((1 << self.bits) - 1)
 
-    def _one(self, at: np.ndarray) -> np.ndarray:
-        return (self.high[at >> 6] >> (at & 63).astype(U)) & U(1) != 0
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the high bits (k from 0)."""
+        w = np.searchsorted(self.zeros, k.astype(np.uint32), side="right") - 1
+        return w * 64 + _select(~self.high[w], k - self.zeros[w])
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers."""
@@ -94,19 +96,19 @@ class EliasFano:
         ``v`` is below the universe."""
         v = v.astype(U)
         h, low = (v >> U(self.bits)).astype(np.int64), v & U((1 << self.bits) - 1)
-        k = np.maximum(h - 1, 0).astype(np.uint32)  # the zero that ends the bucket before
-        w = np.searchsorted(self.zeros, k, side="right") - 1
-        at = np.where(h > 0, w * 64 + _select(~self.high[w], k.astype(np.int64) - self.zeros[w]) + 1, 0)
-        i = at - h
-        left = np.flatnonzero(self._one(at))
-        equal = np.zeros(len(v), bool)
-        while len(left):
-            x = self._low(i[left])
-            equal[left] = x == low[left]
-            left = left[x < low[left]]
-            i[left] += 1
-            at[left] += 1
-            left = left[self._one(at[left])]
+        # numbers i to end share the high bits; they lie between two zeros
+        i = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1 - h, 0)
+        end = last = self._zero(h) - h
+        left = np.flatnonzero(i < end)
+        end = end.copy()
+        while len(left):  # halve what is left of each bucket
+            mid = (i[left] + end[left]) >> 1
+            less = self._low(mid) < low[left]
+            i[left[less]] = mid[less] + 1
+            end[left[~less]] = mid[~less]
+            left = left[i[left] < end[left]]
+        equal = i < last
+        equal[equal] = self._low(i[equal]) == low[equal]
         return i, equal
 
 
