@@ -34,7 +34,7 @@ K = 5
 #: Points of a leaf and children of a node; points of a block's first tree, and of a tree of its rest.
 FANOUT, FIRST, REST = 16, 32, 1024
 #: The sample for the shingle order, and the frequent shingles kept of it.
-SAMPLE_ROWS, FREQUENT = 20_000, 100_000
+SAMPLE_ROWS, FREQUENT = 10_000, 100_000
 #: Documents whose sets a verifying group holds beside their partners.
 GROUP = 256
 #: Bits of the filter that keeps texts without a surviving pair at home (8 MB).
@@ -70,8 +70,8 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    """Group counts in bytes: about two shingles a group; more groups if a byte overflows."""
-    groups = max(16, 1 << (len(s) // 2).bit_length())
+    """Group counts in bytes: four to eight shingles a group; more groups if a byte overflows."""
+    groups = max(16, 1 << max(0, (len(s) // 4).bit_length() - 1))
     h = mix(s ^ np.uint64(0x5851F42D4C957F2D))
     while True:
         v = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
@@ -129,36 +129,36 @@ def document_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def blocks(reps: DataFrame) -> DataFrame:
-    """(key, doc) of every prefix shingle that two representatives or more hold."""
+    """(key, doc) of every prefix shingle, for representatives that share it with another
+    one whose size can link (the next smaller or larger set in the block)."""
 
     def explode(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 keys = part.column(1).to_pylist()
-                n = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), n))], ["key", "doc"])
+                times = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
+                doc, n = (np.repeat(part.column(i).to_numpy(), times) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(doc), pa.array(n)], ["key", "doc", "n"])
 
     def shared_only(batches):
-        last_key, last_doc, told = None, None, True
+        held = [np.zeros(0, np.int64)] * 3  # the last row so far, if it isn't told yet
+        before = None  # key and size of the last row
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last_key is not None and not told:  # the row held back from the batch before
-                key, doc = np.append(last_key, key), np.append(last_doc, doc)
-                before = False
-            else:
-                before = last_key is not None and key[0] == last_key
-            same = key[1:] == key[:-1]
-            keep = np.concatenate([[before], same])
-            keep[:-1] |= same
-            told = bool(keep[-1])
-            last_key, last_doc = key[-1], doc[-1]
+            key, doc, n = (np.append(h, batch.column(i).to_numpy()) for i, h in enumerate(held))
+            near = (key[1:] == key[:-1]) & (10 * n[:-1] >= 8 * n[1:])
+            keep = np.append(near, False)
+            keep[1:] |= near
+            if not len(held[0]) and before is not None:
+                keep[0] |= key[0] == before[0] and 10 * before[1] >= 8 * n[0]
+            before = (key[-1], n[-1])
+            held = [x[-1:] if not keep[-1] else x[:0] for x in (key, doc, n)]
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep])], ["key", "doc"])
 
-    rows = reps.select("doc_id", "keys").mapInArrow(explode, "key long, doc long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared_only, "key long, doc long")
+    rows = reps.select("doc_id", "keys", "n").mapInArrow(explode, "key long, doc long, n long")
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(shared_only, "key long, doc long")
 
 
 # --- R-tree -------------------------------------------------------------------------------
@@ -449,9 +449,9 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     sets = settle(document_sets(docs, frequent_shingles(docs)), "join-sets")
     usable = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = settle(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "join-classes")
-    reps = usable.join(classes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig", "doc_id"])
-    reps = settle(reps.select("doc_id", "n", "keys", "vec"), "join-reps")
-    points = reps.select(F.col("doc_id").alias("doc"), "n", "vec")
+    # of rows alike in doc_id one will do: their blocks and points are the same
+    reps = usable.select("sig", "doc_id", "n", "keys").join(classes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig", "doc_id"])
+    points = usable.select(F.col("doc_id").alias("doc"), "n", "vec")
     found = settle(search_blocks(blocks(reps).join(points, "doc")), "join-found")
     links = verify(found.filter("key IS NULL").select("a", "b").distinct(), docs)
     labels = connected_components(links)
