@@ -11,18 +11,29 @@ COMMENT_RE = r"""("[^"]*(?:"|\z)|'[^']*(?:'|\z))|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
 CVE_RE = r"CVE-\d{4}-\d{4,5}"
 
 
+# FIXED VALUES — what Python's str.isspace, str.strip and \\s count as white space, as
+# class members for Java and for RE2
+WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_RE2 = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def ws_normalize(c) -> Column:
     """Collapse whitespace runs to one space and trim."""
-    return F.trim(F.regexp_replace(_c(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(_c(c), f"[{WS}]+", " "))
 
 
 def strip_ws(c) -> Column:
     """Python-style strip(): remove leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), rf"\A[{WS}]+|[{WS}]+\z", "")
+
+
+def is_blank(c) -> Column:
+    """Nothing but white space."""
+    return _c(c).rlike(rf"\A[{WS}]*\z")
 
 
 def content_hash(c) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from .helpers import global_rank, spread
+from ..sources.fixed import INGEST_EXTENSIONS, MAX_FILE_SIZE, SKIP_DIRS, TEST_CATEGORIES, TRAIN_CATEGORIES, VAL_CATEGORIES
+from .helpers import global_rank, hash_parts, join_null_safe
 
 CORPUS_COLS = ["id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"]
 VALID_LANGUAGES = ["c", "cpp"]
@@ -102,14 +103,43 @@ def normalize_megavul(raw: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     )
 
 
-def normalize_labelled(raw: DataFrame, max_chars: int = 100_000) -> DataFrame:
-    """Labelled-file sample -> {func, target, project, commit_id, file_path}."""
-    return (
-        raw.select(F.col("content").alias("func"), F.col("label").cast("int").alias("target"),
-                   F.col("project"), F.col("commit_id"), F.col("path").alias("file_path"))
-        .filter(F.length(F.trim("func")) > 0)
-        .filter(F.length("func") <= max_chars)
-    )
+def labelled_reason(max_chars: int = 100_000) -> Column:
+    """Why a labelled file is left out (null: it is kept)."""
+    return (F.when(F.col("category").isNull(), F.lit("no_category")).when(F.col("label").isNull(), F.lit("no_label"))
+            .when(F.col("content").isNull() | TX.is_blank("content"), F.lit("empty"))
+            .when(F.length("content") > max_chars, F.lit("too_long")))
+
+
+def normalize_labelled(raw: DataFrame, max_chars: int = 100_000, project: str = "suite") -> DataFrame:
+    """Labelled file (path, content, category, label) -> {func, target, project, commit_id,
+    file_path}: commit_id is the category, file_path the file's name."""
+    return raw.filter(labelled_reason(max_chars).isNull()).select(
+        F.col("content").alias("func"), F.col("label").cast("int").alias("target"), F.lit(project).alias("project"),
+        F.col("category").alias("commit_id"), TX.file_name("path").alias("file_path"))
+
+
+def skipped_labelled(raw: DataFrame, max_chars: int = 100_000) -> DataFrame:
+    """The files that ``normalize_labelled`` leaves out: path, reason."""
+    return raw.select("path", labelled_reason(max_chars).alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def reason_zenodo() -> Column:
+    lang = normalize_language("programming_language")
+    code = TX.strip_ws(F.coalesce(F.col("vul_code"), F.lit("")))
+    return (F.when(code == "", F.lit("skipped_empty_code"))
+            .when(~lang.isin(*VALID_LANGUAGES), F.concat(F.lit("skipped_language_"), lang)).otherwise(F.lit("success")))
+
+
+def reason_func(null_is_error: bool = True) -> Column:
+    """Datasets B, C and D: a null func fails (``error``), a blank one is skipped."""
+    null = F.lit("error") if null_is_error else F.lit("skipped_empty_code")
+    return (F.when(F.col("func").isNull(), null)
+            .when(TX.is_blank("func"), F.lit("skipped_empty_code")).otherwise(F.lit("success")))
+
+
+def skip_reasons(raw: DataFrame, reason: Column) -> DataFrame:
+    """Accepted and rejected records by reason, in one pass."""
+    return raw.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_corpora(*dfs: DataFrame) -> DataFrame:
@@ -140,28 +170,15 @@ def with_path_labels(df: DataFrame, path_col: str = "path") -> DataFrame:
             .withColumn("label", label))
 
 
-# FIXED VALUES — category -> split lists of the labelled test suite
-TRAIN_CATEGORIES = [
-    "CWE78", "CWE119", "CWE121", "CWE122", "CWE124", "CWE127",
-    "CWE134", "CWE176", "CWE242", "CWE252", "CWE253", "CWE259",
-    "CWE338", "CWE390", "CWE391", "CWE404", "CWE457", "CWE460",
-    "CWE467", "CWE468", "CWE469", "CWE478", "CWE483", "CWE484",
-    "CWE526", "CWE534", "CWE535", "CWE562", "CWE563", "CWE570",
-    "CWE571", "CWE606", "CWE685", "CWE688", "CWE689", "CWE690",
-]
-VAL_CATEGORIES = [
-    "CWE23", "CWE36", "CWE191", "CWE193", "CWE195", "CWE197",
-    "CWE197", "CWE321", "CWE325", "CWE327", "CWE328", "CWE329",
-    "CWE369", "CWE401", "CWE415", "CWE416", "CWE426", "CWE427",
-    "CWE464", "CWE475", "CWE476", "CWE480", "CWE481", "CWE482",
-]
-TEST_CATEGORIES = [
-    "CWE126", "CWE190", "CWE194", "CWE196", "CWE244", "CWE256",
-    "CWE257", "CWE258", "CWE319", "CWE364", "CWE366", "CWE367",
-    "CWE377", "CWE396", "CWE397", "CWE398", "CWE399", "CWE400",
-    "CWE459", "CWE462", "CWE463", "CWE479", "CWE497", "CWE605",
-    "CWE680", "CWE681", "CWE690", "CWE758", "CWE761", "CWE762",
-]
+def split_category_rows() -> list[tuple[str, str]]:
+    """(category, split) as listed: a category may be in two splits."""
+    lists = (("train", TRAIN_CATEGORIES), ("val", VAL_CATEGORIES), ("test", TEST_CATEGORIES))
+    return sorted({(c, split) for split, cats in lists for c in cats})
+
+
+def split_categories_common(a: DataFrame, b: DataFrame, category: str = "category") -> DataFrame:
+    """Categories that two splits share."""
+    return a.select(category).intersect(b.select(category))
 
 
 def split_map_rows() -> list[tuple[str, str]]:
@@ -188,17 +205,17 @@ def with_snippet(df: DataFrame, col: str = "code", n: int = 500, out: str = "sni
 
 
 def clean_code(df: DataFrame, col: str = "code", out: str | None = None) -> DataFrame:
-    return spread(df).withColumn(out or col, TX.clean_code(col))
+    return df.withColumn(out or col, TX.clean_code(col))
 
 
 def text_metrics(df: DataFrame, col: str = "code") -> DataFrame:
-    """total lines, non-empty lines, chars, average line length (chars / lines)."""
+    """total lines, non-blank lines, chars, average line length (line ends not counted)."""
     lines = F.split(F.col(col), "\n", -1)
     return (
-        spread(df).withColumn("total_lines", F.size(lines))
-        .withColumn("non_empty_lines", F.size(F.filter(lines, lambda l: F.trim(l) != "")))
+        df.withColumn("total_lines", F.size(lines))
+        .withColumn("non_empty_lines", F.size(F.filter(lines, lambda l: ~TX.is_blank(l))))
         .withColumn("n_chars", F.length(col))
-        .withColumn("avg_line_length", F.col("n_chars") / F.col("total_lines"))
+        .withColumn("avg_line_length", (F.col("n_chars") - F.col("total_lines") + 1) / F.col("total_lines"))
     )
 
 
@@ -208,7 +225,7 @@ def to_training_pairs(df: DataFrame, text="code", label="label_binary") -> DataF
 
 # ---------------------------------------------------------------- F1-F10 filters
 def drop_empty(df: DataFrame, col: str = "code") -> DataFrame:
-    return df.filter(F.length(F.trim(F.col(col))) > 0)
+    return df.filter(F.col(col).isNotNull() & ~TX.is_blank(col))
 
 
 def keep_languages(df: DataFrame, langs: Sequence[str], col: str = "language") -> DataFrame:
@@ -223,13 +240,40 @@ def exclude_datasets(df: DataFrame, names: Sequence[str], col: str = "dataset")
     return df.filter(~F.col(col).isin(*names))
 
 
+def source_file_reason(path: str = "rel_path", size: str = "size", max_size: int = MAX_FILE_SIZE) -> Column:
+    """Why a file of a source tree is left out: its folder (silently, as the tree is
+    walked), its extension (silently), or its size; null for an accepted file."""
+    segs = F.split(F.regexp_replace(F.col(path), r"^[a-z]+://[^/]*", ""), "/")
+    dirs = F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0)))
+    return (F.when(F.exists(dirs, lambda s: s.isin(*SKIP_DIRS)), F.lit("skip_dir"))
+            .when(F.exists(dirs, lambda s: s.startswith(".") & (F.length(s) > 1)), F.lit("hidden_dir"))
+            .when(~TX.extension(path).isin(*INGEST_EXTENSIONS.keys()), F.lit("extension"))
+            .when(F.col(size) > max_size, F.concat(F.lit("too large ("), F.format_number(size, 0), F.lit(" bytes)"))))
+
+
+SILENT_REASONS = ("skip_dir", "hidden_dir", "extension")
+
+
+def accepted_files(files: DataFrame, path: str = "rel_path") -> DataFrame:
+    """Files that the ingestion takes, with their language."""
+    ok = files.filter(source_file_reason(path).isNull())
+    return ok.withColumn("language", F.coalesce(TX.map_lookup(TX.extension(path), INGEST_EXTENSIONS), F.lit("c")))
+
+
+def skipped_files(files: DataFrame, path: str = "rel_path") -> DataFrame:
+    """Source files that it leaves out and reports: path, reason."""
+    reason = source_file_reason(path)
+    return files.select(F.col(path).alias("path"), reason.alias("reason")).filter(
+        F.col("reason").isNotNull() & ~F.col("reason").isin(*SILENT_REASONS))
+
+
 def function_length(df: DataFrame, col: str = "code", lo: int = 10, hi: int = 5000) -> DataFrame:
     return df.filter((F.length(col) > lo) & (F.length(col) < hi))
 
 
 # ---------------------------------------------------------------- D1-D4 dedup
 def content_hash(df: DataFrame, col: str = "code", out: str = "hash") -> DataFrame:
-    return spread(df).withColumn(out, TX.content_hash(col))
+    return df.withColumn(out, TX.content_hash(col))
 
 
 def dedup_first(df: DataFrame, key: str = "hash", ordinal: str = "ordinal") -> DataFrame:
@@ -253,7 +297,7 @@ def distribution(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """count and % per value of ``col`` (within ``by`` groups)."""
     by = list(by)
     g = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # over the few distinct values
     return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 6))
 
 
@@ -285,10 +329,13 @@ def sample_weights(df: DataFrame, label: str = "label_binary", damp: float | Non
 
 
 def group_rare(df: DataFrame, col: str, min_count: int = 5, other: str = "other_rare", out: str | None = None) -> DataFrame:
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    # one row per distinct category; categories are low-cardinality by design
-    j = df.join(counts, col, "left")
-    return j.withColumn(out or col, F.when(F.col("_c") < min_count, F.lit(other)).otherwise(F.col(col))).drop("_c")
+    """Categories with fewer than ``min_count`` rows become ``other``; null stays null.
+
+    Only the rare categories are looked up, so a frequent one meets no row on the
+    other side, and a rare one has fewer than ``min_count`` rows."""
+    rare = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") < min_count)
+    j = df.join(rare, col, "left")
+    return j.withColumn(out or col, F.when(F.col("_c").isNotNull(), F.lit(other)).otherwise(F.col(col))).drop("_c")
 
 
 # ---------------------------------------------------------------- W1-W11 order, sample, split, chunk
@@ -298,15 +345,12 @@ def seeded_hash(key, seed: int = 42) -> Column:
 
 
 def undersample(df: DataFrame, label: str = "label_binary", key: str = "id", ratio: int = 3, seed: int = 42) -> DataFrame:
-    """Keep every minority row; keep the first ratio x minority majority rows by seeded hash.
-
-    The cut is a global rank inside the majority class (distributed, no
-    single-partition window), compared with a scalar subquery count.
-    """
+    """Keep every minority row; keep the first ratio x minority majority rows by seeded
+    hash.  The cut comes from counts by hash prefix; only one prefix is ranked."""
     h = df.withColumn("_h", seeded_hash(key, seed))
     n_min = df.agg(F.count_if(F.col(label) == 1).alias("_m")).scalar()
-    maj = global_rank(h.filter(F.col(label) == 0), ["_h", key], out_col="_rk")
-    maj = maj.filter(F.col("_rk") <= n_min * ratio).drop("_rk")
+    maj = hash_parts(h.filter(F.col(label) == 0), [], "_h", key, lambda n: [n_min * ratio], "_part")
+    maj = maj.filter(F.col("_part") == 0).drop("_part")
     return h.filter(F.col(label) == 1).unionByName(maj).drop("_h")
 
 
@@ -320,16 +364,15 @@ def oversample(df: DataFrame, weight: str = "weight", key: str = "id", seed: int
 
 def stratified_split(df: DataFrame, strata: Sequence[str], key: str = "id", fracs=(0.8, 0.1, 0.1), seed: int = 42,
                      names=("train", "val", "test")) -> DataFrame:
-    """Exact per-stratum cut points on a seeded-hash rank (distributed rank)."""
-    strata = list(strata)
+    """Exact cut points per stratum (null is a stratum) on a seeded-hash rank."""
     h = df.withColumn("_h", seeded_hash(key, seed))
-    ranked = global_rank(h, ["_h", key], partition_cols=strata, out_col="_rk")
-    sizes = h.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(sizes, strata, "left")
-    c1 = F.floor(F.col("_n") * F.lit(fracs[0]))
-    c2 = c1 + F.floor(F.col("_n") * F.lit(fracs[1]))
-    split = F.when(F.col("_rk") <= c1, F.lit(names[0])).when(F.col("_rk") <= c2, F.lit(names[1])).otherwise(F.lit(names[2]))
-    return j.withColumn("split", split).drop("_h", "_rk", "_n")
+
+    def cuts(n):
+        first = F.floor(n * F.lit(fracs[0]))
+        return [first, first + F.floor(n * F.lit(fracs[1]))]
+
+    j = hash_parts(h, strata, "_h", key, cuts, "_part")
+    return j.withColumn("split", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_part") + 1)).drop("_h", "_part")
 
 
 def hash_bucket_split(df: DataFrame, key: str = "id", fracs=(0.8, 0.1, 0.1), seed: int = 42,
@@ -341,12 +384,15 @@ def hash_bucket_split(df: DataFrame, key: str = "id", fracs=(0.8, 0.1, 0.1), see
 
 
 def category_sample(df: DataFrame, category: str, key: str = "id", target: int = 100, seed: int = 42) -> DataFrame:
-    """Per category the first max(10, target // 20) rows by seeded hash, then the first ``target`` overall."""
+    """Per category the first max(10, target // 20) rows by seeded hash, then the first
+    ``target`` overall.  Keys are ranked alone (each task keeps the first few of a
+    category before the shuffle); the chosen rows join back."""
     per = max(10, target // 20)
-    h = df.withColumn("_h", seeded_hash(key, seed))
-    ranked = global_rank(h, ["_h", key], partition_cols=[category], out_col="_rk")
-    top = ranked.filter(F.col("_rk") <= per).drop("_rk")
-    return top.orderBy("_h", key).limit(target).drop("_h")
+    h = df.select(F.col(category).alias("_c"), F.col(key).alias("_k"), seeded_hash(key, seed).alias("_h"))
+    first = Window.partitionBy("_c").orderBy("_h", "_k")
+    top = h.withColumn("_rk", F.row_number().over(first)).filter(F.col("_rk") <= per)
+    top = top.orderBy("_h", "_k").limit(target)
+    return df.join(F.broadcast(top.select(F.col("_k").alias(key))), key, "left_semi")  # at most ``target`` keys
 
 
 def every_nth(df: DataFrame, ordinal: str = "ordinal", n: int = 10) -> DataFrame:
@@ -355,13 +401,24 @@ def every_nth(df: DataFrame, ordinal: str = "ordinal", n: int = 10) -> DataFrame
 
 def token_windows(df: DataFrame, tokens: str = "tokens", size: int = 510, stride: int = 256) -> DataFrame:
     """Overlapping windows; the last window ends at the end; 0 tokens -> one empty window."""
-    n = F.size(F.col(tokens))
-    n_starts = F.when(n <= size, F.lit(1)).otherwise(F.lit(1) + F.ceil((n - size) / F.lit(stride)).cast("int"))
+    n_starts = n_windows(F.size(F.col(tokens)), size, stride)
     starts = F.transform(F.sequence(F.lit(0), n_starts - 1), lambda i: i * stride)
     chunks = F.transform(starts, lambda s: F.slice(F.col(tokens), s + 1, F.lit(size)))
     return df.select("*", F.posexplode(chunks).alias("chunk_idx", "chunk"))
 
 
+def n_windows(n: Column, size: int = 510, stride: int = 256) -> Column:
+    """How many windows ``token_windows`` makes of n tokens."""
+    return F.when(n <= size, F.lit(1)).otherwise(F.lit(1) + F.ceil((n - size) / F.lit(stride)).cast("int"))
+
+
+def chunk_stats(df: DataFrame, tokens: str = "tokens", key: str = "id") -> DataFrame:
+    """Records with one window and with more, and all windows, counted on the windows."""
+    w = token_windows(df.select(key, tokens), tokens).groupBy(key).agg(F.count(F.lit(1)).alias("k"))
+    return w.agg(F.count_if(F.col("k") == 1).alias("single_chunk"), F.count_if(F.col("k") > 1).alias("multi_chunk"),
+                 F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("total_chunks"))
+
+
 def pad_truncate(df: DataFrame, ids: str = "chunk", length: int = 512, pad: int = 0) -> DataFrame:
     cut = F.slice(F.col(ids), 1, length)
     fill = length - F.size(cut)
@@ -387,7 +444,7 @@ def validate_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     code = F.get_json_object(v, "$.code")
     code_is_str = v.rlike(r'"code"\s*:\s*"')
     label_tok = F.regexp_extract(v, r'"label_binary"\s*:\s*("[^"]*"|[^,}\s]+)', 1)
-    label_ok = label_tok.isin("0", "1", "true", "false")
+    label_ok = label_tok.rlike(r"^(?:true|false|[01](?:\.0+)?)$")  # JSON 1.0 equals 1
     label_name = F.when(label_tok == "null", F.lit("None")).otherwise(F.regexp_replace(label_tok, r'^"|"$', ""))
     error = (F.when(keys.isNull(), F.lit("json_decode_error"))
              .when(missing.isNotNull(), missing)
@@ -397,7 +454,7 @@ def validate_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.select(
         "*", error.alias("error"),
         F.get_json_object(v, "$.dataset").alias("dataset"), lang.alias("language"),
-        F.when(label_tok.isin("1", "true"), 1).when(label_tok.isin("0", "false"), 0).alias("label"),
+        F.when(label_ok, label_tok.rlike("^[1t]").cast("int")).alias("label"),
         F.when(error.isNull() & ~F.coalesce(lang, F.lit("None")).isin(*VALID_LANGUAGES),
                F.concat(F.lit("unknown_language_"), F.coalesce(lang, F.lit("None")))).alias("warning"),
         F.get_json_object(v, "$.label_cwe").isNull().alias("cwe_empty"),
@@ -436,7 +493,6 @@ def corpus_verdict(validated: DataFrame, by: Sequence[str] = ("dataset",)) -> Da
 def tokenize(df: DataFrame, col: str = "code", fn=None, out: str = "tokens") -> DataFrame:
     """Default: regex tokens (JVM).  ``fn``: a vectorised pandas Series -> Series
     of lists (e.g. a sub-word tokenizer), run as an Arrow-batched pandas UDF."""
-    df = spread(df)
     if fn is None:
         return df.withColumn(out, TX.regex_tokens(col))
     udf = F.pandas_udf(fn, "array<string>")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .helpers import bucket_sweep, grid_bucket, ordered_scan
@@ -68,18 +68,18 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     over the distinct scores (range-partitioned scan, no global window)."""
     lv = score_levels(df, score, label)
     lv = ordered_scan(lv, [score], "neg", out_col="neg_below", inclusive=False)
-    agg = lv.agg(F.sum(F.col("pos") * (F.col("neg_below") * 2 + F.col("neg"))).alias("num2"),
+    wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  products of two counts leave 64 bits
+    agg = lv.agg(F.sum(wide("pos") * (wide("neg_below") * 2 + wide("neg"))).cast("double").alias("num2"),
                  F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    den = F.col("P") * F.col("N") * 2
-    return agg.select(F.when(den == 0, F.lit(0.0)).otherwise(F.col("num2").cast("double") / den.cast("double")).alias("roc_auc"),
+    den = F.col("P").cast("double") * F.col("N").cast("double") * 2
+    return agg.select(F.when(den == 0, F.lit(0.0)).otherwise(F.col("num2") / F.when(den == 0, 1.0).otherwise(den)).alias("roc_auc"),
                       F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
 
 
 def pr_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Average precision: sum over distinct scores (descending) of pos_s * precision_s / P."""
     lv = score_levels(df, score, label).withColumn("_ns", -F.col(score))
-    lv = ordered_scan(lv, ["_ns"], "pos", out_col="tp_cum")
-    lv = ordered_scan(lv, ["_ns"], "neg", out_col="fp_cum")
+    lv = ordered_scan(lv, ["_ns"], ["pos", "neg"], out_col=["tp_cum", "fp_cum"])
     term = F.col("pos") * (F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum")))
     agg = lv.agg(F.sum(term).alias("_s"), F.sum("pos").alias("_P"))
     return agg.select(F.when(F.col("_P") == 0, F.lit(0.0)).otherwise(F.round(F.col("_s") / F.col("_P"), 6)).alias("pr_auc"))
@@ -113,20 +113,22 @@ def weight_grid(df: DataFrame, members: Sequence[str], threshold: float = 0.5, s
                 label: str = "label") -> DataFrame:
     """F1 at ``threshold`` for every weight vector (>= step each, summing to 1).
 
-    Each row evaluates all vectors in one array expression; the (vector,
-    label, flag) counts are reduced map-side before a tiny shuffle."""
+    Rows are reduced to counts of distinct (label, scores) first, which is exact;
+    each of those meets the fixed vectors, and the (vector) sums are reduced
+    map-side before a tiny shuffle."""
     vecs = weight_vectors(step, len(members))
     arr = F.array(*[F.array(*[F.lit(w) for w in v]) for v in vecs])
     # explode the (fixed) vectors first so the vote is a plain, code-generated projection
-    rows = df.select(F.col(label).alias("_y"), *members, F.posexplode(arr).alias("vid", "_w"))
+    distinct = df.groupBy(F.col(label).alias("_y"), *members).agg(F.count(F.lit(1)).alias("_n"))
+    rows = distinct.select("_y", "_n", *members, F.posexplode(arr).alias("vid", "_w"))
     vote = None
     for i, m in enumerate(members):
         t = F.get("_w", i) * F.col(m)
         vote = t if vote is None else vote + t
-    flags = rows.select("_y", "vid", (vote >= threshold).alias("_f"))
-    c = flags.groupBy("vid").agg(
-        F.count_if(F.col("_f") & (F.col("_y") == 1)).alias("tp"), F.count_if(F.col("_f") & (F.col("_y") != 1)).alias("fp"),
-        F.count_if(~F.col("_f") & (F.col("_y") == 1)).alias("fn"), F.count_if(~F.col("_f") & (F.col("_y") != 1)).alias("tn"))
+    flags = rows.select("_n", (F.col("_y") == 1).alias("_p"), "vid", (vote >= threshold).alias("_f"))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).cast("long")
+    f, p = F.col("_f"), F.coalesce("_p", F.lit(False))
+    c = flags.groupBy("vid").agg(n(f & p).alias("tp"), n(f & ~p).alias("fp"), n(~f & p).alias("fn"), n(~f & ~p).alias("tn"))
     spark = df.sparkSession
     vdf = spark.createDataFrame([(i, *v) for i, v in enumerate(vecs)],
                                 "vid int, " + ", ".join(f"w{i + 1} double" for i in range(len(members))))
@@ -154,6 +156,47 @@ def gate_grid(df: DataFrame, s1: str, s2: str, g1: Sequence[float], g2: Sequence
     return with_metrics(out)
 
 
+def brier(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    e = F.col(score) - F.col(label)
+    return df.agg(F.round(F.avg(e * e), 6).alias("brier"))
+
+
+def class_metrics(df: DataFrame, pred: Column, label: str = "label") -> DataFrame:
+    """Precision and recall of both classes, from one confusion row."""
+    c = confusion(df, pred, label)
+    row = lambda k, hit, p, r: F.struct(F.lit(k).alias("class"), _div(F.col(hit), F.col(hit) + F.col(p)).alias("precision"), _div(F.col(hit), F.col(hit) + F.col(r)).alias("recall"))
+    return c.select(F.inline(F.array(row(0, "tn", "fn", "fp"), row(1, "tp", "fp", "fn"))))
+
+
+def metrics_by_category(df: DataFrame, pred: Column, category: str = "category", label: str = "label", unknown: str = "Unknown") -> DataFrame:
+    s = df.withColumn(category, F.coalesce(category, F.lit(unknown)))
+    c = confusion(s, pred, label, by=[category])
+    return with_metrics(c.withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")))
+
+
+def metrics_delta(df: DataFrame, pred_a: Column, pred_b: Column, label: str = "label") -> DataFrame:
+    """Change of precision, recall and F1 from run a to run b, in one pass."""
+    s = df.select(label, F.inline(F.array(F.struct(F.lit("a").alias("run"), pred_a.alias("_f")), F.struct(F.lit("b").alias("run"), pred_b.alias("_f")))))
+    m = with_metrics(confusion(s, F.col("_f"), label, by=["run"]))
+    long = m.select("run", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in ("precision", "recall", "f1")])))
+    w = long.groupBy("metric").agg(*[F.max(F.when(F.col("run") == r, F.col("v"))).alias(f"run_{r}") for r in "ab"])
+    delta = F.col("run_b") - F.col("run_a")
+    return w.withColumn("delta", delta).withColumn("pct", F.when(F.col("run_a") != 0, F.round(delta / F.col("run_a") * 100.0, 6)))
+
+
+def noise_weights(df: DataFrame, score: str = "score", label: str = "label", hi: float = 0.8, lo: float = 0.2, weight: float = 0.3) -> DataFrame:
+    """Weight of each row and whether its label contradicts a sure score."""
+    noise = ((F.col(label) == 0) & (F.col(score) > hi)) | ((F.col(label) == 1) & (F.col(score) < lo))
+    return df.withColumn("weight", F.when(noise, weight).otherwise(1.0)).withColumn("is_noise", noise)
+
+
+def review_list(df: DataFrame, score: str = "score", label: str = "label", n: int = 50, key: str = "id") -> DataFrame:
+    """The rows to look at by hand: noisy ones, the surest contradiction first."""
+    noisy = noise_weights(df, score, label).filter("is_noise")
+    gap = F.abs(F.col(score) - F.col(label))
+    return noisy.withColumn("gap", gap).orderBy(F.desc("gap"), key).limit(n)
+
+
 def triage_flags(m: DataFrame) -> DataFrame:
     """Advice per row from precision/recall/F1 thresholds."""
     adv = F.array_compact(F.array(
@@ -187,4 +230,22 @@ def running_rank(df: DataFrame, score: str = "score") -> DataFrame:
     return df.join(lv, score, "inner")
 
 
-__all__ = ["Window"]
+def joint_optimise(df: DataFrame, members: Sequence[str], rounds: int = 3, tol: float = 1e-4) -> DataFrame:
+    """Alternate the weight grid (at the current threshold) and the threshold sweep (at the
+    current weights) until the gain in F1 is below ``tol``; one row a round.
+
+    Rows stay distributed; the grid's best row and the sweep's come to the driver."""
+    thr, best, hist = 0.5, -1.0, []
+    for r in range(rounds):
+        top = weight_grid(df, members, threshold=thr).orderBy(F.desc("f1"), "vid").first()
+        weights = [top[f"w{i + 1}"] for i in range(len(members))]
+        vote = None
+        for w, m in zip(weights, members):
+            vote = F.lit(w) * F.col(m) if vote is None else vote + F.lit(w) * F.col(m)
+        found = pick_threshold(threshold_sweep(df.withColumn("score", vote))).first()
+        gain, thr, best = found.best_f1 - best, found.best_f1_threshold, found.best_f1
+        hist.append((r + 1, *weights, float(thr), float(best)))
+        if gain < tol:
+            break
+    cols = ", ".join(f"w{i + 1} double" for i in range(len(members)))
+    return df.sparkSession.createDataFrame(hist, f"round int, {cols}, threshold double, f1 double")

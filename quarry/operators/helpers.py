@@ -1,11 +1,14 @@
 """Scale helpers shared by the operators.
 
-* ``ordered_scan`` — running sum / carry-forward over a global order, restarted
-  per key, without funnelling a key into one task: range-partition on
-  (key, order), scan each partition with vectorised pandas, and add a carry
-  per partition segment from a summary table whose size is bounded by twice
-  the number of range partitions (so it is safe to broadcast).
+* ``ordered_scan`` / ``ordered_fill`` — running sum, or nearest value before and
+  after, over an order restarted per key.  A key is split at explicit bounds
+  (approximate percentiles of the first order column, literals in the plan), a
+  window runs inside each (key, bucket), and what earlier buckets carry over
+  comes from a table with one row per (key, bucket).  No key lands in one task,
+  and re-run tasks see the same bounds.
 * ``global_rank`` — 1-based row number over a total order (ordered_scan of 1).
+* ``hash_parts`` — exact cuts of a hash order from counts by hash prefix; only
+  the rows of the prefixes that a cut falls into are ranked.
 * ``bucketed_range_join`` — equi join on (key, line bucket) plus an exact
   interval residual; hot files spread over many buckets.
 * ``bucket_sweep`` — every threshold of a grid in one pass: bucket each score
@@ -16,169 +19,137 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SEG = "_q_seg"  # prefix of segment-start columns
-_KIND = "_q_kind"
+_B = "_q_bucket"
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where null equals null; keeps the left keys."""
+    other = right.select(*[F.col(c).alias(f"_q_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [left[k].eqNullSafe(other[f"_q_r_{k}"]) for k in keys]
+    return left.join(other, cond, how).drop(*[f"_q_r_{k}" for k in keys])
 
 
-def _range(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
-    """Range-partition on ``keys``; without an explicit count AQE sizes (and may
-    coalesce adjacent) ranges by data volume.  Segments are identified by
-    their first order value, so coalesced ranges stay correct."""
-    if num_partitions:
-        return df.repartitionByRange(int(num_partitions), *keys)
-    return df.repartitionByRange(*keys)
-
-
-def _segment_scan_fn(part_cols: list[str], order_cols: list[str], value_col: str, op: str, out_col: str):
-    """Per-partition scan: rows arrive sorted by (part, order)."""
-    seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
+def order_number(df: DataFrame, col: str) -> Column:
+    """A double in the order of ``col`` (equal for values that differ late): nulls
+    first, then numbers, times, booleans, or the first six bytes of a string."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, T.StringType):
+        num = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    elif isinstance(kind, T.BooleanType):
+        num = c.cast("int").cast("double")
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        num = F.unix_micros(c.cast("timestamp")).cast("double")
+    else:
+        num = c.cast("double")
+    return F.coalesce(num, F.lit(float("-inf")))
 
-    def run(batches):
-        last_key = None
-        carry = None
-        seg_start = None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            change = np.zeros(n, dtype=bool)
-            if part_cols:
-                for c in part_cols:
-                    arr = pdf[c].to_numpy()
-                    change[1:] |= arr[1:] != arr[:-1]
-                first_key = tuple(pdf[c].iat[0] for c in part_cols)
-                change[0] = last_key is None or first_key != last_key
-            else:
-                change[0] = last_key is None
-            gid = np.cumsum(change)  # 0 = continuation of the previous batch's group
-            starts = np.flatnonzero(change)
-            # segment start (first order value of the group inside this partition)
-            seg_vals = []
-            for c in order_cols:
-                col = pdf[c].to_numpy()
-                first_vals = np.empty(len(starts) + 1, dtype=object)
-                first_vals[0] = seg_start[order_cols.index(c)] if seg_start is not None else None
-                first_vals[1:] = col[starts]
-                seg_vals.append(first_vals[gid])
-            if op == "sum":
-                v = pdf[value_col].fillna(0).to_numpy(dtype="int64")
-                cs = np.cumsum(v)
-                base = np.empty(len(starts) + 1, dtype="int64")
-                base[0] = -(carry or 0)
-                prev = np.where(starts > 0, starts - 1, 0)
-                base[1:] = np.where(starts > 0, cs[prev], 0)
-                local = cs - base[gid]
-                carry = int(local[-1])
-                out = pd.Series(local, index=pdf.index)
-            else:  # "last": carry the last non-null value forward inside the group
-                s = pdf[value_col]
-                grp = pd.Series(gid, index=pdf.index)
-                filled = s.groupby(grp).ffill()
-                if carry is not None:
-                    head = grp == 0
-                    filled = filled.where(~(head & filled.isna()), carry)
-                last_valid = filled.iloc[-1]
-                carry = None if pd.isna(last_valid) else last_valid
-                out = filled
-            res = pdf.copy()
-            res[out_col] = out
-            for c, vals in zip(seg_cols, seg_vals):
-                res[c] = vals
-            res[_KIND] = "D"
-            last_key = tuple(pdf[c].iat[-1] for c in part_cols) if part_cols else ()
-            seg_start = tuple(res[c].iat[-1] for c in seg_cols)
-            yield res
 
-    return run
+def _bucketed(df: DataFrame, order_col: str, buckets: int | None) -> DataFrame:
+    n = int(buckets or min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    num = order_number(df, order_col)
+    # one row of at most n bounds comes to the driver and stays in the plan as literals
+    points = [i / n for i in range(1, n)]
+    bounds = df.select(F.percentile_approx(num, points, 20 * n)).first()[0] if points else None
+    cut = sorted(set(bounds or []))
+    return df.withColumn(_B, grid_bucket(num, cut, inclusive=False) if cut else F.lit(0))
 
 
 def ordered_scan(
     df: DataFrame,
     order_cols: Sequence[str],
-    value_col: str | None = None,
+    value_col: str | Sequence[str] | None = None,
     partition_cols: Sequence[str] = (),
-    out_col: str = "_cum",
-    op: str = "sum",
+    out_col: str | Sequence[str] = "_cum",
     inclusive: bool = True,
     num_partitions: int | None = None,
+    total_col: str | None = None,
 ) -> DataFrame:
-    """Running sum (``op='sum'``) or last-non-null carry (``op='last'``).
+    """Running sum of one or more columns (of 1 without ``value_col``).
 
-    ``order_cols`` must make the order total inside each partition key.
-    For ``sum`` the value is cast to long; ``inclusive=False`` subtracts the
-    row's own value (exclusive prefix).  Result: ``df`` plus ``out_col``.
+    ``order_cols`` must make the order total inside each partition key; keys and
+    order values may be null.  Values are cast to long, null counts as 0;
+    ``inclusive=False`` leaves the row's own value out.  Result: ``df`` plus
+    ``out_col``.  ``num_partitions`` is the number of buckets a key is split into;
+    ``total_col`` adds the first column's sum over the whole key.
     """
-    part_cols = list(partition_cols)
-    order_cols = list(order_cols)
-    keys = part_cols + order_cols
-    vcol = "_q_v"
-    if op == "sum":
-        base = df.withColumn(vcol, (F.col(value_col) if value_col else F.lit(1)).cast("long"))
-        out_type = T.LongType()
-    else:
-        base = df.withColumn(vcol, F.col(value_col))
-        out_type = base.schema[vcol].dataType
-    seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
-    fields = list(base.schema.fields) + [T.StructField(out_col, out_type, True)]
-    fields += [T.StructField(s, base.schema[o].dataType, True) for s, o in zip(seg_cols, order_cols)]
-    fields += [T.StructField(_KIND, T.StringType(), True)]
-    schema = T.StructType(fields)
-
-    ranged = _range(base, keys, num_partitions).sortWithinPartitions(*keys)
-    scanned = ranged.mapInPandas(_segment_scan_fn(part_cols, order_cols, vcol, op, out_col), schema)
-    # Both branches below must see the same range bounds: persist once.
-    scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
-
-    # Segment summary: one row per (key, segment start); <= 2 per range partition
-    # can border another partition, the others carry nothing.
-    if op == "sum":
-        summ = scanned.groupBy(*part_cols, *seg_cols).agg(
-            F.max_by(F.col(out_col), F.struct(*[F.col(o) for o in order_cols])).alias("_q_tot"))
-        w = Window.partitionBy(*part_cols).orderBy(*seg_cols).rowsBetween(Window.unboundedPreceding, -1)
-        carry = summ.withColumn("_q_carry", F.coalesce(F.sum("_q_tot").over(w), F.lit(0)))
-    else:
-        summ = scanned.groupBy(*part_cols, *seg_cols).agg(
-            F.max_by(F.col(vcol), F.struct(*[F.col(o) for o in order_cols])).alias("_q_last_raw"),
-            F.max_by(F.col(out_col), F.struct(*[F.col(o) for o in order_cols])).alias("_q_tot"),
-        )
-        w = Window.partitionBy(*part_cols).orderBy(*seg_cols).rowsBetween(Window.unboundedPreceding, -1)
-        carry = summ.withColumn("_q_carry", F.last("_q_tot", ignorenulls=True).over(w)).drop("_q_last_raw")
-    # A key whose rows span several range partitions has one segment per
-    # partition; only segments that are not the key's first need a carry, and
-    # each partition starts at most one such segment: <= num_partitions rows,
-    # so broadcasting it is bounded whatever the data size.
-    first = Window.partitionBy(*part_cols).orderBy(*seg_cols)
-    carry = (carry.withColumn("_q_rn", F.row_number().over(first))
-             .filter(F.col("_q_rn") > 1).drop("_q_rn", "_q_tot"))
-    joined = scanned.join(F.broadcast(carry), on=[*part_cols, *seg_cols], how="left")
-    if op == "sum":
-        val = F.col(out_col) + F.coalesce(F.col("_q_carry"), F.lit(0))
-        if not inclusive:
-            val = val - F.coalesce(F.col(vcol), F.lit(0))
-    else:
-        val = F.coalesce(F.col(out_col), F.col("_q_carry"))
-        if not inclusive:
-            raise ValueError("op='last' is always inclusive")
-    return joined.withColumn(out_col, val).drop("_q_carry", vcol, _KIND, *seg_cols)
+    keys, order = [*partition_cols, _B], list(order_cols)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
+    cols = [value_col] if value_col is None or isinstance(value_col, str) else list(value_col)
+    b = _bucketed(df, order[0], num_partitions)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = b
+    values = [F.coalesce(F.col(c).cast("long"), F.lit(0)) if c else F.lit(1).cast("long") for c in cols]
+    for v, o in zip(values, outs):
+        scanned = scanned.withColumn(o, F.sum(v).over(w))
+    # the last running sum of a bucket is its total; the exchange under it is reused
+    last = F.struct(*order)
+    totals = scanned.groupBy(*keys).agg(*[F.max_by(o, last).alias(f"_q_t{i}") for i, o in enumerate(outs)])
+    before = Window.partitionBy(*(partition_cols or [F.lit(0)])).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    whole_key = Window.partitionBy(*(partition_cols or [F.lit(0)]))
+    carry = totals.select(*keys, *[F.sum(f"_q_t{i}").over(before).alias(f"_q_c{i}") for i in range(len(outs))],
+                          *([F.sum("_q_t0").over(whole_key).alias(total_col)] if total_col else []))
+    j = join_null_safe(scanned, carry, keys)
+    for i, (v, o) in enumerate(zip(values, outs)):
+        whole = F.col(o) + F.coalesce(F.col(f"_q_c{i}"), F.lit(0))
+        j = j.withColumn(o, whole if inclusive else whole - v)
+    return j.drop(_B, *[f"_q_c{i}" for i in range(len(outs))])
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (), out_col: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """1-based row number over a total order (optionally restarted per key)."""
-    return ordered_scan(df, order_cols, None, partition_cols, out_col, "sum", True, num_partitions)
+    return ordered_scan(df, order_cols, None, partition_cols, out_col, True, num_partitions)
+
+
+def ordered_fill(df: DataFrame, order_cols: Sequence[str], value_col: str, partition_cols: Sequence[str] = (),
+                 prev_col: str = "_prev", next_col: str = "_next", num_partitions: int | None = None) -> DataFrame:
+    """Last non-null value at or before each row (``prev_col``) and first
+    non-null at or after it (``next_col``), per key."""
+    keys, order = [*partition_cols, _B], list(order_cols)
+    b = _bucketed(df, order[0], num_partitions)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    scanned = (b.withColumn(prev_col, F.last(value_col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+               .withColumn(next_col, F.first(value_col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    at = F.struct(*order)
+    ends = scanned.groupBy(*keys).agg(F.max_by(prev_col, at).alias("_q_last"), F.min_by(next_col, at).alias("_q_first"))
+    by = Window.partitionBy(*(partition_cols or [F.lit(0)])).orderBy(_B)
+    carry = ends.select(
+        *keys, F.last("_q_last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_q_p"),
+        F.first("_q_first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_q_n"))
+    j = join_null_safe(scanned, carry, keys)
+    return (j.withColumn(prev_col, F.coalesce(prev_col, "_q_p")).withColumn(next_col, F.coalesce(next_col, "_q_n"))
+            .drop(_B, "_q_p", "_q_n"))
+
+
+def hash_parts(df: DataFrame, strata: Sequence[str], digest: str, key: str, cuts, out_col: str = "_part") -> DataFrame:
+    """Number of cuts below each row's rank in its stratum, ranked by (digest, key).
+
+    ``digest`` is a lower-case hex column; ``cuts(n)`` gives the cut ranks (rank >
+    cut counts) as columns, ascending, from the stratum size column ``n``.  Counts
+    by the first three digits decide every row whose prefix holds no cut; only
+    the prefixes that a cut falls into (1/4096 of a stratum each) are ranked."""
+    strata, pre = list(strata), "_q_pre"
+    d = df.withColumn(pre, F.substring(digest, 1, 3))
+    counts = d.groupBy(*strata, pre).agg(F.count(F.lit(1)).alias("_q_n"))
+    whole = Window.partitionBy(*(strata or [F.lit(0)]))  # at most 4,096 rows a stratum
+    counts = counts.select(
+        *strata, pre, "_q_n", F.sum("_q_n").over(whole).alias("_q_size"),
+        F.coalesce(F.sum("_q_n").over(whole.orderBy(pre).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_lo"))
+    at = cuts(F.col("_q_size"))
+    hi = F.col("_q_lo") + F.col("_q_n")
+    edge = F.lit(False)
+    for c in at:
+        edge = edge | ((F.col("_q_lo") < c) & (c < hi))
+    below = lambda rank, strict: sum(((rank > c if strict else rank >= c).cast("int") for c in at), F.lit(0))
+    j = join_null_safe(d, counts.withColumn("_q_edge", edge), [*strata, pre], "inner")
+    clear = j.filter(~F.col("_q_edge")).withColumn(out_col, below(F.col("_q_lo"), False))
+    rank = F.col("_q_lo") + F.row_number().over(Window.partitionBy(*strata, pre).orderBy(digest, key))
+    split = j.filter("_q_edge").withColumn("_q_rank", rank).withColumn(out_col, below(F.col("_q_rank"), True)).drop("_q_rank")
+    return clear.unionByName(split).drop(pre, "_q_n", "_q_size", "_q_lo", "_q_edge")
 
 
 def bucketed_range_join(
@@ -189,8 +160,9 @@ def bucketed_range_join(
     start_col: str,
     end_col: str,
     bucket: int = 64,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join points to intervals with start <= point <= end on ``key``.
+    """Join points to intervals with start <= point <= end on ``key``.
 
     Intervals are exploded over the ``bucket``-wide line buckets they cover and
     points carry their bucket, so the equi key is (key, bucket): a single hot
@@ -204,7 +176,7 @@ def bucketed_range_join(
     pt = points.withColumn("_q_b", F.floor(F.col(point_col) / b).cast("long"))
     cond = [pt[key] == iv[key], pt["_q_b"] == iv["_q_b"],
             pt[point_col] >= iv[start_col], pt[point_col] <= iv[end_col]]
-    return pt.join(iv, cond, "inner").drop(iv[key]).drop(iv["_q_b"]).drop(pt["_q_b"])
+    return pt.join(iv, cond, how).drop(iv[key]).drop(iv["_q_b"]).drop(pt["_q_b"])
 
 
 def grid_bucket(score: Column, grid: Sequence[float], inclusive: bool = True) -> Column:
@@ -255,101 +227,3 @@ def bucket_sweep(
     fp = F.coalesce(F.col("fp"), F.lit(0)).cast("long")
     return out.select(*by, "threshold", tp.alias("tp"), fp.alias("fp"),
                       (F.col("_P") - tp).alias("fn"), (F.col("_N") - fp).alias("tn"))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin rows before CPU-heavy per-row work (regex scans) when the
-    input is small relative to the cluster.
-
-    A single parquet row group is read by one task whatever its size, so a
-    small table can end up in one task.  Only when the input has fewer files
-    than slots and is below ``slots x maxPartitionBytes`` in total is a (then
-    cheap) shuffle added; on large inputs this is a no-op.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    slots = min_partitions or sc.defaultParallelism
-    try:
-        files = df.inputFiles()
-        if not files or len(files) >= slots:  # many files: the scan is already parallel
-            return df
-        jvm = sc._jvm
-        conf = sc._jsc.hadoopConfiguration()
-        size = 0
-        for f in files:  # fewer files than slots: a handful of metadata calls
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            size += int(path.getFileSystem(conf).getFileStatus(path).getLen())
-        max_part = int(jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-            spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
-    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
-        return df
-    if size >= slots * max_part:
-        return df
-    return df.repartition(slots)
-
-
-def _fill_both_fn(part_cols, order_cols, value_col, prev_col, next_col):
-    seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
-
-    def run(batches):
-        # narrow rows only; a range partition is sized to fit a task
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        n = len(pdf)
-        change = np.zeros(n, dtype=bool)
-        change[0] = True
-        for c in part_cols:
-            arr = pdf[c].to_numpy()
-            change[1:] |= arr[1:] != arr[:-1]
-        gid = np.cumsum(change)
-        grp = pd.Series(gid, index=pdf.index)
-        s = pdf[value_col]
-        pdf[prev_col] = s.groupby(grp).ffill()
-        pdf[next_col] = s.groupby(grp).bfill()
-        starts = np.flatnonzero(change)
-        for sc, oc in zip(seg_cols, order_cols):
-            col = pdf[oc].to_numpy()
-            first = np.empty(len(starts) + 1, dtype=object)
-            first[1:] = col[starts]
-            pdf[sc] = first[gid]
-        yield pdf
-
-    return run
-
-
-def ordered_fill(df: DataFrame, order_cols: Sequence[str], value_col: str, partition_cols: Sequence[str] = (),
-                 prev_col: str = "_prev", next_col: str = "_next", num_partitions: int | None = None) -> DataFrame:
-    """Last non-null value at or before each row (``prev_col``) and first
-    non-null at or after it (``next_col``), per key, in one range-partitioned
-    pass.  Cross-partition carries come from a per-segment summary; only
-    segments that have an earlier or a later segment of the same key need
-    one, at most two per partition, so the carry table is broadcast-safe."""
-    part_cols, order_cols = list(partition_cols), list(order_cols)
-    keys = part_cols + order_cols
-    vt = df.schema[value_col].dataType
-    seg_cols = [f"{_SEG}{i}" for i in range(len(order_cols))]
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(prev_col, vt, True), T.StructField(next_col, vt, True)]
-                          + [T.StructField(s, df.schema[o].dataType, True) for s, o in zip(seg_cols, order_cols)])
-    scanned = (_range(df, keys, num_partitions).sortWithinPartitions(*keys)
-               .mapInPandas(_fill_both_fn(part_cols, order_cols, value_col, prev_col, next_col), schema)
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    order = F.struct(*[F.col(o) for o in order_cols])
-    summ = scanned.groupBy(*part_cols, *seg_cols).agg(
-        F.max_by(F.col(prev_col), order).alias("_seg_last"), F.min_by(F.col(next_col), order).alias("_seg_first"))
-    w_before = Window.partitionBy(*part_cols).orderBy(*seg_cols).rowsBetween(Window.unboundedPreceding, -1)
-    w_after = Window.partitionBy(*part_cols).orderBy(*seg_cols).rowsBetween(1, Window.unboundedFollowing)
-    w_rank = Window.partitionBy(*part_cols).orderBy(*seg_cols)
-    w_all = Window.partitionBy(*part_cols)
-    carry = (summ.withColumn("_c_prev", F.last("_seg_last", ignorenulls=True).over(w_before))
-             .withColumn("_c_next", F.first("_seg_first", ignorenulls=True).over(w_after))
-             .withColumn("_rn", F.row_number().over(w_rank)).withColumn("_cnt", F.count(F.lit(1)).over(w_all))
-             .filter((F.col("_rn") > 1) | (F.col("_rn") < F.col("_cnt")))
-             .select(*part_cols, *seg_cols, "_c_prev", "_c_next"))
-    j = scanned.join(F.broadcast(carry), on=[*part_cols, *seg_cols], how="left")
-    return (j.withColumn(prev_col, F.coalesce(F.col(prev_col), F.col("_c_prev")))
-            .withColumn(next_col, F.coalesce(F.col(next_col), F.col("_c_next")))
-            .drop("_c_prev", "_c_next", *seg_cols))

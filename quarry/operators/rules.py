@@ -2,8 +2,9 @@
 
 Rules are a fixed list of a few dozen patterns, so instead of joining units
 to a rule table each rule becomes a column expression evaluated once per unit
-(no shuffle, no join).  All-match line numbers come from splitting the text
-on the pattern: the i-th match starts after segments 0..i and matches 0..i-1.
+(no shuffle, no join).  A rule that matches writes a mark before each match,
+once, and the marked text is split into lines: a line's marks are its matches,
+so the work grows with the text and not with matches times text.
 """
 
 from __future__ import annotations
@@ -11,29 +12,27 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .helpers import spread
-from ..sources.fixed import C_RULES, CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY, KEYWORD_RULES, SEVERITY_CONFIDENCE, TEXT_RULES
+from ..sources.fixed import C_RULES, CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY, KEYWORD_RULES, SEVERITY_CONFIDENCE, TEXT_RULES, TEXT_RULE_DESCRIPTIONS
+from ..functions import text as TX
 
 
-def _nl(s: Column) -> Column:
-    return F.length(s) - F.length(F.regexp_replace(s, "\n", ""))
+#: A private-use character; one in the text becomes its neighbour before marking.
+MARK, OTHER = "\ue000", "\ue001"
 
 
 def match_lines(code: Column, pattern: str) -> Column:
-    """0-based line offsets of every non-overlapping match of ``pattern``."""
-    p = F.lit(pattern)
-    segs = F.split(code, pattern, -1)
-    ms = F.regexp_extract_all(code, p, 0)
-    seg_nl = F.transform(segs, _nl)
-    m_nl = F.transform(ms, _nl)
-    offs = F.transform(
-        F.sequence(F.lit(0), F.size(ms) - 1),
-        lambda i: F.aggregate(F.slice(seg_nl, 1, i + 1), F.lit(0), lambda a, x: a + x)
-        + F.aggregate(F.slice(m_nl, 1, i), F.lit(0), lambda a, x: a + x))
-    return F.when(code.rlike(pattern), offs).otherwise(F.array().cast("array<int>"))
+    """Lines with matches of ``pattern``: array of (off: 0-based line, text: the line,
+    n: matches that start in it)."""
+    marked = F.regexp_replace(F.translate(code, MARK, OTHER), pattern, MARK + "$0")
+    lines = F.transform(
+        F.split(marked, "\n", -1),
+        lambda l, i: F.struct(i.alias("off"), F.translate(l, MARK, "").alias("text"),
+                              (F.length(l) - F.length(F.translate(l, MARK, ""))).alias("n")))
+    return F.when(code.rlike(pattern), F.filter(lines, lambda x: x["n"] > 0))
 
 
 def live_c_rules(re2_only: bool = False) -> list[tuple]:
@@ -61,7 +60,6 @@ def scan_rules(units: DataFrame, rules: Sequence[tuple] | None = None, code: str
     Returns (uid, file_path, tool, rule_id, cwe_id, cwe_name, severity,
     confidence, message, line, highlighted_code)."""
     rules = list(rules if rules is not None else live_c_rules())
-    units = spread(units)
     c = F.col(code)
     # one safe-pattern flag per CWE, evaluated once per unit and shared by its rules
     safe_sets = {}
@@ -83,25 +81,24 @@ def scan_rules(units: DataFrame, rules: Sequence[tuple] | None = None, code: str
             F.lit(cwe).alias("cwe_id"), F.lit(name).alias("cwe_name"), F.lit(f"{cwe}#{idx}").alias("pattern_id"),
             F.when(has_safe, F.lit("LOW")).otherwise(F.lit(sev)).alias("severity"),
             F.when(has_safe, F.lit(round(conf * 0.6, 2))).otherwise(F.lit(conf)).alias("confidence"),
-            F.lit(msg).alias("message"), offs.alias("offs")))
-    # keep only matching rules before generating rows, so the unit text is
-    # carried only for units that have a match
-    matched = F.filter(F.array(*hits), lambda h: F.size(h["offs"]) > 0)
-    per = units.select("uid", "file_path", "start_line", F.col(code).alias("_code"), F.inline(matched))
-    ex = per.select("*", F.explode("offs").alias("off")).drop("offs")
+            F.lit(msg).alias("message"), offs.alias("lines")))
+    # keep only matching rules before generating rows; the text itself is not carried on
+    matched = F.filter(F.array(*hits), lambda h: h["lines"].isNotNull())
+    per = units.select("uid", "file_path", "start_line", F.inline(matched))
+    ex = per.select("*", F.inline("lines")).drop("lines")
+    ex = ex.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return ex.select(
         "uid", "file_path", F.lit(tool).alias("tool"), F.concat(F.lit("regex:"), F.col("cwe_id")).alias("rule_id"),
         "pattern_id", "cwe_id", "cwe_name", "severity", "confidence", "message",
         (F.col("start_line") + F.col("off")).alias("line"),
-        F.regexp_replace(F.get(F.split("_code", "\n", -1), F.col("off")), r"^\s+|\s+$", "").alias("highlighted_code"))
+        F.regexp_replace("text", r"^\s+|\s+$", "").alias("highlighted_code"))
 
 
 def detect_rules(units: DataFrame, code: str = "code", flags: str = "(?id)") -> DataFrame:
     """Rule base 2: one row per (unit, CWE) having a vulnerable pattern and no safe one."""
-    units = spread(units)
     c = F.col(code)
     rows = []
-    for cwe, name, sev, pats, safe, mit, fix in TEXT_RULES:
+    for (cwe, name, sev, pats, safe, mit, fix), text in zip(TEXT_RULES, TEXT_RULE_DESCRIPTIONS, strict=True):
         vul = F.lit(False)
         for p in pats:
             vul = vul | c.rlike(flags + p)
@@ -109,14 +106,14 @@ def detect_rules(units: DataFrame, code: str = "code", flags: str = "(?id)") ->
         for sp in safe:
             ok = ok | c.rlike(flags + sp)
         rows.append(F.struct(F.lit(cwe).alias("cwe_id"), F.lit(name).alias("name"), F.lit(sev).alias("severity"),
-                             (vul & ~ok).alias("_hit")))
+                             F.lit(text).alias("description"), F.lit(mit).alias("mitigation"),
+                             F.lit(fix).alias("example_fix"), (vul & ~ok).alias("_hit")))
     return (units.select("uid", F.inline(F.array(*rows))).filter("_hit").drop("_hit")
             .withColumn("confidence", F.lit("high")))
 
 
 def detect_keywords(units: DataFrame, code: str = "code") -> DataFrame:
     """Lower-cased substring tests; ['CWE-Unknown'] when nothing matches."""
-    units = spread(units)
     low = F.lower(F.col(code))
     labels = []
     for cwe, needles, name in KEYWORD_RULES:
@@ -141,7 +138,6 @@ def scan_calls(units: DataFrame, code: str = "code") -> DataFrame:
 # ------------------------------------------------------------------ lexical features
 UNSAFE_FUNCS = ["strcpy", "strcat", "sprintf", "vsprintf", "gets", "scanf", "memcpy", "memmove"]
 SAFE_FUNCS = ["strncpy", "strncat", "snprintf", "fgets", "strlcpy", "memcpy_s"]
-BRANCH_KW = ["if", "else if", "for", "while", "case", "catch", "&&", "\\|\\|", "\\?"]
 
 
 _NOT_WORD_BEFORE = r"(?<![A-Za-z0-9_])"
@@ -174,20 +170,25 @@ def _count(code: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(code, F.lit(ascii_b(pattern)), 0))
 
 
+def _after(state: Column, d: Column) -> Column:
+    """Depth, its maximum, sum and sum of squares after one more brace."""
+    return F.struct(d.alias("d"), F.greatest(state["m"], d).alias("m"), (state["s"] + d).alias("s"), (state["q"] + d * d).alias("q"))
+
+
 def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
-    units = spread(units)
     c = F.col(code)
     lines = F.split(c, "\n", -1)
     lens = F.transform(lines, lambda l: F.length(l))
     n = F.size(lines)
-    blank = F.size(F.filter(lines, lambda l: F.trim(l) == ""))
-    mean = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x) / n
+    blank = F.size(F.filter(lines, lambda l: TX.is_blank(l)))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    std = lambda xs, k: F.sqrt((total(F.transform(xs, lambda x: x * x)) * k - total(xs) * total(xs)).cast("double")) / k
+    mean = total(lens) / n
     braces = F.regexp_extract_all(c, F.lit(r"[{}]"), 0)
     depth = F.aggregate(
-        braces, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
-        lambda s, b: F.struct(
-            (s["d"] + F.when(b == "{", 1).otherwise(-1)).alias("d"),
-            F.greatest(s["m"], s["d"] + F.when(b == "{", 1).otherwise(-1)).alias("m")))
+        braces, F.struct(*[F.lit(0).cast("long").alias(x) for x in ("d", "m", "s", "q")]),
+        lambda s, b: _after(s, s["d"] + F.when(b == "{", 1).otherwise(-1)))
+    k = F.size(braces)
     unsafe = _count(c, r"\b(?:" + "|".join(UNSAFE_FUNCS) + r")\s*\(")
     safe = _count(c, r"\b(?:" + "|".join(SAFE_FUNCS) + r")\s*\(")
     branches = _count(c, r"\b(?:if|for|while|case|catch)\b|&&|\|\|")
@@ -195,7 +196,10 @@ def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
         "uid", n.alias("total_lines"), blank.alias("blank_lines"),
         F.round(blank / n, 6).alias("blank_ratio"), F.round(mean, 6).alias("mean_line_length"),
         unsafe.alias("unsafe_calls"), safe.alias("safe_calls"), branches.alias("branches"),
-        (branches + 1).alias("cyclomatic"), depth["m"].alias("max_brace_depth"),
+        (branches + 1).alias("cyclomatic"), depth["m"].cast("int").alias("max_brace_depth"),
+        F.round(std(lens, n), 6).alias("std_line_length"),
+        F.round(F.when(k == 0, 0.0).otherwise(F.sqrt((depth["q"] * k - depth["s"] * depth["s"]).cast("double")) / k), 6)
+        .alias("std_brace_depth"),
         _count(c, r"\b(?:malloc|calloc|realloc|strdup)\s*\(").alias("allocations"),
         _count(c, r"\bfree\s*\(").alias("frees"),
         _count(c, r"\w\s*\*\s*\w").alias("pointer_ops"),
@@ -216,7 +220,6 @@ def complexity_features(units: DataFrame, code: str = "code") -> DataFrame:
     ``name[`` index expressions and checks are if/while conditions with < or >.
     Halstead: n1/n2 distinct operators/operands, N1/N2 totals,
     difficulty = n1 / 2 * N2 / n2 (0 without operands)."""
-    units = spread(units)
     c = F.col(code)
     acc = _count(c, r"[A-Za-z_]\w*\s*\[")
     chk = _count(c, r"\b(?:if|while)\s*\([^)]*[<>]")
@@ -235,7 +238,6 @@ def cognitive_complexity(units: DataFrame, code: str = "code") -> DataFrame:
     right after a control keyword increase nesting; '}' closes the innermost
     brace first.  State (nesting, pending, score, brace stack) folds over the
     token array of each unit."""
-    units = spread(units)
     toks = F.regexp_extract_all(F.col(code), F.lit(ascii_b(r"\b(?:" + "|".join(CONTROL_KW) + r")\b|[{}]")), 0)
     init = F.struct(F.lit(0).alias("nest"), F.lit(False).alias("pend"), F.lit(0).alias("score"),
                     F.array().cast("array<boolean>").alias("stack"))
@@ -257,50 +259,92 @@ def cognitive_complexity(units: DataFrame, code: str = "code") -> DataFrame:
 
 
 # ------------------------------------------------------------------ U2 unit segmentation
-def segment_units(files: DataFrame, path: str = "path", content: str = "content",
-                  max_bytes: int | None = None) -> DataFrame:
-    """Source text -> top-level brace units with start/end lines and names.
-
-    Lines are exploded with their number; string/char literals and comments
-    are blanked before counting braces; the depth before each line is a
-    running sum per file (range-partitioned scan, so one huge file does not
-    land in one task); a unit starts on a line entered at depth 0 with an
-    opening brace and runs to the line where depth returns to 0.  The unit
-    text is assembled from its lines (files are capped at 1 MB upstream, so a
-    unit's line list is bounded)."""
-    from .helpers import ordered_scan
-    from ..sources.fixed import MAX_FILE_SIZE
-
-    # the ingestion size cap (files over 1 MB are skipped) bounds every unit's line list
-    files = files.filter(F.octet_length(F.col(content)) <= (max_bytes or MAX_FILE_SIZE))
-    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(content), "\n", -1)).alias("ln0", "text"),
-                         ).withColumn("line", F.col("ln0") + 1)
-    # blank literals and same-line comments before counting braces
-    bare = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|//.*$|/\*.*?\*/", "")
-    lines = lines.withColumn("bare", bare)
-    lines = lines.withColumn("opens", F.length("bare") - F.length(F.regexp_replace("bare", r"\{", ""))) \
-                 .withColumn("closes", F.length("bare") - F.length(F.regexp_replace("bare", r"\}", ""))) \
-                 .withColumn("delta", F.col("opens") - F.col("closes"))
-    d = ordered_scan(lines, ["line"], "delta", ["path"], "depth_after")
-    d = d.withColumn("depth_before", F.col("depth_after") - F.col("delta"))
-    start = (F.col("depth_before") == 0) & (F.col("opens") > 0)
-    d = d.withColumn("_start", F.when(start, F.col("line")))
-    d = ordered_scan(d, ["line"], "_start", ["path"], "unit_start", op="last")
-    inside = d.filter(F.col("unit_start").isNotNull() & ((F.col("depth_before") > 0) | start))
-    units = inside.groupBy("path", "unit_start").agg(
-        F.max("line").alias("end_line"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("code"),
-        F.max_by("text", F.when(F.col("line") == F.col("unit_start"), 1).otherwise(0)).alias("_head"))
-    sig = r"([A-Za-z_]\w*)\s*\([^;{}]*\)?\s*$"
-    name = F.regexp_extract(F.substring_index("_head", "{", 1), sig, 1)
-    # K&R layout: a lone '{' line -> the signature is the line before it
-    prev = lines.select("path", (F.col("line") + 1).alias("unit_start"), F.col("text").alias("_prev"))
-    units = units.join(prev, ["path", "unit_start"], "left")
-    prev_name = F.regexp_extract(F.coalesce("_prev", F.lit("")), sig, 1)
-    lone = (F.trim(F.substring_index("_head", "{", 1)) == "") & (prev_name != "")
-    code = F.when(lone, F.concat(F.col("_prev"), F.lit("\n"), F.col("code"))).otherwise(F.col("code"))
-    return units.select(
-        F.col("path").alias("file_path"),
-        F.when(lone, prev_name).when(name != "", name).otherwise(F.lit("<block>")).alias("function_name"),
-        F.when(lone, F.col("unit_start") - 1).otherwise(F.col("unit_start")).alias("start_line"), "end_line",
-        code.alias("code"))
+_HIDDEN = re.compile(r'//(?:[^\n\\]|\\.)*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S)
+_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)(?:[^\n\\]|\\.)*", re.M | re.S)
+_TOKEN = re.compile(r"[{};]")
+_SIGNATURE = re.compile(r"([A-Za-z_~][\w~]*(?:\s*::\s*[A-Za-z_~]\w*)*|operator\s*[^\s\w(]+)\s*\(")
+_SCOPE = re.compile(r"(?:^|\s)(?:namespace\b[\w\s:]*|extern\s*|(?:class|struct|union)\b[^()=]*)\Z")
+_LABELS = re.compile(r"(?:\s|(?:public|private|protected)\s*:)*")
+_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "sizeof", "do", "else"}
+
+
+def _blank(m: re.Match) -> str:
+    return re.sub(r"[^\n]", " ", m[0])
+
+
+def _visible(text: str) -> str:
+    """The text with comments, literals, preprocessor lines and the later branches of
+    conditionals blanked; every character keeps its place."""
+    text = _HIDDEN.sub(_blank, text)
+    out, at, first = [], 0, [True]  # is each open conditional in its first branch
+    for m in _DIRECTIVE.finditer(text):
+        part = text[at:m.start()]
+        out.append(part if all(first) else re.sub(r"[^\n]", " ", part))
+        out.append(_blank(m))
+        at, word = m.end(), m[1]
+        if word in ("if", "ifdef", "ifndef"):
+            first.append(True)
+        elif word in ("else", "elif") and len(first) > 1:
+            first[-1] = False
+        elif word == "endif" and len(first) > 1:
+            first.pop()
+    out.append(text[at:] if all(first) else re.sub(r"[^\n]", " ", text[at:]))
+    return "".join(out)
+
+
+def find_functions(text: str) -> list[tuple[str, int, int, str]]:
+    """(name, first line, last line, code) of each function in C-like source, in order.
+
+    A brace block is a function if a name and a parameter list stand before it; blocks of
+    namespaces, ``extern "C"`` and classes are searched, all others are passed over.  A
+    closing brace without an opening one is ignored."""
+    code, found, line, counted = _visible(text), [], 1, 0
+    head, skip, scopes, start = 0, 0, 0, None
+    for m in _TOKEN.finditer(code):
+        at, ch = m.start(), m[0]
+        if skip:  # inside a function or a block that is passed over
+            skip += (ch == "{") - (ch == "}")
+            if not skip:
+                if start is not None:
+                    name, begin = start
+                    line += code.count("\n", counted, begin)
+                    counted = begin
+                    found.append((name, line, line + code.count("\n", begin, at), text[begin:at + 1]))
+                head, start = at + 1, None
+            continue
+        if ch == "{":
+            before = code[head:at]
+            sig = _SIGNATURE.search(before)
+            if _SCOPE.search(before):
+                scopes += 1
+                head = at + 1
+                continue
+            if sig and "=" not in before[:sig.start()] and sig[1] not in _NOT_NAMES:
+                start = (re.sub(r"\s", "", sig[1]), head + _LABELS.match(before).end())
+            skip = 1
+        else:
+            scopes = max(0, scopes - (ch == "}"))
+            head = at + 1
+    return found
+
+
+def segment_units(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Source text -> functions: file_path, function_name, start_line, end_line, code.
+
+    A file is one row and is read in one pass, whatever its size, so there is no
+    shuffle.  Null content has no function; the ingestion's size rule is
+    ``corpus.accepted_files``."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict = {c: [] for c in ("file_path", "function_name", "start_line", "end_line", "code")}
+            for i in range(batch.num_rows):
+                source = batch.column(1)[i].as_py()
+                for row in find_functions(source) if source else ():
+                    for c, v in zip(out.values(), (batch.column(0)[i].as_py(), *row)):
+                        c.append(v)
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(
+        run, "file_path string, function_name string, start_line long, end_line long, code string")

@@ -19,22 +19,36 @@ from pyspark.sql import functions as F
 
 from .corpus import seeded_hash
 
-MEMBER_WEIGHTS = {"rf_shallow": 0.3, "rf_deep": 0.25, "gbt": 0.25, "logreg": 0.2}
+MEMBER_WEIGHTS = {"rf_shallow": 0.3, "rf_deep": 0.25, "gbt": 0.25, "gbt_slow": 0.2}
 
 
 def read_embeddings(df: DataFrame, col: str = "embedding") -> DataFrame:
     return df.withColumn("features_raw", array_to_vector(F.col(col)))
 
 
-def pca_features(df: DataFrame, k: int = 8, in_col: str = "features_raw", out_col: str = "pca") -> DataFrame:
-    model = PCA(k=k, inputCol=in_col, outputCol=out_col).fit(df)
+def pca_features(df: DataFrame, fit_on: DataFrame | None = None, k: int = 8, in_col: str = "features_raw",
+                 out_col: str = "pca") -> DataFrame:
+    """PCA fitted on ``fit_on`` (the training rows), applied to ``df``."""
+    model = PCA(k=k, inputCol=in_col, outputCol=out_col).fit(df if fit_on is None else fit_on)
     return model.transform(df)
 
 
-def assemble_scale(df: DataFrame, cols: Sequence[str], out_col: str = "features") -> DataFrame:
+def assemble_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None, out_col: str = "features") -> DataFrame:
+    """One scaled vector; means and deviations from ``fit_on`` (the training rows)."""
     va = VectorAssembler(inputCols=list(cols), outputCol="_assembled", handleInvalid="keep")
     sc = StandardScaler(inputCol="_assembled", outputCol=out_col, withMean=True, withStd=True)
-    return Pipeline(stages=[va, sc]).fit(df).transform(df).drop("_assembled")
+    return Pipeline(stages=[va, sc]).fit(df if fit_on is None else fit_on).transform(df).drop("_assembled")
+
+
+def drop_component(df: DataFrame, index: int, col: str = "pca") -> DataFrame:
+    """The vector without one of its components."""
+    x = vector_to_array(F.col(col))
+    return df.withColumn(col, array_to_vector(F.concat(F.slice(x, 1, index), F.slice(x, index + 2, F.size(x)))))
+
+
+def scale_block(df: DataFrame, factor: float, col: str = "pca") -> DataFrame:
+    """A block of features weighted against the others."""
+    return df.withColumn(col, array_to_vector(F.transform(vector_to_array(F.col(col)), lambda v: v * F.lit(float(factor)))))
 
 
 def split_part(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -42,8 +56,10 @@ def split_part(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("part", F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test"))
 
 
-def fit_members(train: DataFrame, features: str = "features", label: str = "label", weight: str | None = None):
-    """Four diverse members (depth, trees, learning rate, family)."""
+def fit_members(train: DataFrame, features: str = "features", label: str = "label", weight: str | None = None,
+                only: Sequence[str] | None = None):
+    """Four diverse tree members (depth, trees, learning rate, family) and a linear one that
+    explains (it has no vote)."""
     kw = {"featuresCol": features, "labelCol": label}
     if weight:
         kw["weightCol"] = weight
@@ -51,9 +67,10 @@ def fit_members(train: DataFrame, features: str = "features", label: str = "labe
         "rf_shallow": RandomForestClassifier(numTrees=30, maxDepth=4, seed=1, **kw),
         "rf_deep": RandomForestClassifier(numTrees=20, maxDepth=8, seed=2, **kw),
         "gbt": GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.2, seed=3, **kw),
+        "gbt_slow": GBTClassifier(maxIter=20, maxDepth=2, stepSize=0.1, seed=4, **kw),
         "logreg": LogisticRegression(maxIter=50, regParam=0.01, **kw),
     }
-    return {name: est.fit(train) for name, est in members.items()}
+    return {name: est.fit(train) for name, est in members.items() if only is None or name in only}
 
 
 def member_scores(df: DataFrame, models: dict, features: str = "features") -> DataFrame:
@@ -90,6 +107,13 @@ def decide(df: DataFrame, threshold: float = 0.5, score: str = "calibrated") ->
             .withColumn("threshold", F.lit(threshold)))
 
 
+def decide_presets(df: DataFrame, presets: dict[str, float], score: str = "calibrated") -> DataFrame:
+    """Flagged and all rows at each named threshold, in one scan."""
+    rows = F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(t).alias("threshold"), (F.col(score) >= t).alias("_f")) for n, t in presets.items()])
+    return df.select(F.inline(rows)).groupBy("preset", "threshold").agg(
+        F.count_if("_f").alias("flagged"), F.count(F.lit(1)).alias("total"))
+
+
 def stack_members(train: DataFrame, members: Sequence[str], label: str = "label"):
     va = VectorAssembler(inputCols=[f"p_{m}" for m in members], outputCol="_meta")
     lr = LogisticRegression(featuresCol="_meta", labelCol=label, predictionCol="_stack_pred",
@@ -101,16 +125,13 @@ def fp_drivers(df: DataFrame, lr_model, features: str = "features", label: str =
                k: int = 3, names: Sequence[str] | None = None) -> DataFrame:
     """Share of false positives having each feature among their top-k positive
     contributions, with linear contributions coef_i * x_i (a linear stand-in
-    for tree explanations).  Per row, the ranking is over the feature count
-    only (a bounded group), computed with posexplode + a per-row rank."""
+    for tree explanations); a row's contributions are ranked in its own array."""
     coef = [float(c) for c in lr_model.coefficients.toArray()]
     arr = F.array(*[F.lit(c) for c in coef])
-    fp = df.filter(F.col(pred) & (F.col(label) == 0)).select(
-        F.monotonically_increasing_id().alias("_rid"), vector_to_array(F.col(features)).alias("_x"))
-    contrib = fp.select("_rid", F.posexplode(F.zip_with("_x", arr, lambda x, c: x * c)).alias("feature", "contribution"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("_rid").orderBy(F.desc("contribution"), "feature")
-    top = contrib.filter(F.col("contribution") > 0).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    fp = df.filter(F.col(pred) & (F.col(label) == 0)).select(vector_to_array(F.col(features)).alias("_x"))
+    parts = F.zip_with("_x", arr, lambda x, c: x * c)
+    ranked = F.array_sort(F.filter(F.transform(parts, lambda v, i: F.struct((-v).alias("v"), i.alias("feature"))), lambda s: s["v"] < 0))
+    top = fp.select(F.explode(F.slice(ranked, 1, k)).alias("t")).select("t.feature")
     n_fp = fp.select(F.count(F.lit(1))).scalar()
     out = top.groupBy("feature").agg(F.count(F.lit(1)).alias("n_fp_top"))
     out = out.withColumn("share", F.round(F.try_divide(F.col("n_fp_top"), n_fp), 6))

@@ -8,10 +8,12 @@ from ..functions import text as TX
 from ..operators import corpus as C
 from ..sources.fixed import INGEST_EXTENSIONS, MAX_FILE_SIZE, PARSER_EXTENSIONS, SKIP_DIRS
 from . import views as V
-from .registry import register
+from .registry import REGISTRY, register
 
-WS_HASH_SQL = "sha256(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
-STRIP_SQL = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+WS = TX.WS_RE2.replace("{", "{{").replace("}", "}}")
+WS_HASH_SQL = "sha256(trim(regexp_replace({c}, '[" + WS + "]+', ' ', 'g')))"
+STRIP_SQL = "regexp_replace({c}, '\\A[" + WS + "]+|[" + WS + "]+\\z', '', 'g')"
+BLANK_SQL = "regexp_matches({c}, '\\A[" + WS + "]*\\z')"
 COMMENT_SQL = ("regexp_replace({c}, '(\"[^\"]*(?:\"|\\z)|''[^'']*(?:''|\\z))|//[^\\n]*|/\\*[\\s\\S]*?(?:\\*/|\\z)', "
                "'\\1', 'g')")
 KEEP_LANGS = ["en", "fr"]
@@ -24,7 +26,7 @@ def _deduped(spark, d):
 
 
 DEDUP_SQL = f"""
-WITH c AS (SELECT *, {WS_HASH_SQL.format(c='code')} AS hash FROM v_corpus WHERE length(trim(code)) > 0),
+WITH c AS (SELECT *, {WS_HASH_SQL.format(c='code')} AS hash FROM v_corpus WHERE NOT {BLANK_SQL.format(c='code')}),
 dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ordinal) AS rn FROM c) WHERE rn = 1)
 """
 
@@ -85,26 +87,27 @@ def fill_rates(spark, d):
     return C.fill_rates(V.v_corpus(spark, d), ["label_cwe", "label_cve", "label_binary"])
 
 
-def _zenodo_reason():
-    lang = C.normalize_language("programming_language")
-    code = TX.strip_ws(F.coalesce(F.col("vul_code"), F.lit("")))
-    return (F.when(code == "", F.lit("skipped_empty_code"))
-            .when(~lang.isin(*C.VALID_LANGUAGES), F.concat(F.lit("skipped_language_"), lang))
-            .otherwise(F.lit("success")))
+_LANG_SQL = """CASE WHEN programming_language IS NULL OR lower(trim(programming_language)) = '' THEN 'unknown'
+   WHEN lower(trim(programming_language)) = 'c++' THEN 'cpp' ELSE lower(trim(programming_language)) END"""
+_FUNC_SQL = f"CASE WHEN func IS NULL THEN 'error' WHEN {BLANK_SQL.format(c='func')} THEN 'skipped_empty_code' ELSE 'success' END"
 
 
 @register("skip_reasons", f"""
-WITH r AS (SELECT CASE WHEN {STRIP_SQL.format(c="coalesce(vul_code, '')")} = '' THEN 'skipped_empty_code'
-   WHEN (CASE WHEN programming_language IS NULL OR lower(trim(programming_language)) = '' THEN 'unknown'
-              WHEN lower(trim(programming_language)) = 'c++' THEN 'cpp' ELSE lower(trim(programming_language)) END)
-        NOT IN ('c', 'cpp')
-   THEN 'skipped_language_' || (CASE WHEN programming_language IS NULL OR lower(trim(programming_language)) = '' THEN 'unknown'
-              WHEN lower(trim(programming_language)) = 'c++' THEN 'cpp' ELSE lower(trim(programming_language)) END)
-   ELSE 'success' END AS reason FROM v_raw_zenodo)
-SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+SELECT dataset, reason, count(*) AS n FROM (
+  SELECT 'zenodo' AS dataset, CASE WHEN {BLANK_SQL.format(c="coalesce(vul_code, '')")} THEN 'skipped_empty_code'
+     WHEN ({_LANG_SQL}) NOT IN ('c', 'cpp') THEN 'skipped_language_' || ({_LANG_SQL}) ELSE 'success' END AS reason FROM v_raw_zenodo
+  UNION ALL SELECT 'devign', {_FUNC_SQL} FROM v_raw_devign
+  UNION ALL SELECT 'diversevul', {_FUNC_SQL} FROM v_raw_diversevul
+  UNION ALL SELECT 'megavul', {_FUNC_SQL} FROM v_raw_megavul) u GROUP BY 1, 2""")
 def skip_reasons(spark, d):
-    """Accepted + per-reason rejects in one aggregate pass (no accumulators)."""
-    return V.v_raw_zenodo(spark, d).select(_zenodo_reason().alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """A4: accepted and rejected records by reason, for each raw dataset (no accumulators)."""
+    parts = [("zenodo", V.v_raw_zenodo, C.reason_zenodo()), ("devign", V.v_raw_devign, C.reason_func()),
+             ("diversevul", V.v_raw_diversevul, C.reason_func()), ("megavul", V.v_raw_megavul, C.reason_func())]
+    out = None
+    for name, view, reason in parts:
+        q = C.skip_reasons(view(spark, d), reason).withColumn("dataset", F.lit(name))
+        out = q if out is None else out.unionByName(q)
+    return out
 
 
 # -------------------------------------------------------------- normalisers
@@ -171,13 +174,23 @@ def path_labels(spark, d):
     return C.with_path_labels(V.v_labelled_files(spark, d)).select("page_id", "path", "category", "label")
 
 
+_LF_REASON = f"""CASE WHEN category IS NULL THEN 'no_category' WHEN label IS NULL THEN 'no_label'
+  WHEN content IS NULL OR {BLANK_SQL.format(c='content')} THEN 'empty' WHEN length(content) > 100000 THEN 'too_long' END"""
+
+
 @register("normalize_labelled", f"""WITH {LF_SQL}
-SELECT content AS func, CAST(label AS INTEGER) AS target, project, commit_id, path AS file_path
-FROM lf WHERE length(trim(content)) > 0 AND length(content) <= 100000""")
+SELECT content AS func, CAST(label AS INTEGER) AS target, 'suite' AS project, category AS commit_id, fname AS file_path
+FROM lf WHERE ({_LF_REASON}) IS NULL""")
 def normalize_labelled(spark, d):
     return C.normalize_labelled(C.with_path_labels(V.v_labelled_files(spark, d)))
 
 
+@register("skipped_labelled", f"WITH {LF_SQL} SELECT path, {_LF_REASON} AS reason FROM lf WHERE ({_LF_REASON}) IS NOT NULL")
+def skipped_labelled(spark, d):
+    """P5's other half: the files it leaves out, with the reason."""
+    return C.skipped_labelled(C.with_path_labels(V.v_labelled_files(spark, d)))
+
+
 def _split_values_sql():
     rows = C.split_map_rows()
     return "(VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in rows) + ") AS sm(category, split)"
@@ -202,12 +215,12 @@ def category_label_counts(spark, d):
 
 
 @register("split_categories_common", f"""WITH {LF_SQL},
-s AS (SELECT lf.category, sm.split FROM lf JOIN {_split_values_sql()} ON lf.category = sm.category)
-SELECT category FROM s WHERE split = 'train' INTERSECT SELECT category FROM lf WHERE label = 1""")
+u AS (SELECT category, CAST(('0x' || substr(sha256('42:' || CAST(page_id AS VARCHAR)), 1, 12))::UBIGINT AS DOUBLE) / CAST(16 ^ 12 AS DOUBLE) AS u FROM lf)
+SELECT category FROM u WHERE u < 0.8 INTERSECT SELECT category FROM u WHERE u >= 0.9""")
 def split_categories_common(spark, d):
-    lf = C.with_path_labels(V.v_labelled_files(spark, d))
-    train = C.assign_category_split(lf).filter(F.col("split") == "train").select("category")
-    return train.intersect(lf.filter(F.col("label") == 1).select("category"))
+    """Categories that the train and the test part of a random split share."""
+    s = C.hash_bucket_split(C.with_path_labels(V.v_labelled_files(spark, d)), "page_id", fracs=(0.8, 0.1, 0.1))
+    return C.split_categories_common(s.filter("split = 'train'"), s.filter("split = 'test'"))
 
 
 @register("category_sample", f"""WITH {LF_SQL},
@@ -244,17 +257,18 @@ def snippet(spark, d):
 
 @register("clean_code", f"""
 SELECT page_id, sha256(c) AS cleaned_hash, length(c) AS cleaned_len
-FROM (SELECT page_id, trim(regexp_replace({COMMENT_SQL.format(c='content')}, '\\s+', ' ', 'g')) AS c FROM v_files)""")
+FROM (SELECT page_id, trim(regexp_replace({COMMENT_SQL.format(c='content')}, '[{TX.WS_RE2}]+', ' ', 'g')) AS c FROM v_files)""")
 def clean_code(spark, d):
     f = C.clean_code(V.v_files(spark, d), "content", "c")
     return f.select("page_id", F.sha2("c", 256).alias("cleaned_hash"), F.length("c").alias("cleaned_len"))
 
 
-@register("text_metrics", """
+@register("text_metrics", f"""
 SELECT id, len(string_split(code, chr(10))) AS total_lines,
-       len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) AS non_empty_lines,
+       len(list_filter(string_split(code, chr(10)), lambda x: NOT {BLANK_SQL.format(c='x')})) AS non_empty_lines,
        length(code) AS n_chars,
-       round(CAST(length(code) AS DOUBLE) / CAST(len(string_split(code, chr(10))) AS DOUBLE), 6) AS avg_line_length
+       round(CAST(list_sum(list_transform(string_split(code, chr(10)), lambda x: length(x))) AS DOUBLE)
+             / CAST(len(string_split(code, chr(10))) AS DOUBLE), 6) AS avg_line_length
 FROM v_corpus""")
 def text_metrics(spark, d):
     m = C.text_metrics(V.v_corpus(spark, d))
@@ -285,32 +299,45 @@ def function_length(spark, d):
     return C.function_length(V.v_units(spark, d)).select("uid")
 
 
-def _skip_reason():
-    path = F.col("path")
-    segs = F.split(F.regexp_replace(path, r"^[a-z]+://[^/]*", ""), "/")
-    dirs = F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0)))
-    ext = TX.extension(path)
-    return (F.when(F.exists(dirs, lambda s: s.isin(*SKIP_DIRS)), F.lit("skip_dir"))
-            .when(F.exists(dirs, lambda s: s.startswith(".") & (F.length(s) > 1)), F.lit("hidden_dir"))
-            .when(~ext.isin(*INGEST_EXTENSIONS.keys()), F.lit("extension"))
-            .when(F.col("size") > MAX_FILE_SIZE, F.lit("too_large"))
-            .otherwise(F.lit("accepted")))
-
-
-@register("source_file_filter", f"""
+_F6_SQL = f"""
 WITH s AS (SELECT *, string_split(regexp_replace(path, '^[a-z]+://[^/]*', ''), '/') AS segs,
                   lower(regexp_extract(regexp_extract(path, '([^/\\\\]*)$', 1), '(\\.[^./]+)$', 1)) AS ext
            FROM (SELECT page_id, path, size FROM v_labelled_files JOIN (SELECT page_id, size FROM v_files) USING (page_id))),
-t AS (SELECT *, list_slice(segs, 1, greatest(len(segs) - 1, 0)) AS dirs FROM s)
-SELECT CASE WHEN len(list_filter(dirs, lambda x: x IN ({', '.join(repr(x) for x in SKIP_DIRS)}))) > 0 THEN 'skip_dir'
+t AS (SELECT *, list_slice(segs, 1, greatest(len(segs) - 1, 0)) AS dirs FROM s),
+r AS (SELECT page_id, path, ext, CASE WHEN len(list_filter(dirs, lambda x: x IN ({', '.join(repr(x) for x in SKIP_DIRS)}))) > 0 THEN 'skip_dir'
             WHEN len(list_filter(dirs, lambda x: starts_with(x, '.') AND length(x) > 1)) > 0 THEN 'hidden_dir'
             WHEN ext NOT IN ({', '.join(repr(x) for x in INGEST_EXTENSIONS)}) THEN 'extension'
-            WHEN size > {MAX_FILE_SIZE} THEN 'too_large' ELSE 'accepted' END AS reason, count(*) AS n
-FROM t GROUP BY 1""")
+            WHEN size > {{max_size}} THEN 'too large (' || format('{{{{:,}}}}', size) || ' bytes)' END AS reason FROM t)
+"""
+_SMALL = 5000  # a size rule that some pages break
+
+
+def _sized_files(spark, d):
+    return V.v_labelled_files(spark, d).join(V.v_files(spark, d).select("page_id", "size"), "page_id")
+
+
+@register("source_file_filter", _F6_SQL.format(max_size=MAX_FILE_SIZE) + """
+SELECT coalesce(CASE WHEN starts_with(reason, 'too large') THEN 'too large' ELSE reason END, 'accepted') AS reason, count(*) AS n FROM r GROUP BY 1""")
 def source_file_filter(spark, d):
-    """Reason column first, then counts; accepted/skipped tables are two filters of it."""
-    lf = V.v_labelled_files(spark, d).join(V.v_files(spark, d).select("page_id", "size"), "page_id")
-    return lf.select(_skip_reason().alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """files by reason; one pass."""
+    r = F.coalesce(C.source_file_reason("path"), F.lit("accepted"))
+    return _sized_files(spark, d).groupBy(F.when(r.startswith("too large"), "too large").otherwise(r).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("accepted_files", _F6_SQL.format(max_size=MAX_FILE_SIZE) + f"""
+SELECT page_id, path, CASE ext {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in INGEST_EXTENSIONS.items())} END AS language
+FROM r WHERE reason IS NULL""")
+def accepted_files(spark, d):
+    return C.accepted_files(_sized_files(spark, d), "path").select("page_id", "path", "language")
+
+
+@register("skipped_files", _F6_SQL.format(max_size=_SMALL) + "SELECT path, reason FROM r WHERE starts_with(reason, 'too large')")
+def skipped_files(spark, d):
+    """The reported half of F6, under a size rule of 5,000 bytes."""
+    f = _sized_files(spark, d)
+    r = C.source_file_reason("path", max_size=_SMALL)
+    return f.select("path", r.alias("reason")).filter(F.col("reason").startswith("too large"))
 
 
 # -------------------------------------------------------------- weights, balance, split
@@ -376,6 +403,16 @@ def stratified_split(spark, d):
     return _split(spark, d)
 
 
+@register("stratified_split_null", """
+WITH c AS (SELECT id, label_cwe, sha256('42:' || id) AS h FROM v_corpus),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_cwe ORDER BY h, id) AS rk, count(*) OVER (PARTITION BY label_cwe) AS n FROM c)
+SELECT id, label_cwe, CASE WHEN rk <= floor(n * 0.8) THEN 'train'
+       WHEN rk <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r""")
+def stratified_split_null(spark, d):
+    """W4 by category, where rows without one are a stratum of their own."""
+    return C.stratified_split(V.v_corpus(spark, d).select("id", "label_cwe"), ["label_cwe"])
+
+
 @register("split_label_counts", SPLIT_SQL + """
 SELECT split, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS pct,
        count_if(label_binary = 1) AS n_vulnerable, count_if(label_binary = 0) AS n_safe
@@ -471,10 +508,8 @@ WITH t AS (SELECT len(regexp_extract_all(code, '\\w+|[^\\w\\s]', 0)) AS n FROM v
 k AS (SELECT CASE WHEN n <= 510 THEN 1 ELSE 1 + CAST(ceil((n - 510) / 256) AS INTEGER) END AS k FROM t)
 SELECT count_if(k = 1) AS single_chunk, count_if(k > 1) AS multi_chunk, CAST(sum(k) AS BIGINT) AS total_chunks FROM k""")
 def chunk_stats(spark, d):
-    t = V.v_corpus(spark, d).select(F.size(TX.regex_tokens("code", TOKEN_RE)).alias("n"))
-    k = t.select(F.when(F.col("n") <= 510, 1).otherwise(1 + F.ceil((F.col("n") - 510) / F.lit(256)).cast("int")).alias("k"))
-    return k.agg(F.count_if(F.col("k") == 1).alias("single_chunk"), F.count_if(F.col("k") > 1).alias("multi_chunk"),
-                 F.sum("k").cast("long").alias("total_chunks"))
+    t = V.v_corpus(spark, d).select("id", TX.regex_tokens("code", TOKEN_RE).alias("tokens"))
+    return C.chunk_stats(t)
 
 
 @register("pad_truncate", """
@@ -577,7 +612,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label_binary ORDER BY sha256('42
              count(*) OVER (PARTITION BY label_binary) AS n FROM us),
 sp AS (SELECT id, label_binary, CASE WHEN rk <= floor(n * 0.8) THEN 'train'
                   WHEN rk <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r),
-tk AS (SELECT sp.*, len(regexp_extract_all(trim(regexp_replace({COMMENT_SQL.format(c='v.code')}, '\\s+', ' ', 'g')),
+tk AS (SELECT sp.*, len(regexp_extract_all(trim(regexp_replace({COMMENT_SQL.format(c='v.code')}, '[{TX.WS_RE2}]+', ' ', 'g')),
                                            '\\w+|[^\\w\\s]', 0)) AS n_tokens
        FROM sp JOIN v_corpus v USING (id))
 SELECT id, label_binary, split, n_tokens,
@@ -591,6 +626,20 @@ def prepare_corpus(spark, d):
     sp = C.stratified_split(bal, ["label_binary"])
     code = C.clean_code(c.select("id", "code"))
     tok = C.tokenize(sp.join(code, "id"), "code", out="tokens")
-    n = F.size("tokens")
-    return tok.select("id", "label_binary", "split", n.alias("n_tokens"),
-                      F.when(n <= 510, 1).otherwise(1 + F.ceil((n - 510) / F.lit(256)).cast("int")).alias("n_chunks"))
+    return tok.select("id", "label_binary", "split", F.size("tokens").alias("n_tokens"), C.n_windows(F.size("tokens")).alias("n_chunks"))
+
+
+@register("preparation_funnel", None)
+def preparation_funnel(spark, d):
+    """A10, last steps: balanced rows, single and multiple chunks, all chunks, and chunks per split."""
+    p = prepare_corpus(spark, d)
+    per = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n_chunks"))), F.lit(0)).cast("long")
+    return p.agg(F.count(F.lit(1)).alias("n_balanced"), F.count_if(F.col("n_chunks") == 1).alias("single_chunks"),
+                 F.count_if(F.col("n_chunks") > 1).alias("multi_chunks"), F.sum("n_chunks").cast("long").alias("total_chunks"),
+                 per("train").alias("train"), per("val").alias("val"), per("test").alias("test"))
+
+
+REGISTRY["preparation_funnel"] = (preparation_funnel, f"""SELECT count(*) AS n_balanced, count_if(n_chunks = 1) AS single_chunks,
+  count_if(n_chunks > 1) AS multi_chunks, CAST(sum(n_chunks) AS BIGINT) AS total_chunks,
+  CAST(coalesce(sum(n_chunks) FILTER (split = 'train'), 0) AS BIGINT) AS train, CAST(coalesce(sum(n_chunks) FILTER (split = 'val'), 0) AS BIGINT) AS val,
+  CAST(coalesce(sum(n_chunks) FILTER (split = 'test'), 0) AS BIGINT) AS test FROM ({REGISTRY['prepare_corpus'][1]}) pc""")

@@ -71,11 +71,7 @@ WITH c AS ({conf_sql('score >= 0.5')})
 SELECT 0 AS class, {_div('tn', 'tn + fn')} AS "precision", {_div('tn', 'tn + fp')} AS recall FROM c
 UNION ALL SELECT 1, {_div('tp', 'tp + fp')}, {_div('tp', 'tp + fn')} FROM c""")
 def class_metrics(spark, d):
-    m = EV.with_metrics(EV.confusion(_scored(spark, d), EV.flag("score", 0.5)))
-    neg = m.select(F.lit(0).alias("class"), EV._div(F.col("tn"), F.col("tn") + F.col("fn")).alias("precision"),
-                   EV._div(F.col("tn"), F.col("tn") + F.col("fp")).alias("recall"))
-    pos = m.select(F.lit(1).alias("class"), "precision", "recall")
-    return neg.unionByName(pos)
+    return EV.class_metrics(_scored(spark, d), EV.flag("score", 0.5))
 
 
 @register("roc_auc", """
@@ -102,8 +98,7 @@ def pr_auc(spark, d):
 
 @register("brier", "SELECT round(avg((score - label) * (score - label)), 6) AS brier FROM v_scored")
 def brier(spark, d):
-    s = _scored(spark, d)
-    return s.agg(F.round(F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))), 6).alias("brier"))
+    return EV.brier(_scored(spark, d))
 
 
 @register("threshold_sweep", f"SELECT threshold, {METRIC_COLS_SQL} FROM ({SWEEP_SQL}) x")
@@ -163,13 +158,7 @@ CAT = "coalesce(category, 'Unknown')"
     f"SELECT {CAT} AS category, count(*) AS n, " + conf_sql("score >= 0.5").replace("SELECT ", "", 1)
     + f" GROUP BY {CAT}"))
 def metrics_by_category(spark, d):
-    s = _scored(spark, d).withColumn("category", F.coalesce("category", F.lit("Unknown")))
-    y = F.col("label") == 1
-    pred = EV.flag("score", 0.5)
-    c = s.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~pred & ~y).alias("tn"), F.count_if(pred & ~y).alias("fp"),
-        F.count_if(~pred & y).alias("fn"), F.count_if(pred & y).alias("tp"))
-    return EV.with_metrics(c)
+    return EV.metrics_by_category(_scored(spark, d), EV.flag("score", 0.5))
 
 
 @register("top_categories", "SELECT category, f1 FROM (" + metrics_sql(
@@ -198,44 +187,39 @@ SELECT metric, run_a, run_b, run_b - run_a AS delta,
        CASE WHEN run_a = 0 THEN NULL ELSE round((run_b - run_a) / run_a * 100.0, 6) END AS pct FROM l""")
 def metrics_delta(spark, d):
     """Run-to-run change: threshold .5 (run a) vs .4 (run b), per metric, in one pass."""
-    s = _scored(spark, d).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run"), "score", "label")
-    pred = F.when(F.col("run") == "a", F.col("score") >= 0.5).otherwise(F.col("score") >= 0.4)
-    m = EV.with_metrics(EV.confusion(s, pred, by=["run"]))
-    long = m.select("run", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in ("precision", "recall", "f1")])).alias("r"))
-    w = long.groupBy(F.col("r.metric").alias("metric")).agg(
-        F.max(F.when(F.col("run") == "a", F.col("r.v"))).alias("run_a"),
-        F.max(F.when(F.col("run") == "b", F.col("r.v"))).alias("run_b"))
-    delta = F.col("run_b") - F.col("run_a")
-    return w.withColumn("delta", delta).withColumn(
-        "pct", F.when(F.col("run_a") == 0, F.lit(None)).otherwise(F.round(delta / F.col("run_a") * 100.0, 6)))
+    return EV.metrics_delta(_scored(spark, d), EV.flag("score", 0.5), EV.flag("score", 0.4))
 
 
 @register("weighted_vote", "SELECT id, score FROM v_scored")
 def weighted_vote(spark, d):
-    return _scored(spark, d).select("id", "score")
+    from ..operators import scoring as SC
+    names = [f"s{i}" for i in range(1, 5)]
+    s = _scored(spark, d).drop("score").withColumnsRenamed({n: f"p_{n}" for n in names})
+    return SC.weighted_vote(s, dict(zip(names, V.MEMBER_WEIGHTS))).select("id", "score")
 
 
 @register("decide_presets", " UNION ALL ".join(
     f"SELECT '{n}' AS preset, {t} AS threshold, count_if(score >= {t}) AS flagged, count(*) AS total FROM v_scored"
     for n, t in PRESETS))
 def decide_presets(spark, d):
-    s = _scored(spark, d)
-    out = None
-    for n, t in PRESETS:
-        q = s.agg(F.lit(n).alias("preset"), F.lit(t).alias("threshold"), F.count_if(F.col("score") >= t).alias("flagged"),
-                  F.count(F.lit(1)).alias("total"))
-        out = q if out is None else out.unionByName(q)
-    return out
+    """M5 at the three presets: one scan, one row a preset and example."""
+    from ..operators import scoring as SC
+    return SC.decide_presets(_scored(spark, d), dict(PRESETS), score="score")
 
 
 @register("down_weight_noise", """
 SELECT id, CASE WHEN (label = 0 AND score > 0.8) OR (label = 1 AND score < 0.2) THEN 0.3 ELSE 1.0 END AS weight,
        (label = 0 AND score > 0.8) OR (label = 1 AND score < 0.2) AS is_noise FROM v_scored""")
 def down_weight_noise(spark, d):
-    s = _scored(spark, d)
-    noise = ((F.col("label") == 0) & (F.col("score") > 0.8)) | ((F.col("label") == 1) & (F.col("score") < 0.2))
-    return s.select("id", F.when(noise, 0.3).otherwise(1.0).alias("weight"), noise.alias("is_noise"))
+    return EV.noise_weights(_scored(spark, d)).select("id", "weight", "is_noise")
+
+
+@register("review_list", """
+SELECT id, score, label FROM v_scored WHERE (label = 0 AND score > 0.8) OR (label = 1 AND score < 0.2)
+ORDER BY abs(score - label) DESC, id LIMIT 50""")
+def review_list(spark, d):
+    """M8: the 50 surest contradictions of label and score, to be looked at by hand."""
+    return EV.review_list(_scored(spark, d)).select("id", "score", "label")
 
 
 @register("loss_metrics", """
@@ -302,22 +286,6 @@ def max_over_windows(spark, d):
 @register("joint_optimise")
 def joint_optimise(spark, d, rounds: int = 3, tol: float = 1e-4):
     """Alternate weight grid (at the current threshold) and threshold sweep
-    (at the current weights) until the F1 gain is below ``tol``.  Rows stay
-    distributed and cached; only the 969- and 200-row results reach the driver."""
-    s = V.v_scored(spark, d).select("label", "s1", "s2", "s3", "s4").cache()
-    weights, thr, best = (0.3, 0.25, 0.25, 0.2), 0.5, -1.0
-    hist = []
-    for r in range(rounds):
-        g = EV.weight_grid(s, ["s1", "s2", "s3", "s4"], threshold=thr)
-        top = g.orderBy(F.desc("f1"), "vid").select("w1", "w2", "w3", "w4", "f1").first()
-        weights = (top.w1, top.w2, top.w3, top.w4)
-        vote = sum((F.lit(w) * F.col(f"s{i + 1}") for i, w in enumerate(weights)), F.lit(0.0))
-        sw = EV.threshold_sweep(s.withColumn("score", vote))
-        tb = EV.pick_threshold(sw).first()
-        gain = tb.best_f1 - best
-        thr, best = tb.best_f1_threshold, tb.best_f1
-        hist.append((r + 1, *weights, float(thr), float(best)))
-        if gain < tol:
-            break
-    s.unpersist()
-    return spark.createDataFrame(hist, "round int, w1 double, w2 double, w3 double, w4 double, threshold double, f1 double")
+    (at the current weights) until the F1 gain is below ``tol``."""
+    s = V.v_scored(spark, d).select("label", "s1", "s2", "s3", "s4")
+    return EV.joint_optimise(s, ["s1", "s2", "s3", "s4"], rounds, tol)

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import findings as FD
-from ..operators.helpers import global_rank
 from ..sources.fixed import (
-    CWE_CATEGORIES, CWE_DIM, SEVERITY_CONFIDENCE, SEVERITY_ORDER, UNKNOWN_CWE_MITIGATION, UNKNOWN_CWE_RECOMMENDATION,
+    CWE_CATEGORIES, CWE_DESCRIPTIONS, CWE_DIM, SEVERITY_CONFIDENCE, SEVERITY_ORDER, UNKNOWN_CWE_MITIGATION, UNKNOWN_CWE_RECOMMENDATION,
     XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS, sql_values,
 )
 from . import views as V
@@ -18,7 +17,8 @@ from .registry import register
 _q = lambda xs: ", ".join("'" + x + "'" for x in xs)
 V.SQL_VIEWS.update({
     "v_dim": ([], "SELECT * FROM " + sql_values(
-        CWE_DIM, ["cwe_id", "cwe_name", "dim_severity", "cvss", "mitigation", "example_fix"])),
+        [(*r, t) for r, t in zip(CWE_DIM, CWE_DESCRIPTIONS)],
+        ["cwe_id", "cwe_name", "dim_severity", "cvss", "mitigation", "example_fix", "description"])),
     "v_cats": ([], "SELECT category, unnest(cwe_ids) AS cwe_id FROM " + sql_values(
         [(c, ids) for c, ids in CWE_CATEGORIES], ["category", "cwe_ids"])),
     "v_map": (["v_findings", "v_units"], """
@@ -84,8 +84,8 @@ def _mapped(spark, d):
 
 
 def _fu(spark, d):
-    u, f, m = _mapped(spark, d)
-    return u, FD.attach_units(f, m)
+    u = _units(spark, d)
+    return u, FD.attach_units(_findings(spark, d, u), u)
 
 
 def _merged(spark, d):
@@ -131,11 +131,11 @@ def flagged_units(spark, d):
 @register("enrich_findings", f"""
 SELECT f.finding_id, f.cwe_id, d.cwe_name, d.dim_severity, d.cvss AS severity_score,
        CASE WHEN d.cwe_name IS NOT NULL THEN d.mitigation ELSE '{UNKNOWN_CWE_MITIGATION}' END AS mitigation,
-       CASE WHEN d.cwe_name IS NOT NULL THEN d.example_fix ELSE '{UNKNOWN_CWE_RECOMMENDATION}' END AS recommendation
+       CASE WHEN d.cwe_name IS NOT NULL THEN d.example_fix ELSE '{UNKNOWN_CWE_RECOMMENDATION}' END AS recommendation, d.description
 FROM v_findings f LEFT JOIN v_dim d USING (cwe_id)""")
 def enrich_findings(spark, d):
     e = FD.enrich_findings(_findings(spark, d))
-    return e.select("finding_id", "cwe_id", "cwe_name", "dim_severity", "severity_score", "mitigation", "recommendation")
+    return e.select("finding_id", "cwe_id", "cwe_name", "dim_severity", "severity_score", "mitigation", "recommendation", "description")
 
 
 @register("unit_verdict", "SELECT uid, n_findings, max_confidence, max_severity, is_vulnerable FROM v_verdict")
@@ -150,23 +150,48 @@ def static_results(spark, d):
 
 @register("static_summary", """
 SELECT 'total' AS kind, 'functions' AS key, count(*) AS value FROM v_results
-UNION ALL SELECT 'total', 'vulnerable_functions', count_if(is_vulnerable) FROM v_results
+UNION ALL SELECT 'total', 'vulnerable', count_if(is_vulnerable) FROM v_results
+UNION ALL SELECT 'total', 'safe', count_if(NOT is_vulnerable) FROM v_results
 UNION ALL SELECT 'total', 'findings', count(*) FROM v_merged
 UNION ALL SELECT 'tool', tool, count(*) FROM v_merged GROUP BY tool
-UNION ALL SELECT 'cwe', cwe_id, count(*) FROM v_merged WHERE cwe_id IS NOT NULL GROUP BY cwe_id""")
+UNION ALL SELECT 'cwe', label, count(DISTINCT uid) FROM (
+  SELECT m.uid, m.cwe_id || ': ' || coalesce(d.cwe_name, 'None') AS label
+  FROM v_merged m LEFT JOIN v_dim d USING (cwe_id) WHERE m.cwe_id IS NOT NULL) c GROUP BY label""")
 def static_summary(spark, d):
-    """Totals, per-tool counts and CWE frequency in long form (kind, key, value)."""
-    u, m = _merged(spark, d)
-    r = FD.static_results(u, m)
-    tot = r.agg(F.count(F.lit(1)).alias("functions"), F.count_if("is_vulnerable").alias("vulnerable_functions"))
-    t1 = tot.select(F.lit("total").alias("kind"), F.lit("functions").alias("key"), F.col("functions").alias("value"))
-    t2 = tot.select(F.lit("total").alias("kind"), F.lit("vulnerable_functions").alias("key"),
-                    F.col("vulnerable_functions").alias("value"))
-    t3 = m.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total").alias("kind"), F.lit("findings").alias("key"), "value")
-    t4 = m.groupBy(F.col("tool").alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("tool").alias("kind"), "key", "value")
-    t5 = (m.filter(F.col("cwe_id").isNotNull()).groupBy(F.col("cwe_id").alias("key")).agg(F.count(F.lit(1)).alias("value"))
-          .select(F.lit("cwe").alias("kind"), "key", "value"))
-    return t1.unionByName(t2).unionByName(t3).unionByName(t4).unionByName(t5)
+    """Totals, findings per tool, units per cwe_types entry (kind, key, value)."""
+    return FD.static_summary(FD.static_report(*_merged(spark, d)))
+
+
+@register("static_report", """
+WITH fj AS (SELECT m.uid, string_agg(m.tool || '|' || m.message || '|' || m.severity || '|' || coalesce(m.cwe_id, 'N/A') || '|' || coalesce(d.cwe_name, ''),
+                                     '; ' ORDER BY m.line, m.finding_id) AS findings
+            FROM v_merged m LEFT JOIN v_dim d USING (cwe_id) GROUP BY m.uid)
+SELECT r.uid, r.function_name, r.file_path, r.start_line AS line_number,
+       CASE WHEN length(u.code) > 500 THEN substr(u.code, 1, 500) || '...' ELSE u.code END AS code_snippet,
+       r.is_vulnerable AS static_vulnerable, r.confidence AS static_confidence, r.severity,
+       coalesce(fj.findings, '') AS static_findings, r.cwe_types
+FROM v_results r JOIN v_units u USING (uid) LEFT JOIN fj USING (uid)""")
+def static_report(spark, d):
+    """The nested report rows, the nested parts printed."""
+    r = FD.static_report(*_merged(spark, d))
+    one = lambda x: F.concat_ws("|", x["tool"], x["message"], x["severity"], F.coalesce(x["cwe_id"], F.lit("N/A")), F.coalesce(x["cwe_name"], F.lit("")))
+    return (r.withColumn("static_findings", F.array_join(F.transform("static_findings", one), "; "))
+            .withColumn("cwe_types", F.array_join("cwe_types", "; ")))
+
+
+@register("report_metadata", """
+SELECT (SELECT count(*) FROM v_files) AS files, (SELECT count(*) FROM v_results) AS functions,
+       (SELECT count_if(is_vulnerable) FROM v_results) AS static_vulnerable, (SELECT count_if(NOT is_vulnerable) FROM v_results) AS static_safe,
+       (SELECT count_if(score >= 0.5) FROM v_scored) AS ml_vulnerable, (SELECT count_if(NOT (score >= 0.5)) FROM v_scored) AS ml_safe,
+       CAST(0.5 AS DOUBLE) AS threshold, 'ensemble' AS ml_model""")
+def report_metadata(spark, d):
+    """Metadata and both summaries of a report (its time stamp left out)."""
+    r = FD.report_metadata(FD.static_report(*_merged(spark, d)), _ml(spark, d), V.v_files(spark, d), 0.5)
+    return r.select(
+        F.col("metadata.total_files_analyzed").alias("files"), F.col("metadata.total_functions_analyzed").alias("functions"),
+        F.col("static_summary.total_vulnerable").alias("static_vulnerable"), F.col("static_summary.total_safe").alias("static_safe"),
+        F.col("ml_summary.total_vulnerable").alias("ml_vulnerable"), F.col("ml_summary.total_safe").alias("ml_safe"),
+        "metadata.threshold", "metadata.ml_model")
 
 
 @register("severity_histogram", f"""
@@ -180,7 +205,7 @@ def severity_histogram(spark, d):
 
 @register("findings_by_tool", "SELECT tool, count(*) AS n FROM v_findings GROUP BY tool")
 def findings_by_tool(spark, d):
-    return _findings(spark, d).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
+    return FD.findings_by_tool(_findings(spark, d))
 
 
 @register("category_rollup", """
@@ -224,14 +249,18 @@ def _report(spark, d):
 
 
 @register("resolve_report_paths", """
-WITH fl AS (SELECT DISTINCT file_path AS rel_path FROM v_units),
-ex AS (SELECT r.finding_id, r.path, fl.rel_path FROM v_report r JOIN fl ON r.path = fl.rel_path),
+WITH fl AS (SELECT DISTINCT file_path AS rel_path, '/abs/checkout/' || file_path AS abs_path FROM v_units WHERE file_path <> 'src3'
+            UNION SELECT DISTINCT 'x' || file_path, '/abs/checkout/x' || file_path FROM v_units WHERE file_path = 'src4'),
+ex AS (SELECT r.finding_id, r.path, min(fl.rel_path) AS rel_path FROM v_report r JOIN fl ON r.path = fl.abs_path GROUP BY 1, 2),
 sx AS (SELECT r.finding_id, r.path, min(fl.rel_path) AS rel_path FROM v_report r JOIN fl ON ends_with(r.path, fl.rel_path)
        WHERE r.finding_id NOT IN (SELECT finding_id FROM ex) GROUP BY r.finding_id, r.path)
 SELECT * FROM ex UNION ALL SELECT * FROM sx""")
 def resolve_report_paths(spark, d):
-    files = _units(spark, d).select(F.col("file_path").alias("rel_path"))
-    return FD.resolve_report_paths(_report(spark, d), files).select("finding_id", "path", "rel_path")
+    """Absolute path first, then the smallest rel_path that ends the report path."""
+    u = _units(spark, d).select("file_path").distinct()
+    names = u.filter("file_path <> 'src3'").union(u.filter("file_path = 'src4'").select(F.concat(F.lit("x"), "file_path")))
+    files = names.select(F.col("file_path").alias("rel_path"), F.concat(F.lit("/abs/checkout/"), "file_path").alias("abs_path"))
+    return FD.resolve_report_paths(_report(spark, d), files, abs_col="abs_path").select("finding_id", "path", "rel_path")
 
 
 # ------------------------------------------------------------------ tool noise filter
@@ -269,22 +298,19 @@ def tool_noise_filter(spark, d):
 # ------------------------------------------------------------------ ranking and UI filters
 @register("top_flagged", "SELECT uid, confidence FROM v_results WHERE is_vulnerable ORDER BY confidence DESC, uid LIMIT 20")
 def top_flagged(spark, d):
-    r = _results(spark, d)
-    return r.filter("is_vulnerable").orderBy(F.desc("confidence"), "uid").limit(20).select("uid", "confidence")
+    return FD.top_flagged(_results(spark, d), 20).select("uid", "confidence")
 
 
 @register("least_suspicious", "SELECT uid, confidence FROM v_results WHERE NOT is_vulnerable ORDER BY confidence, uid LIMIT 5")
 def least_suspicious(spark, d):
-    r = _results(spark, d)
-    return r.filter(~F.col("is_vulnerable")).orderBy("confidence", "uid").limit(5).select("uid", "confidence")
+    return FD.least_suspicious(_results(spark, d), 5).select("uid", "confidence")
 
 
 @register("ranked_results", """
 SELECT uid, row_number() OVER (ORDER BY is_vulnerable DESC, confidence DESC, uid) AS rank FROM v_results""")
 def ranked_results(spark, d):
     """Flagged first, then confidence desc: a distributed global rank (no single-partition window)."""
-    r = _results(spark, d).select("uid", (~F.col("is_vulnerable")).alias("_nf"), (-F.col("confidence")).alias("_nc"))
-    return global_rank(r, ["_nf", "_nc", "uid"], out_col="rank").select("uid", "rank")
+    return FD.ranked_results(_results(spark, d))
 
 
 @register("limit_files", "SELECT path, size FROM v_files ORDER BY path LIMIT 10")
@@ -296,18 +322,17 @@ def limit_files(spark, d):
 SELECT uid, line, finding_id, row_number() OVER (PARTITION BY uid ORDER BY line, finding_id) AS pos FROM v_merged""")
 def sort_findings(spark, d):
     _, m = _merged(spark, d)
-    return global_rank(m.select("uid", "line", "finding_id"), ["line", "finding_id"], ["uid"], out_col="pos")
+    return FD.sort_findings(m.select("uid", "line", "finding_id"))
 
 
 @register("filter_results", "SELECT uid FROM v_results WHERE is_vulnerable AND severity IN ('CRITICAL', 'HIGH')")
 def filter_results(spark, d):
-    r = _results(spark, d)
-    return r.filter(F.col("is_vulnerable") & F.col("severity").isin("CRITICAL", "HIGH")).select("uid")
+    return FD.filter_results(_results(spark, d), True, ["CRITICAL", "HIGH"]).select("uid")
 
 
 @register("filter_log_level", "SELECT entry_id, level FROM v_logs WHERE level <> 'DEBUG'")
 def filter_log_level(spark, d):
-    return V.v_logs(spark, d).filter(F.col("level") != "DEBUG").select("entry_id", "level")
+    return FD.filter_log_level(V.v_logs(spark, d)).select("entry_id", "level")
 
 
 @register("vulnerable_split", """
@@ -321,9 +346,7 @@ def vulnerable_split(spark, d):
 SELECT count(*) AS total, count_if(is_vulnerable) AS flagged,
        round(CAST(count_if(is_vulnerable) AS DOUBLE) * 100.0 / CAST(count(*) AS DOUBLE), 6) AS rate FROM v_results""")
 def vulnerability_rate(spark, d):
-    r = _results(spark, d)
-    return r.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_vulnerable").alias("flagged"),
-                 F.round(F.count_if("is_vulnerable") * 100.0 / F.count(F.lit(1)), 6).alias("rate"))
+    return FD.vulnerability_rate(_results(spark, d))
 
 
 # ------------------------------------------------------------------ detector agreement (J11 + A21)
@@ -343,9 +366,8 @@ FROM j GROUP BY 1""")
 def detector_agreement(spark, d):
     r = _results(spark, d)
     ml = _ml(spark, d)
-    rr = r.select("uid", "function_name", "is_vulnerable", "confidence")
-    mm = ml.join(rr.select("uid", "function_name"), "function_name").drop("function_name")
-    a = FD.detector_agreement(rr, mm)
+    # the unit key of this data is the function's name
+    a = FD.detector_agreement(r, ml, key="function_name")
     return a.groupBy("agreement").agg(F.count(F.lit(1)).alias("n"), F.count_if("vulnerable").alias("vulnerable"),
                                       F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
@@ -363,11 +385,7 @@ def ml_summary(spark, d):
     """Ensemble / window-model summary: totals, severity counts, mean confidence of flagged rows."""
     s = V.v_scored(spark, d).withColumn("flagged", F.col("score") >= 0.5)
     s = s.withColumn("severity", FD.ml_severity("score", "flagged"))
-    flagged_avg = F.coalesce(F.avg(F.when(F.col("flagged"), F.col("score"))), F.lit(0.0))
-    return s.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("flagged").alias("flagged"),
-        *[F.count_if(F.col("severity") == lv).alias(lv.lower()) for lv in ["CRITICAL", "HIGH", "MEDIUM", "LOW"]],
-        F.round(flagged_avg, 6).alias("avg_confidence"), F.round(flagged_avg, 4).alias("avg_confidence_4"))
+    return FD.ml_summary(s)
 
 
 @register("ml_severity", """

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import evaluate as EV
+from ..operators import rules as RU
 from ..session import shared_path
 from ..sources import files as FS
+from ..sources.fixed import XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
 from ..streaming import jobs as ST
 from . import q_corpus, q_eval, q_rules
 from . import views as V
@@ -56,15 +58,155 @@ def metrics_roundtrip(spark, d):
     return spark.read.schema("threshold double, tp long, fp long, fn long, tn long").json(path)
 
 
-@register("report_roundtrip", "SELECT count(*) AS n, count_if(is_vulnerable) AS flagged FROM v_results")
+@register("report_roundtrip", "SELECT count(*) AS n, count_if(is_vulnerable) AS flagged, CAST(sum(n_findings) AS BIGINT) AS findings FROM v_results")
 def report_roundtrip(spark, d):
-    """K3: nested JSON report per unit (to_json of the result row) -> read back -> counts."""
+    """K3: the nested report written as JSON -> read back -> counts."""
     from . import q_findings
+    from ..operators import findings as FD
     path = shared_path(spark, "report")
-    FS.write_report(q_findings._results(spark, d), path)
-    r = spark.read.schema("uid string, report string").json(path)
-    rep = F.from_json("report", "is_vulnerable boolean, confidence double")
-    return r.select(rep.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if("x.is_vulnerable").alias("flagged"))
+    report = FD.static_report(*q_findings._merged(spark, d))
+    FS.write_report(report, path)
+    r = spark.read.schema(report.schema).json(path)
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if("static_vulnerable").alias("flagged"),
+                 F.sum(F.size("static_findings")).cast("long").alias("findings"))
+
+
+# ------------------------------------------------------------------ readers over files derived from the tables
+_EV_SQL = """SELECT event_id, 'src' || CAST(user_id % 20 AS VARCHAR) AS file, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id % 500 + 1 END AS line,
+  CAST(event_id % 80 AS INTEGER) AS col, CAST(event_id % 6 AS INTEGER) AS level, event_type FROM events"""
+_LEVELS = ["error", "warning", "style", "performance", "portability", "information"]
+_RULES = ["nullPointer", "missingInclude", "uninitvar", "unusedVariable", "memleak", "checkersReport", "zerodiv"]
+
+
+def _report_events(spark, d):
+    return V.table(spark, d, "events").select(
+        "event_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("file"),
+        F.when(F.col("event_id") % 11 == 0, F.lit(0)).otherwise(F.col("event_id") % 500 + 1).alias("line"),
+        (F.col("event_id") % 80).cast("int").alias("col"), (F.col("event_id") % 6).cast("int").alias("level"), "event_type")
+
+
+def _pick(names, i):
+    return F.get(F.array(*[F.lit(x) for x in names]), (i % len(names)).cast("int"))
+
+
+def _pick_sql(names, i):
+    return "[" + ", ".join(f"'{x}'" for x in names) + f"][{i} % {len(names)} + 1]"
+
+
+@register("xml_report_roundtrip", f"""
+WITH e AS ({_EV_SQL}), r AS (SELECT *, {_pick_sql(_RULES, 'event_id')} AS rule_id, {_pick_sql(_LEVELS, 'level')} AS tool_severity FROM e)
+SELECT 'cppcheck' AS tool, rule_id, CASE WHEN event_id % 3 > 0 THEN 'CWE-' || (event_id % 700) END AS cwe_id,
+       CASE WHEN tool_severity = 'error' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       CASE WHEN tool_severity = 'error' THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence,
+       'finding ' || event_id AS message, file AS file_path, line, CASE WHEN event_id % 5 > 0 THEN col END AS col
+FROM r WHERE rule_id NOT IN ({', '.join(f"'{x}'" for x in XML_TOOL_SUPPRESS)}) AND line <> 0
+  AND (tool_severity NOT IN ({', '.join(f"'{x}'" for x in XML_TOOL_SKIP_SEVERITIES)}) OR rule_id IN ({', '.join(f"'{x}'" for x in XML_TOOL_SECURITY_OVERRIDES)}))""")
+def xml_report_roundtrip(spark, d):
+    """Events written as an XML tool report -> findings."""
+    path = shared_path(spark, "report-xml")
+    e = _report_events(spark, d)
+    loc = F.struct(F.col("file").alias("_file"), F.col("line").alias("_line"), F.when(F.col("event_id") % 5 > 0, F.col("col")).alias("_column"))
+    x = e.select(_pick(_RULES, F.col("event_id")).alias("_id"), _pick(_LEVELS, F.col("level")).alias("_severity"),
+                 F.lit("short").alias("_msg"), F.concat(F.lit("finding "), F.col("event_id").cast("string")).alias("_verbose"),
+                 F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 700).alias("_cwe"), F.array(loc).alias("location"))
+    x.write.format("xml").option("rootTag", "results").option("rowTag", "error").save(path)
+    return FS.read_findings_xml(spark, path).drop("cwe_name", "highlighted_code")
+
+
+@register("csv_report_roundtrip", f"""
+WITH e AS ({_EV_SQL})
+SELECT 'flawfinder' AS tool, 'flawfinder:' || event_type AS rule_id,
+       CASE event_id % 3 WHEN 0 THEN 'CWE-' || (event_id % 700) WHEN 1 THEN 'CWE-' || (event_id % 300) END AS cwe_id,
+       CASE level WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CASE level WHEN 5 THEN 0.95 WHEN 4 THEN 0.85 WHEN 3 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence,
+       CASE WHEN event_id % 3 = 0 THEN 'copy, "unsafe"' || chr(10) || '(CWE-' || (event_id % 700) || ')' ELSE event_type || ':   f(x);' END AS message,
+       file AS file_path, line, nullif(col, 0) AS col, 'f(x);' AS highlighted_code
+FROM e WHERE line <> 0""")
+def csv_report_roundtrip(spark, d):
+    """Events written as a CSV tool report (file_path from its File column) -> findings."""
+    path = shared_path(spark, "report-csv")
+    i, n = F.col("event_id") % 3, F.col("event_id").cast("string")
+    warning = F.concat(F.lit('copy, "unsafe"\n(CWE-'), (F.col("event_id") % 700).cast("string"), F.lit(")"))
+    url = F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), (F.col("event_id") % 300).cast("string"), F.lit(".html"))
+    c = _report_events(spark, d).select(
+        F.col("file").alias("File"), F.col("line").alias("Line"), F.col("col").alias("Column"), F.col("level").alias("Level"),
+        F.col("event_type").alias("Name"), F.when(i == 0, warning).alias("Warning"), F.lit("  f(x);").alias("Context"),
+        F.when(i == 1, url).alias("URL"), n.alias("Fingerprint"))
+    c.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return FS.read_findings_csv(spark, path).drop("cwe_name")
+
+
+def _write_objects(spark, rows, bucket, what, name):
+    """One JSON object per file: ``what`` of about a thousand rows each."""
+    root = shared_path(spark, name)
+    files = rows.groupBy(F.concat(F.lit("part-"), bucket.cast("string"), F.lit(".json")).alias("path")).agg(what.alias("content"))
+    FS.write_files(files, root)
+    return root
+
+
+@register("json_report_roundtrip", f"""
+WITH e AS ({_EV_SQL})
+SELECT 'semgrep' AS tool, 'rule-' || level AS rule_id, CASE WHEN event_id % 2 = 0 THEN 'CWE-' || (event_id % 700) END AS cwe_id,
+       CASE WHEN level = 0 THEN 'HIGH' WHEN level = 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CASE WHEN level = 0 THEN 0.85 WHEN level = 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence,
+       'finding ' || event_id AS message, file AS file_path, line, col, 'f(x);' AS highlighted_code
+FROM e WHERE line <> 0""")
+def json_report_roundtrip(spark, d):
+    """Events written as JSON tool reports of about a thousand results -> findings."""
+    lists = F.when(F.col("event_id") % 2 == 0, F.array(F.concat(F.lit("CWE-"), (F.col("event_id") % 700).cast("string"), F.lit(": x"))))
+    level = F.when(F.col("level") == 0, "error").when(F.col("level") == 1, "WARNING").when(F.col("level") == 2, "INFO")
+    extra = F.struct(level.alias("severity"), F.concat(F.lit("finding "), F.col("event_id").cast("string")).alias("message"),
+                     F.lit("  f(x);").alias("lines"), F.struct(lists.alias("cwe")).alias("metadata"))
+    one = F.struct(F.col("file").alias("path"), F.concat(F.lit("rule-"), F.col("level").cast("string")).alias("check_id"),
+                   F.struct("line", "col").alias("start"), extra.alias("extra"))
+    root = _write_objects(spark, _report_events(spark, d), F.floor(F.col("event_id") / 1000),
+                          F.to_json(F.struct(F.collect_list(one).alias("results"))), "report-json")
+    return FS.read_findings_json(spark, root).drop("cwe_name")
+
+
+@register("predictions_roundtrip", "SELECT CAST(score >= 0.5 AS INTEGER) AS prediction, score, label FROM v_scored")
+def predictions_roundtrip(spark, d):
+    """Scored rows written as runs of predictions, probabilities and labels -> one row per example."""
+    s = V.v_scored(spark, d).select("doc_id", F.struct((F.col("score") >= 0.5).cast("int").alias("p"), "score", "label").alias("r"))
+    run = F.collect_list("r")
+    what = F.to_json(F.struct(run["p"].alias("predictions"), run["score"].alias("probabilities"), run["label"].alias("labels")))
+    return FS.read_predictions(spark, _write_objects(spark, s, F.floor(F.col("doc_id") / 1000), what, "predictions"))
+
+
+@register("json_array_roundtrip")
+def json_array_roundtrip(spark, d):
+    """Raw records written as JSON arrays -> typed read -> normaliser."""
+    raw = V.v_raw_devign(spark, d)
+    what = F.to_json(F.collect_list(F.struct(*raw.columns)))
+    root = _write_objects(spark, raw, F.floor(F.col("ordinal") / 1000), what, "raw-array")
+    return C.normalize_devign(FS.read_raw_json_array(spark, root, "ordinal long, func string, target int, commit_id string"))
+
+
+REGISTRY["json_array_roundtrip"] = (json_array_roundtrip, REGISTRY["normalize_devign"][1])
+
+
+def _tree(spark, d):
+    root = shared_path(spark, "tree")
+    FS.write_files(V.v_labelled_files(spark, d).select("path", "content"), root)
+    return root
+
+
+@register("labelled_tree_roundtrip")
+def labelled_tree_roundtrip(spark, d):
+    """Pages written as a labelled source tree -> label and category from the path -> normaliser."""
+    return C.normalize_labelled(FS.read_labelled_files(spark, _tree(spark, d)))
+
+
+REGISTRY["labelled_tree_roundtrip"] = (labelled_tree_roundtrip, REGISTRY["normalize_labelled"][1])
+
+
+@register("source_tree_roundtrip", """
+SELECT path AS rel_path, CASE WHEN ends_with(path, '.cpp') THEN 'cpp' ELSE 'c' END AS language,
+       CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS digest FROM v_labelled_files WHERE strlen(content) <= 1048576""")
+def source_tree_roundtrip(spark, d):
+    """Pages written as a source tree -> accepted files with relative path, language and text."""
+    f = FS.read_accepted_files(spark, _tree(spark, d))
+    return f.select("rel_path", "language", "size", F.sha2("content", 256).alias("digest"))
 
 
 # ------------------------------------------------------------------ streaming
@@ -79,6 +221,32 @@ def stream_scan(spark, d):
     return ST.stream_scan(spark, src, UNIT_SCHEMA)
 
 
+@register("stream_scan_re2", q_rules.scan_sql(RU.live_c_rules(re2_only=True)))
+def stream_scan_re2(spark, d):
+    """T1 over the RE2-compatible rules: the stream's rows are the batch's."""
+    src = shared_path(spark, "units-in")
+    q_rules.code_units(spark, d).write.mode("overwrite").parquet(src)
+    return ST.stream_scan(spark, src, UNIT_SCHEMA, RU.live_c_rules(re2_only=True))
+
+
+@register("stream_verdicts", """SELECT uid, count(*) AS n_findings, max(confidence) AS max_confidence,
+  arg_max(severity, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS max_severity,
+  TRUE AS is_vulnerable FROM (""" + q_rules.scan_sql(RU.live_c_rules(re2_only=True)) + ") h GROUP BY uid")
+def stream_verdicts(spark, d):
+    """T1 with the unit verdict, per micro-batch."""
+    src = shared_path(spark, "units-in")
+    q_rules.code_units(spark, d).write.mode("overwrite").parquet(src)
+    return ST.stream_verdicts(spark, src, UNIT_SCHEMA, RU.live_c_rules(re2_only=True))
+
+
+@register("stream_dedup_hashes", f"SELECT DISTINCT {q_corpus.WS_HASH_SQL.format(c='code')} AS hash FROM v_corpus")
+def stream_dedup_hashes(spark, d):
+    """T2 with a delay that covers the whole span: every content once."""
+    src = shared_path(spark, "corpus-in")
+    V.v_corpus(spark, d).select("id", "code", F.timestamp_seconds(F.col("ordinal") * 60 + 60).alias("event_time")).write.parquet(src)
+    return ST.stream_dedup(spark, src, "id string, code string, event_time timestamp", "36500 days").select("hash")
+
+
 @register("stream_dedup")
 def stream_dedup(spark, d):
     """Content dedup within a watermark on arriving corpus records."""
@@ -97,9 +265,11 @@ def log_rollup(spark, d):
     return r.select(F.unix_timestamp(F.col("w.start")).alias("window_start"), "level", "n")
 
 
-@register("stream_log_rollup")
+@register("stream_log_rollup", """
+SELECT CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS window_start, level, count(*) AS n FROM v_logs
+WHERE (floor(epoch(ts) / 600) * 600 + 600) * 1000 <= (SELECT epoch_ms(max(ts)) FROM v_logs) - 3600000 GROUP BY 1, 2""")
 def stream_log_rollup(spark, d):
-    """T3 as a stream with a watermark (append mode)."""
+    """T3 as a stream in append mode: the windows that the watermark (one hour) has closed."""
     src = shared_path(spark, "logs-in")
     V.v_logs(spark, d).write.mode("overwrite").parquet(src)
     return ST.stream_log_rollup(spark, src, "entry_id long, job_id long, ts timestamp, level string, msg string")
@@ -131,14 +301,23 @@ REGISTRY["merge_corpora"] = (merge_corpora, "SELECT dataset, label_binary, count
 
 @register("union_findings")
 def union_findings(spark, d):
-    """Findings of every source (tool reports and the rule scan) in one table; counts per tool and CWE."""
+    """Findings of every source (tool reports and all live rules) in one table; counts per tool and CWE."""
+    return _union(spark, d, RU.live_c_rules())
+
+
+@register("union_findings_re2")
+def union_findings_re2(spark, d):
+    """D5 with the RE2-compatible rules."""
+    return _union(spark, d, RU.live_c_rules(re2_only=True))
+
+
+def _union(spark, d, rules):
     from . import q_findings
-    from ..operators import rules as RU
     tools = q_findings._findings(spark, d).select("tool", "cwe_id")
-    scan = RU.scan_rules(q_rules.code_units(spark, d), RU.live_c_rules(re2_only=True)).select("tool", "cwe_id")
+    scan = RU.scan_rules(q_rules.code_units(spark, d), rules).select("tool", "cwe_id")
     return tools.unionByName(scan).groupBy("tool", "cwe_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-REGISTRY["union_findings"] = (union_findings, "SELECT tool, cwe_id, count(*) AS n FROM ("
-                              f"(SELECT tool, cwe_id FROM ({REGISTRY['enrich_findings'][1].replace('SELECT f.finding_id, f.cwe_id,', 'SELECT f.tool, f.cwe_id, f.finding_id,', 1)}) a) "
-                              f"UNION ALL (SELECT tool, cwe_id FROM ({REGISTRY['scan_rules_re2'][1]}) b)) u GROUP BY tool, cwe_id")
+REGISTRY["union_findings_re2"] = (union_findings_re2, "SELECT tool, cwe_id, count(*) AS n FROM ("
+                                  f"(SELECT tool, cwe_id FROM ({REGISTRY['enrich_findings'][1].replace('SELECT f.finding_id, f.cwe_id,', 'SELECT f.tool, f.cwe_id, f.finding_id,', 1)}) a) "
+                                  f"UNION ALL (SELECT tool, cwe_id FROM ({REGISTRY['scan_rules_re2'][1]}) b)) u GROUP BY tool, cwe_id")

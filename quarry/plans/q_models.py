@@ -6,16 +6,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring as SC
+from ..session import shared_path
 from . import views as V
 from .registry import register
 
 
 def _prepared(spark, d):
+    """Embeddings split into parts first; PCA and scaling learn from the training part."""
     e = SC.read_embeddings(V.table(spark, d, "embeddings"))
     e = e.withColumn("label", (F.col("label") % 2 == 0).cast("int"))
-    e = SC.pca_features(e, k=8)
-    e = SC.assemble_scale(e, ["pca"])
-    return SC.split_part(e, "vec_id")
+    train = lambda x: x.filter(F.col("part") == "train")
+    e = SC.split_part(e, "vec_id")
+    e = SC.pca_features(e, train(e), k=8)
+    return SC.assemble_scale(e, ["pca"], train(e))
+
+
+def _settled(spark, df):
+    """Written once to the shared folder: several fits and the result read the same rows."""
+    path = shared_path(spark, "models")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @register("read_embeddings", "SELECT vec_id, label, len(embedding) AS dim, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
@@ -35,7 +45,7 @@ def pca_embeddings(spark, d):
 @register("ensemble_predictions")
 def ensemble_predictions(spark, d):
     """M1-M5: four members -> weighted vote -> isotonic calibration on val -> decision."""
-    e = _prepared(spark, d).cache()
+    e = _settled(spark, _prepared(spark, d))
     models = SC.fit_members(e.filter(F.col("part") == "train"))
     scored = SC.weighted_vote(SC.member_scores(e, models), SC.MEMBER_WEIGHTS)
     cal = SC.calibrate(scored, scored.filter(F.col("part") == "val"))
@@ -47,7 +57,7 @@ def ensemble_predictions(spark, d):
 @register("stacked_predictions")
 def stacked_predictions(spark, d):
     """M6: logistic meta-model over member scores."""
-    e = _prepared(spark, d).cache()
+    e = _settled(spark, _prepared(spark, d))
     models = SC.fit_members(e.filter(F.col("part") == "train"))
     scored = SC.member_scores(e, models)
     meta = SC.stack_members(scored.filter(F.col("part") == "val"), list(models))
@@ -58,8 +68,8 @@ def stacked_predictions(spark, d):
 @register("feature_importance")
 def feature_importance(spark, d):
     """M9: global importance of the forest member (a vector bounded by the feature count)."""
-    e = _prepared(spark, d)
-    models = SC.fit_members(e.filter(F.col("part") == "train"))
+    e = _settled(spark, _prepared(spark, d))
+    models = SC.fit_members(e.filter(F.col("part") == "train"), only=["rf_deep"])
     imp = models["rf_deep"].featureImportances.toArray().tolist()
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "feature int, importance double")
 
@@ -67,7 +77,7 @@ def feature_importance(spark, d):
 @register("fp_drivers")
 def fp_drivers(spark, d):
     """M9 (second part): which features most often drive false positives."""
-    e = _prepared(spark, d).cache()
+    e = _settled(spark, _prepared(spark, d))
     models = SC.fit_members(e.filter(F.col("part") == "train"))
     scored = SC.decide(SC.weighted_vote(SC.member_scores(e, models), SC.MEMBER_WEIGHTS), 0.5, score="score")
     return SC.fp_drivers(scored, models["logreg"], k=3, names=[f"pca{i}" for i in range(8)])

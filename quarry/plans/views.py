@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators.corpus import with_uid
 from ..operators.helpers import ordered_scan
 from ..sources.fixed import SEVERITY_CONFIDENCE
 
@@ -74,29 +75,11 @@ def v_corpus(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_MEMO: dict[tuple, DataFrame] = {}
-
-
-def _memo(kind: str, spark: SparkSession, d: str, build):
-    """Reuse one DataFrame per (session, dir) so its persisted scan is shared
-    by every branch of a query instead of being rebuilt."""
-    key = (kind, id(spark), spark.sparkContext.applicationId, d)
-    df = _MEMO.get(key)
-    if df is None:
-        df = build()
-        _MEMO[key] = df
-    return df
-
-
 def v_units(spark: SparkSession, d: str) -> DataFrame:
-    return _memo("units", spark, d, lambda: _v_units(spark, d))
-
-
-def _v_units(spark: SparkSession, d: str) -> DataFrame:
     """One unit per document; file = source; units stacked with 3-line gaps.
 
     start_line is an exclusive running sum per file; every file is a hot key
-    (20 files at any scale), so it runs through the range-partitioned scan
+    (20 files at any scale), so it runs through the bucketed scan
     rather than a per-file window.  Only the narrow (file, doc, n_lines)
     projection goes through the scan; the text joins back on doc_id.
     """
@@ -107,17 +90,13 @@ def _v_units(spark: SparkSession, d: str) -> DataFrame:
     u = u.select("file_path", "doc_id", "n_lines", (F.col("_before") + 1).alias("start_line"))
     u = u.withColumn("end_line", F.col("start_line") + F.col("n_lines") - 1)
     u = u.withColumn("function_name", F.concat(F.lit("fn_"), F.col("doc_id").cast("string")))
-    u = u.withColumn("uid", F.concat_ws("::", "file_path", "function_name", F.col("start_line").cast("string")))
+    u = with_uid(u)
     text = docs.select("doc_id", F.col("text").alias("code"), F.col("lang").alias("language"))
     return u.join(text, "doc_id")
 
 
 def v_findings(spark: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
-    return _memo("findings", spark, d, lambda: _v_findings(spark, d))
-
-
-def _v_findings(spark: SparkSession, d: str) -> DataFrame:
-    units = v_units(spark, d)
+    units = v_units(spark, d) if units is None else units
     # scalar subquery (planned by Spark, no driver round trip)
     m = units.select((F.floor(F.max("end_line") * 11 / 10) + 1).cast("long")).scalar()
     ev = table(spark, d, "events")

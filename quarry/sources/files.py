@@ -8,15 +8,20 @@ XML reports, archives) are not splittable: read them once and write parquet.
 from __future__ import annotations
 
 import io
+import json
+import posixpath
 import zipfile
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
-from .fixed import CSV_TOOL_LEVEL, JSON_TOOL_SEVERITY, SEVERITY_CONFIDENCE, XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, \
+from .fixed import CSV_TOOL_LEVEL, JSON_TOOL_SEVERITY, MAX_FILE_SIZE, SEVERITY_CONFIDENCE, XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, \
     XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
 
 CORPUS_SCHEMA = T.StructType([
@@ -41,33 +46,81 @@ def read_raw_json_array(spark: SparkSession, path: str, schema: T.StructType | s
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def _json_values(text: str):
+    """JSON values written one after another, however they are broken into lines; after a
+    broken one the rest of its line is passed over."""
+    decode, at = json.JSONDecoder().raw_decode, 0
+    while True:
+        while at < len(text) and text[at] in " \t\r\n,":
+            at += 1
+        if at >= len(text):
+            return
+        try:
+            value, at = decode(text, at)
+        except json.JSONDecodeError:
+            end = text.find("\n", at)
+            at = len(text) if end < 0 else end + 1
+            continue
+        yield value
+
+
 def read_raw_json_values(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """One JSON value per line; non-objects are skipped."""
+    """Concatenated JSON values (several on a line, or one over several lines); values
+    that are not objects are skipped.  A file is one unit of work, as its values may
+    start anywhere."""
     s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    s = s.add("_corrupt_record", T.StringType())
-    df = spark.read.schema(s).option("mode", "PERMISSIVE").json(path)
-    return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+    def split(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                objects = (json.dumps(v, ensure_ascii=False) for v in _json_values(raw.decode("utf-8", "replace")) if isinstance(v, dict))
+                while part := list(islice(objects, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["value"])
+
+    values = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "value string")
+    return values.select(F.from_json("value", s).alias("v")).select("v.*")
+
+
+def list_source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file under ``root``: abs_path, rel_path, size.  The listing has no content, so
+    files that a rule on path or size leaves out are never read."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    rel = F.substring_index(F.col("path"), f"{base}/", -1)
+    return b.select(F.col("path").alias("abs_path"), rel.alias("rel_path"), F.col("length").alias("size"))
+
+
+def read_accepted_files(spark: SparkSession, root: str) -> DataFrame:
+    """Source files as the ingestion takes them: abs_path, rel_path, language, size, content."""
+    from ..operators.corpus import accepted_files
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= MAX_FILE_SIZE)
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    f = b.select(F.col("path").alias("abs_path"), F.substring_index(F.col("path"), f"{base}/", -1).alias("rel_path"),
+                 F.col("length").alias("size"), _text(F.col("content")).alias("content"))
+    return accepted_files(f).select("abs_path", "rel_path", "language", "size", "content")
+
+
+def _text(content):
+    """UTF-8, else ISO-8859-1."""
+    as_text = content.cast("string")
+    return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def read_source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Recursive source files: path, size, content (UTF-8, else ISO-8859-1)."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    as_text = F.col("content").cast("string")
-    content = F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode("content", "ISO-8859-1"))
-    return b.select(F.col("path").alias("abs_path"), F.col("length").alias("size"), content.alias("content"))
+    return b.select(F.col("path").alias("abs_path"), F.col("length").alias("size"), _text(F.col("content")).alias("content"))
 
 
 def _unzip(batches):
     for pdf in batches:
-        rows = []
         for path, data in zip(pdf["path"], pdf["content"]):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for info in z.infolist():
                     n = info.filename
-                    if info.is_dir() or n.startswith("/") or ".." in n.split("/"):
+                    if info.is_dir() or n.startswith("/") or ".." in n:
                         continue
-                    rows.append((path, n, z.read(n), info.file_size))
-        yield pd.DataFrame(rows, columns=["archive", "member", "content", "size"])
+                    yield pd.DataFrame([(path, n, z.read(n), info.file_size)], columns=["archive", "member", "content", "size"])
 
 
 def read_source_archives(spark: SparkSession, glob_path: str) -> DataFrame:
@@ -77,16 +130,22 @@ def read_source_archives(spark: SparkSession, glob_path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ tool reports
+XML_REPORT_SCHEMA = (
+    "_id string, _severity string, _msg string, _verbose string, _cwe string, "
+    "location array<struct<_file:string, _line:string, _column:string>>"
+)
+
+
 def read_findings_xml(spark: SparkSession, path: str, file_path: str | None = None) -> DataFrame:
-    """<error id severity msg verbose cwe><location line column/>*</error>: first location wins."""
-    x = spark.read.format("xml").option("rowTag", "error").load(path)
-    loc = F.get(F.col("location"), 0) if isinstance(x.schema["location"].dataType, T.ArrayType) else F.col("location")
+    """<error id severity msg verbose cwe><location file line column/>*</error>: first
+    location wins.  The schema is declared, so any attribute may be absent."""
+    x = spark.read.format("xml").option("rowTag", "error").schema(XML_REPORT_SCHEMA).load(path)
+    loc = F.get("location", 0)
     df = x.select(
-        F.col("_id").alias("rule_id"), F.coalesce(F.col("_severity"), F.lit("information")).alias("tool_severity"),
-        F.coalesce(F.col("_verbose"), F.col("_msg"), F.lit("")).alias("message"),
-        F.col("_cwe").cast("string").alias("cwe"),
-        F.coalesce(loc["_line"].cast("long"), F.lit(0)).alias("line"), loc["_column"].cast("int").alias("col"),
-        (loc["_file"] if "_file" in str(x.schema["location"].dataType) else F.lit(file_path)).alias("file_path"))
+        F.col("_id").alias("rule_id"), F.coalesce("_severity", F.lit("information")).alias("tool_severity"),
+        F.coalesce("_verbose", "_msg", F.lit("")).alias("message"), F.col("_cwe").alias("cwe"),
+        F.coalesce(loc["_line"].try_cast("long"), F.lit(0)).alias("line"), loc["_column"].try_cast("int").alias("col"),
+        loc["_file"].alias("file_path"))
     keep = (~F.col("rule_id").isin(*XML_TOOL_SUPPRESS)) & (
         ~F.col("tool_severity").isin(*XML_TOOL_SKIP_SEVERITIES) | F.col("rule_id").isin(*XML_TOOL_SECURITY_OVERRIDES)
     ) & (F.col("line") != 0)
@@ -103,14 +162,14 @@ def read_findings_xml(spark: SparkSession, path: str, file_path: str | None = No
 def read_findings_csv(spark: SparkSession, path: str, file_path: str | None = None) -> DataFrame:
     """CSV report with header; CWE from Warning/Category/Note/URL/CWEs, else URL definitions/<n>."""
     c = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    for k in ("Line", "Column", "Level", "DefaultLevel", "Category", "Name", "Warning", "Note", "CWEs", "Context", "URL"):
+    for k in ("File", "Line", "Column", "Level", "DefaultLevel", "Category", "Name", "Warning", "Note", "CWEs", "Context", "URL"):
         if k not in c.columns:  # tool versions differ in their column set
             c = c.withColumn(k, F.lit(None).cast("string"))
     searchable = F.concat_ws(" ", *[F.coalesce(F.col(k), F.lit("")) for k in ("Warning", "Category", "Note", "URL", "CWEs")])
     n1 = F.regexp_extract(searchable, r"CWE-(\d+)", 1)
     n2 = F.regexp_extract(searchable, r"definitions/(\d+)", 1)
     num = F.when(n1 != "", n1).when(n2 != "", n2)
-    line = F.col("Line").try_cast("long") if hasattr(F.col("Line"), "try_cast") else F.expr("try_cast(Line AS BIGINT)")
+    line = F.col("Line").try_cast("long")
     level = F.coalesce(F.expr("try_cast(Level AS INT)"), F.expr("try_cast(DefaultLevel AS INT)"), F.lit(0))
     sev = TX.map_lookup(level, CSV_TOOL_LEVEL, "LOW")
     ctx = F.col("Context")
@@ -120,7 +179,7 @@ def read_findings_csv(spark: SparkSession, path: str, file_path: str | None = No
         sev.alias("severity"), TX.map_lookup(sev, SEVERITY_CONFIDENCE, 0.5).alias("confidence"),
         F.when(F.coalesce(F.col("Warning"), F.lit("")) != "", F.col("Warning"))
         .otherwise(F.concat(F.coalesce("Name", F.lit("")), F.lit(": "), F.coalesce(ctx, F.lit("")))).alias("message"),
-        F.lit(file_path).alias("file_path"), line.alias("line"),
+        F.coalesce(F.nullif("File", F.lit("")), F.lit(file_path)).alias("file_path"), line.alias("line"),
         F.nullif(F.expr("try_cast(Column AS INT)"), F.lit(0)).alias("col"),
         F.when(ctx.isNotNull() & (ctx != ""), TX.strip_ws(ctx)).alias("highlighted_code"))
 
@@ -172,16 +231,38 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_report(df: DataFrame, path: str, key: str = "uid") -> None:
-    df.select(F.col(key), F.to_json(F.struct(*[c for c in df.columns])).alias("report")).write.mode("overwrite").json(path)
+def write_report(df: DataFrame, path: str) -> None:
+    """A nested report: one JSON object per row, its arrays and structs as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Metric rows (a fixed grid, so a few files at most)."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """Rows (path, content) as files under ``root``, a shared folder; returns their number.
+    A task that runs again writes the same files again."""
+
+    def run(batches):
+        n = 0
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs.create_dir(posixpath.dirname(f"{base}/{path}"), recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = df.select(F.col("path").cast("string"), F.col("content").cast("binary"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def read_labelled_files(spark: SparkSession, root: str, glob: str = "*.c*") -> DataFrame:
-    """Test-suite tree: category from the path, label from the file name."""
+def read_labelled_files(spark: SparkSession, root: str, glob: str = "*.{c,cpp}") -> DataFrame:
+    """Test-suite tree: category from the path, label from the file name; files without
+    either are left out."""
     from ..operators.corpus import with_path_labels
     t = read_source_tree(spark, root, glob).withColumnRenamed("abs_path", "path")
-    return with_path_labels(t, "path")
+    return with_path_labels(t, "path").filter(F.col("category").isNotNull() & F.col("label").isNotNull())

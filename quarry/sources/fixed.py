@@ -2,8 +2,8 @@
 
 Everything in this module is data, not logic.  Values that must equal the
 reference for identical results are stated plainly, in their natural order,
-under FIXED VALUES markers.  ``rules_df`` / ``cwe_dim`` turn them into small
-DataFrames (tens of rows) that the operators broadcast.
+under FIXED VALUES markers.  ``cwe_dim`` / ``cwe_categories`` turn them into
+small DataFrames (tens of rows) that the operators broadcast.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ TEXT_RULES = [
      "Avoid system calls with user input. Use safe APIs. Always validate and sanitize inputs.",
      'subprocess.run(["command", arg1, arg2], shell=False)'),
     ("CWE-22", "Path Traversal", "High",
-     [r"\.\./", "r\\.\\.\\" + r"file://", r"open\s*\(.*\+"],
+     [r"\.\./", r"r\.\.\file://", r"open\s*\(.*\+"],
      [r"os\.path\.abspath\(", r"Path\(.+\)\.resolve\("],
      "Validate file paths against whitelist. Use os.path.abspath() and check path prefix.",
      "safe_path = os.path.abspath(user_path); if safe_path.startswith(base_dir): ..."),
@@ -334,54 +334,55 @@ MAX_FILE_SIZE = 1024 * 1024
 _NON_RE2 = ("(?!", "(?=", "(?<", "\\1", "\\2")
 
 
-def re2_safe(pattern: str) -> bool:
-    """True when the pattern has no lookaround or back-reference."""
-    return not any(tok in pattern for tok in _NON_RE2)
-
-
-def c_rule_rows(live_only: bool = True) -> list[tuple]:
-    """Flatten rule base 1: (cwe_id, name, severity, pattern_idx, pattern, message, safe[])."""
-    rows = []
-    for cwe, name, sev, pats, safe in C_RULES:
-        for i, (p, msg) in enumerate(pats):
-            live = not (r"\1" in p and "(" not in p.split(r"\1")[0].replace(r"\(", ""))
-            if live_only and not live:
-                continue
-            rows.append((cwe, name, sev, i, p, msg, list(safe)))
-    return rows
-
-
-def rules_df(spark: SparkSession, base: str = "c") -> DataFrame:
-    """Rule tables as a small DataFrame (broadcast by the operators)."""
-    if base == "c":
-        return spark.createDataFrame(
-            c_rule_rows(),
-            "cwe_id string, cwe_name string, severity string, pattern_idx int, pattern string, message string, "
-            "safe_patterns array<string>",
-        )
-    if base == "text":
-        return spark.createDataFrame(
-            [(c, n, s, p, sp, m, e) for c, n, s, p, sp, m, e in TEXT_RULES],
-            "cwe_id string, cwe_name string, severity string, patterns array<string>, safe_patterns array<string>, "
-            "mitigation string, example_fix string",
-        )
-    if base == "call":
-        return spark.createDataFrame(
-            [(rid, sev, cwe, msg, CALL_RULE_REGEX[rid]) for rid, sev, cwe, msg in CALL_RULES],
-            "rule_id string, level string, cwe_id string, message string, pattern string",
-        )
-    if base == "keyword":
-        return spark.createDataFrame(
-            [(c, p.split("|"), n) for c, p, n in KEYWORD_RULES],
-            "cwe_id string, needles array<string>, name string",
-        )
-    raise ValueError(base)
+# FIXED VALUES — descriptions of the weakness dimension, in the order of CWE_DIM
+CWE_DESCRIPTIONS = [
+    "The software performs operations on a memory buffer without restricting the size of operations to the buffer boundaries.",
+    "The program copies an input buffer to an output buffer without verifying that the size of the input buffer is less than the size of the output buffer.",
+    "A stack-based buffer overflow condition is a condition where the buffer being overwritten is allocated on the stack.",
+    "A heap-based buffer overflow is a condition where the buffer being overwritten is allocated in the heap portion of memory.",
+    "The software reads data past the end, or before the beginning, of the intended buffer.",
+    "The software writes data past the end, or before the beginning, of the intended buffer.",
+    "Referencing memory after it has been freed can cause a program to crash or execute arbitrary code.",
+    "The product calls free() twice on the same memory address, potentially leading to corruption of the memory allocator.",
+    "A NULL pointer dereference occurs when the application dereferences a pointer that it expects to be valid, but is NULL.",
+    "The software does not sufficiently track and release allocated memory after it has been used.",
+    "The software performs a calculation that can produce an integer overflow or wraparound.",
+    "The product subtracts one value from another, such that the result is less than the minimum allowable integer value.",
+    "Weaknesses in this category are related to improper calculation or conversion of numbers.",
+    "The product does not validate or incorrectly validates input that can affect the control flow or data flow of a program.",
+    "The software uses a function that accepts a format string as an argument, but the format string originates from an external source.",
+    "The software constructs all or part of an OS command using externally-influenced input.",
+    'The software uses external input to construct a pathname to access a restricted directory, but does not properly neutralize sequences such as "..".',
+    "The software constructs SQL statements from user input without proper neutralisation.",
+    "The program invokes a potentially dangerous function that could introduce a vulnerability.",
+    "The program calls a function that can never be guaranteed to work safely (e.g. gets()).",
+    "The program contains a code sequence that can run concurrently with other code, and requires temporary exclusive access to a shared resource.",
+    "The software does not properly acquire or release a lock on a resource, leading to unexpected behaviour.",
+    "The use of a broken or risky cryptographic algorithm (MD5, SHA-1, DES, RC4).",
+    "The software contains hard-coded credentials such as passwords or cryptographic keys.",
+    "The software does not properly manage a resource throughout its lifetime.",
+    "The software does not release a resource after its effective lifetime has ended (file handles, sockets, etc.).",
+    "The software does not properly control the allocation and maintenance of a limited resource.",
+    "The software exposes sensitive information to an actor not explicitly authorised to have access.",
+    "Weaknesses in this category are related to the management of permissions, privileges, and other security features.",
+    "Improper neutralization of input during web page generation.",
+]
+# FIXED VALUES — descriptions of rule base 2, in the order of TEXT_RULES
+TEXT_RULE_DESCRIPTIONS = [
+    "Improper neutralization of special elements in SQL commands",
+    "Improper neutralization of input during web page generation",
+    "Improper neutralization of special elements in OS commands",
+    "Improper limitation of pathname to restricted directory",
+    "Buffer copy without checking size of input",
+    "Software contains hard-coded credentials",
+    "Use of broken or risky cryptographic algorithm",
+]
 
 
 def cwe_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        CWE_DIM, "cwe_id string, cwe_name string, dim_severity string, cvss double, mitigation string, example_fix string"
-    )
+        [(*row, text) for row, text in zip(CWE_DIM, CWE_DESCRIPTIONS, strict=True)],
+        "cwe_id string, cwe_name string, dim_severity string, cvss double, mitigation string, example_fix string, description string")
 
 
 def cwe_categories(spark: SparkSession) -> DataFrame:
@@ -409,3 +410,27 @@ def sql_values(rows: list[tuple], cols: list[str]) -> str:
 
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS t({', '.join(cols)})"
+
+
+# FIXED VALUES — category -> split lists of the labelled test suite
+TRAIN_CATEGORIES = [
+    "CWE78", "CWE119", "CWE121", "CWE122", "CWE124", "CWE127",
+    "CWE134", "CWE176", "CWE242", "CWE252", "CWE253", "CWE259",
+    "CWE338", "CWE390", "CWE391", "CWE404", "CWE457", "CWE460",
+    "CWE467", "CWE468", "CWE469", "CWE478", "CWE483", "CWE484",
+    "CWE526", "CWE534", "CWE535", "CWE562", "CWE563", "CWE570",
+    "CWE571", "CWE606", "CWE685", "CWE688", "CWE689", "CWE690",
+]
+VAL_CATEGORIES = [
+    "CWE23", "CWE36", "CWE191", "CWE193", "CWE195", "CWE197",
+    "CWE197", "CWE321", "CWE325", "CWE327", "CWE328", "CWE329",
+    "CWE369", "CWE401", "CWE415", "CWE416", "CWE426", "CWE427",
+    "CWE464", "CWE475", "CWE476", "CWE480", "CWE481", "CWE482",
+]
+TEST_CATEGORIES = [
+    "CWE126", "CWE190", "CWE194", "CWE196", "CWE244", "CWE256",
+    "CWE257", "CWE258", "CWE319", "CWE364", "CWE366", "CWE367",
+    "CWE377", "CWE396", "CWE397", "CWE398", "CWE399", "CWE400",
+    "CWE459", "CWE462", "CWE463", "CWE479", "CWE497", "CWE605",
+    "CWE680", "CWE681", "CWE690", "CWE758", "CWE761", "CWE762",
+]

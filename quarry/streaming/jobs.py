@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import findings as FD
 from ..operators import rules as RU
+from ..operators.helpers import ordered_scan
 from ..session import shared_path
 
 
@@ -24,10 +26,26 @@ def _run(df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_scan(spark: SparkSession, in_dir: str, schema: str) -> DataFrame:
+def stream_scan(spark: SparkSession, in_dir: str, schema: str, rules=None) -> DataFrame:
     """Units arriving as files -> rule scan -> findings sink (stateless)."""
     units = spark.readStream.schema(schema).parquet(in_dir)
-    return _run(RU.scan_rules(units), spark)
+    return _run(RU.scan_rules(units, rules), spark)
+
+
+def stream_verdicts(spark: SparkSession, in_dir: str, schema: str, rules=None) -> DataFrame:
+    """T1 with the unit verdict: each micro-batch of units is scanned and reduced to one
+    verdict a unit (a unit arrives in one file, so its findings are in one batch)."""
+    out = shared_path(spark, "stream-out")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        verdict = FD.unit_verdict(RU.scan_rules(batch, rules))
+        # a batch that runs again overwrites its own folder
+        verdict.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (spark.readStream.schema(schema).parquet(in_dir).writeStream.foreachBatch(write)
+         .option("checkpointLocation", shared_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 def stream_dedup(spark: SparkSession, in_dir: str, schema: str, delay: str = "1 hour") -> DataFrame:
@@ -45,15 +63,20 @@ def log_rollup(df: DataFrame, width: str = "10 minutes", watermark: str | None =
     return df.groupBy(F.window("ts", width).alias("w"), "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_log_rollup(spark: SparkSession, in_dir: str, schema: str, width: str = "10 minutes") -> DataFrame:
+def stream_log_rollup(spark: SparkSession, in_dir: str, schema: str, width: str = "10 minutes",
+                      delay: str = "1 hour") -> DataFrame:
+    """T3 in append mode: a window is emitted once the watermark (latest time less
+    ``delay``) has passed its end; rows later than that are dropped by Spark."""
     s = spark.readStream.schema(schema).parquet(in_dir)
-    return _run(log_rollup(s, width, watermark="0 seconds").select(
+    return _run(log_rollup(s, width, watermark=delay).select(
         F.unix_timestamp(F.col("w.start")).alias("window_start"), "level", "n"), spark)
 
 
 def log_tail(logs: DataFrame, since: int, job: str = "job_id") -> DataFrame:
-    """T4: entries after offset ``since`` per job, plus the job's total."""
-    from ..operators.helpers import global_rank
-    r = global_rank(logs, ["ts", "entry_id"], [job], out_col="offset")
-    tot = logs.groupBy(job).agg(F.count(F.lit(1)).alias("total"))
-    return r.filter(F.col("offset") > since).join(tot, job)
+    """T4: entries after offset ``since`` per job, plus the job's total.
+
+    Keys alone are numbered and counted, a job split over buckets of time, so no job's
+    rows meet in one task; entries join back by their own id."""
+    keys = logs.select(F.col(job).alias("_job"), "ts", "entry_id")
+    numbered = ordered_scan(keys, ["ts", "entry_id"], None, ["_job"], "offset", total_col="total")
+    return logs.join(numbered.filter(F.col("offset") > since).select("entry_id", "offset", "total"), "entry_id")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
+from quarry.operators import findings as FD
 from quarry.operators import rules as RU
 from quarry.sources import files as FS
 
@@ -47,6 +48,88 @@ def test_segment_units(spark):
     assert got == [("add", 1, 3), ("last", 12, 12), ("loop", 5, 10)]
 
 
+def _functions(code):
+    return [(n, a, b) for n, a, b, _ in RU.find_functions(code)]
+
+
+def test_segmentation_of_code_as_found():
+    assert _functions("}\nint a(){}\nint b(){ if (x) { } }") == [("a", 2, 2), ("b", 3, 3)]
+    assert _functions("int a(){ /* { \n } if { */ return 1; }\nint b(){}") == [("a", 1, 2), ("b", 3, 3)]
+    assert _functions('extern "C" {\nint a(void) { return 1; }\nint b() {}\n}\nint c(){}') == [("a", 2, 2), ("b", 3, 3), ("c", 5, 5)]
+    assert _functions("#ifdef X\nint a(int x) {\n#else\nint a(long x) {\n#endif\n return 1;\n}\nint b() {}\n") == [("a", 2, 7), ("b", 8, 8)]
+    assert _functions("class Foo {\npublic:\n int bar(int x) { return x * 2; }\n};\nstruct S { int a; };\nint t[] = {1, 2};") == [("bar", 3, 3)]
+    assert _functions("void foo() { }\nint bar(int x) { return x; }\nchar *baz(char *s) { return s; }\n") == [("foo", 1, 1), ("bar", 2, 2), ("baz", 3, 3)]
+    assert _functions("") == _functions("#include <stdio.h>\nint x = 5;\nfloat PI = 3.14;") == []
+
+
+def test_large_file_keeps_its_function(spark):
+    body = "int big(void) {\n" + "  x = x + 1;\n" * 130_000 + "}\n"
+    assert len(body) > 1_500_000
+    files = spark.createDataFrame([("f.c", body), ("g.c", None)], "path string, content string")
+    assert [(r.function_name, r.end_line, len(r.code)) for r in RU.segment_units(files).collect()] == [("big", 130_002, len(body) - 1)]
+
+
+def test_rule_scan_grows_with_the_text(spark):
+    import time
+    took = []
+    for n in (2_000, 2_000, 8_000):
+        t = time.time()
+        assert RU.scan_rules(_units(spark, "strcpy(a, b);\n" * n)).filter("cwe_id = 'CWE-120'").count() == n
+        took.append(time.time() - t)
+    assert took[2] < 6 * took[1] + 3
+
+
+def test_blank_code_and_metrics(spark):
+    rows = [("a", "\n\t"), ("b", "\u00a0\u2003"), ("c", "x\r\n\r\nyz"), ("d", None)]
+    df = spark.createDataFrame(rows, "id string, code string")
+    assert [r.id for r in C.drop_empty(df).collect()] == ["c"]
+    m = C.text_metrics(df.filter("id = 'c'")).first()
+    # lines "x\r", "\r", "yz": 5 characters without line ends
+    assert (m.total_lines, m.non_empty_lines, m.n_chars, m.avg_line_length) == (3, 2, 7, 5 / 3)
+
+
+def test_labelled_records(spark):
+    rows = [("t/CWE12_x/a_bad.c", "void f(){}", "CWE12", 1), ("t/y.c", "x", None, 1), ("t/CWE1/z.h", "x", "CWE1", None),
+            ("t/CWE1/e_bad.c", "\n", "CWE1", 1), ("t/CWE1/l_bad.c", "x" * 100_001, "CWE1", 1)]
+    df = spark.createDataFrame(rows, "path string, content string, category string, label int")
+    assert [tuple(r) for r in C.normalize_labelled(df).collect()] == [("void f(){}", 1, "suite", "CWE12", "a_bad.c")]
+    assert {r.path: r.reason for r in C.skipped_labelled(df).collect()} == {
+        "t/y.c": "no_category", "t/CWE1/z.h": "no_label", "t/CWE1/e_bad.c": "empty", "t/CWE1/l_bad.c": "too_long"}
+
+
+def test_report_path_prefers_the_absolute_path(spark):
+    files = spark.createDataFrame([("a.c", "/co/a.c"), ("src/a.c", "/co/src/a.c")], "rel_path string, abs_path string")
+    report = spark.createDataFrame([(1, "/co/src/a.c"), (2, "elsewhere/a.c"), (3, "b.c")], "id int, path string")
+    got = {r.id: r.rel_path for r in FD.resolve_report_paths(report, files, abs_col="abs_path").collect()}
+    assert got == {1: "src/a.c", 2: "a.c"}
+
+
+def test_summary_counts_units_per_type(spark):
+    units = spark.createDataFrame([("u", "f", "a.c", 1, "x" * 600), ("v", "g", "a.c", 9, "y")],
+                                  "uid string, function_name string, file_path string, start_line long, code string")
+    f = spark.createDataFrame([(1, "u", 2, "CWE-120", "t", 0.9, "m", "HIGH"), (2, "u", 3, "CWE-120", "t", 0.9, "m", "HIGH")],
+                              "finding_id long, uid string, line long, cwe_id string, tool string, confidence double, message string, severity string")
+    r = FD.static_report(units, f)
+    got = {(x.kind, x.key): x.value for x in FD.static_summary(r).collect()}
+    name = "CWE-120: Buffer Copy without Checking Size of Input (Classic Buffer Overflow)"
+    assert got == {("total", "functions"): 2, ("total", "vulnerable"): 1, ("total", "safe"): 1, ("total", "findings"): 2, ("tool", "t"): 2, ("cwe", name): 1}
+    rows = {x.uid: x for x in r.collect()}
+    assert len(rows["u"].static_findings) == 2 and rows["u"].code_snippet.endswith("...") and rows["v"].static_findings == []
+
+
+def test_auc_of_many_rows_does_not_overflow(spark):
+    from quarry.operators import evaluate as EV
+    big = 4_000_000_000
+    lv = spark.createDataFrame([(0.1, 0, big), (0.9, big, 0)], "score double, pos long, neg long")
+    scored = lv.selectExpr("score", "pos", "neg")
+    EV_levels = EV.score_levels
+    try:
+        EV.score_levels = lambda *a: scored
+        assert EV.roc_auc(scored).first().roc_auc == 1.0
+    finally:
+        EV.score_levels = EV_levels
+
+
 def test_pluggable_tokenizer(spark):
     df = spark.createDataFrame([("a  b\tc",)], "code string")
 
@@ -88,6 +171,12 @@ def test_json_array_and_predictions(spark, tmp_path):
     assert [(r.prediction, r.score, r.label) for r in rows] == [(1, 0.9, 1), (0, 0.2, 1)]
 
 
+def test_raw_values_on_and_over_lines(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"func":"a"} {"func":"b"}\n{"func":\n"c"}\n3 "x"\n{broken\n{"func":"d"}')
+    got = FS.read_raw_json_values(spark, str(tmp_path / "v.json"), "func string")
+    assert [r.func for r in got.collect()] == ["a", "b", "c", "d"] and got.columns == ["func"]
+
+
 def test_raw_values_skip_non_objects(spark, tmp_path):
     p = tmp_path / "v.jsonl"
     p.write_text('{"func": "a", "target": 1}\n[1, 2]\n"text"\n{"func": "b", "target": 0}\n')

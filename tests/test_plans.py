@@ -4,15 +4,16 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.helpers import bucketed_range_join, ordered_scan
+from quarry.operators import corpus as C
+from quarry.operators import helpers as H
+from quarry.operators.helpers import bucketed_range_join
 from quarry.plans.registry import queries
 from tests.conftest import SF
 
-# queries whose construction runs writes/streams/model fits are covered by other tests
-SIDE_EFFECTS = {"corpus_jsonl_roundtrip", "raw_values_roundtrip", "splits_roundtrip", "metrics_roundtrip",
-                "report_roundtrip", "stream_scan", "stream_dedup", "stream_log_rollup", "validate_corpus",
-                "corpus_verdicts", "joint_optimise", "pca_embeddings", "ensemble_predictions", "stacked_predictions",
-                "feature_importance", "fp_drivers"}
+# queries whose construction runs writes, streams or model fits are covered by other tests
+SIDE_EFFECTS = {n for n in queries() if "roundtrip" in n or n.startswith("stream_")} | {
+    "validate_corpus", "corpus_verdicts", "joint_optimise", "pca_embeddings", "ensemble_predictions", "stacked_predictions",
+    "feature_importance", "fp_drivers"}
 NAMES = sorted(n for n in queries() if n not in SIDE_EFFECTS)
 
 
@@ -28,17 +29,43 @@ def test_flagship_scan_is_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint,toxic:int>" in plan
 
 
-def test_hot_key_is_split_across_ranges(spark):
+def test_hot_key_is_split_across_buckets(spark):
     # one key holds a third of the rows
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         (F.col("id") % 50).cast("string")).alias("k"), "id", (F.col("id") % 7).alias("v"))
-    ranged = df.repartitionByRange(6, "k", "id").select("k", F.spark_partition_id().alias("p"))
-    assert ranged.filter(F.col("k") == "hot").select("p").distinct().count() >= 2
-    got = ordered_scan(df, ["id"], "v", ["k"], "c", num_partitions=6)
+    parts = H._bucketed(df, "id", 6).groupBy("k", H._B).count().filter("k = 'hot'").collect()
+    assert len(parts) == 6 and max(r["count"] for r in parts) < 250
+    got = H.ordered_scan(df, ["id"], "v", ["k"], "c", num_partitions=6)
     ref = df.withColumn("r", F.sum("v").over(W.partitionBy("k").orderBy("id").rowsBetween(W.unboundedPreceding, 0)))
     assert got.join(ref, ["k", "id"]).filter("c != r").count() == 0
 
 
+def test_null_keys(spark):
+    for key in (F.when(F.col("id") % 5 == 0, F.col("id") % 3), F.when(F.col("id") % 5 == 0, (F.col("id") % 3).cast("string"))):
+        df = spark.range(0, 1000).select(key.alias("k"), "id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("v"))
+        w = W.partitionBy("k").orderBy("id")
+        got = H.global_rank(df, ["id"], ["k"], num_partitions=7).join(df.select("id", F.row_number().over(w).alias("r")), "id")
+        assert got.filter("rank != r").count() == 0 and got.filter("k IS NULL").agg(F.max("rank")).first()[0] == 800
+        fill = H.ordered_fill(df, ["id"], "v", ["k"], "p", "n", 7)
+        ref = df.select("id", F.last("v", True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("rp"),
+                        F.first("v", True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("rn"))
+        assert fill.join(ref, "id").filter("NOT (p <=> rp) OR NOT (n <=> rn)").count() == 0
+        split = C.stratified_split(df, ["k"], "id").groupBy("k", "split").count().collect()
+        sizes = {(r.k, r.split): r["count"] for r in split}
+        assert [sizes[None, s] for s in ("train", "val", "test")] == [640, 80, 80]
+
+
+def test_sampling_plans_have_no_python(spark):
+    for name in ("undersample", "stratified_split", "category_sample", "map_findings", "log_tail"):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan, name
+
+
+def test_segmentation_does_not_shuffle(spark):
+    plan = queries()["segment_units"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_range_join_first_containing_unit(spark):
     units = spark.createDataFrame([("a", "f", 1, 100), ("b", "f", 10, 20), ("c", "f", 15, 300)],
                                   "uid string, file_path string, start_line long, end_line long")

@@ -44,6 +44,15 @@ def test_xml_report(spark, tmp_path):
     assert rows["arrayIndexOutOfBounds"].severity == "HIGH" and rows["arrayIndexOutOfBounds"].cwe_id is None
 
 
+def test_xml_report_without_optional_parts(spark, tmp_path):
+    p = tmp_path / "r.xml"
+    p.write_text('<results><errors><error id="a" severity="error" msg="m"><location file="x.c" line="2"/></error></errors></results>')
+    r = FS.read_findings_xml(spark, str(p)).collect()
+    assert [(x.message, x.line, x.col, x.file_path) for x in r] == [("m", 2, None, "x.c")]
+    p.write_text("<results><errors></errors></results>")
+    assert FS.read_findings_xml(spark, str(p)).collect() == []
+
+
 def test_csv_report(spark, tmp_path):
     p = tmp_path / "r.csv"
     p.write_text(CSV)
@@ -73,6 +82,7 @@ def test_zip_archives_skip_unsafe_members(spark, tmp_path):
         z.writestr("src/a.c", "int main(){}")
         z.writestr("../evil.c", "x")
         z.writestr("/abs.c", "y")
+        z.writestr("..\\\\x.c", "z")
     (tmp_path / "a.zip").write_bytes(buf.getvalue())
     rows = FS.read_source_archives(spark, str(tmp_path / "*.zip")).collect()
     assert [r.member for r in rows] == ["src/a.c"]
@@ -97,3 +107,15 @@ def test_corpus_jsonl_keeps_nulls(spark, tmp_path):
     assert set(json.loads(lines[0])) == {"id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"}
     back = FS.read_corpus(spark, str(tmp_path / "c")).collect()[0]
     assert back.label_cwe is None and back._corrupt_record is None
+
+
+def test_source_tree_rules(spark, tmp_path):
+    from quarry.operators import corpus as C
+    for path, text in {"a/x.C": "int a;", "a/build/y.c": "n", "a/.git/z.c": "n", "a/r.txt": "n", "b/h.hpp": "x", "b/big.c": "y" * (1 << 20) + "y"}.items():
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    got = sorted(tuple(r) for r in FS.read_accepted_files(spark, str(tmp_path)).select("rel_path", "language", "size", "content").collect())
+    assert got == [("a/x.C", "c", 6, "int a;"), ("b/h.hpp", "cpp", 1, "x")]
+    skipped = C.skipped_files(FS.list_source_tree(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in skipped] == [("b/big.c", "too large (1,048,577 bytes)")]
