@@ -2,7 +2,7 @@
 
 1. Document frequencies of the benchmark's words over all documents (one pass, one row per
    word and task) give TF-IDF weights; a word of no benchmark passage weighs as if seen once.
-2. A randomised SVD of the TF-IDF matrix of the benchmark passages: partitions add up
+2. A randomised SVD of the TF-IDF matrix of the benchmark passages (rows of length 1): partitions add up
    A'(A X) for a block of vectors X, summed by blocks of words; the driver only does the
    small QR and eigenproblem.
 3. Every document is cut into overlapping word windows.  The cosine of a window and a passage
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import as_bytes, map_text, table, text_column, text_slices
 
 #: Passages of one block (its words and vectors go to every task), and latent dimensions.
-BLOCK_ITEMS, RANK = 1000, 128
+#: Passages have few words in common, so a rank under their number loses some of them.
+BLOCK_ITEMS, RANK = 256, 256
 COSINE = 0.35
 LCS_SHARE = 0.6  # of the passage's words
 ANSWER_SHARE = 0.5  # of the weight of its words, or of its answer's words in order
@@ -50,8 +51,13 @@ class Passages:
     tier: np.ndarray = field(default=None)  # window length of each passage
 
 
+#: ASCII punctuation separates words, as marks are often glued to copied passages.
+_MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
 def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return lower.translate(_MARKS).split()
 
 
 def load_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS):
@@ -150,7 +156,8 @@ def fit(docs: DataFrame, p: Passages, rank: int = RANK) -> Passages:
     p.idf2 = np.append(np.log((n + 2) / (df + 1)), np.log((n + 2) / 2)) ** 2
     p.idf2 = np.maximum(p.idf2, 1e-6)
     rows = [weights(np.array([p.code[w] for w in x]), p.idf2) for x in p.words]
-    p.vectors = randomised_svd(docs.sparkSession, rows, len(p.code), rank)
+    # rows of length 1: a passage of few words counts as much as one of many
+    p.vectors = randomised_svd(docs.sparkSession, [(u, v / np.linalg.norm(v)) for u, v in rows], len(p.code), rank)
     z = np.array([v @ p.vectors[u] for u, v in rows])
     p.latent = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     p.tier = np.array([max(16, 1 << (len(x) - 1).bit_length()) for x in p.words])

@@ -182,7 +182,7 @@ def predict_languages(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
 
 #: A text whose best language has less than this is in none of the languages learned.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 def keep_languages(docs: DataFrame, model: ByteCnn | None, min_score: float = MIN_SCORE) -> DataFrame:
