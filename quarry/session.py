@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +59,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package (and the corpus pipeline beside it) to the executors' Python, once
+    per application, so that tasks can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    # the driver serves this file to the executors as long as the application lives
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quarry-ship-")), "quarry-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted([*(root / "quarry").rglob("*.py"), *root.glob("corpus_pipeline.py")]):
+            z.write(f, str(f.relative_to(root)))
+    sc.addPyFile(path)
+    sc._quarry_shipped = True
