@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..sources.fixed import INGEST_EXTENSIONS, MAX_FILE_SIZE, SKIP_DIRS, TEST_CATEGORIES, TRAIN_CATEGORIES, VAL_CATEGORIES
-from .helpers import global_rank, hash_parts, join_null_safe
+from .helpers import global_rank, hash_parts
 
 CORPUS_COLS = ["id", "dataset", "language", "code", "label_binary", "label_cwe", "label_cve"]
 VALID_LANGUAGES = ["c", "cpp"]

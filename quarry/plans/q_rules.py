@@ -208,7 +208,17 @@ def complexity_features(spark, d):
     return RU.complexity_features(code_units(spark, d))
 
 
-@register("cognitive_complexity")
+_STATE_SQL = "{{'tok': {0}, 'nest': {1}, 'pend': {2}, 'score': {3}, 'stack': {4}}}"
+
+
+@register("cognitive_complexity", f"""
+WITH t AS (SELECT uid, regexp_extract_all(code, '\\b(?:{'|'.join(RU.CONTROL_KW)})\\b|[{{}}]', 0) AS toks FROM v_code_units),
+s AS (SELECT uid, list_transform(list_prepend('', toks), lambda x: {_STATE_SQL.format('x', '0', 'FALSE', '0', '[]::BOOLEAN[]')}) AS st FROM t)
+SELECT uid, list_reduce(st, lambda s, t: CASE
+  WHEN t.tok = '{{' THEN {_STATE_SQL.format('t.tok', 's.nest + CASE WHEN s.pend THEN 1 ELSE 0 END', 'FALSE', 's.score', 'list_append(s.stack, s.pend)')}
+  WHEN t.tok = '}}' THEN {_STATE_SQL.format('t.tok', 's.nest - CASE WHEN coalesce(s.stack[len(s.stack)], FALSE) THEN 1 ELSE 0 END', 's.pend', 's.score', 's.stack[1:len(s.stack) - 1]')}
+  ELSE {_STATE_SQL.format('t.tok', 's.nest', 'TRUE', 's.score + 1 + s.nest', 's.stack')} END).score AS cognitive_complexity
+FROM s""")
 def cognitive_complexity(spark, d):
     """Control keywords weighted by control-brace nesting (fold over tokens)."""
     return RU.cognitive_complexity(code_units(spark, d))

@@ -3,7 +3,6 @@
 import json
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators import findings as FD
