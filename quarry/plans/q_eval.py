@@ -283,7 +283,25 @@ def max_over_windows(spark, d):
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), "n_chunks", "score")
 
 
-@register("joint_optimise")
+def _round_sql(i: int, before: str) -> str:
+    """CTEs of one round: the best weights at the threshold in ``before``, then the best threshold."""
+    grid = metrics_sql(f"""SELECT vid, w1, w2, w3, w4, count_if(f AND label = 1) AS tp, count_if(f AND label <> 1) AS fp,
+      count_if(NOT f AND label = 1) AS fn, count_if(NOT f AND label <> 1) AS tn
+      FROM (SELECT wv.*, s.label, wv.w1 * s.s1 + wv.w2 * s.s2 + wv.w3 * s.s3 + wv.w4 * s.s4 >= b.threshold AS f
+            FROM {_VEC_SQL} JOIN v_scored s ON TRUE JOIN {before} b ON TRUE) x GROUP BY vid, w1, w2, w3, w4""")
+    sweep = metrics_sql(f"""SELECT g.threshold, count_if(v.vote >= g.threshold AND v.label = 1) AS tp, count_if(v.vote >= g.threshold AND v.label <> 1) AS fp,
+      count_if(NOT (v.vote >= g.threshold) AND v.label = 1) AS fn, count_if(NOT (v.vote >= g.threshold) AND v.label <> 1) AS tn
+      FROM {_grid_sql(EV.SWEEP_GRID).replace(') AS t(threshold)', ') AS g(threshold)')}
+      JOIN (SELECT s.label, t.w1 * s.s1 + t.w2 * s.s2 + t.w3 * s.s3 + t.w4 * s.s4 AS vote FROM v_scored s JOIN t{i} t ON TRUE) v ON TRUE
+      GROUP BY g.threshold""")
+    return f"""t{i} AS MATERIALIZED (SELECT w1, w2, w3, w4 FROM ({grid}) q ORDER BY f1 DESC, vid LIMIT 1),
+r{i} AS MATERIALIZED (SELECT {i} AS round, t.w1, t.w2, t.w3, t.w4, q.threshold, q.f1 FROM (SELECT threshold, f1 FROM ({sweep}) z ORDER BY f1 DESC, threshold LIMIT 1) q JOIN t{i} t ON TRUE)"""
+
+
+@register("joint_optimise", f"""
+WITH r0 AS (SELECT 0.5::DOUBLE AS threshold), {_round_sql(1, 'r0')}, {_round_sql(2, 'r1')}, {_round_sql(3, 'r2')}
+SELECT * FROM r1 UNION ALL SELECT * FROM r2
+UNION ALL SELECT r3.* FROM r3 JOIN r2 ON TRUE JOIN r1 ON TRUE WHERE r2.f1 - r1.f1 >= 1e-4""")
 def joint_optimise(spark, d, rounds: int = 3, tol: float = 1e-4):
     """Alternate weight grid (at the current threshold) and threshold sweep
     (at the current weights) until the F1 gain is below ``tol``."""
