@@ -12,7 +12,8 @@ A document is the set of its five-word shingles; two link at a Jaccard similarit
    every point asks an R-tree of the block's first points (a block up to that size: all of
    it, each pair once).
 4. Surviving pairs are verified on the exact sets.  A document's text goes once to the group
-   of its smallest partner; groups with many documents are salted.
+   of its smallest partner; groups with many documents are salted.  Components are wanted,
+   so a pair that verified links of its group join already needs no verification.
 5. Blocks with more points than a tree has left the pairs among the rest open.  Only those of
    different components can matter: the block's rest is dealt into trees of bounded size by a
    hash, and the points outside its commonest component ask all of them.
@@ -36,7 +37,7 @@ FANOUT, FIRST, REST = 16, 32, 1024
 #: The sample for the shingle order, and the frequent shingles kept of it.
 SAMPLE_ROWS, FREQUENT = 10_000, 100_000
 #: Documents whose sets a verifying group holds beside their partners.
-GROUP = 256
+GROUP = 128
 #: Bits of the filter that keeps texts without a surviving pair at home (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -57,21 +58,24 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the global order."""
-    n = len(s)
-    if not n:
-        return s
+def is_frequent(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     at = np.searchsorted(frequent, s)
-    common = np.zeros(n, bool)
+    out = np.zeros(len(s), bool)
     inside = at < len(frequent)
-    common[inside] = frequent[at[inside]] == s[inside]
-    return s[np.lexsort((mix(s), common))[: n - (4 * n + 4) // 5 + 1]]
+    out[inside] = frequent[at[inside]] == s[inside]
+    return out
+
+
+def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the global order (``common``: its frequent ones)."""
+    n = len(s)
+    return s[np.lexsort((mix(s), common))[: n - (4 * n + 4) // 5 + 1]] if n else s
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    """Group counts in bytes: four to eight shingles a group; more groups if a byte overflows."""
-    groups = max(16, 1 << max(0, (len(s) // 4).bit_length() - 1))
+def count_vector(s: np.ndarray, load: int = 4) -> np.ndarray:
+    """Group counts in bytes: ``load`` to twice as many shingles a group; more groups if a
+    byte overflows."""
+    groups = max(16, 1 << max(0, (len(s) // load).bit_length() - 1))
     h = mix(s ^ np.uint64(0x5851F42D4C957F2D))
     while True:
         v = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
@@ -105,24 +109,29 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, sig (of the set), keys (the prefix), vec."""
+    """doc_id, n, sig (of the set), keys (the prefix), its point (vec, and in more groups
+    wide), and core, the share of its shingles that are frequent: of near copies of a text
+    those with few changes have most."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for part in text_slices(batches):
             sets = text_sets(as_bytes(part.column(1)))
+            common = [is_frequent(s, shared.value) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([prefix(s, shared.value).tobytes() for s in sets], pa.binary()),
+                    pa.array([prefix(s, c).tobytes() for s, c in zip(sets, common)], pa.binary()),
                     pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([count_vector(s, 1).tobytes() for s in sets], pa.binary()),
+                    pa.array([float(c.mean()) if len(c) else 0.0 for c in common]),
                 ],
-                ["doc_id", "n", "sig", "keys", "vec"],
+                ["doc_id", "n", "sig", "keys", "vec", "wide", "core"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, keys binary, vec binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, keys binary, vec binary, wide binary, core double")
 
 
 # --- blocks -------------------------------------------------------------------------------
@@ -271,8 +280,9 @@ def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def search_blocks(points: DataFrame) -> DataFrame:
-    """key, doc, n, vec -> (null, a, b): a pair that the bounds leave; (key, doc, null): a point
-    that was only asked about the first of its block.  Memory holds one tree and a batch."""
+    """key, doc, n, vec, core -> (null, a, b): a pair that the bounds leave; (key, doc, null): a
+    point that was only asked about the first of its block, which are those with the most
+    frequent shingles.  Memory holds one tree and a batch."""
 
     def run(batches):
         key, docs, sizes, vecs, forest = None, [], [], [], None
@@ -327,14 +337,21 @@ def search_blocks(points: DataFrame) -> DataFrame:
         if key is not None and forest is None:
             yield _found(*close())
 
-    ordered = points.repartition("key").sortWithinPartitions("key", F.xxhash64("doc"))
+    ordered = points.repartition("key").sortWithinPartitions("key", F.desc("core"), F.xxhash64("doc"))
     return ordered.select("key", "doc", "n", "vec").mapInArrow(run, "key long, a long, b long")
 
 
+def near_labels(edges: DataFrame) -> DataFrame:
+    """node, label: nodes with one label are in one component; a component may have several
+    labels (its edges are nearly stars, so it rarely has)."""
+    low = settle(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "join-near")
+    return low.join(low.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("label"))
+
+
 def search_rest(rest: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components that the bounds leave among the rest of large blocks.
 
-    ``rest`` is (key, doc), ``labels`` the components by the links so far."""
+    ``rest`` is (key, doc); documents with one of ``labels`` are in one component."""
     rows = rest.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     by_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_label.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
@@ -379,7 +396,10 @@ def search_rest(rest: DataFrame, points: DataFrame, labels: DataFrame) -> DataFr
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a < b) that link.  Every text goes once to each group that needs it."""
+    """Edges (a < b) that join the documents that links among the pairs join, and no others.
+
+    Every text goes once to each group that needs it.  A pair whose documents the links of
+    its group join already is passed over: it can't change a component."""
     pairs = settle(pairs, "join-pairs")
     lab = pairs.groupBy("b").agg(F.min("a").alias("lab"))
     grouped = pairs.join(lab, "b")
@@ -406,7 +426,14 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.unionByName(grouped.select("lab", "salt", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def check(batches):
-        at, sets = None, {}
+        at, sets, root = None, {}, {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = root.get(up, up)
+                i = root[i]
+            return i
+
         for batch in text_slices(batches, 5):
             out = []
             held: list[tuple[int, bytes]] = []
@@ -421,13 +448,16 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if (lab_, salt) != at:
                     held.clear()
                     at, sets = (lab_, salt), {}
+                    root.clear()
                 if kind == 0:
                     held.append((a, t))
                     continue
                 if held:
                     load()
-                if any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
-                    out.append((a, b))
+                if (i := find(a)) != (j := find(b)) and any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                    i, j = min(i, j), max(i, j)
+                    root[j] = i
+                    out.append((i, j))
             load()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -451,15 +481,14 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     classes = settle(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "join-classes")
     # of rows alike in doc_id one will do: their blocks and points are the same
     reps = usable.select("sig", "doc_id", "n", "keys").join(classes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig", "doc_id"])
-    points = usable.select(F.col("doc_id").alias("doc"), "n", "vec")
+    points = usable.select(F.col("doc_id").alias("doc"), "n", "vec", "core")
     found = settle(search_blocks(blocks(reps).join(points, "doc")), "join-found")
     links = verify(found.filter("key IS NULL").select("a", "b").distinct(), docs)
-    labels = connected_components(links)
     rest = found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc"))
     if not rest.isEmpty():
-        more = verify(search_rest(rest, points, labels), docs)
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more))
+        wide = usable.select(F.col("doc_id").alias("doc"), "n", F.col("wide").alias("vec"))
+        links = links.unionByName(verify(search_rest(rest, wide, near_labels(links)), docs))
+    labels = connected_components(links)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("sig", "copies", F.coalesce("label", "rep").alias("component_id"))
     keyed = sets.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig"))
     joined = hot_join(keyed, named, "sig", [F.col("doc_id")], "component_id", "copies")
