@@ -294,11 +294,12 @@ def drop_label_conflicts(df: DataFrame, key: str = "hash", label: str = "label_b
 
 # ---------------------------------------------------------------- A1-A13 aggregates
 def distribution(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """count and % per value of ``col`` (within ``by`` groups)."""
+    """count and % per value of ``col`` (within ``by`` groups; else of all rows, whose number
+    is a scalar subquery: the values may be many)."""
     by = list(by)
     g = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # over the few distinct values
-    return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 6))
+    total = F.sum("n").over(Window.partitionBy(*by)) if by else df.select(F.count(F.lit(1))).scalar()
+    return g.withColumn("pct", F.round(F.col("n") * 100.0 / total, 6))
 
 
 def fill_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
