@@ -32,7 +32,7 @@ from quarry.session import shared_path
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MIN_REVISIT = 100
 #: Bytes of a package that one read task takes at a time.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -224,6 +224,12 @@ def index_lines(path: str) -> Iterator[dict]:
                         yield {"path": path, "offset": bases[x["file"]] + x["offset"], "length": x["length"]}
 
 
+def _tasks(df: DataFrame) -> int:
+    """A number of tasks given outright: rows here are small and what they point to is not, so
+    their own size must not decide."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def index_records(packages: DataFrame) -> DataFrame:
     """path -> path, offset, length of every record."""
     kinds = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -240,7 +246,7 @@ def index_records(packages: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return packages.select("path").repartition("path").mapInArrow(run, "path string, offset long, length long")
+    return packages.select("path").repartition(_tasks(packages), "path").mapInArrow(run, "path string, offset long, length long")
 
 
 # --- reading records ----------------------------------------------------------------------------
@@ -296,7 +302,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
             f.close()
 
     block = F.floor(F.col("offset") / RANGE_BYTES)
-    ordered = index.withColumn("block", block).repartition("path", "block").sortWithinPartitions("path", "offset")
+    ordered = index.withColumn("block", block).repartition(_tasks(index), "path", "block").sortWithinPartitions("path", "offset")
     return ordered.select("path", "offset", "length").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
