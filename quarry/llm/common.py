@@ -13,7 +13,6 @@ from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -84,23 +83,25 @@ def map_text(df: DataFrame, columns: list, schema: str, fn: Callable[[pa.RecordB
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def text_column(fn: Callable[[list[str]], list], kind: str, text: Column) -> Column:
-    """``fn`` over the texts of a column (null: empty), a bounded slice at a time."""
+def map_rows(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch, int], pa.RecordBatch], limit: int = SLICE_BYTES // 2) -> DataFrame:
+    """Rows of ``df`` with its columns, a bounded slice of texts at a time; ``fn`` gets the
+    slice and the place of column ``text``."""
+    at = df.columns.index(text)
 
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        texts = s.fillna("").tolist()
-        out, at = [], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE_BYTES):
-                size += len(texts[to])
-                to += 1
-            out += fn(texts[at:to])
-            at = to
-        return pd.Series(out, index=s.index, dtype=object)
+    def run(batches):
+        for part in text_slices(batches, at, limit):
+            yield fn(part, at)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filter_texts(df: DataFrame, keep: Callable[[list[str]], list[bool]], text: str = "text") -> DataFrame:
+    """Rows of ``df`` whose text (null: empty) is to be kept."""
+
+    def fn(part: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        return part.filter(pa.array(keep(part.column(at).fill_null("").to_pylist()), pa.bool_()))
 
-    return run(text.cast("string"))
+    return map_rows(df, text, fn)
 
 
 def _split_schema(schema: str) -> list[str]:

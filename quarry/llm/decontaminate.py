@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, map_text, table, text_column, text_slices
+from quarry.llm.common import as_bytes, filter_texts, map_text, table, text_slices
 
 #: Passages of one block (its words and vectors go to every task), and latent dimensions.
 #: Passages have few words in common, so a rank under their number loses some of them.
@@ -272,8 +272,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` in which no benchmark passage is found, all columns."""
     find = finder(docs, benchmark)
-    clean = lambda texts: [not x for x in find([t.encode() for t in texts])[0]]
-    return docs.filter(text_column(clean, "boolean", F.col("text")))
+    return filter_texts(docs, lambda texts: [not x for x in find([t.encode() for t in texts])[0]])
 
 
 def op10_latent_retrieval(spark, sf_dir: str) -> DataFrame:

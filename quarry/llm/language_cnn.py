@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod5, map_text, table, text_column
+from quarry.llm.common import crc_mod5, filter_texts, map_text, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -195,7 +195,7 @@ def keep_languages(docs: DataFrame, model: ByteCnn | None, min_score: float = MI
         lang, score, _ = identify(model, texts)
         return ((lang != "und") & (score >= min_score)).tolist()
 
-    return docs.filter(text_column(has_language, "boolean", F.col("text")))
+    return filter_texts(docs, has_language)
 
 
 def op3_byte_cnn(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_share, map_text, table, text_column
+from quarry.llm.common import hash_share, map_rows, map_text, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -266,7 +266,7 @@ def labelled_windows(docs: DataFrame, rows: int = SAMPLE_ROWS, limit: int = SAMP
 # --- finding ----------------------------------------------------------------------------------
 
 #: Padded words of a Viterbi batch.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 150_000
 
 
 def decode(model: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -374,13 +374,19 @@ def redact_documents(docs: DataFrame, model: Crf, text: str = "text", n_chars: s
     """``docs`` with its personal data masked in ``text``, and ``n_chars`` (if there is such a
     column) counted anew for masked rows.  Every row and column stays; null text stays null."""
 
-    mask = lambda texts: [redact(t, spans) for t, (_, spans) in zip(texts, find_spans(model, texts))]
-    columns = docs.columns
-    masked = docs.withColumn("__masked", F.when(F.col(text).isNotNull(), text_column(mask, "string", F.col(text))))
-    if n_chars in columns:
-        changed = ~F.col("__masked").eqNullSafe(F.col(text))
-        masked = masked.withColumn(n_chars, F.when(changed, F.length("__masked")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return masked.withColumn(text, F.col("__masked")).select(*columns)
+    count = docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def mask(part: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        old = part.column(at).to_pylist()
+        new = [t if t is None else redact(t, spans) for t, (_, spans) in zip(old, find_spans(model, [t or "" for t in old]))]
+        columns = list(part.columns)
+        columns[at] = pa.array(new, part.schema.field(at).type)
+        if count is not None:
+            n = [len(b) if a != b else c for a, b, c in zip(old, new, part.column(count).to_pylist())]
+            columns[count] = pa.array(n, part.schema.field(count).type)
+        return pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return map_rows(docs, text, mask)
 
 
 def op2_crf_spans(spark, sf_dir: str) -> DataFrame:
