@@ -18,6 +18,7 @@ No shuffle moves texts.  Passages are handled in blocks of bounded size, one pas
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, filter_texts, map_text, table, text_slices
+from quarry.llm.common import SLICE_BYTES, as_bytes, filter_texts, map_text, table, text_slices
 
 #: Passages of one block (its words and vectors go to every task), and latent dimensions.
 #: Passages have few words in common, so a rank under their number loses some of them.
@@ -84,7 +85,7 @@ def document_frequencies(docs: DataFrame, code: dict[bytes, int]) -> tuple[np.nd
     def run(batches):
         known = shared.value
         n, df = 0, np.zeros(len(known), np.int64)
-        for part in text_slices(batches, 0):
+        for part in text_slices(batches, 0, SLICE_BYTES // 2):
             for text in as_bytes(part.column(0)):
                 hit = known.keys() & set(tokens(text))
                 if hit:
@@ -106,8 +107,9 @@ def document_frequencies(docs: DataFrame, code: dict[bytes, int]) -> tuple[np.nd
 def weights(codes: np.ndarray, idf2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words of a passage and their weights sqrt(tf) * idf, so that the squared
     length is the sum of idf squared over its words."""
-    u, n = np.unique(codes[codes >= 0], return_counts=True)
-    return u, np.sqrt(n * idf2[u])
+    count = Counter(codes[codes >= 0].tolist())  # a few dozen words
+    u = np.fromiter(count.keys(), np.int64, len(count))
+    return u, np.sqrt(np.fromiter(count.values(), np.int64, len(count)) * idf2[u])
 
 
 def randomised_svd(spark, rows: list[tuple[list[int], list[float]]], n_words: int, rank: int, seed: int = 3, partitions: int = 8) -> np.ndarray:
@@ -215,20 +217,26 @@ class Matcher:
         inner = np.concatenate([[0], np.cumsum(np.where(codes >= 0, w2, 0))])
         for tier in np.unique(p.tier):
             step, items = int(tier) // 8, np.flatnonzero(p.tier == tier)
+            latent = p.latent[items]
             n = np.where(lens > 0, np.maximum(0, -(-(lens - tier) // step)) + 1, 0)
             doc = np.repeat(np.arange(len(texts)), n)
             start = off[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
             end = np.minimum(start + tier, off[doc + 1])
             mass = total[end] - total[start]
             # the cosine is at most this bound
-            for i in np.flatnonzero(inner[end] - inner[start] >= self.cosine**2 * mass * (1 - 1e-9)):
-                u, v = weights(codes[start[i] : end[i]], p.idf2)
-                cos = p.latent[items] @ (v @ p.vectors[u]) / np.sqrt(mass[i])
-                for item in items[cos >= self.cosine]:
+            left = np.flatnonzero(inner[end] - inner[start] >= self.cosine**2 * mass * (1 - 1e-9))
+            for at in range(0, len(left), 4096):
+                part = left[at : at + 4096]
+                z = np.empty((len(part), p.vectors.shape[1]), np.float32)
+                for k, (i, j) in enumerate(zip(start[part].tolist(), end[part].tolist())):
+                    u, v = weights(codes[i:j], p.idf2)
+                    z[k] = v @ p.vectors[u]
+                for k, m in np.argwhere(z @ latent.T >= self.cosine * np.sqrt(mass[part])[:, None]).tolist():
+                    i, item = part[k], int(items[m])
                     d = int(doc[i])
                     a, b = max(0, int(start[i] - off[d]) - int(tier) // 2), int(end[i] - off[d]) + int(tier) // 2
-                    if found[d].get(int(item), 0) < 1 and (got := self.verify(int(item), texts[d][a:b])) > found[d].get(int(item), 0):
-                        found[d][int(item)] = got
+                    if found[d].get(item, 0) < 1 and (got := self.verify(item, texts[d][a:b])) > found[d].get(item, 0):
+                        found[d][item] = got
         return found
 
 
@@ -266,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         n = np.fromiter(map(len, items), np.int64, len(items))
         return {"doc_id": part.column(0), "contaminated": n > 0, "kept": n == 0, "n_items": n, "items": pa.array(items, pa.list_(pa.int64())), "best_share": best}
 
-    return map_text(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], "doc_id long, contaminated boolean, kept boolean, n_items long, items array<long>, best_share double", block)
+    return map_text(docs, [F.col("doc_id").cast("long"), F.col("text").cast("string")], "doc_id long, contaminated boolean, kept boolean, n_items long, items array<long>, best_share double", block, SLICE_BYTES // 2)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
