@@ -170,6 +170,14 @@ def _count(code: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(code, F.lit(ascii_b(pattern)), 0))
 
 
+def _moments(state: Column, x: Column) -> Column:
+    """Count, mean and sum of squares around the mean after one more value (one pass, and no
+    sum of squares that could leave 64 bits)."""
+    k, d = state["k"] + 1, x - state["mean"]
+    mean = state["mean"] + d / k
+    return F.struct(k.alias("k"), mean.alias("mean"), (state["m2"] + d * (x - mean)).alias("m2"))
+
+
 def _after(state: Column, d: Column) -> Column:
     """Depth, its maximum, sum and sum of squares after one more brace."""
     return F.struct(d.alias("d"), F.greatest(state["m"], d).alias("m"), (state["s"] + d).alias("s"), (state["q"] + d * d).alias("q"))
@@ -178,12 +186,12 @@ def _after(state: Column, d: Column) -> Column:
 def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
     c = F.col(code)
     lines = F.split(c, "\n", -1)
-    lens = F.transform(lines, lambda l: F.length(l))
+    lens = F.transform(lines, lambda l: F.length(l).cast("long"))
     n = F.size(lines)
     blank = F.size(F.filter(lines, lambda l: TX.is_blank(l)))
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    std = lambda xs, k: F.sqrt((total(F.transform(xs, lambda x: x * x)) * k - total(xs) * total(xs)).cast("double")) / k
     mean = total(lens) / n
+    moments = F.aggregate(lens, F.struct(*[F.lit(0.0).alias(x) for x in ("k", "mean", "m2")]), _moments)
     braces = F.regexp_extract_all(c, F.lit(r"[{}]"), 0)
     depth = F.aggregate(
         braces, F.struct(*[F.lit(0).cast("long").alias(x) for x in ("d", "m", "s", "q")]),
@@ -197,7 +205,7 @@ def lexical_features(units: DataFrame, code: str = "code") -> DataFrame:
         F.round(blank / n, 6).alias("blank_ratio"), F.round(mean, 6).alias("mean_line_length"),
         unsafe.alias("unsafe_calls"), safe.alias("safe_calls"), branches.alias("branches"),
         (branches + 1).alias("cyclomatic"), depth["m"].cast("int").alias("max_brace_depth"),
-        F.round(std(lens, n), 6).alias("std_line_length"),
+        F.round(F.sqrt(moments["m2"] / n), 6).alias("std_line_length"),
         F.round(F.when(k == 0, 0.0).otherwise(F.sqrt((depth["q"] * k - depth["s"] * depth["s"]).cast("double")) / k), 6)
         .alias("std_brace_depth"),
         _count(c, r"\b(?:malloc|calloc|realloc|strdup)\s*\(").alias("allocations"),

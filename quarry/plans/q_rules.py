@@ -39,8 +39,11 @@ C_SAMPLE = [
 
 
 def code_units(spark, d):
+    """Documents, pages and the C sample as units.  The pages are one file of one row group
+    here, so this caller deals them out before the scans, which are far dearer than the
+    exchange; the operators themselves add none."""
     u = V.v_units(spark, d).select("uid", "file_path", "start_line", "code")
-    p = V.table(spark, d, "pages").select(
+    p = V.table(spark, d, "pages").repartition("page_id").select(
         F.concat(F.lit("page::"), F.col("page_id").cast("string")).alias("uid"), F.col("url").alias("file_path"),
         F.lit(1).cast("long").alias("start_line"), F.col("html").alias("code"))
     s = spark.createDataFrame([(f"{f}::{n}::{st}", f, st, c) for f, n, st, c in C_SAMPLE],
@@ -178,8 +181,7 @@ SELECT uid, len(lines) AS total_lines, len(list_filter(lines, lambda l: regexp_m
        len(regexp_extract_all(code, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\|', 0)) + 1 AS cyclomatic,
        CAST(greatest(coalesce(list_max(depths), 0), 0) AS INTEGER)
          AS max_brace_depth,
-       round(sqrt(CAST(CAST(list_sum(list_transform(lines, lambda l: length(l) * length(l))) AS BIGINT) * len(lines)
-         - CAST(list_sum(list_transform(lines, lambda l: length(l))) AS BIGINT) * CAST(list_sum(list_transform(lines, lambda l: length(l))) AS BIGINT) AS DOUBLE)) / len(lines), 6) AS std_line_length,
+       round(list_aggregate(list_transform(lines, lambda l: CAST(length(l) AS DOUBLE)), 'stddev_pop'), 6) AS std_line_length,
        CASE WHEN len(br) = 0 THEN 0.0 ELSE round(sqrt(CAST(CAST(list_sum(list_transform(depths, lambda k: k * k)) AS BIGINT) * len(br)
          - CAST(list_sum(depths) AS BIGINT) * CAST(list_sum(depths) AS BIGINT) AS DOUBLE)) / len(br), 6) END AS std_brace_depth,
        len(regexp_extract_all(code, '\\b(?:malloc|calloc|realloc|strdup)\\s*\\(', 0)) AS allocations,
