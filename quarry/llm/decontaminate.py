@@ -1,14 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's words over all documents (one pass, one row per
-   word and task) give TF-IDF weights; a word of no benchmark passage weighs as if seen once.
+   word and task) give TF-IDF weights; words of no benchmark passage hold nothing of one.
 2. A randomised SVD of the TF-IDF matrix of the benchmark passages (rows of length 1): partitions add up
    A'(A X) for a block of vectors X, summed by blocks of words; the driver only does the
    small QR and eigenproblem.
-3. Every document is cut into overlapping word windows.  The cosine of a window and a passage
-   in the latent space is at most sqrt(weight of benchmark words / weight of all words), so
-   windows under the threshold by that bound are left out; the others are projected and
-   compared with all passages of their length class.
+3. Every document is cut into overlapping word windows, which are projected and compared with
+   all passages of their length class.  A window is a candidate by the share of the passage's
+   own squared length that it holds, so neither the number of documents nor the other words
+   of the window change what is found; a window lighter than the passage, also by its cosine
+   (the other words weighed as if in one document).  Both are bounded by sums over the
+   window's words, and windows under the threshold by these bounds are left out.
 4. Candidates are checked by the longest common subsequence of the passage and the words
    around the window, and by the passage's answer: the answer column, or else what its words
    say by weight, so that common words alone are no evidence.
@@ -190,6 +192,12 @@ class Matcher:
         self.p, self.cosine, self.share = p, cosine, lcs_share
         self.masks = [place_masks(x) for x in p.words]
         self.weight = [{w: float(p.idf2[p.code[w]]) for w in x} for x in p.words]
+        # lengths of the passages, and the most of a passage of the tier that a place of each word can hold
+        rows = [weights(np.array([p.code[w] for w in x]), p.idf2) for x in p.words]
+        self.norm = np.array([np.linalg.norm(v) for _, v in rows])
+        self.most = {int(t): np.zeros(len(p.idf2)) for t in np.unique(p.tier)}
+        for t, (u, v), norm in zip(p.tier.tolist(), rows, self.norm):
+            self.most[t][u] = np.maximum(self.most[t][u], v * np.sqrt(p.idf2[u]) / norm**2)
 
     def verify(self, item: int, region: list[bytes]) -> float:
         """Share of the passage in the region, 0 if it isn't the passage."""
@@ -217,21 +225,24 @@ class Matcher:
         inner = np.concatenate([[0], np.cumsum(np.where(codes >= 0, w2, 0))])
         for tier in np.unique(p.tier):
             step, items = int(tier) // 8, np.flatnonzero(p.tier == tier)
-            latent = p.latent[items]
+            latent, norm = p.latent[items], self.norm[items]
             n = np.where(lens > 0, np.maximum(0, -(-(lens - tier) // step)) + 1, 0)
             doc = np.repeat(np.arange(len(texts)), n)
             start = off[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
             end = np.minimum(start + tier, off[doc + 1])
             mass = total[end] - total[start]
-            # the cosine is at most this bound
-            left = np.flatnonzero(inner[end] - inner[start] >= self.cosine**2 * mass * (1 - 1e-9))
+            held = np.concatenate([[0], np.cumsum(self.most[int(tier)][codes])])
+            # the share is at most the first bound, the cosine the root of the second
+            by_share = held[end] - held[start] >= self.cosine * (1 - 1e-6)
+            light = (mass < norm.max() ** 2) & (inner[end] - inner[start] >= self.cosine**2 * mass * (1 - 1e-9))
+            left = np.flatnonzero(by_share | light)
             for at in range(0, len(left), 4096):
                 part = left[at : at + 4096]
                 z = np.empty((len(part), p.vectors.shape[1]), np.float32)
                 for k, (i, j) in enumerate(zip(start[part].tolist(), end[part].tolist())):
                     u, v = weights(codes[i:j], p.idf2)
                     z[k] = v @ p.vectors[u]
-                for k, m in np.argwhere(z @ latent.T >= self.cosine * np.sqrt(mass[part])[:, None]).tolist():
+                for k, m in np.argwhere(z @ latent.T >= self.cosine * np.minimum(np.sqrt(mass[part])[:, None], norm) * (1 - 1e-6)).tolist():
                     i, item = part[k], int(items[m])
                     d = int(doc[i])
                     a, b = max(0, int(start[i] - off[d]) - int(tier) // 2), int(end[i] - off[d]) + int(tier) // 2

@@ -90,3 +90,30 @@ def test_svd_spans_the_leading_space(spark):
     a = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 300))
     v = D.randomised_svd(spark, [(np.arange(300), r) for r in a], 300, 5)
     assert np.allclose(a @ v @ v.T, a, atol=1e-2)
+
+
+def test_paraphrases_at_any_number_of_documents():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9)).encode()
+    common = [word() for _ in range(30)]
+    items = [[rng.choice(common) if rng.random() < 0.5 else word() for _ in range(n)] for n in range(17, 64)]
+    code = {}
+    for x in items:
+        for w in x:
+            code.setdefault(w, len(code))
+    texts = []
+    for x in items:
+        new = [word() if k % 3 == 1 else w for k, w in enumerate(x)]  # every third word is another one
+        texts.append([word() for _ in range(70)] + new + [word() for _ in range(70)])
+    share = np.array([0.3 if w in common else 0.001 for w in code])
+    for n in (1_000, 10_000, 1_000_000, 100_000_000, 10_000_000_000):
+        for df in (share * n, np.where(share > 0.1, share * n, 1)):
+            p = D.Passages(list(range(len(items))), items, [[]] * len(items), code)
+            p.idf2 = np.append(np.log((n + 2) / (df + 1)), np.log((n + 2) / 2)) ** 2
+            rows = [D.weights(np.array([code[w] for w in x]), p.idf2) for x in items]
+            p.vectors = np.eye(len(code), dtype=np.float32)
+            p.latent = np.array([(v / np.linalg.norm(v)) @ p.vectors[u] for u, v in rows], np.float32)
+            p.tier = np.array([max(16, 1 << (len(x) - 1).bit_length()) for x in items])
+            m = D.Matcher(p, D.COSINE, D.LCS_SHARE)
+            lost = [i for i, found in enumerate(m.find(texts)) if i not in found and m.verify(i, texts[i][70 - len(items[i]) // 4 : 70 + len(items[i])])]
+            assert not lost, (n, lost)
