@@ -91,14 +91,18 @@ class EliasFano:
         at = w * 64 + _select(self.high[w], i - ones[w])
         return ((at - i).astype(U) << U(self.bits)) | self._low(i)
 
-    def successor(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def successor(self, v: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first number >= v (n if there is none), and whether it is v.
-        ``v`` is below the universe."""
+        ``v`` is below the universe.  Given ``first`` and ``stop``, only the numbers from
+        first to before stop are looked at (stop if none of them is >= v)."""
         v = v.astype(U)
         h, low = (v >> U(self.bits)).astype(np.int64), v & U((1 << self.bits) - 1)
         # numbers i to end share the high bits; they lie between two zeros
         i = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1 - h, 0)
         end = last = self._zero(h) - h
+        if first is not None:
+            i, end = np.clip(i, first, stop), np.clip(end, first, stop)
+            last = end
         left = np.flatnonzero(i < end)
         end = end.copy()
         while len(left):  # halve what is left of each bucket

@@ -2,9 +2,10 @@
 
 Level 1 holds every training word: hashes as an Elias-Fano list by shards (ranges of the
 hash), exact counts, and the quantised back-off weight of the word as a context.  A word's id
-is its place in the list.  Level 2 holds the pairs seen twice or more: a shard has its
-contexts, Elias-Fano pointers to their successors, and the successors' ids relative to the
-context (rank * V + id, monotone), with quantised discounted probabilities.  A context that
+is its place in the list.  Level 2 holds every training pair: a shard has its contexts,
+Elias-Fano pointers to their successors, and the successors' ids relative to the context
+(rank * V + id, monotone), with quantised discounted probabilities.  A pair is looked up from
+the context's rank by the range of its pointers, and in that range only.  A context that
 holds more than a quarter of an even shard of all tokens is dealt over all shards by the hash
 of the next word, so no shard grows with one word.
 
@@ -31,7 +32,7 @@ from quarry.llm.common import as_bytes, crc_mod5, create_file, hash_words, map_t
 from quarry.llm.elias_fano import EliasFano, open_arrays, pack_arrays
 from quarry.session import shared_path
 
-DISCOUNT, MIN_COUNT = 0.75, 2
+DISCOUNT, MIN_COUNT = 0.75, 1
 SLICE = 8 << 20
 #: No word holds a space, so this stands for the end of a text (and what comes before its start).
 END = b" end"
@@ -175,7 +176,9 @@ class Reader:
             at = order[np.searchsorted(sorted_, s) : np.searchsorted(sorted_, s, side="right")]
             rank, hit = contexts.successor(ctx[at])
             at, rank = at[hit], rank[hit]
-            i, hit = EliasFano.of(a, "successors").successor(rank.astype(np.uint64) * np.uint64(self.m.vocabulary) + nxt[at].astype(np.uint64))
+            pointers = EliasFano.of(a, "pointers")
+            first, end = (pointers.access(rank + k).astype(np.int64) for k in (0, 1))
+            i, hit = EliasFano.of(a, "successors").successor(rank.astype(np.uint64) * np.uint64(self.m.vocabulary) + nxt[at].astype(np.uint64), first, end)
             out[at[hit]] = dequantise(a["alpha"][i[hit]])
         return out
 
@@ -290,7 +293,7 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
         before = np.roll(codes, 1)
         before[off[:-1]] = 0
         p = lam[before] * p1[codes]
-        ask = np.flatnonzero((lam[before] < 1) & (counts[codes] >= 2))  # else the pair isn't kept
+        ask = np.flatnonzero((lam[before] < 1) & (counts[codes] > 0))  # else the pair isn't kept
         key, back = np.unique(before[ask] * len(distinct) + codes[ask], return_inverse=True)
         c, w = np.divmod(key, len(distinct))
         p[ask] += reader.pairs(ids[c], ids[w], counts[c])[back]

@@ -109,3 +109,44 @@ def test_empty_tables(spark):
     r = L.score(docs, m, F.lit(True)).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score == pytest.approx(r.base_score)
     assert L.score(docs.limit(0), m, F.lit(True)).collect() == []
+
+
+def test_pairs_seen_once_are_kept(spark):
+    texts = {1: "a b c a d", 2: "b e", 3: "d c b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    m = L.train(docs, shards=3)
+    b = Brute(texts.values())
+    b.kept = dict(b.b)  # whatever MIN_COUNT says
+    b.lam = {h: 1 - sum((n - L.DISCOUNT) / b.c[h] for (x, _), n in b.kept.items() if x == h) for h in b.c}
+    check(L.score(docs, m, F.lit(False)).collect(), texts, b, lambda i: False)
+    reader = L.Reader(m)
+    words = sorted(b.c)
+    ids, counts, _ = reader.words(L.hash_words([w.encode() for w in words]))
+    for (h, w), n in b.kept.items():
+        i, j = words.index(h), words.index(w)
+        alpha = reader.pairs(ids[[i]], ids[[j]], counts[[i]])[0]
+        assert abs(math.log10(alpha) - math.log10((n - L.DISCOUNT) / b.c[h])) <= L.STEP / 2 + 1e-9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=60), st.integers(1, 2**30), st.data())
+def test_successor_in_a_range(values, stretch, data):
+    values = sorted(v * stretch for v in values)
+    ef = EliasFano.build(np.array(values, np.uint64), 301 * stretch)
+    first = data.draw(st.integers(0, len(values)))
+    stop = data.draw(st.integers(first, len(values)))
+    for v in {*values, 0, 300 * stretch, values[0] + 1}:
+        i, hit = ef.successor(np.array([v], np.uint64), np.array([first]), np.array([stop]))
+        assert i[0] == first + sum(x < v for x in values[first:stop]) and hit[0] == (v in values[first:stop])
+
+
+def test_lookup_walks_the_pointers(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a")], "doc_id long, text string")
+    m = L.train(docs, shards=1)
+    reader = L.Reader(m)
+    ids, counts, _ = reader.words(L.hash_words([b"a", b"b"]))
+    assert reader.pairs(ids[:1], ids[1:], counts[:1])[0] > 0
+    a = reader.arrays(m.pairs[0])
+    n = EliasFano.of(a, "pointers").n
+    reader.open[m.pairs[0]] = a | EliasFano.build(np.zeros(n, np.uint64), 1).parts("pointers")  # empty ranges
+    assert reader.pairs(ids[:1], ids[1:], counts[:1])[0] == 0
