@@ -84,6 +84,7 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PIECES = re.compile("([A-Z]+)|([a-z]+)|([0-9]+)|(.)", re.S)
+_LENGTH = re.compile("([0-9]+)#")
 
 
 def shape(word: str) -> str:
@@ -103,7 +104,7 @@ def shape(word: str) -> str:
 
 def shape_features(s: str) -> list[str]:
     core = s.strip(".,;:!?()[]<>\"'")
-    return ["bias", f"shape={s}", f"core={core}", f"first={s[:1]}", f"last={s[-1:]}", f"at={'@' in s}", f"plus={'+' in s}", f"dots={min(3, core.count('.'))}", f"digits={min(4, s.count('#'))}", f"paren={'(' in s}{')' in s}", f"plain={core in ('a', 'Aa', 'A', '')}"]
+    return ["bias", f"shape={s}", f"core={core}", f"first={s[:1]}", f"last={s[-1:]}", f"at={'@' in s}", f"plus={'+' in s}", f"dots={min(3, core.count('.'))}", f"digits={min(4, s.count('#'))}", f"total={min(20, sum(map(int, _LENGTH.findall(s))))}", f"hyphens={min(5, core.count('-'))}", f"paren={'(' in s}{')' in s}", f"plain={core in ('a', 'Aa', 'A', '')}"]
 
 
 ROLES = ("cur", "prev", "next")
@@ -226,7 +227,7 @@ def window(text: str, spans: list[tuple[str, int, int]], around: int) -> tuple[l
 
 #: Other ways to write a span, for the labelled table.
 REWRITES = {
-    "phone": (lambda s: s[1:], lambda s: re.sub(r"^\+[0-9]+[ .-]?", "", s), lambda s: "00" + s[1:], lambda s: re.sub(r"[()]", "", s)[1:].replace(" ", ".")),
+    "phone": (lambda s: s[1:], lambda s: re.sub(r"^\+[0-9]+[ .-]?", "", s), lambda s: "00" + s[1:], lambda s: re.sub(r"[()]", "", s)[1:].replace(" ", "."), *(lambda s, lead=lead, mark=mark, skip=skip: lead + mark.join(re.findall("[0-9]+", s)[skip:]) for lead, mark, skip in (("", " ", 0), ("", "-", 0), ("00", " ", 0), ("00", "-", 0), ("0", " ", 1), ("", "-", 1))), *(lambda s, lead=lead, skip=skip: lead + "-".join(re.findall("..?", re.sub(r"\D", "", s)[skip:])) for lead, skip in (("0", 0), ("033-1-", 3)))),
     "email": (lambda s: s.replace("@", "(at)"), lambda s: s.replace("@", "[at]"), lambda s: s.replace("@", " @ ")),
     "card": (lambda s: ".".join(re.findall(".{1,4}", re.sub(r"\D", "", s))),),
     "ip": (),
@@ -325,16 +326,39 @@ def plausible(kind: str, body: str) -> bool:
     return {"email": bool(_AT.search(body)) and "." in body, "ip": digits >= 4, "card": 14 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 
 
+def added_spans(text: str, found: list[tuple[str, int, int, bool]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans of the field to add to those of the patterns, which found ``found``."""
+    n_digits = lambda a, b: sum("0" <= c <= "9" for c in text[a:b])
+    fixed = [m for m in found if m[0] != "card" or m[3]]
+    # numbers that are no card; one of 14 digits or more failed as a card
+    runs = [(a, b, n_digits(a, b)) for kind, a, b, ok in found if kind == "card" and not ok]
+    out: list[tuple[str, int, int]] = []
+    for kind, start, end in more:
+        over = [(a, b, n) for a, b, n in runs if a < end and start < b]
+        if kind == "card" and any(n >= 14 for _, _, n in over):
+            continue
+        if kind == "phone":
+            if any(16 <= n <= 19 for _, _, n in over):  # too long for a phone
+                continue
+            # the field may have labelled some words of a number only
+            for a, b, n in over:
+                if n <= 15 and a <= start and end <= b:
+                    start, end = a, b
+        if plausible(kind, text[start:end]) and not any(a < end and start < b for _, a, b, _ in fixed) and (kind, start, end) not in out:
+            out.append((kind, start, end))
+    return out
+
+
 def find_spans(model: Crf, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, all spans) of each text.  A span of the field is added if no pattern
-    matches any part of it: what a pattern matches and its test drops stays dropped."""
+    matches any part of it: what a pattern matches and its test drops stays dropped.  A number
+    that the card pattern matches is a failed card where it has 14 digits and the field calls
+    it a card, or 16 to 19 digits; else it can be a phone, and then all of it is."""
     result = []
     for text, more in zip(texts, decode(model, texts)):
         found = list(matches(text))
         base = in_order([m[:3] for m in found if m[3]])
-        runs = [m for m in found if m[0] != "card" or m[3] or m[2] - m[1] >= 14]  # a short number isn't a card that failed
-        added = [s for s in more if plausible(s[0], text[s[1] : s[2]]) and not any(a < s[2] and s[1] < b for _, a, b, _ in runs)]
-        result.append((base, in_order(base + added)))
+        result.append((base, in_order(base + added_spans(text, found, more))))
     return result
 
 

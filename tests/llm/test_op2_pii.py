@@ -124,3 +124,23 @@ def test_redaction_keeps_rows_and_columns(docs, model):
 
 def test_nothing_to_learn():
     assert P.find_spans(P.train_crf([]), ["a (988) 555-2485", "me@ex.org"]) == [([], []), ([("email", 0, 9)], [("email", 0, 9)])]
+
+
+@pytest.mark.parametrize("number", ["1 555 123 4567", "49 30 12345678", "033-1-23-45-67-89", "0044 20 7946 0958", "1 988 555 2485", "001-988-555-2485", "0988 555 2485"])
+def test_phones_in_one_run_of_digits(model, number):
+    text = f"call onor {number} orthen ndat of the"
+    assert P.find_spans(model, [text]) == [([], [("phone", 10, 10 + len(number))])]
+    assert P.redact(text, P.find_spans(model, [text])[0][1]) == "call onor [PHONE] orthen ndat of the"
+
+
+def test_failed_cards_stay_dropped(model):
+    texts = ["card 4041894974608796 the", "onor 4111 1111 1111 1112 orthen", "onor 4111-1111-1111-1112 the", "ref 12345678901234 of the"]
+    assert [spans for _, spans in P.find_spans(model, texts)] == [[], [], [], []]
+    # by labels: a number of 14 digits is a failed card as a card, and a phone as a phone
+    text = "at 0044 20 7946 0958 now"
+    found = list(P.matches(text))
+    assert P.added_spans(text, found, [("card", 3, 20)]) == []
+    assert P.added_spans(text, found, [("phone", 3, 20)]) == P.added_spans(text, found, [("phone", 8, 20)]) == [("phone", 3, 20)]
+    # a span that holds more than the number ends where the field ends it
+    text = "(988) 555-2485 12 of"
+    assert P.added_spans(text, list(P.matches(text)), [("phone", 0, 14)]) == [("phone", 0, 14)]
