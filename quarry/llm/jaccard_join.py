@@ -395,11 +395,12 @@ def search_rest(rest: DataFrame, points: DataFrame, labels: DataFrame) -> DataFr
 # --- verification --------------------------------------------------------------------------
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, every: bool = False) -> DataFrame:
     """Edges (a < b) that join the documents that links among the pairs join, and no others.
 
     Every text goes once to each group that needs it.  A pair whose documents the links of
-    its group join already is passed over: it can't change a component."""
+    its group join already is passed over: it can't change a component.  With ``every`` none
+    is, and the edges are the pairs that link."""
     pairs = settle(pairs, "join-pairs")
     lab = pairs.groupBy("b").agg(F.min("a").alias("lab"))
     grouped = pairs.join(lab, "b")
@@ -454,9 +455,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     continue
                 if held:
                     load()
-                if (i := find(a)) != (j := find(b)) and any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                i, j = (a, b) if every else (find(a), find(b))
+                if i != j and any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
                     i, j = min(i, j), max(i, j)
-                    root[j] = i
+                    if not every:
+                        root[j] = i
                     out.append((i, j))
             load()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
@@ -468,13 +471,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of ``docs``.
-
-    Null or wordless text: an empty set, linked with nothing (its own component).  A row
-    without doc_id is linked with nothing and has no component.  Repeated rows are alike.
-    Rows that share a doc_id should share a text; if not, each gets the component of its own
-    text, and classes with the same smallest doc_id are one.  Other columns are not read."""
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The columns read of ``docs``, their sets, those that can link, the classes of equal sets,
+    and what search_blocks finds among the representatives."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = settle(document_sets(docs, frequent_shingles(docs)), "join-sets")
     usable = sets.filter("n > 0 AND doc_id IS NOT NULL")
@@ -483,6 +482,40 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     reps = usable.select("sig", "doc_id", "n", "keys").join(classes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig", "doc_id"])
     points = usable.select(F.col("doc_id").alias("doc"), "n", "vec", "core")
     found = settle(search_blocks(blocks(reps).join(points, "doc")), "join-found")
+    return docs, sets, usable, classes, found
+
+
+def shingle_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join.  Links (a, b) of the representatives of classes, a < b, each once; and
+    doc_id, n_links, a row for each row of ``docs``: the other rows that it links with, those
+    of its own class included.
+
+    A group of k representatives near each other has up to k(k - 1)/2 links, and all are
+    verified.  Rows that share a doc_id must share a text."""
+    docs, sets, usable, classes, found = candidates(docs)
+    pairs = found.filter("key IS NULL").select("a", "b")
+    rest = found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc"))
+    if not rest.isEmpty():
+        wide = usable.select(F.col("doc_id").alias("doc"), "n", F.col("wide").alias("vec")).dropDuplicates(["doc"])
+        alone = docs.sparkSession.createDataFrame([], "node long, label long")  # each document by itself
+        pairs = pairs.unionByName(search_rest(rest, wide, alone))
+    links = verify(pairs.distinct(), docs, every=True).distinct()
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
+    counted = classes.join(near, "rep", "left").select("sig", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    keyed = sets.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig"))
+    joined = hot_join(keyed, counted, "sig", [F.col("doc_id")], "n_links", "copies")
+    return links, joined.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def shingle_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of ``docs``.
+
+    Null or wordless text: an empty set, linked with nothing (its own component).  A row
+    without doc_id is linked with nothing and has no component.  Repeated rows are alike.
+    Rows that share a doc_id should share a text; if not, each gets the component of its own
+    text, and classes with the same smallest doc_id are one.  Other columns are not read."""
+    docs, sets, usable, classes, found = candidates(docs)
     links = verify(found.filter("key IS NULL").select("a", "b").distinct(), docs)
     rest = found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc"))
     if not rest.isEmpty():

@@ -115,3 +115,27 @@ def test_components(spark):
     want = {i: 0 for i in range(61)} | {i: 100 for i in (100, 150, 200)} | {500 + k: 500 for k in range(50)}
     assert got == want
     assert connected_components(d.limit(0)).collect() == []
+
+
+def test_all_links_and_their_number(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = {}
+    for family, size, swaps in ((0, 90, 4), (1, 40, 2), (2, 3, 0)):
+        base = [word() for _ in range(100)]
+        for k in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, swaps)):
+                w[rng.randrange(100)] = word()
+            texts[family * 1000 + k] = " ".join(w)
+    texts |= {8000: None, 8001: "", 8002: "a b"}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    link = lambda i, j: 100 * (both := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - both) and both > 0
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+    ids = sorted(set(rep.values()))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    links, counts = J.shingle_links(docs)
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if link(i, j)}
+    assert {r.doc_id: r.n_links for r in counts.collect()} == {i: sum(link(i, j) for j in texts if j != i) for i in texts}
