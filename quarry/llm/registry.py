@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate, jaccard_join, language_cnn, mixing, ngram_lm, pii_crf, repetition, token_counts, warc_zip
+from quarry.llm import chat, decontaminate, jaccard_join, language_cnn, mixing, ngram_lm, pii_crf, piece_codec, repetition, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         token_counts.op8_pretoken_counts,
         mixing.op9_poisson_mixing,
         decontaminate.op10_latent_retrieval,
+        piece_codec.op12_prefix_table_codec,
     ]
     return {f.__name__: f for f in fns}
 
