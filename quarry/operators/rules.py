@@ -12,12 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixed import C_RULES, CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY, KEYWORD_RULES, SEVERITY_CONFIDENCE, TEXT_RULES, TEXT_RULE_DESCRIPTIONS
 from ..functions import text as TX
+from .segment import find_functions, segment_units  # noqa: F401 (U2)
 
 
 #: A private-use character; one in the text becomes its neighbour before marking.
@@ -264,95 +264,3 @@ def cognitive_complexity(units: DataFrame, code: str = "code") -> DataFrame:
 
     res = F.aggregate(toks, init, step)
     return units.select("uid", res["score"].alias("cognitive_complexity"))
-
-
-# ------------------------------------------------------------------ U2 unit segmentation
-_HIDDEN = re.compile(r'//(?:[^\n\\]|\\.)*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S)
-_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)(?:[^\n\\]|\\.)*", re.M | re.S)
-_TOKEN = re.compile(r"[{};]")
-_SIGNATURE = re.compile(r"([A-Za-z_~][\w~]*(?:\s*::\s*[A-Za-z_~]\w*)*|operator\s*[^\s\w(]+)\s*\(")
-_SCOPE = re.compile(r"(?:^|\s)(?:namespace\b[\w\s:]*|extern\s*|(?:class|struct|union)\b[^()=]*)\Z")
-_LABELS = re.compile(r"(?:\s|(?:public|private|protected)\s*:)*")
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "sizeof", "do", "else"}
-
-
-def _blank(m: re.Match) -> str:
-    return re.sub(r"[^\n]", " ", m[0])
-
-
-def _visible(text: str) -> str:
-    """The text with comments, literals, preprocessor lines and the later branches of
-    conditionals blanked; every character keeps its place."""
-    text = _HIDDEN.sub(_blank, text)
-    out, at, first = [], 0, [True]  # is each open conditional in its first branch
-    for m in _DIRECTIVE.finditer(text):
-        part = text[at:m.start()]
-        out.append(part if all(first) else re.sub(r"[^\n]", " ", part))
-        out.append(_blank(m))
-        at, word = m.end(), m[1]
-        if word in ("if", "ifdef", "ifndef"):
-            first.append(True)
-        elif word in ("else", "elif") and len(first) > 1:
-            first[-1] = False
-        elif word == "endif" and len(first) > 1:
-            first.pop()
-    out.append(text[at:] if all(first) else re.sub(r"[^\n]", " ", text[at:]))
-    return "".join(out)
-
-
-def find_functions(text: str) -> list[tuple[str, int, int, str]]:
-    """(name, first line, last line, code) of each function in C-like source, in order.
-
-    A brace block is a function if a name and a parameter list stand before it; blocks of
-    namespaces, ``extern "C"`` and classes are searched, all others are passed over.  A
-    closing brace without an opening one is ignored."""
-    code, found, line, counted = _visible(text), [], 1, 0
-    head, skip, scopes, start = 0, 0, 0, None
-    for m in _TOKEN.finditer(code):
-        at, ch = m.start(), m[0]
-        if skip:  # inside a function or a block that is passed over
-            skip += (ch == "{") - (ch == "}")
-            if not skip:
-                if start is not None:
-                    name, begin = start
-                    line += code.count("\n", counted, begin)
-                    counted = begin
-                    found.append((name, line, line + code.count("\n", begin, at), text[begin:at + 1]))
-                head, start = at + 1, None
-            continue
-        if ch == "{":
-            before = code[head:at]
-            sig = _SIGNATURE.search(before)
-            if _SCOPE.search(before):
-                scopes += 1
-                head = at + 1
-                continue
-            if sig and "=" not in before[:sig.start()] and sig[1] not in _NOT_NAMES:
-                start = (re.sub(r"\s", "", sig[1]), head + _LABELS.match(before).end())
-            skip = 1
-        else:
-            scopes = max(0, scopes - (ch == "}"))
-            head = at + 1
-    return found
-
-
-def segment_units(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Source text -> functions: file_path, function_name, start_line, end_line, code.
-
-    A file is one row and is read in one pass, whatever its size, so there is no
-    shuffle.  Null content has no function; the ingestion's size rule is
-    ``corpus.accepted_files``."""
-
-    def run(batches):
-        for batch in batches:
-            out: dict = {c: [] for c in ("file_path", "function_name", "start_line", "end_line", "code")}
-            for i in range(batch.num_rows):
-                source = batch.column(1)[i].as_py()
-                for row in find_functions(source) if source else ():
-                    for c, v in zip(out.values(), (batch.column(0)[i].as_py(), *row)):
-                        c.append(v)
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
-
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(
-        run, "file_path string, function_name string, start_line long, end_line long, code string")

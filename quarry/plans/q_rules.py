@@ -248,3 +248,38 @@ UNION ALL SELECT url, 'page', 0, 0 FROM pages WHERE regexp_matches(html, '[A-Za-
 def segment_units(spark, d):
     """Functions of all pages (markup: none has one) and of the C sample's files."""
     return RU.segment_units(source_files(spark, d)).drop("code")
+
+
+#: Heads of the generated sources by doc_id % 10 (@ is the doc_id): text, name ('' if it is no function), first line, line of the brace.
+HEADS = [
+    ("int f@(int a, char *b)", "f@", 1, 2),
+    ("int f@(a, b)\nint a;\nchar *b;", "f@", 1, 4),
+    ("__attribute__((noinline)) static int f@(void)", "f@", 1, 2),
+    ("int f@(void) __must_hold(x) UNUSED(y)", "f@", 1, 2),
+    ('MODULE_LICENSE("GPL");\nMODULE_NOTE(x)\nstatic void *f@(void)', "f@", 3, 4),
+    ("template <class T, int N = (1 > 2)>\nT A<T>::f@(T t) const", "A::f@", 2, 3),
+    ("void (*f@(int s, void (*g)(int)))(int)", "f@", 1, 2),
+    ("#ifdef WIDE\nlong f@(long x)\n#else\nint f@(int x)\n#endif", "f@", 2, 6),
+    ("DEFINE_THING(f@)", "", 1, 2),
+    ("B::B(int x) : a(x), b{x}, c{f(x)}", "B::B", 1, 2),
+]
+
+
+def generated_sources(spark, d):
+    """A source file for each document: a head of every kind, the text as a comment of the body."""
+    docs = V.table(spark, d, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")).alias("text"))
+    head = F.get(F.array(*[F.lit(h) for h, *_ in HEADS]), F.pmod("doc_id", F.lit(len(HEADS))).cast("int"))
+    body = F.concat(F.lit("\n{\n/* "), F.col("text"), F.lit(' */\nconst char *s = "} {"; if (s) { x = \'{\'; }\n}\n'))
+    return docs.select(F.concat(F.lit("gen/"), F.col("doc_id"), F.lit(".c")).alias("path"), F.concat(F.replace(head, F.lit("@"), F.col("doc_id").cast("string")), body).alias("content"))
+
+
+@register("segment_declarators", """
+WITH h(k, name, first, brace) AS (VALUES """ + ", ".join(f"({k}, '{n}', {a}, {b})" for k, (_, n, a, b) in enumerate(HEADS)) + """),
+d AS (SELECT doc_id, replace(coalesce(text, ''), '*/', '* /') AS text FROM documents)
+SELECT 'gen/' || doc_id || '.c' AS file_path, replace(name, '@', doc_id::VARCHAR) AS function_name, first::BIGINT AS start_line,
+       (brace + 3 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS end_line
+FROM d JOIN h ON h.k = d.doc_id % """ + str(len(HEADS)) + """ WHERE name <> ''""")
+def segment_declarators(spark, d):
+    """U2 over a generated source per document: old-style, attribute, macro, template, pointer,
+    conditional and qualified heads; SQL knows only the head's name and lines and the text's newlines."""
+    return RU.segment_units(generated_sources(spark, d)).drop("code")
