@@ -7,11 +7,13 @@ returns the result, so the readers and sinks run at table scale.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import evaluate as EV
 from ..operators import rules as RU
+from ..operators.helpers import ordered_scan
 from ..session import shared_path
 from ..sources import files as FS
 from ..sources.fixed import XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
@@ -185,6 +187,48 @@ def json_array_roundtrip(spark, d):
 REGISTRY["json_array_roundtrip"] = (json_array_roundtrip, REGISTRY["normalize_devign"][1])
 
 
+def _one_line(spark, rows, name, array):
+    """Rows as JSON files of a single line each: an array, or objects with a blank between."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            text = batch.column(0).to_pylist()
+            if array:
+                text = [("[" if first and not i else ",") + v for i, v in enumerate(text)]
+            first = first and not text
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["value"])
+        if array:
+            yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+    root = shared_path(spark, name)
+    rows.select(F.to_json(F.struct(*rows.columns))).mapInArrow(run, "value string").write.option("lineSep", " ").text(root)
+    return root
+
+
+@register("json_array_one_line")
+def json_array_one_line(spark, d):
+    """Raw records as arrays on one line, read by byte ranges -> normaliser."""
+    root = _one_line(spark, V.v_raw_devign(spark, d), "array-line", True)
+    return C.normalize_devign(FS.read_raw_json_array(spark, root, "ordinal long, func string, target int, commit_id string"))
+
+
+REGISTRY["json_array_one_line"] = (json_array_one_line, REGISTRY["normalize_devign"][1])
+
+
+@register("raw_values_positions", """
+SELECT ordinal, length(func) AS chars, target, true AS in_order FROM v_raw_diversevul""")
+def raw_values_positions(spark, d):
+    """S3: raw records without a line break, read by byte ranges with their offsets; the order of
+    the offsets in each file is that in which the records were written (ordinal, here sorted)."""
+    root = _one_line(spark, V.v_raw_diversevul(spark, d).sortWithinPartitions("ordinal"), "values-line", False)
+    raw = FS.read_raw_json_values(spark, root, "ordinal long, func string, target int", position=True)
+    ranked = ordered_scan(raw.select("_file", "_offset", "ordinal"), ["_offset"], None, ["_file"], "by_offset")
+    ranked = ordered_scan(ranked.select("_file", "ordinal", "by_offset"), ["ordinal"], None, ["_file"], "by_ordinal")
+    same = ranked.select("ordinal", (F.col("by_offset") == F.col("by_ordinal")).alias("in_order"))
+    return raw.join(same, "ordinal").select("ordinal", F.length("func").alias("chars"), "target", "in_order")
+
+
 def _tree(spark, d):
     root = shared_path(spark, "tree")
     FS.write_files(V.v_labelled_files(spark, d).select("path", "content"), root)

@@ -1,17 +1,15 @@
 """File readers (S1-S9, S13) and sinks (K1-K4).
 
 Readers declare schemas (no inference) and return DataFrames; tool-report
-readers normalise to the findings schema.  Whole-file formats (JSON arrays,
-XML reports, archives) are not splittable: read them once and write parquet.
+readers normalise to the findings schema.  JSON values are read by byte ranges
+(``json_ranges``); XML and JSON tool reports are not splittable.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import posixpath
 import zipfile
-from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from .json_ranges import read_json
 from .fixed import CSV_TOOL_LEVEL, JSON_TOOL_SEVERITY, MAX_FILE_SIZE, SEVERITY_CONFIDENCE, XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, \
     XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
 
@@ -41,44 +40,16 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return df.limit(limit) if limit else df
 
 
-def read_raw_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Whole-file JSON array (multiLine); convert once to parquet for scale."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def _json_values(text: str):
-    """JSON values written one after another, however they are broken into lines; after a
-    broken one the rest of its line is passed over."""
-    decode, at = json.JSONDecoder().raw_decode, 0
-    while True:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text):
-            return
-        try:
-            value, at = decode(text, at)
-        except json.JSONDecodeError:
-            end = text.find("\n", at)
-            at = len(text) if end < 0 else end + 1
-            continue
-        yield value
-
-
-def read_raw_json_values(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Concatenated JSON values (several on a line, or one over several lines); values
-    that are not objects are skipped.  A file is one unit of work, as its values may
-    start anywhere."""
-    s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-    def split(batches):
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                objects = (json.dumps(v, ensure_ascii=False) for v in _json_values(raw.decode("utf-8", "replace")) if isinstance(v, dict))
-                while part := list(islice(objects, 1000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["value"])
+def read_raw_json_array(spark: SparkSession, path: str, schema: T.StructType | str, position: bool = False) -> DataFrame:
+    """Files that are JSON arrays of objects (or one object), read by byte ranges however
+    they are broken into lines; ``position`` adds ``_file`` and ``_offset``."""
+    return read_json(spark, path, schema, array=True, position=position)
+
 
-    values = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "value string")
-    return values.select(F.from_json("value", s).alias("v")).select("v.*")
+def read_raw_json_values(spark: SparkSession, path: str, schema: T.StructType | str, position: bool = False) -> DataFrame:
+    """Concatenated JSON values (several on a line, or one over several lines), read by byte
+    ranges; values that are not objects are skipped; ``position`` as above."""
+    return read_json(spark, path, schema, position=position)
 
 
 def list_source_tree(spark: SparkSession, root: str) -> DataFrame:
