@@ -19,8 +19,9 @@ a pair, so no row per term and pair exists.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-from collections import Counter
+from bisect import bisect_left, insort
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from quarry.llm.common import as_bytes, settle, table, text_slices
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Tasks that merge the skybands of one hot group; entries of a pair block; partial counts a task holds.
-SALTS, BLOCK, HELD = 16, 200_000, 400_000
+SALTS, BLOCK, HELD = 4, 200_000, 1_500_000
 #: Cells of a dense block (terms by sources) in memory.
 CELLS = 1 << 20
 
@@ -47,29 +48,58 @@ def _group(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("")).alias(col)
 
 
+class _Counts:
+    """Occurrences and documents by (lang, source) and term of the texts of a task.  Words have
+    codes; documents are counted as sorted numbers, not one by one."""
+
+    def __init__(self):
+        self.codes: dict[bytes, int] = defaultdict(count().__next__)
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # group and word, occurrences, documents
+
+    def add(self, groups: list[tuple[str, str]], texts: list[bytes]) -> None:
+        lists = [terms(t) for t in texts]
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(lists)), np.int64, int(lens.sum()))
+        group = np.fromiter((self.groups.setdefault(g, len(self.groups)) for g in groups), np.int64, len(groups))
+        key, n = np.unique(np.repeat(np.arange(len(lists)), lens) << 32 | words, return_counts=True)
+        self._hold(group[key >> 32] << 32 | key & 0xFFFFFFFF, n, np.ones(len(n), np.int64))
+        if sum(len(p[0]) for p in self.parts) > 2 * HELD:
+            self._hold(*(np.concatenate(x) for x in zip(*self.parts)), alone=True)
+
+    def _hold(self, key: np.ndarray, n: np.ndarray, docs: np.ndarray, alone: bool = False) -> None:
+        if not len(key):
+            return
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        part = (key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first))
+        self.parts = [part] if alone else [*self.parts, part]
+
+    def full(self) -> bool:
+        return len(self.codes) > HELD // 2 or sum(len(p[0]) for p in self.parts) > HELD
+
+    def rows(self) -> pa.RecordBatch:
+        if len(self.parts) > 1:
+            self._hold(*(np.concatenate(x) for x in zip(*self.parts)), alone=True)
+        key, n, docs = self.parts[0] if self.parts else (np.zeros(0, np.int64),) * 3
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        words = pa.array(list(self.codes), pa.binary()).cast(pa.string())
+        group, word = pa.array(key >> 32), pa.array(key & 0xFFFFFFFF)
+        return pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), words.take(word), pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: partial counts of each task (several rows a term)."""
 
     def run(batches):
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def emit():
-            keys = [(k, t, n, d[t]) for k, (c, d) in seen.items() for t, n in c.items()]
-            seen.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0][0] for k in keys], pa.string()), pa.array([k[0][1] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([k[3] for k in keys], pa.int64())],
-                ["lang", "source", "term", "n", "docs"],
-            )
-
+        counts = _Counts()
         for part in text_slices(batches, 2):
-            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
-                words = terms(text)
-                n, d = seen.setdefault((lang, source), (Counter(), Counter()))
-                n.update(words)
-                d.update(set(words))
-            if sum(len(n) for n, _ in seen.values()) > HELD:
-                yield emit()
-        yield emit()
+            counts.add(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist())), as_bytes(part.column(2)))
+            if counts.full():
+                yield counts.rows()
+                counts = _Counts()
+        yield counts.rows()
 
     return docs.select(_group("lang"), _group("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
@@ -89,50 +119,68 @@ def group_totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return groups.join(sources, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["n", "v", "lang_n", "entries"])
 
 
-class Skyband:
-    """Terms of one group that fewer than k others dominate.  They are offered by falling
-    source count, then rising language count, then UTF-8, so what dominates a term came before
-    it, and only those that stayed need be counted (k that dominate it include k that stayed).
-
-    For each language count at which a term stayed, ``best`` has the first k (by UTF-8) of the
-    terms that stayed at that count or a lower one."""
-
-    def __init__(self, k: int):
-        self.k, self.levels, self.best = k, [], []
-
-    def offer(self, count: int, term: str) -> bool:
-        i = bisect_right(self.levels, count) - 1
-        best = self.best[i] if i >= 0 else []
-        if len(best) >= self.k and best[-1] < term:
-            return False
-        if i < 0 or self.levels[i] != count:
-            i += 1
-            self.levels.insert(i, count)
-            self.best.insert(i, list(best))
-        for j in range(i, len(self.levels)):
-            best = self.best[j]
-            if len(best) >= self.k and best[-1] < term:
-                break  # higher levels have at least these before it
-            insort(best, term)
-            del best[self.k :]
-        return True
+def skyband_rows(levels: list[int], names: list[str], k: int) -> list[bool]:
+    """Which terms of one group fewer than k others dominate.  The terms come by falling source
+    count, then rising language count (``levels``), then UTF-8, so what dominates a term comes
+    before it, and only those that stay need be counted (k that dominate it include k that stay).
+
+    A tree over the language counts (each node the sum of a range of them, as in a Fenwick tree)
+    holds in every node the first k names, by UTF-8, of the terms that stayed there: a term asks
+    the nodes of all counts up to its own how many names come before it."""
+    place = {x: i + 1 for i, x in enumerate(sorted(set(levels)))}
+    n = len(place)
+    nodes: list[list[str]] = [[] for _ in range(n + 1)]
+    keep = []
+    for level, name in zip(levels, names):
+        at = i = place[level]
+        before = 0
+        while i and before < k:
+            before += bisect_left(nodes[i], name)
+            i &= i - 1
+        keep.append(before < k)
+        if before < k:
+            while at <= n:
+                node = nodes[at]
+                if len(node) < k:
+                    insort(node, name)
+                elif name < node[-1]:
+                    insort(node, name)
+                    node.pop()
+                at += at & -at
+    return keep
+
+
+_ENTRIES = ["lang", "source", "term", "count", "lang_count"]
 
 
 def skyband(entries: DataFrame, k: int) -> DataFrame:
     """The k-skyband of each (lang, source) of each partition of (lang, source, term, count, lang_count)."""
 
     def run(batches):
-        key, band = None, None
-        for b in batches:
-            keep = []
-            for lang, source, term, level in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4))):
-                if (lang, source) != key:
-                    key, band = (lang, source), Skyband(k)
-                keep.append(band.offer(level, term))
-            yield b.filter(pa.array(keep, pa.bool_()))
+        held: list[pa.RecordBatch] = []  # rows of the last group so far
 
-    cols = ["lang", "source", "term", "count", "lang_count"]
-    return entries.select(*cols).sortWithinPartitions("lang", "source", F.desc("count"), "lang_count", "term").mapInArrow(run, "lang string, source string, term string, count long, lang_count long")
+        def settle_group() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            return rows.filter(pa.array(skyband_rows(rows.column(4).to_pylist(), rows.column(2).to_pylist(), k), pa.bool_()))
+
+        key = None
+        for b in batches:
+            at = 0
+            for i, this in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if this != key:
+                    if i > at:
+                        held.append(b.slice(at, i - at))
+                    if held:
+                        yield settle_group()
+                    key, at = this, i
+            if b.num_rows > at:
+                held.append(b.slice(at))
+        if held:
+            yield settle_group()
+
+    order = ["lang", "source", F.desc("count"), "lang_count", "term"]
+    return entries.select(*_ENTRIES).sortWithinPartitions(*order).mapInArrow(run, "lang string, source string, term string, count long, lang_count long")
 
 
 def _p(count: str, n: str) -> Column:
@@ -147,12 +195,16 @@ def _ranked(part: DataFrame) -> DataFrame:
 
 def overused_terms(kept: DataFrame, totals: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, item, value, rank: the first ``top`` kept terms of each source with p > q."""
+    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = kept.select("lang", "term", "lang_count", F.explode("entries").alias("e")).select("lang", F.col("e.source").alias("source"), "term", F.col("e.n").alias("count"), "lang_count")
-    band = skyband(every, top)
-    band = skyband(band.repartition("lang", "source", F.pmod(F.xxhash64("term"), F.lit(SALTS))), top)
-    band = skyband(band.repartition("lang", "source"), top)
+    # what dominates a term with p > q has p > q itself
+    over = every.join(totals, ["lang", "source"]).filter(_p("count", "n") > _p("lang_count", "lang_n"))
+    band = skyband(over, top)
+    # a number given outright: work per byte is high, so small partitions are not to be put together
+    band = skyband(band.repartition(n, "lang", "source", F.pmod(F.xxhash64("term"), F.lit(SALTS))), top)
+    band = skyband(band.repartition(n, "lang", "source"), top)
     f = band.join(totals, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), _p("count", "n").alias("p"), _p("lang_count", "lang_n").alias("q"))
-    f = f.filter("p > q").select("lang", "source", "item", F.expr("((p - q) * (p - q)) div q").alias("value"))
+    f = f.select("lang", "source", "item", F.expr("((p - q) * (p - q)) div q").alias("value"))
     return _ranked(f).filter(F.col("rank") <= top)
 
 
@@ -177,10 +229,10 @@ def pair_sums(rows: pa.Array, n_sources: int, codes: np.ndarray, counts: np.ndar
         dense = np.ones((to - at, n_sources), np.int64)
         inside = slice(ends[at], ends[to])
         dense[np.repeat(np.arange(to - at), rows[at:to]), codes[inside]] += counts[inside]
-        p = _shares(dense, totals)
-        for a in range(n_sources):
-            d = p[:, a : a + 1] - p
-            out[a] += (d * d // p).sum(axis=0)
+        p = np.ascontiguousarray(_shares(dense, totals).T).astype(np.uint64)
+        sums, squares = p.sum(axis=1).astype(np.int64), p * p
+        for b in range(n_sources):  # floor((p - q)^2 / q) = floor(p^2 / q) - 2 p + q
+            out[:, b] += (squares // p[b]).sum(axis=1).astype(np.int64) - 2 * sums + sums[b]
     return out
 
 

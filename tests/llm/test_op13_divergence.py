@@ -77,8 +77,8 @@ def test_skyband_keeps_exactly_what_fewer_than_k_dominate(k):
     items = list({(rng.randint(1, 12), rng.randint(1, 15), t) for t in {f"t{rng.randint(0, 400)}" for _ in range(250)}})
     items = list({t: (g, lc, t) for g, lc, t in items}.values())
     items.sort(key=lambda x: (-x[0], x[1], x[2]))
-    band = D.Skyband(k)
-    kept = {t for g, lc, t in items if band.offer(lc, t)}
+    keep = D.skyband_rows([lc for _, lc, _ in items], [t for *_, t in items], k)
+    kept = {t for (_, _, t), stays in zip(items, keep) if stays}
     want = {t for g, lc, t in items if sum(g2 >= g and l2 <= lc and t2 < t for g2, l2, t2 in items) < k}
     assert kept == want
 
