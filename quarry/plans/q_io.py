@@ -15,6 +15,7 @@ from ..operators import evaluate as EV
 from ..operators import rules as RU
 from ..operators.helpers import ordered_scan
 from ..session import shared_path
+from ..sources import archives as AR
 from ..sources import files as FS
 from ..sources.fixed import XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
 from ..streaming import jobs as ST
@@ -253,6 +254,60 @@ def source_tree_roundtrip(spark, d):
     return f.select("rel_path", "language", "size", F.sha2("content", 256).alias("digest"))
 
 
+# ------------------------------------------------------------------ archives
+_REGULAR, _LINK = 0o100644, 0o120777
+
+
+@register("archive_members", """
+SELECT 'a' || (doc_id // 100) || '.zip' AS archive, 'docs/' || doc_id || '.txt' AS member, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size,
+       sha256(coalesce(text, '')) AS digest FROM documents""")
+def archive_members(spark, d):
+    """Documents packed a hundred to an archive, every tenth also under an unsafe name -> safe members."""
+    root = shared_path(spark, "archives")
+    docs = V.table(spark, d, "documents").select(F.concat(F.lit("a"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit(".zip")).alias("archive"), "doc_id", F.coalesce("text", F.lit("")).alias("content"), F.lit(_REGULAR).alias("mode"))
+    name = F.col("doc_id").cast("string")
+    safe = docs.withColumn("member", F.concat(F.lit("docs/"), name, F.lit(".txt")))
+    unsafe = docs.filter("doc_id % 10 = 0").withColumn("member", F.concat(F.when(F.col("doc_id") % 20 == 0, F.lit("../")).otherwise(F.lit("/")), name))
+    AR.write_archives(safe.unionByName(unsafe), root)
+    m = AR.read_source_archives(spark, f"{root}/*.zip")
+    return m.select(F.substring_index("archive", "/", -1).alias("archive"), "member", "size", F.sha2("content", 256).alias("digest"))
+
+
+def _packed_sources(spark, d):
+    """The generated sources, a hundred to an archive: some in folders that are left out, some links, some no sources."""
+    root = shared_path(spark, "source-archives")
+    i = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    folder = F.when(i % 7 == 0, F.lit("build/")).when(i % 11 == 0, F.lit("src/.cache/")).otherwise(F.lit("src/"))
+    name = F.regexp_replace("path", r"\.c$", "")
+    rows = q_rules.generated_sources(spark, d).select(
+        F.concat(F.lit("s"), F.floor(i / 100).cast("string"), F.lit(".zip")).alias("archive"),
+        F.concat(folder, name, F.when(i % 5 == 0, F.lit(".txt")).when(i % 5 == 1, F.lit(".CPP")).otherwise(F.lit(".c"))).alias("member"),
+        "content", F.when(i % 13 == 0, F.lit(_LINK)).otherwise(F.lit(_REGULAR)).alias("mode"))
+    AR.write_archives(rows, root)
+    return f"{root}/*.zip"
+
+
+_PACKED_SQL = """s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'build/' WHEN doc_id % 11 = 0 THEN 'src/.cache/' ELSE 'src/' END || 'gen/' || doc_id
+  || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.CPP' ELSE '.c' END AS rel_path, doc_id % 13 = 0 AS link
+  FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0 AND doc_id % 5 > 0)"""
+
+
+@register("archive_functions", "WITH f AS (" + q_rules.DECLARATORS_SQL + "), " + _PACKED_SQL + """
+SELECT 's' || (doc_id // 100) || '.zip' AS archive, rel_path, rel_path || '::' || function_name || '::' || start_line AS uid, function_name, start_line, end_line,
+       CASE doc_id % 5 WHEN 1 THEN 'cpp' ELSE 'c' END AS language
+FROM s JOIN f ON f.file_path = 'gen/' || doc_id || '.c' WHERE NOT link""")
+def archive_functions(spark, d):
+    """S5 -> F6 -> U2: packed sources -> accepted files -> functions."""
+    _, functions, _ = AR.ingest_archives(spark, _packed_sources(spark, d))
+    return functions.drop("code").withColumn("archive", F.substring_index("archive", "/", -1))
+
+
+@register("archive_skipped", "WITH " + _PACKED_SQL + "SELECT rel_path AS path, 'symlink' AS reason FROM s WHERE link")
+def archive_skipped(spark, d):
+    """F6 inside archives: what the ingestion leaves out and reports."""
+    return AR.ingest_archives(spark, _packed_sources(spark, d))[2].drop("archive")
+
+
 # ------------------------------------------------------------------ streaming
 UNIT_SCHEMA = "uid string, file_path string, start_line long, code string"
 

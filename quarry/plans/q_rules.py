@@ -273,12 +273,15 @@ def generated_sources(spark, d):
     return docs.select(F.concat(F.lit("gen/"), F.col("doc_id"), F.lit(".c")).alias("path"), F.concat(F.replace(head, F.lit("@"), F.col("doc_id").cast("string")), body).alias("content"))
 
 
-@register("segment_declarators", """
+DECLARATORS_SQL = """
 WITH h(k, name, first, brace) AS (VALUES """ + ", ".join(f"({k}, '{n}', {a}, {b})" for k, (_, n, a, b) in enumerate(HEADS)) + """),
 d AS (SELECT doc_id, replace(coalesce(text, ''), '*/', '* /') AS text FROM documents)
 SELECT 'gen/' || doc_id || '.c' AS file_path, replace(name, '@', doc_id::VARCHAR) AS function_name, first::BIGINT AS start_line,
        (brace + 3 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS end_line
-FROM d JOIN h ON h.k = d.doc_id % """ + str(len(HEADS)) + """ WHERE name <> ''""")
+FROM d JOIN h ON h.k = d.doc_id % """ + str(len(HEADS)) + " WHERE name <> ''"
+
+
+@register("segment_declarators", DECLARATORS_SQL)
 def segment_declarators(spark, d):
     """U2 over a generated source per document: old-style, attribute, macro, template, pointer,
     conditional and qualified heads; SQL knows only the head's name and lines and the text's newlines."""

@@ -7,11 +7,8 @@ readers normalise to the findings schema.  JSON values are read by byte ranges
 
 from __future__ import annotations
 
-import io
 import posixpath
-import zipfile
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from .archives import read_source_archives  # noqa: F401 (S5)
 from .json_ranges import read_json
 from .fixed import CSV_TOOL_LEVEL, JSON_TOOL_SEVERITY, MAX_FILE_SIZE, SEVERITY_CONFIDENCE, XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, \
     XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
@@ -67,11 +65,11 @@ def read_accepted_files(spark: SparkSession, root: str) -> DataFrame:
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= MAX_FILE_SIZE)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     f = b.select(F.col("path").alias("abs_path"), F.substring_index(F.col("path"), f"{base}/", -1).alias("rel_path"),
-                 F.col("length").alias("size"), _text(F.col("content")).alias("content"))
+                 F.col("length").alias("size"), as_text(F.col("content")).alias("content"))
     return accepted_files(f).select("abs_path", "rel_path", "language", "size", "content")
 
 
-def _text(content):
+def as_text(content):
     """UTF-8, else ISO-8859-1."""
     as_text = content.cast("string")
     return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
@@ -80,24 +78,7 @@ def _text(content):
 def read_source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Recursive source files: path, size, content (UTF-8, else ISO-8859-1)."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return b.select(F.col("path").alias("abs_path"), F.col("length").alias("size"), _text(F.col("content")).alias("content"))
-
-
-def _unzip(batches):
-    for pdf in batches:
-        for path, data in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for info in z.infolist():
-                    n = info.filename
-                    if info.is_dir() or n.startswith("/") or ".." in n:
-                        continue
-                    yield pd.DataFrame([(path, n, z.read(n), info.file_size)], columns=["archive", "member", "content", "size"])
-
-
-def read_source_archives(spark: SparkSession, glob_path: str) -> DataFrame:
-    """ZIP archives -> one row per safe member (no absolute paths, no '..')."""
-    b = spark.read.format("binaryFile").load(glob_path).select("path", "content")
-    return b.mapInPandas(_unzip, "archive string, member string, content binary, size long")
+    return b.select(F.col("path").alias("abs_path"), F.col("length").alias("size"), as_text(F.col("content")).alias("content"))
 
 
 # ------------------------------------------------------------------ tool reports
