@@ -328,16 +328,80 @@ def stream_scan_re2(spark, d):
     return ST.stream_scan(spark, src, UNIT_SCHEMA, RU.live_c_rules(re2_only=True))
 
 
-@register("stream_verdicts", """SELECT uid, count(*) AS n_findings, max(confidence) AS max_confidence,
+@register("stream_verdicts")
+def stream_verdicts(spark, d):
+    """T1 with the unit verdict over all live rules, per micro-batch."""
+    src = shared_path(spark, "units-in")
+    q_rules.code_units(spark, d).write.mode("overwrite").parquet(src)
+    return ST.stream_verdicts(spark, src, UNIT_SCHEMA, RU.live_c_rules())
+
+
+@register("stream_verdicts_re2", """SELECT uid, count(*) AS n_findings, max(confidence) AS max_confidence,
   arg_max(severity, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS max_severity,
   TRUE AS is_vulnerable FROM (""" + q_rules.scan_sql(RU.live_c_rules(re2_only=True)) + ") h GROUP BY uid")
-def stream_verdicts(spark, d):
-    """T1 with the unit verdict, per micro-batch."""
+def stream_verdicts_re2(spark, d):
+    """T1 with the unit verdict over the RE2-compatible rules."""
     src = shared_path(spark, "units-in")
     q_rules.code_units(spark, d).write.mode("overwrite").parquet(src)
     return ST.stream_verdicts(spark, src, UNIT_SCHEMA, RU.live_c_rules(re2_only=True))
 
 
+def _arrive(df, src, parts, of):
+    """The rows of the given parts as one more file each (arrival), in a folder that a stream reads."""
+    for p in parts:
+        df.filter(F.col("part") == p).drop("part").coalesce(of).write.mode("append").parquet(src)
+
+
+@register("stream_unit_verdicts", "SELECT uid, n_findings, max_confidence, max_severity, is_vulnerable FROM v_verdict")
+def stream_unit_verdicts(spark, d):
+    """T1 stateful: findings of a unit spread over four arrivals 20 minutes apart, the job stopped
+    and started between the second and the third; the last revisions equal the batch verdicts."""
+    from . import q_findings
+    src, at = shared_path(spark, "findings-in"), shared_path(spark, "verdict-job")
+    f = q_findings._merged(spark, d)[1].select("uid", "severity", "confidence", F.pmod(F.xxhash64("uid", "line", "cwe_id", "message"), F.lit(4)).alias("part"))
+    f = f.withColumn("event_time", F.timestamp_seconds(F.col("part") * 1200 + 1_000_000))
+    settled = shared_path(spark, "findings-parts")
+    f.write.parquet(settled)
+    f = spark.read.parquet(settled)
+    schema = "uid string, severity string, confidence double, event_time timestamp"
+    _arrive(f, src, (0, 1), 4)
+    ST.stream_unit_verdicts(spark, src, schema, at=at)
+    _arrive(f, src, (2, 3), 4)
+    # time goes on: an entry of no unit lets the watermark pass the last findings
+    spark.sql("SELECT '' AS uid, 'LOW' AS severity, 0.0D AS confidence, timestamp_seconds(9000000) AS event_time").write.mode("append").parquet(src)
+    return ST.last_verdicts(ST.stream_unit_verdicts(spark, src, schema, at=at)).filter("uid <> ''")
+
+
+@register("stream_log_offsets", """
+WITH r AS (SELECT job_id, entry_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, entry_id) AS "offset", count(*) OVER (PARTITION BY job_id) AS total FROM v_logs)
+SELECT * FROM r WHERE "offset" > 5""")
+def stream_log_offsets(spark, d):
+    """T4 stateful: log entries arriving in three parts by time, with a restart; offsets equal the batch's."""
+    src, at = shared_path(spark, "logs-in"), shared_path(spark, "offsets-job")
+    logs = V.v_logs(spark, d)
+    lo, hi = logs.select(F.percentile_approx(F.unix_millis(F.col("ts").cast("timestamp")), [0.33, 0.66])).first()[0]
+    t = F.unix_millis(F.col("ts").cast("timestamp"))
+    logs = logs.withColumn("part", F.when(t <= lo, 0).when(t <= hi, 1).otherwise(2))
+    schema = "entry_id long, job_id long, ts timestamp, level string, msg string"
+    for part in range(3):
+        _arrive(logs, src, (part,), 4)
+        out = ST.stream_log_offsets(spark, src, schema, at=at)
+    return ST.offsets_tail(out, 5)
+
+
+@register("stream_dedup_exact", f"SELECT DISTINCT {q_corpus.WS_HASH_SQL.format(c='code')} AS hash FROM v_corpus")
+def stream_dedup_exact(spark, d):
+    """T2 exact: the corpus twice, in two runs of one job, years apart; every content passes once."""
+    src, at = shared_path(spark, "corpus-in"), shared_path(spark, "dedup-job")
+    c = V.v_corpus(spark, d).select("id", "code", (F.col("ordinal") * 7919 % 1000).alias("o"))
+    schema = "id string, code string, event_time timestamp"
+    for year in (0, 40):
+        rows = c.withColumn("event_time", F.timestamp_seconds(F.col("o") * 60 + year * 31_536_000)).drop("o")
+        rows.write.mode("append").parquet(src)
+        out = ST.stream_dedup_exact(spark, src, schema, at=at)
+    return out.select("hash")
+
+
 @register("stream_dedup_hashes", f"SELECT DISTINCT {q_corpus.WS_HASH_SQL.format(c='code')} AS hash FROM v_corpus")
 def stream_dedup_hashes(spark, d):
     """T2 with a delay that covers the whole span: every content once."""

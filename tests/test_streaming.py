@@ -52,3 +52,61 @@ def test_stream_dedup_within_watermark(spark):
     df.drop("sec").write.parquet(src)
     out = ST.stream_dedup(spark, src, "id string, code string, event_time timestamp", "1 hour")
     assert sorted(r.id for r in out.collect()) in (["a", "c"], ["b", "c"])
+
+
+FINDINGS = "uid string, severity string, confidence double, event_time timestamp"
+
+
+def _findings(spark, rows, src):
+    df = spark.createDataFrame([(u, s, c, t, "x") for u, s, c, t in rows], "uid string, severity string, confidence double, sec long, n string")
+    df.withColumn("event_time", F.timestamp_seconds("sec")).drop("sec").coalesce(1).write.mode("append").parquet(src)
+
+
+def test_verdicts_over_several_files_and_a_restart(spark):
+    src, at = shared_path(spark, "t-findings"), shared_path(spark, "t-job")
+    _findings(spark, [("a", "LOW", 0.5, 0), ("a", "HIGH", 0.7, 60), ("b", "MEDIUM", None, 0), (None, "HIGH", 1.0, 0)], src)
+    assert ST.stream_unit_verdicts(spark, src, FINDINGS, at=at).collect() == []  # no quiet yet
+    _findings(spark, [("a", "MEDIUM", 0.9, 300), ("c", None, 0.1, 300)], src)
+    _findings(spark, [("end", "LOW", 0.0, 10_000)], src)
+    cols = ["uid", "n_findings", "max_confidence", "max_severity", "revision"]
+    first = [("a", 3, 0.9, "HIGH", 1), ("b", 1, None, "MEDIUM", 1), ("c", 1, 0.1, None, 1)]
+    assert {tuple(r) for r in ST.stream_unit_verdicts(spark, src, FINDINGS, at=at).select(*cols).collect()} == set(first)
+    _findings(spark, [("a", "CRITICAL", 0.2, 10_100)], src)
+    _findings(spark, [("end", "LOW", 0.0, 90_000)], src)
+    out = ST.stream_unit_verdicts(spark, src, FINDINGS, at=at)
+    assert {("a", 3, 0.9, "HIGH", 1), ("a", 4, 0.9, "CRITICAL", 2)} <= {tuple(r) for r in out.select(*cols).collect()}
+    last = {r.uid: r for r in ST.last_verdicts(out).collect()}
+    assert (last["a"].n_findings, last["a"].max_severity) == (4, "CRITICAL") and last["b"].n_findings == 1
+
+
+def test_offsets_go_on_after_a_restart(spark):
+    src, at = shared_path(spark, "t-logs"), shared_path(spark, "t-job")
+    schema = "entry_id long, job_id long, ts timestamp, level string, msg string"
+
+    def put(rows):
+        df = spark.createDataFrame([(e, j, t, "INFO", "m") for e, j, t in rows], "entry_id long, job_id long, sec long, level string, msg string")
+        df.withColumn("ts", F.timestamp_seconds("sec")).drop("sec").coalesce(1).write.mode("append").parquet(src)
+
+    put([(2, 1, 10), (1, 1, 10), (3, 1, 5), (4, 2, 0), (5, None, 0)])
+    ST.stream_log_offsets(spark, src, schema, at=at)
+    put([(6, 1, 1), (7, 2, 1), (8, None, 9)])  # an entry that comes late gets the next number
+    out = ST.stream_log_offsets(spark, src, schema, at=at)
+    got = {(r.job_id, r.entry_id): r.offset for r in out.collect()}
+    assert got == {(1, 3): 1, (1, 1): 2, (1, 2): 3, (1, 6): 4, (2, 4): 1, (2, 7): 2, (None, 5): 1, (None, 8): 2}
+    assert {(r.job_id, r.entry_id, r.total) for r in ST.offsets_tail(out, 2).collect()} == {(1, 2, 4), (1, 6, 4)}
+
+
+def test_exact_dedup_catches_late_duplicates(spark):
+    src, at = shared_path(spark, "t-dedup"), shared_path(spark, "t-job")
+    schema = "id string, code string, event_time timestamp"
+
+    def put(rows):
+        df = spark.createDataFrame(rows, "id string, code string, sec long").withColumn("event_time", F.timestamp_seconds("sec"))
+        df.drop("sec").coalesce(1).write.mode("append").parquet(src)
+
+    put([("a", "x  y", 5_000_000), ("b", "z", 0)])
+    ST.stream_dedup_exact(spark, src, schema, at=at)
+    put([("c", "x y", 0), ("d", "new", 0), ("e", "z ", 9_000_000), ("f", None, 0), ("g", None, 1)])
+    out = ST.stream_dedup_exact(spark, src, schema, at=at)
+    ids = sorted(r.id for r in out.collect())
+    assert ids in (["a", "b", "d", "f"], ["a", "b", "d", "g"])
