@@ -59,7 +59,7 @@ FINDINGS = "uid string, severity string, confidence double, event_time timestamp
 
 def _findings(spark, rows, src):
     df = spark.createDataFrame([(u, s, c, t, "x") for u, s, c, t in rows], "uid string, severity string, confidence double, sec long, n string")
-    df.withColumn("event_time", F.timestamp_seconds("sec")).drop("sec").coalesce(1).write.mode("append").parquet(src)
+    df.withColumn("event_time", F.timestamp_seconds(F.col("sec") + 1_000_000)).drop("sec").coalesce(1).write.mode("append").parquet(src)
 
 
 def test_verdicts_over_several_files_and_a_restart(spark):
