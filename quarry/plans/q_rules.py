@@ -39,16 +39,18 @@ C_SAMPLE = [
 
 
 def code_units(spark, d):
-    """Documents, pages and the C sample as units.  The pages are one file of one row group
-    here, so this caller deals them out before the scans, which are far dearer than the
-    exchange; the operators themselves add none."""
+    """Documents, pages and the C sample as units.  The tables are files of one row group here,
+    so this caller deals their texts out before the scans, which are far dearer than the
+    exchange; the operators themselves add none.  The number of partitions is given, as the
+    work per byte is too high for partitions to be put together by size."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     u = V.v_units(spark, d).select("uid", "file_path", "start_line", "code")
-    p = V.table(spark, d, "pages").repartition("page_id").select(
+    p = V.table(spark, d, "pages").select(
         F.concat(F.lit("page::"), F.col("page_id").cast("string")).alias("uid"), F.col("url").alias("file_path"),
         F.lit(1).cast("long").alias("start_line"), F.col("html").alias("code"))
     s = spark.createDataFrame([(f"{f}::{n}::{st}", f, st, c) for f, n, st, c in C_SAMPLE],
                               "uid string, file_path string, start_line long, code string")
-    return u.unionByName(p).unionByName(s)
+    return u.unionByName(p).repartition(n, "uid").unionByName(s)
 
 
 def _sql_str(s: str) -> str:
