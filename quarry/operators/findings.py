@@ -1,8 +1,8 @@
 """Findings: map to units by line interval, merge, enrich, summarise, rank.
 
 Shuffle plan (large axis = findings and units):
-  attach_units   left range join on (file, line bucket), then one ordered fill
-                 per (file, bucket) for the findings outside every unit
+  map_findings   range join of keys on (file, block), then one ordered fill per
+                 (file, range) for the findings outside every unit
   merge_findings one hash aggregate on (uid, line, cwe); per-group lists are
                  bounded by the number of tools
   unit_verdict   one hash aggregate on uid
@@ -21,7 +21,7 @@ from ..sources.fixed import (
     XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS, cwe_categories, cwe_dim,
 )
 from ..functions import text as TX
-from .helpers import bucketed_range_join, global_rank, ordered_fill
+from .helpers import bucketed_range_join, global_rank, ordered_fill, settle
 
 
 def severity_rank(c: str = "severity"):
@@ -29,44 +29,38 @@ def severity_rank(c: str = "severity"):
 
 
 # ---------------------------------------------------------------- J1 + J2
-def map_findings(findings: DataFrame, units: DataFrame, bucket: int = 64) -> DataFrame:
+def map_findings(findings: DataFrame, units: DataFrame, bucket: int = 256) -> DataFrame:
     """finding_id -> uid: first unit (by start_line) containing the line, else the
     nearest unit start in the file (ties to the earlier start).  Findings in
-    files without units are dropped.  Returns (finding_id, uid, how)."""
-    m = attach_units(findings.select("finding_id", "file_path", "line"), units, bucket, how="how")
-    return m.select("finding_id", "uid", "how")
+    files without units are dropped.  Returns (finding_id, uid, how).
 
-
-def attach_units(findings: DataFrame, units: DataFrame, bucket: int = 64, how: str | None = None) -> DataFrame:
-    """``findings`` with the ``uid`` of their unit (see ``map_findings``).
-
-    The whole finding goes through both steps as one row, so nothing is joined
-    back: a left range join per (file, line bucket) gives the containing unit,
+    Only keys travel: the range join and the first unit of each finding are written once,
     and the rest take the nearest start from one ordered fill per file."""
-    cols = findings.columns
-    f = findings.select(F.struct(*cols).alias("_f"), "finding_id", "file_path", "line")
     u = units.select("uid", "file_path", "start_line", "end_line")
-    hits = bucketed_range_join(f, u, "file_path", "line", "start_line", "end_line", bucket, how="left")
-    first = F.min(F.when(F.col("uid").isNotNull(), F.struct("start_line", "uid")))["uid"]
-    both = hits.groupBy("finding_id").agg(first.alias("uid"), F.any_value("_f").alias("_f"))
-    contained = both.filter(F.col("uid").isNotNull()).select("_f", "uid", F.lit("contained").alias("_how"))
+    keys = findings.select("finding_id", "file_path", "line")
+    hits = bucketed_range_join(keys, u, "file_path", "line", "start_line", "end_line", bucket)
+    first = hits.groupBy("finding_id").agg(F.min(F.struct("start_line", "uid"))["uid"].alias("uid"))
+    placed = settle(keys.join(first, "finding_id", "left"), "contained")
+    contained = placed.filter(F.col("uid").isNotNull()).select("finding_id", "uid", F.lit("contained").alias("how"))
 
     # predecessor start (<= line) and successor start (> line) of the rest
-    rest = both.filter(F.col("uid").isNull()).select(F.col("_f.file_path").alias("file_path"), F.col("_f.line").alias("pos"), "finding_id", "_f")
-    starts = u.groupBy("file_path", "start_line").agg(F.min("uid").alias("_uid"))
+    rest = placed.filter(F.col("uid").isNull()).select("file_path", F.col("line").cast("long").alias("pos"), "finding_id", F.lit(1).alias("_k"))
     unit = F.struct(F.col("start_line").cast("long").alias("start"), F.col("_uid").alias("uid"))
-    ups = starts.select("file_path", F.col("start_line").cast("long").alias("pos"), unit.alias("_u"))
-    both = (rest.withColumn("pos", F.col("pos").cast("long")).unionByName(ups, allowMissingColumns=True)
-            .withColumn("_k", F.when(F.col("_f").isNull(), 0).otherwise(1))  # units first at equal line
-            .withColumn("_t", F.coalesce("finding_id", F.lit(-1))))
-    near = ordered_fill(both, ["pos", "_k", "_t"], "_u", ["file_path"], "_pred", "_succ").filter(F.col("_f").isNotNull())
+    starts = u.groupBy("file_path", "start_line").agg(F.min("uid").alias("_uid"))
+    ups = starts.select("file_path", F.col("start_line").cast("long").alias("pos"), F.lit(-1).cast("long").alias("finding_id"), F.lit(0).alias("_k"), unit.alias("_u"))
+    both = rest.unionByName(ups, allowMissingColumns=True)  # units first at equal line
+    near = ordered_fill(both, ["pos", "_k", "finding_id"], "_u", ["file_path"], "_pred", "_succ").filter("_k = 1")
     dp = F.col("pos") - F.col("_pred.start")
     ds = F.col("_succ.start") - F.col("pos")
     chosen = (F.when(F.col("_pred").isNull(), F.col("_succ.uid")).when(F.col("_succ").isNull(), F.col("_pred.uid"))
               .when(dp <= ds, F.col("_pred.uid")).otherwise(F.col("_succ.uid")))
-    nearest = near.select("_f", chosen.alias("uid"), F.lit("nearest").alias("_how")).filter(F.col("uid").isNotNull())
-    out = contained.unionByName(nearest)
-    return out.select(*[F.col("_f")[c].alias(c) for c in cols], "uid", *([F.col("_how").alias(how)] if how else []))
+    nearest = near.select("finding_id", chosen.alias("uid"), F.lit("nearest").alias("how")).filter(F.col("uid").isNotNull())
+    return contained.unionByName(nearest)
+
+
+def attach_units(findings: DataFrame, units: DataFrame, bucket: int = 256) -> DataFrame:
+    """``findings`` with the ``uid`` of their unit (see ``map_findings``), by one join."""
+    return findings.join(map_findings(findings, units, bucket).select("finding_id", "uid"), "finding_id").select(*findings.columns, "uid")
 
 
 # ---------------------------------------------------------------- D6, D7
@@ -303,9 +297,7 @@ def sort_findings(f: DataFrame) -> DataFrame:
 def ranked_results(res: DataFrame) -> DataFrame:
     """uid, rank: flagged first, then by falling confidence."""
     r = res.select("uid", (~F.col("is_vulnerable")).cast("int").alias("_nf"), (-F.col("confidence")).alias("_nc"))
-    # one number in that order for the buckets: confidences are in [0, 1]
-    r = r.withColumn("_at", F.col("_nf") * 2 + F.col("_nc"))
-    return global_rank(r, ["_at", "uid"], out_col="rank").select("uid", "rank")
+    return global_rank(r, ["_nf", "_nc", "uid"], out_col="rank").select("uid", "rank")
 
 
 def top_flagged(res: DataFrame, n: int = 20) -> DataFrame:

@@ -1,16 +1,17 @@
 """Scale helpers shared by the operators.
 
+* ``settle`` — write to the shared folder and read back.
 * ``ordered_scan`` / ``ordered_fill`` — running sum, or nearest value before and
-  after, over an order restarted per key.  A key is split at explicit bounds
-  (approximate percentiles of the first order column, literals in the plan), a
-  window runs inside each (key, bucket), and what earlier buckets carry over
-  comes from a table with one row per (key, bucket).  No key lands in one task,
-  and re-run tasks see the same bounds.
+  after, over an order restarted per key.  The rows are written once in ranges
+  of (key, whole order), a window runs inside each (key, range), and what
+  earlier ranges carry over comes from a table with one row per (key, range).
+  No key lands in one task, the input runs once, and re-run tasks see the same
+  ranges.  Callers pass narrow rows and join back.
 * ``global_rank`` — 1-based row number over a total order (ordered_scan of 1).
 * ``hash_parts`` — exact cuts of a hash order from counts by hash prefix; only
   the rows of the prefixes that a cut falls into are ranked.
-* ``bucketed_range_join`` — equi join on (key, line bucket) plus an exact
-  interval residual; hot files spread over many buckets.
+* ``bucketed_range_join`` — equi join on (key, block width, block) plus an exact
+  residual; an interval is at most two rows, hot files spread over many blocks.
 * ``bucket_sweep`` — every threshold of a grid in one pass: bucket each score
   once, count (bucket, label), suffix-sum the tiny table.
 """
@@ -21,7 +22,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import shared_path
 
 _B = "_q_bucket"
 
@@ -33,29 +35,22 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, cond, how).drop(*[f"_q_r_{k}" for k in keys])
 
 
-def order_number(df: DataFrame, col: str) -> Column:
-    """A double in the order of ``col`` (equal for values that differ late): nulls
-    first, then numbers, times, booleans, or the first six bytes of a string."""
-    kind, c = df.schema[col].dataType, F.col(col)
-    if isinstance(kind, T.StringType):
-        num = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    elif isinstance(kind, T.BooleanType):
-        num = c.cast("int").cast("double")
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        num = F.unix_micros(c.cast("timestamp")).cast("double")
-    else:
-        num = c.cast("double")
-    return F.coalesce(num, F.lit(float("-inf")))
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: what the plan reads more than once, or what
+    must be the same in every read, is computed once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def _bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int | None) -> DataFrame:
+    """``df`` in ranges of (keys, order), written once, with the number of each row's range.
 
-def _bucketed(df: DataFrame, order_col: str, buckets: int | None) -> DataFrame:
-    n = int(buckets or min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-    num = order_number(df, order_col)
-    # one row of at most n bounds comes to the driver and stays in the plan as literals
-    points = [i / n for i in range(1, n)]
-    bounds = df.select(F.percentile_approx(num, points, 20 * n)).first()[0] if points else None
-    cut = sorted(set(bounds or []))
-    return df.withColumn(_B, grid_bucket(num, cut, inclusive=False) if cut else F.lit(0))
+    Spark samples the bounds over all the columns, so rows that are equal in the first ones
+    are split by the next; a hot key covers many ranges, small keys share one.  The bounds are
+    those of the one write, so all later reads agree on them."""
+    n = int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return settle(df.repartitionByRange(n, *keys, *order).withColumn(_B, F.spark_partition_id()), "ordered")
 
 
 def ordered_scan(
@@ -79,7 +74,7 @@ def ordered_scan(
     keys, order = [*partition_cols, _B], list(order_cols)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
     cols = [value_col] if value_col is None or isinstance(value_col, str) else list(value_col)
-    b = _bucketed(df, order[0], num_partitions)
+    b = _bucketed(df, partition_cols, order, num_partitions)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     scanned = b
     values = [F.coalesce(F.col(c).cast("long"), F.lit(0)) if c else F.lit(1).cast("long") for c in cols]
@@ -110,16 +105,20 @@ def ordered_fill(df: DataFrame, order_cols: Sequence[str], value_col: str, parti
     """Last non-null value at or before each row (``prev_col``) and first
     non-null at or after it (``next_col``), per key."""
     keys, order = [*partition_cols, _B], list(order_cols)
-    b = _bucketed(df, order[0], num_partitions)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    scanned = (b.withColumn(prev_col, F.last(value_col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn(next_col, F.first(value_col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    b = _bucketed(df, partition_cols, order, num_partitions)
+    w = Window.partitionBy(*keys)
+    # the next value is the last one in falling order: a frame that reaches to the end is evaluated anew for every row
+    up, down = w.orderBy(*order), w.orderBy(*[F.desc(c) for c in order])
+    so_far = (Window.unboundedPreceding, 0)
+    scanned = (b.withColumn(prev_col, F.last(value_col, ignorenulls=True).over(up.rowsBetween(*so_far)))
+               .withColumn(next_col, F.last(value_col, ignorenulls=True).over(down.rowsBetween(*so_far))))
     at = F.struct(*order)
     ends = scanned.groupBy(*keys).agg(F.max_by(prev_col, at).alias("_q_last"), F.min_by(next_col, at).alias("_q_first"))
-    by = Window.partitionBy(*(partition_cols or [F.lit(0)])).orderBy(_B)
+    by = Window.partitionBy(*(partition_cols or [F.lit(0)]))
+    others = (Window.unboundedPreceding, -1)
     carry = ends.select(
-        *keys, F.last("_q_last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_q_p"),
-        F.first("_q_first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_q_n"))
+        *keys, F.last("_q_last", ignorenulls=True).over(by.orderBy(_B).rowsBetween(*others)).alias("_q_p"),
+        F.last("_q_first", ignorenulls=True).over(by.orderBy(F.desc(_B)).rowsBetween(*others)).alias("_q_n"))
     j = join_null_safe(scanned, carry, keys)
     return (j.withColumn(prev_col, F.coalesce(prev_col, "_q_p")).withColumn(next_col, F.coalesce(next_col, "_q_n"))
             .drop(_B, "_q_p", "_q_n"))
@@ -152,6 +151,28 @@ def hash_parts(df: DataFrame, strata: Sequence[str], digest: str, key: str, cuts
     return clear.unionByName(split).drop(pre, "_q_n", "_q_size", "_q_lo", "_q_edge")
 
 
+#: Growth of the block widths of ``bucketed_range_join``, and their number.
+_GROWTH, _WIDTHS = 16, 8
+
+
+def _widths(bucket: int) -> list[int]:
+    return [bucket * _GROWTH**i for i in range(_WIDTHS)]
+
+
+def _block(col: str, width: Column) -> Column:
+    """Number of the block that a place falls into, also under 0."""
+    return ((F.col(col) - F.pmod(F.col(col), width)) / width).cast("long")
+
+
+def _blocks(intervals: DataFrame, start_col: str, end_col: str, bucket: int) -> DataFrame:
+    """A row for each block that an interval stands in (_q_w: its width, _q_b)."""
+    length = F.col(end_col) - F.col(start_col) + 1
+    widths = _widths(bucket)
+    width = F.coalesce(*[F.when(length <= w, F.lit(w)) for w in widths], F.lit(widths[-1])).cast("long")
+    iv = intervals.filter(length > 0).withColumn("_q_w", width)
+    return iv.withColumn("_q_b", F.explode(F.sequence(_block(start_col, F.col("_q_w")), _block(end_col, F.col("_q_w")))))
+
+
 def bucketed_range_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -159,24 +180,22 @@ def bucketed_range_join(
     point_col: str,
     start_col: str,
     end_col: str,
-    bucket: int = 64,
-    how: str = "inner",
+    bucket: int = 256,
 ) -> DataFrame:
     """Join points to intervals with start <= point <= end on ``key``.
 
-    Intervals are exploded over the ``bucket``-wide line buckets they cover and
-    points carry their bucket, so the equi key is (key, bucket): a single hot
-    file is spread over many reducers instead of one.
+    The line is cut into blocks of eight widths, ``bucket`` and 16 times more each time.
+    An interval stands in the blocks of the first width that is not under its length, two at
+    most, however long it is; a point asks its block of every width.  The equi key is (key,
+    width, block), so a hot file is spread over many tasks.  An interval longer than the
+    widest block stands in as many of them as it covers.
     """
-    b = F.lit(bucket)
-    iv = intervals.withColumn(
-        "_q_b",
-        F.explode(F.sequence(F.floor(F.col(start_col) / b).cast("long"), F.floor(F.col(end_col) / b).cast("long"))),
-    )
-    pt = points.withColumn("_q_b", F.floor(F.col(point_col) / b).cast("long"))
-    cond = [pt[key] == iv[key], pt["_q_b"] == iv["_q_b"],
+    iv = _blocks(intervals, start_col, end_col, bucket)
+    places = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), _block(point_col, F.lit(w)).alias("b")) for w in _widths(bucket)])
+    pt = points.withColumn("_q_p", F.explode(places)).withColumn("_q_w", F.col("_q_p.w")).withColumn("_q_b", F.col("_q_p.b")).drop("_q_p")
+    cond = [pt[key] == iv[key], pt["_q_w"] == iv["_q_w"], pt["_q_b"] == iv["_q_b"],
             pt[point_col] >= iv[start_col], pt[point_col] <= iv[end_col]]
-    return pt.join(iv, cond, how).drop(iv[key]).drop(iv["_q_b"]).drop(pt["_q_b"])
+    return pt.join(iv, cond).drop(iv[key]).drop("_q_w", "_q_b")
 
 
 def grid_bucket(score: Column, grid: Sequence[float], inclusive: bool = True) -> Column:
