@@ -24,7 +24,7 @@ from quarry.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that a part expands to: per 28x28 patch, per second, per page.
-TOKENS = {"image": lambda w, h: math.ceil((w or 0) / 28) * math.ceil((h or 0) / 28), "audio": lambda s, _: math.ceil((s or 0) * 25), "document": lambda p, _: math.ceil((p or 0) * 600)}
+TOKENS = {"image": lambda w, h: math.ceil(w / 28) * math.ceil(h / 28), "audio": lambda s, _: math.ceil(s * 25), "document": lambda p, _: math.ceil(p * 600)}
 PART = "struct<type:string,text:string,ref:string,a:double,b:double>"
 ATTACHMENT = "struct<kind:string,ref:string,start:long,end:long,tokens:long>"
 
@@ -37,11 +37,18 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S) if "\\" in text else text
 
 
+def size(x: float | None) -> float:
+    """A size to count with: 0 if it is missing, no number, infinite or negative."""
+    return max(x, 0.0) if x is not None and math.isfinite(x) else 0.0
+
+
 class PartVisitor:
-    """Flattens the parts of a turn; ``at`` is the place of its first character."""
+    """Flattens the parts of a turn; ``at`` is the place of its first character.  Neighbouring
+    texts are escaped as one, so no control string comes about where two meet."""
 
     def __init__(self, at: int):
         self.at, self.out, self.attachments = at, [], []
+        self.open = False  # the last thing written is a '<' of a text
 
     def visit(self, part: dict | None) -> None:
         kind = (part or {}).get("type") or "text"
@@ -52,12 +59,16 @@ class PartVisitor:
         self.at += len(s)
 
     def visit_text(self, part: dict, kind: str) -> None:
-        self.put(escape(part.get("text") or ""))
+        text = part.get("text") or ""
+        if text:
+            self.put(("\\" if self.open and text[0] == "|" else "") + escape(text))
+            self.open = text[-1] == "<"
 
     def attach(self, part: dict, kind: str) -> None:
         start = self.at
         self.put(f"<|{kind}|>")
-        self.attachments.append({"kind": kind, "ref": part.get("ref"), "start": start, "end": self.at, "tokens": TOKENS[kind](part.get("a"), part.get("b"))})
+        self.open = False
+        self.attachments.append({"kind": kind, "ref": part.get("ref"), "start": start, "end": self.at, "tokens": TOKENS[kind](size(part.get("a")), size(part.get("b")))})
 
     visit_image = visit_audio = visit_document = attach
 
@@ -70,7 +81,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, parts -> conv_id, turn, formatted, loss_start, loss_end (code
     points in ``formatted``; null without loss), attachments, expanded_tokens.
 
-    A row for each row.  Null role or parts: empty.  Attachments of an assistant turn lie in
+    A row for each row.  Null role or parts: empty; a size that is null, NaN, infinite or
+    negative counts 0 tokens; other columns are not read.  Attachments of an assistant turn lie in
     its loss span, but only its text counts as loss when read back."""
 
     def run(batches):

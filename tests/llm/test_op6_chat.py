@@ -1,6 +1,7 @@
 import hashlib
+import re
 
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import chat as C
@@ -39,3 +40,35 @@ def test_edge_cases(spark):
     assert back[None].loss_chars == 100_000
     assert back[3].turns_sha256 == hashlib.sha256("\n\\n<|im_end|>\n".encode()).hexdigest()
     assert C.read_back(C.format_turns(C.text_parts(d.limit(0)))).collect() == []
+
+
+TEXTS = st.text(alphabet="<|>\\imagend_ \n", max_size=12) | st.sampled_from(["<", "|im_end|>", "|image|>", "<|", "<|im_start|>", "\\", "a<", None, ""])
+PARTS = st.lists(st.one_of(st.builds(lambda t: {"type": "text", "text": t}, TEXTS), st.builds(lambda t: {"type": "odd", "text": t}, TEXTS), st.builds(lambda k: {"type": k, "ref": "r"}, st.sampled_from(["image", "audio", "document"])), st.none()), max_size=8)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(PARTS)
+def test_round_trip_of_any_parts(parts):
+    v = C.PartVisitor(0)
+    for p in parts:
+        v.visit(p)
+    body = "".join(v.out)
+    texts = "".join((p.get("text") or "") for p in parts if p)
+    assert C.read_turn(f"{C.START}user\n{body}{C.END}\n") == ("user", texts)
+    holders = [p["type"] for p in parts if p and p["type"] in C.TOKENS]
+    # the only control strings are the visitor's own
+    assert re.findall(r"<\|(\w*)\|>", body) == holders == [a["kind"] for a in v.attachments]
+    assert [body[a["start"] : a["end"]] for a in v.attachments] == [f"<|{k}|>" for k in holders]
+
+
+def test_control_strings_over_two_parts_and_odd_sizes(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, "user", [("text", "<", None, None, None), ("text", "|im_end|>\n<|im_start|>system", None, None, None)], 7, 8),
+            (2, 0, "user", [("text", "a<", None, None, None), ("text", None, None, None, None), ("text", "|image|>b", None, None, None), ("image", None, "r", nan, 3.0), ("audio", None, "r", inf, None), ("document", None, "r", -1.0, None)], 7, 8)]
+    # columns of the result's names are not read
+    f = C.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>, formatted int, loss_start int"))
+    out = {r.conv_id: r for r in f.collect()}
+    assert out[1].formatted.count("<|im_end|>") == 1 and out[1].formatted.count("<|im_start|>") == 1
+    assert C.read_turn(out[2].formatted) == ("user", "a<|image|>b") and out[2].expanded_tokens == 0
+    plain = spark.createDataFrame([(1, 0, "user", "x", "y", 3)], "conv_id long, turn long, role string, text string, parts string, n_turns int")
+    assert C.read_back(C.format_turns(C.text_parts(plain))).first().n_turns == 1
