@@ -12,14 +12,19 @@
    (the other words weighed as if in one document).  Both are bounded by sums over the
    window's words, and windows under the threshold by these bounds are left out.
 4. Candidates are checked by the longest common subsequence of the passage and the words
-   around the window, and by the passage's answer: the answer column, or else what its words
-   say by weight, so that common words alone are no evidence.
+   around the window, and, unless all of it is there, by the passage's answer: the answer column,
+   or else what its words say by weight, so that common words alone are no evidence.
+5. Passages under five words have no window of their own: they are found where they stand word
+   for word, if they have twelve letters at least.
+
+In scripts that are written without spaces every character is a word.
 
 No shuffle moves texts.  Passages are handled in blocks of bounded size, one pass each.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -36,7 +41,8 @@ BLOCK_ITEMS, RANK = 256, 256
 COSINE = 0.35
 LCS_SHARE = 0.6  # of the passage's words
 ANSWER_SHARE = 0.5  # of the weight of its words, or of its answer's words in order
-MIN_WORDS = 5  # a shorter passage is common speech: it is no evidence
+MIN_WORDS = 5  # a shorter passage is searched as it stands
+SHORT_CHARS = 12  # with fewer letters it is common speech, and no evidence
 WORD_BLOCK = 256
 
 
@@ -58,19 +64,31 @@ class Passages:
 _MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+#: Characters of scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
 def tokens(text: bytes) -> list[bytes]:
-    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
-    return lower.translate(_MARKS).split()
+    if text.isascii():
+        return text.lower().translate(_MARKS).split()
+    lower = text.decode("utf-8", "replace").lower()
+    if max(lower) >= "\u0e00":
+        lower = _UNSPACED.sub(r" \1 ", lower)
+    return lower.encode().translate(_MARKS).split()
+
+
+def searchable(words: list[bytes]) -> bool:
+    return len(words) >= MIN_WORDS or len(b"".join(words).decode()) >= SHORT_CHARS
 
 
 def load_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS):
-    """Passages of five words and more, in blocks by a hash of item_id."""
+    """Passages of five words or twelve letters and more, in blocks by a hash of item_id."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).filter("text IS NOT NULL AND item_id IS NOT NULL")
     parts = max(1, -(-items.count() // block))
     for b in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id", F.lit(5)), F.lit(parts)) == b).collect()
-        rows = sorted((r for r in rows if len(tokens(r["text"].encode())) >= MIN_WORDS), key=lambda r: (r["item_id"], r["text"]))
+        rows = sorted((r for r in rows if searchable(tokens(r["text"].encode()))), key=lambda r: (r["item_id"], r["text"]))
         words = [tokens(r["text"].encode()) for r in rows]
         code: dict[bytes, int] = {}
         for x in words:
@@ -164,7 +182,7 @@ def fit(docs: DataFrame, p: Passages, rank: int = RANK) -> Passages:
     p.vectors = randomised_svd(docs.sparkSession, [(u, v / np.linalg.norm(v)) for u, v in rows], len(p.code), rank)
     z = np.array([v @ p.vectors[u] for u, v in rows])
     p.latent = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    p.tier = np.array([max(16, 1 << (len(x) - 1).bit_length()) for x in p.words])
+    p.tier = np.array([max(16, 1 << (len(x) - 1).bit_length()) if len(x) >= MIN_WORDS else 0 for x in p.words])
     return p
 
 
@@ -196,6 +214,11 @@ class Matcher:
         rows = [weights(np.array([p.code[w] for w in x]), p.idf2) for x in p.words]
         self.norm = np.array([np.linalg.norm(v) for _, v in rows])
         self.most = {int(t): np.zeros(len(p.idf2)) for t in np.unique(p.tier)}
+        #: Short passages by their first word.
+        self.short: dict[int, list[tuple[int, list[int]]]] = {}
+        for i in np.flatnonzero(p.tier == 0).tolist():
+            at = [p.code[w] for w in p.words[i]]
+            self.short.setdefault(at[0], []).append((i, at))
         for t, (u, v), norm in zip(p.tier.tolist(), rows, self.norm):
             self.most[t][u] = np.maximum(self.most[t][u], v * np.sqrt(p.idf2[u]) / norm**2)
 
@@ -205,6 +228,8 @@ class Matcher:
         got = lcs(self.masks[item], n, region) / n
         if got < self.share:
             return 0.0
+        if got == 1:
+            return got
         if answer := self.p.answers[item]:
             ok = lcs(place_masks(answer), len(answer), region) >= ANSWER_SHARE * len(answer)
         else:
@@ -220,10 +245,16 @@ class Matcher:
         off = np.concatenate([[0], np.cumsum(lens)])
         get = p.code.get
         codes = np.fromiter((get(w, -1) for x in texts for w in x), np.int64, int(off[-1]))
+        if self.short:
+            for at in np.flatnonzero(np.isin(codes, list(self.short))).tolist():
+                d = int(np.searchsorted(off, at, side="right")) - 1
+                for item, words in self.short[int(codes[at])]:
+                    if at + len(words) <= off[d + 1] and codes[at : at + len(words)].tolist() == words:
+                        found[d][item] = 1.0
         w2 = p.idf2[codes]
         total = np.concatenate([[0], np.cumsum(w2)])
         inner = np.concatenate([[0], np.cumsum(np.where(codes >= 0, w2, 0))])
-        for tier in np.unique(p.tier):
+        for tier in np.unique(p.tier[p.tier > 0]):
             step, items = int(tier) // 8, np.flatnonzero(p.tier == tier)
             latent, norm = p.latent[items], self.norm[items]
             n = np.where(lens > 0, np.maximum(0, -(-(lens - tier) // step)) + 1, 0)
@@ -276,8 +307,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     """doc_id, contaminated, kept, n_items, items (item_ids, ascending), best_share: a row for
     each row of ``docs``.
 
-    A null text holds nothing.  Passages without text, without item_id or under five words
-    are left out.  Repeated passages are each found.  An empty benchmark flags nothing."""
+    A null text holds nothing.  Passages without text, without item_id, or with under five
+    words and twelve letters are left out.  Repeated passages are each found.  An empty benchmark flags nothing."""
     find = finder(docs, benchmark, cosine, lcs_share)
 
     def block(part: pa.RecordBatch) -> dict:

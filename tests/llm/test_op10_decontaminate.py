@@ -72,10 +72,30 @@ def test_paraphrases_and_clean_texts(spark):
 
 
 def test_answers(spark):
-    text = " ".join(f"w{i}" for i in range(20))
-    docs = spark.createDataFrame([(1, text), (2, text + " paris is it")], "doc_id long, text string")
+    """The answer is asked for where some of the passage is missing; one that stands word for word is found without it."""
+    words = [f"w{i}" for i in range(20)]
+    text, most = " ".join(words), " ".join(words[:16] + ["x", "y"])
+    others = [(i, f"other words {i}") for i in range(5, 60)]
+    docs = spark.createDataFrame([(1, text), (2, text + " paris is it"), (3, most), (4, most + " paris"), *others], "doc_id long, text string")
     bench = spark.createDataFrame([(1, text, "paris"), (2, text, None)], "item_id long, text string, answer string")
-    assert {r.doc_id: r["items"] for r in D.contaminated(docs, bench).collect()} == {1: [2], 2: [1, 2]}
+    assert {r.doc_id: r["items"] for r in D.contaminated(docs, bench).collect()} == {1: [1, 2], 2: [1, 2], 3: [2], 4: [1, 2]} | {i: [] for i, _ in others}
+
+
+def test_short_and_unspaced_passages(spark):
+    han = "一二三四五六七八九十百千万亿水火木金土日月星天"
+    near = han[:4] + "山" + han[5:12] + han[13:]
+    rows = [(1, "we know the Capital of France, Paris! it is"), (2, "the capital of Paris, France"), (3, "山川" + han + "河流"), (4, "x " + near + " y"), (5, han[::-1]), (6, "of the people"), (7, "capital of france"), (8, "paris capital"), (9, "of france paris")]
+    items = [(1, "capital of france paris"), (2, han), (3, "of the"), (4, "天地")]
+    for extra in ([], [(9, " ".join(f"w{i}" for i in range(30)))]):  # alone, and beside a long one
+        got = {r.doc_id: r["items"] for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items + extra, "item_id long, text string")).collect()}
+        assert got == {1: [1], 2: [], 3: [2], 4: [2], 5: [], 6: [], 7: [], 8: [], 9: []}
+
+
+def test_short_passages_stay_inside_a_text():
+    p = D.Passages([7], [[b"capital", b"of", b"france"]], [[]], {b"capital": 0, b"of": 1, b"france": 2})
+    p.idf2, p.vectors, p.latent, p.tier = np.ones(4), np.zeros((3, 1), np.float32), np.zeros((1, 1), np.float32), np.array([0])
+    m = D.Matcher(p, D.COSINE, D.LCS_SHARE)
+    assert m.find([[b"capital", b"of"], [b"france"], [b"x", b"capital", b"of", b"france"], []]) == [{}, {}, {0: 1.0}, {}]
 
 
 def test_empty_tables(spark):
