@@ -443,8 +443,11 @@ def validate_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     keys = F.json_object_keys(v)
     missing = F.coalesce(*[F.when(~F.array_contains(keys, f), F.lit(f"missing_field_{f}")) for f in REQUIRED_FIELDS])
     code = F.get_json_object(v, "$.code")
-    code_is_str = v.rlike(r'"code"\s*:\s*"')
-    label_tok = F.regexp_extract(v, r'"label_binary"\s*:\s*("[^"]*"|[^,}\s]+)', 1)
+    # kinds of the top-level values; a nested key of the same name doesn't count
+    kind = lambda key: F.schema_of_variant(F.try_variant_get(F.try_parse_json(v), f"$.{key}", "variant"))
+    code_is_str = F.coalesce(kind("code") == "STRING", F.lit(False))
+    raw, is_text = F.get_json_object(v, "$.label_binary"), kind("label_binary") == "STRING"
+    label_tok = F.when(is_text, F.concat(F.lit('"'), raw, F.lit('"'))).otherwise(F.coalesce(raw, F.lit("null")))
     label_ok = label_tok.rlike(r"^(?:true|false|[01](?:\.0+)?)$")  # JSON 1.0 equals 1
     label_name = F.when(label_tok == "null", F.lit("None")).otherwise(F.regexp_replace(label_tok, r'^"|"$', ""))
     error = (F.when(keys.isNull(), F.lit("json_decode_error"))

@@ -26,7 +26,7 @@ def read_embeddings(df: DataFrame, col: str = "embedding") -> DataFrame:
     return df.withColumn("features_raw", array_to_vector(F.col(col)))
 
 
-def pca_features(df: DataFrame, fit_on: DataFrame | None = None, k: int = 8, in_col: str = "features_raw",
+def pca_features(df: DataFrame, fit_on: DataFrame | None = None, k: int = 32, in_col: str = "features_raw",
                  out_col: str = "pca") -> DataFrame:
     """PCA fitted on ``fit_on`` (the training rows), applied to ``df``."""
     model = PCA(k=k, inputCol=in_col, outputCol=out_col).fit(df if fit_on is None else fit_on)
@@ -58,8 +58,8 @@ def split_part(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def fit_members(train: DataFrame, features: str = "features", label: str = "label", weight: str | None = None,
                 only: Sequence[str] | None = None):
-    """Four diverse tree members (depth, trees, learning rate, family) and a linear one that
-    explains (it has no vote)."""
+    """Four diverse tree members (depth, trees, learning rate, family) and a linear one
+    that has no vote."""
     kw = {"featuresCol": features, "labelCol": label}
     if weight:
         kw["weightCol"] = weight
@@ -121,16 +121,13 @@ def stack_members(train: DataFrame, members: Sequence[str], label: str = "label"
     return Pipeline(stages=[va, lr]).fit(train)
 
 
-def fp_drivers(df: DataFrame, lr_model, features: str = "features", label: str = "label", pred: str = "is_vulnerable",
+def fp_drivers(df: DataFrame, contributions: str = "contributions", label: str = "label", pred: str = "is_vulnerable",
                k: int = 3, names: Sequence[str] | None = None) -> DataFrame:
-    """Share of false positives having each feature among their top-k positive
-    contributions, with linear contributions coef_i * x_i (a linear stand-in
-    for tree explanations); a row's contributions are ranked in its own array."""
-    coef = [float(c) for c in lr_model.coefficients.toArray()]
-    arr = F.array(*[F.lit(c) for c in coef])
-    fp = df.filter(F.col(pred) & (F.col(label) == 0)).select(vector_to_array(F.col(features)).alias("_x"))
-    parts = F.zip_with("_x", arr, lambda x, c: x * c)
-    ranked = F.array_sort(F.filter(F.transform(parts, lambda v, i: F.struct((-v).alias("v"), i.alias("feature"))), lambda s: s["v"] < 0))
+    """Share of false positives having each feature among their top-k positive contributions
+    (an array with one per feature, as ``trees.attributions`` gives them); a row's
+    contributions are ranked in its own array."""
+    fp = df.filter(F.col(pred) & (F.col(label) == 0)).select(F.col(contributions).alias("_c"))
+    ranked = F.array_sort(F.filter(F.transform("_c", lambda v, i: F.struct((-v).alias("v"), i.alias("feature"))), lambda s: s["v"] < 0))
     top = fp.select(F.explode(F.slice(ranked, 1, k)).alias("t")).select("t.feature")
     n_fp = fp.select(F.count(F.lit(1))).scalar()
     out = top.groupBy("feature").agg(F.count(F.lit(1)).alias("n_fp_top"))

@@ -624,8 +624,8 @@ def prepare_corpus(spark, d):
     dd = C.keep_languages(_deduped(spark, d), KEEP_LANGS).filter(F.col("label_binary").isNotNull())
     bal = C.undersample(dd.select("id", "label_binary"), ratio=3)
     sp = C.stratified_split(bal, ["label_binary"])
-    code = C.clean_code(c.select("id", "code"))
-    tok = C.tokenize(sp.join(code, "id"), "code", out="tokens")
+    # the texts join what is kept, and only those are cleaned
+    tok = C.tokenize(C.clean_code(sp.join(c.select("id", "code"), "id")), "code", out="tokens")
     return tok.select("id", "label_binary", "split", F.size("tokens").alias("n_tokens"), C.n_windows(F.size("tokens")).alias("n_chunks"))
 
 
