@@ -6,8 +6,8 @@ stored members, ``archive/data.warc.gz`` (a gzip member per record) and
 least 100 bytes are written once; the others revisit the record of the smallest page_id.
 
 Reading: ``list_members`` finds the end record, the ZIP64 locator and directory and parses
-the central directory by range reads; ``index_records`` reads the stored index members and
-gives a row per record with its place in the package; ``read_records`` sorts these by place
+the central directory by range reads; ``index_records`` reads the index members (JSON lines, CDXJ or
+CDX, gzipped or not), scans data members that no index names, and gives a row per record with its place in the package; ``read_records`` sorts these by place
 and range-reads them, so one big package is shared by many tasks and nothing is extracted.
 """
 
@@ -200,28 +200,116 @@ def data_offset(f, member: dict) -> int:
     return member["local"] + 30 + n_name + n_extra
 
 
+def member_chunks(f, m: dict) -> Iterator[bytes]:
+    """Bytes of a member in pieces of 1 MB; deflated ones are unpacked (indexes may be)."""
+    start, left = data_offset(f, m | {"method": 0}), m["length"]
+    if m["method"] not in (0, 8):
+        raise ValueError(f"{m['name']} is packed by method {m['method']}")
+    unpack = zlib.decompressobj(-15) if m["method"] == 8 else None
+    while left:
+        chunk = _at(f, start, min(left, 1 << 20))
+        start, left = start + len(chunk), left - len(chunk)
+        yield unpack.decompress(chunk) if unpack else chunk
+
+
+def gunzip(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Unpacked bytes of gzip members that follow each other."""
+    d = zlib.decompressobj(31)
+    for chunk in chunks:
+        while chunk:
+            yield d.decompress(chunk)
+            chunk = d.unused_data
+            if d.eof:
+                d = zlib.decompressobj(31)
+
+
+def text_lines(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    rest = b""
+    for chunk in chunks:
+        lines = (rest + chunk).split(b"\n")
+        rest = lines.pop()
+        yield from lines
+    if rest:
+        yield rest
+
+
+def parse_index(lines: Iterator[bytes]) -> Iterator[tuple[str, int, int]]:
+    """(file, offset, length) of index lines: JSON, ``key timestamp JSON``, or columns named by a
+    `` CDX`` header (g: file, V: offset, S: length).  Any other line is an error."""
+    letters: list[str] = []
+    for line in lines:
+        text = line.decode("utf-8", "replace").rstrip("\r")
+        if text.startswith(" CDX "):
+            letters = text.split()[1:]
+        elif "{" in text:
+            x = json.loads(text[text.index("{") :])
+            if "offset" in x:
+                yield str(x.get("file") or x["filename"]), int(x["offset"]), int(x["length"])
+        elif letters and text.strip():
+            row = dict(zip(letters, text.split()))
+            yield row["g"], int(row["V"]), int(row["S"])
+        elif text.strip():
+            raise ValueError(f"index line not understood: {text[:80]!r}")
+
+
+def scan_records(f, start: int, length: int, packed: bool) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of a data member that no index names, by reading it: gzip
+    members, or records of the length that their header states."""
+    pos, end = start, start + length
+    while pos < end:
+        at = pos
+        if packed:
+            d = zlib.decompressobj(31)
+            while not d.eof:
+                chunk = _at(f, at, min(1 << 20, end - at)) if at < end else b""
+                if not chunk:
+                    raise ValueError("gzip member cut off")
+                at += len(chunk)
+                while chunk and not d.eof:  # what it unpacks to is thrown away, 1 MB at a time
+                    d.decompress(chunk, 1 << 20)
+                    chunk = d.unconsumed_tail
+            at -= len(d.unused_data)
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head:
+                more = _at(f, pos + len(head), min(1 << 16, end - pos - len(head))) if pos + len(head) < end else b""
+                if not more:
+                    raise ValueError("record without an end of its header")
+                head += more
+            n = head.index(b"\r\n\r\n") + 4
+            at = min(end, pos + n + int(header_fields(head[: n - 4])["content-length"]) + 4)
+        yield pos - start, at - pos
+        pos = at
+
+
 def index_lines(path: str) -> Iterator[dict]:
-    """Records of a package: id, offset in the package, length; from its index members."""
+    """Records of a package: offset in the package, length; from its index members, plain or
+    gzipped, and for data members that none of them names by reading those.  An index that
+    can't be read or names a member that isn't there is an error."""
     fs, p = open_fs(path)
     with fs.open_input_file(p) as f:
-        size = f.size()
-        members = {m["name"]: m for m in list_members(f, size)}
+        members = {m["name"]: m for m in list_members(f, f.size())}
+        bases: dict[str, tuple[str, int]] = {}
+
+        def place(name: str) -> int:
+            if name not in bases:
+                found = next((x for x in (name, f"archive/{name}") if x in members), None)
+                if found is None:
+                    raise ValueError(f"{path}: an index names {name}, which is not in the package")
+                bases[name] = (found, data_offset(f, members[found]))
+            return bases[name][1]
+
         for name, m in members.items():
-            if not (name.startswith("indexes/") and name.endswith(".cdxj")):
-                continue
-            start, left, rest = data_offset(f, m), m["length"], b""
-            bases: dict[str, int] = {}
-            while left or rest:
-                chunk = _at(f, start, min(left, 1 << 20))
-                start, left = start + len(chunk), left - len(chunk)
-                lines = (rest + chunk).split(b"\n")
-                rest = lines.pop() if left else b""
-                for line in lines:
-                    if line:
-                        x = json.loads(line)
-                        if x["file"] not in bases:
-                            bases[x["file"]] = data_offset(f, members[x["file"]])
-                        yield {"path": path, "offset": bases[x["file"]] + x["offset"], "length": x["length"]}
+            if name.startswith("indexes/") and re.search(r"\.(cdxj?|json)(\.gz)?$", name):
+                chunks = member_chunks(f, m)
+                for file, offset, length in parse_index(text_lines(gunzip(chunks) if name.endswith(".gz") else chunks)):
+                    yield {"path": path, "offset": place(file) + offset, "length": length}
+        named = {found for found, _ in bases.values()}
+        for name, m in members.items():
+            if re.search(r"\.warc(\.gz)?$", name) and name not in named:
+                base = data_offset(f, m)
+                for offset, length in scan_records(f, base, m["length"], name.endswith(".gz")):
+                    yield {"path": path, "offset": base + offset, "length": length}
 
 
 def _tasks(df: DataFrame) -> int:
@@ -252,24 +340,40 @@ def index_records(packages: DataFrame) -> DataFrame:
 # --- reading records ----------------------------------------------------------------------------
 
 
-def parse_record(raw: bytes) -> dict:
-    """Header fields (lower case), and the payload after the HTTP header."""
-    head, _, block = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+def header_fields(head: bytes) -> dict[str, str]:
+    """Fields of a WARC header, names in lower case."""
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    block = block[: int(fields["content-length"])]
-    return {"fields": fields, "payload": block.partition(b"\r\n\r\n")[2]}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def parse_record(raw: bytes) -> dict:
+    """Header fields, and the payload: the block, without the HTTP header if it has one."""
+    head, _, block = raw.partition(b"\r\n\r\n")
+    fields = header_fields(head)
+    n = int(fields["content-length"])
+    if len(block) < n:
+        raise ValueError(f"record of {len(block)} bytes, not {n}")
+    block = block[:n]
+    http = fields.get("content-type", "").startswith("application/http")
+    return {"fields": fields, "payload": block.partition(b"\r\n\r\n")[2] if http else block}
+
+
+def stated_digest(fields: dict[str, str]) -> str | None:
+    """Bare lower-case hex SHA-256 that a header states, if it does."""
+    m = re.fullmatch(r"sha-?256:([0-9a-fA-F]{64})", fields.get("warc-payload-digest", ""))
+    return m[1].lower() if m else None
 
 
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Records by range reads: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, and the payload on request.  Length and digest of a response are those of the
-    bytes read; a mismatch with its header is an error.  A revisit has no bytes, so they are
-    those of its header."""
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
-    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload)
+    """Records of any kind by range reads: page_id, url, payload_bytes, payload_digest,
+    record_type, refers_to, record_id, and the payload on request.  page_id and refers_to are those of
+    records that ``write_packages`` wrote, else null.  Length and digest are those of the bytes
+    read; a mismatch with what the header states is an error.  A revisit has no bytes, so they
+    are those of its header, null if it states none."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"] + ["payload"] * with_payload
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())] + [("payload", pa.binary())] * with_payload)
 
     def page(urn: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
@@ -285,13 +389,17 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                         f.close()
                     fs, p = open_fs(path)
                     f, opened = fs.open_input_file(p), path
-                x = parse_record(zlib.decompress(_at(f, offset, length), wbits=31))
+                raw = _at(f, offset, length)
+                x = parse_record(zlib.decompress(raw, wbits=31) if raw[:2] == b"\x1f\x8b" else raw)
                 h = x["fields"]
-                digest, n = h["warc-payload-digest"].removeprefix("sha256:"), int(h["x-payload-length"])
-                if h["warc-type"] == "response":
-                    if (hashlib.sha256(x["payload"]).hexdigest(), len(x["payload"])) != (digest, n):
-                        raise ValueError(f"payload of {h['warc-record-id']} doesn't match its digest")
-                row = [page(h["warc-record-id"]), h["warc-target-uri"], n, digest, h["warc-type"], page(h.get("warc-refers-to"))]
+                digest, stated = stated_digest(h), h.get("x-payload-length")
+                n = int(stated) if stated else None
+                if h["warc-type"] != "revisit":
+                    real = (hashlib.sha256(x["payload"]).hexdigest(), len(x["payload"]))
+                    if digest not in (None, real[0]) or n not in (None, real[1]):
+                        raise ValueError(f"payload of {h.get('warc-record-id')} doesn't match its digest")
+                    digest, n = real
+                row = [page(h.get("warc-record-id")), h.get("warc-target-uri"), n, digest, h["warc-type"], page(h.get("warc-refers-to")), h.get("warc-record-id")]
                 rows.append(dict(zip(names, row + [x["payload"]] * with_payload)))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
@@ -303,7 +411,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
     block = F.floor(F.col("offset") / RANGE_BYTES)
     ordered = index.withColumn("block", block).repartition(_tasks(index), "path", "block").sortWithinPartitions("path", "offset")
-    return ordered.select("path", "offset", "length").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    return ordered.select("path", "offset", "length").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string" + ", payload binary" * with_payload)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -316,7 +424,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 def op4_zip_archives(spark, sf_dir: str) -> DataFrame:
     """Every page written to a WARC record in a ZIP package and read back."""
     packages = archive_pages(table(spark, sf_dir, "pages"))
-    return read_records(index_records(packages)).drop("url")
+    return read_records(index_records(packages)).drop("url", "record_id")
 
 
 OP4_SQL = """

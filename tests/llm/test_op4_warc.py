@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import struct
@@ -82,3 +83,56 @@ def test_broken_packages():
         z.writestr("a", "b" * 100)
     with pytest.raises(ValueError, match="compressed"):
         W.data_offset(buf, next(W.list_members(buf, len(buf.getvalue()))))
+
+
+def record(kind, uri, block, extra="", ctype="application/http; msgtype=response", uid="urn:uuid:1"):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{uid}>\r\n" + (f"WARC-Target-URI: {uri}\r\n" if uri else "") + f"Content-Type:{ctype}\r\nContent-Length: {len(block)}\r\n{extra}\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def foreign(tmp_path, name, index, data="a.warc.gz", deflate_index=False):
+    """A package as other tools write them: a warcinfo, a response without a digest, a revisit."""
+    raw = [record("warcinfo", None, b"software: x", ctype="application/warc-fields"), record("response", "http://a/", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>one</p>"), record("revisit", "http://b/", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Payload-Digest: sha1:ABC\r\n"), record("resource", "http://c/", b"x\r\n\r\ny" * 30_000, ctype="text/plain")]
+    packed = [gzip.compress(x) if data.endswith(".gz") else x for x in raw]
+    at = [sum(map(len, packed[:i])) for i in range(len(packed))]
+    with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr(f"archive/{data}", b"".join(packed))
+        for member, text in index(data, at, list(map(len, packed))).items():
+            z.writestr(member, text, zipfile.ZIP_DEFLATED if deflate_index else zipfile.ZIP_STORED)
+
+
+def cdxj(file, at, size):
+    return "".join(f'com,a)/ 2024 {{"url": "u", "filename": "{file}", "offset": "{o}", "length": "{n}"}}\n' for o, n in zip(at, size)).encode()
+
+
+@pytest.mark.parametrize("kind", ["cdxj", "cdx.gz", "deflated", "cdx", "none", "plain"])
+def test_foreign_packages(spark, tmp_path, kind):
+    index = {
+        "cdxj": lambda f, o, n: {"indexes/index.cdxj": cdxj(f, o, n)},
+        "cdx.gz": lambda f, o, n: {"indexes/index.cdx.gz": gzip.compress(cdxj(f, o[:2], n[:2])) + gzip.compress(cdxj(f, o[2:], n[2:])), "indexes/index.idx": b"key 0 1"},
+        "deflated": lambda f, o, n: {"indexes/index.cdxj": cdxj("archive/" + f, o, n)},
+        "cdx": lambda f, o, n: {"indexes/index.cdx": (" CDX N S V g\n" + "".join(f"k {b} {a} {f}\n" for a, b in zip(o, n))).encode()},
+        "none": lambda f, o, n: {},
+        "plain": lambda f, o, n: {},
+    }[kind]
+    foreign(tmp_path, "p.wacz", index, "a.warc" if kind == "plain" else "a.warc.gz", kind == "deflated")
+    packages = spark.createDataFrame([((tmp_path / "p.wacz").as_uri(),)], "path string")
+    got = sorted((r.record_type, r.url, r.payload_bytes, bytes(r.payload)[:10], r.page_id) for r in W.read_records(W.index_records(packages), with_payload=True).collect())
+    big = b"x\r\n\r\ny" * 30_000
+    assert got == [("resource", "http://c/", len(big), big[:10], None), ("response", "http://a/", 10, b"<p>one</p>", None), ("revisit", "http://b/", None, b"", None), ("warcinfo", None, 11, b"software: ", None)]
+
+
+@pytest.mark.parametrize("line", [b"nonsense\n", b'k 1 {"filename": "gone.warc.gz", "offset": 0, "length": 9}\n', b'{"file": 1, "offset": }\n'])
+def test_what_cannot_be_read_is_an_error(spark, tmp_path, line):
+    foreign(tmp_path, "p.wacz", lambda f, o, n: {"indexes/index.cdxj": line})
+    packages = spark.createDataFrame([((tmp_path / "p.wacz").as_uri(),)], "path string")
+    with pytest.raises(Exception):
+        W.read_records(W.index_records(packages)).collect()
+
+
+def test_cut_off_data_is_an_error():
+    whole = gzip.compress(record("resource", "u", b"x" * 1000))
+    assert list(W.scan_records(io.BytesIO(whole * 2), 0, 2 * len(whole), True)) == [(0, len(whole)), (len(whole), len(whole))]
+    with pytest.raises(ValueError):
+        list(W.scan_records(io.BytesIO(whole), 0, len(whole) - 5, True))
