@@ -466,6 +466,12 @@ def validate_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
+def _percent(part: str, whole: str) -> Column:
+    """``12.3%``: a share to one digit, halves up, in whole numbers (equal in every engine)."""
+    tenths = f"((2000 * ({part}) + {whole}) div (2 * {whole}))"
+    return F.expr(f"concat({tenths} div 10, '.', {tenths} % 10, '%')")
+
+
 def corpus_verdict(validated: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Per group: totals and the list of issues (empty list = safe for training).
 
@@ -484,9 +490,9 @@ def corpus_verdict(validated: DataFrame, by: Sequence[str] = ("dataset",)) -> Da
     vul_pct = F.col("n_vulnerable") * 100.0 / F.col("valid")
     issues = F.array_compact(F.array(
         F.when(F.col("valid") == 0, F.lit("No valid records found")),
-        F.when((F.col("valid") > 0) & (F.col("valid") < F.col("total")) & (invalid_pct > 10), F.lit("Invalid records over 10%")),
-        F.when((F.col("valid") > 0) & (F.col("n_safe") > 0) & (safe_pct < 2), F.lit("Class imbalance: Safe")),
-        F.when((F.col("valid") > 0) & (F.col("n_vulnerable") > 0) & (vul_pct < 2), F.lit("Class imbalance: Vulnerable")),
+        F.when((F.col("valid") > 0) & (F.col("valid") < F.col("total")) & (invalid_pct > 10), F.concat(_percent("total - valid", "total"), F.lit(" of records are invalid"))),
+        F.when((F.col("valid") > 0) & (F.col("n_safe") > 0) & (safe_pct < 2), F.concat(F.lit("Class imbalance: Safe is only "), _percent("n_safe", "valid"))),
+        F.when((F.col("valid") > 0) & (F.col("n_vulnerable") > 0) & (vul_pct < 2), F.concat(F.lit("Class imbalance: Vulnerable is only "), _percent("n_vulnerable", "valid"))),
         F.when(F.col("n_valid_language") == 0, F.lit("No valid languages found")),
     ))
     return agg.select(*by, "total", "valid", F.round(invalid_pct, 6).alias("invalid_pct"), "n_safe", "n_vulnerable",

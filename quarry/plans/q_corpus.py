@@ -563,13 +563,18 @@ def validate_corpus(spark, d):
         F.count(F.lit(1)).alias("n"))
 
 
-_ISSUES_SQL = """list_filter([
+def _percent_sql(part: str, whole: str) -> str:
+    tenths = f"((2000 * ({part}) + {whole}) // (2 * {whole}))"
+    return f"({tenths} // 10)::BIGINT || '.' || ({tenths} % 10)::BIGINT || '%'"
+
+
+_ISSUES_SQL = f"""list_filter([
     CASE WHEN valid = 0 THEN 'No valid records found' END,
     CASE WHEN valid > 0 AND valid < total AND CAST(total - valid AS DOUBLE) * 100.0 / CAST(total AS DOUBLE) > 10
-         THEN 'Invalid records over 10%' END,
-    CASE WHEN valid > 0 AND n_safe > 0 AND CAST(n_safe AS DOUBLE) * 100.0 / CAST(valid AS DOUBLE) < 2 THEN 'Class imbalance: Safe' END,
+         THEN {_percent_sql('total - valid', 'total')} || ' of records are invalid' END,
+    CASE WHEN valid > 0 AND n_safe > 0 AND CAST(n_safe AS DOUBLE) * 100.0 / CAST(valid AS DOUBLE) < 2 THEN 'Class imbalance: Safe is only ' || {_percent_sql('n_safe', 'valid')} END,
     CASE WHEN valid > 0 AND n_vulnerable > 0 AND CAST(n_vulnerable AS DOUBLE) * 100.0 / CAST(valid AS DOUBLE) < 2
-         THEN 'Class imbalance: Vulnerable' END,
+         THEN 'Class imbalance: Vulnerable is only ' || {_percent_sql('n_vulnerable', 'valid')} END,
     CASE WHEN n_valid_language = 0 THEN 'No valid languages found' END], lambda x: x IS NOT NULL)"""
 
 

@@ -7,7 +7,9 @@ readers normalise to the findings schema.  JSON values are read by byte ranges
 
 from __future__ import annotations
 
+import os
 import posixpath
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..operators.helpers import settle
 from .archives import read_source_archives  # noqa: F401 (S5)
 from .json_ranges import read_json
-from .fixed import CSV_TOOL_LEVEL, JSON_TOOL_SEVERITY, MAX_FILE_SIZE, SEVERITY_CONFIDENCE, XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, \
+from .fixed import CSV_TOOL_LEVEL, INGEST_EXTENSIONS, JSON_TOOL_SEVERITY, MAX_FILE_SIZE, SEVERITY_CONFIDENCE, SKIP_DIRS, XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SEVERITY, \
     XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS
 
 CORPUS_SCHEMA = T.StructType([
@@ -59,6 +62,54 @@ def list_source_tree(spark: SparkSession, root: str) -> DataFrame:
     return b.select(F.col("path").alias("abs_path"), rel.alias("rel_path"), F.col("length").alias("size"))
 
 
+_STATUS = "rel_path string, kind string, size long, readable boolean"
+
+
+def list_file_status(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, kind ('file' or 'link'), size, readable of every file under ``root``, a folder
+    that the tasks have mounted.  Folders that the ingestion never enters (``SKIP_DIRS``, hidden
+    ones) and links to folders are not followed.  The tree is walked level by level: the folders
+    of a level are dealt out over the tasks, so no task lists more than its share."""
+    base = "/" + root.split("://")[-1].removeprefix("file:").strip("/")
+
+    def scan(batches):
+        kinds = pa.schema([("rel_path", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("readable", pa.bool_())])
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                with os.scandir(f"{base}/{folder}") as entries:
+                    for e in entries:
+                        link = e.is_symlink()
+                        if e.is_dir(follow_symlinks=True):
+                            if not link and e.name not in SKIP_DIRS and not e.name.startswith("."):
+                                rows.append((f"{folder}{e.name}/", "folder", 0, True))
+                        else:
+                            size = 0 if link and not os.path.exists(e.path) else e.stat().st_size
+                            rows.append((folder + e.name, "link" if link else "file", size, os.access(e.path, os.R_OK)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k.type) for i, k in enumerate(kinds)], schema=kinds)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, found = spark.createDataFrame([("",)], "rel_path string"), []
+    while not level.isEmpty():
+        rows = settle(level.repartition(n, "rel_path").mapInArrow(scan, _STATUS), "listing")
+        found.append(rows.filter("kind <> 'folder'"))
+        level = rows.filter("kind = 'folder'").select("rel_path")
+    return reduce(DataFrame.unionByName, found)
+
+
+def source_tree_status(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """F6 with file status: accepted files (rel_path, language, size), and the source files left
+    out (path, reason: 'symlink', 'too large (n bytes)', 'binary / unreadable'), first rule first."""
+    from ..operators.corpus import SILENT_REASONS, source_file_reason
+    rule = source_file_reason("rel_path")
+    reason = (F.when(rule.isin(*SILENT_REASONS), rule).when(F.col("kind") == "link", F.lit("symlink"))
+              .otherwise(F.coalesce(rule, F.when(~F.col("readable"), F.lit("binary / unreadable")))))
+    marked = list_file_status(spark, root).withColumn("reason", reason)
+    language = F.coalesce(TX.map_lookup(TX.extension("rel_path"), INGEST_EXTENSIONS), F.lit("c"))
+    accepted = marked.filter(F.col("reason").isNull()).select("rel_path", language.alias("language"), "size")
+    return accepted, marked.filter(F.col("reason").isNotNull() & ~F.col("reason").isin(*SILENT_REASONS)).select(F.col("rel_path").alias("path"), "reason")
+
+
 def read_accepted_files(spark: SparkSession, root: str) -> DataFrame:
     """Source files as the ingestion takes them: abs_path, rel_path, language, size, content."""
     from ..operators.corpus import accepted_files

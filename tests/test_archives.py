@@ -102,3 +102,26 @@ def test_left_out_members_are_not_read(spark, tmp_path):
     files, _, _ = A.ingest_archives(spark, str(tmp_path))
     assert [r.rel_path for r in files.collect()] == ["ok.c"]
     assert FS.read_source_archives is A.read_source_archives
+
+
+def test_tree_with_links_and_unreadable_files(spark, tmp_path, monkeypatch):
+    for name in ("a.c", "src/b.H", "src/deep/c.cpp", "build/x.c", ".git/y.c", "notes.txt", "gone.c"):
+        p = tmp_path / "t" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("int f() { }")
+    (tmp_path / "t/big.c").write_bytes(b"/" * (1024 * 1024 + 1))
+    (tmp_path / "t/l.c").symlink_to(tmp_path / "t/a.c")
+    (tmp_path / "t/broken.c").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "t/folder.c").symlink_to(tmp_path / "t/src")
+    accepted, skipped = FS.source_tree_status(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, accepted.collect())) == [("a.c", "c", 11), ("gone.c", "c", 11), ("src/b.H", "c", 11), ("src/deep/c.cpp", "cpp", 11)]
+    assert sorted(map(tuple, skipped.collect())) == [("big.c", "too large (1,048,577 bytes)"), ("broken.c", "symlink"), ("l.c", "symlink")]
+    # a file that may not be read (this test may run as a user who may read all)
+    rows = spark.createDataFrame([("a.c", "file", 3, False), ("b.txt", "file", 3, False), ("c.c", "link", 3, False)], FS._STATUS)
+    monkeypatch.setattr(FS, "list_file_status", lambda *a: rows)
+    accepted, skipped = FS.source_tree_status(spark, "x")
+    assert accepted.collect() == [] and sorted(map(tuple, skipped.collect())) == [("a.c", "binary / unreadable"), ("c.c", "symlink")]
+
+
+def test_an_empty_tree(spark, tmp_path):
+    assert FS.source_tree_status(spark, str(tmp_path))[0].collect() == []

@@ -190,3 +190,10 @@ def test_labelled_files(spark, tmp_path):
     (d / "CWE121_x__a_good.c").write_text("void good(){}")
     rows = sorted((r.path.split("/")[-1], r.category, r.label) for r in FS.read_labelled_files(spark, str(tmp_path)).collect())
     assert rows == [("CWE121_x__a_bad.c", "CWE121", 1), ("CWE121_x__a_good.c", "CWE121", 0)]
+
+
+def test_verdicts_state_percentages(spark):
+    rows = [(None, 0)] * 1 + [(None, 1)] * 69 + [("bad", None)] * 10
+    v = spark.createDataFrame([(e, x, "c", True, True, "d") for e, x in rows], "error string, label int, language string, cwe_empty boolean, cve_empty boolean, dataset string")
+    got = C.corpus_verdict(v, ["dataset"]).first()
+    assert got.issues == "12.5% of records are invalid; Class imbalance: Safe is only 1.4%" and not got.is_safe
