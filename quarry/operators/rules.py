@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.fixed import C_RULES, CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY, KEYWORD_RULES, SEVERITY_CONFIDENCE, TEXT_RULES, TEXT_RULE_DESCRIPTIONS
+from ..sources.fixed import C_RULES, CALL_RULE_REGEX, CALL_RULES, JSON_TOOL_SEVERITY, KEYWORD_RULES, SEVERITY_CONFIDENCE, TEXT_RULES
 from ..functions import text as TX
 from .segment import find_functions, segment_units  # noqa: F401 (U2)
 
@@ -98,7 +98,7 @@ def detect_rules(units: DataFrame, code: str = "code", flags: str = "(?id)") ->
     """Rule base 2: one row per (unit, CWE) having a vulnerable pattern and no safe one."""
     c = F.col(code)
     rows = []
-    for (cwe, name, sev, pats, safe, mit, fix), text in zip(TEXT_RULES, TEXT_RULE_DESCRIPTIONS, strict=True):
+    for cwe, name, sev, text, pats, safe, mit, fix in TEXT_RULES:
         vul = F.lit(False)
         for p in pats:
             vul = vul | c.rlike(flags + p)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import findings as FD
 from ..sources.fixed import (
-    CWE_CATEGORIES, CWE_DESCRIPTIONS, CWE_DIM, SEVERITY_CONFIDENCE, SEVERITY_ORDER, UNKNOWN_CWE_MITIGATION, UNKNOWN_CWE_RECOMMENDATION,
+    CWE_CATEGORIES, CWE_DIM, SEVERITY_CONFIDENCE, SEVERITY_ORDER, UNKNOWN_CWE_MITIGATION, UNKNOWN_CWE_RECOMMENDATION,
     XML_TOOL_SECURITY_OVERRIDES, XML_TOOL_SKIP_SEVERITIES, XML_TOOL_SUPPRESS, sql_values,
 )
 from . import views as V
@@ -17,8 +17,7 @@ from .registry import register
 _q = lambda xs: ", ".join("'" + x + "'" for x in xs)
 V.SQL_VIEWS.update({
     "v_dim": ([], "SELECT * FROM " + sql_values(
-        [(*r, t) for r, t in zip(CWE_DIM, CWE_DESCRIPTIONS)],
-        ["cwe_id", "cwe_name", "dim_severity", "cvss", "mitigation", "example_fix", "description"])),
+        CWE_DIM, ["cwe_id", "cwe_name", "dim_severity", "cvss", "description", "mitigation", "example_fix"])),
     "v_cats": ([], "SELECT category, unnest(cwe_ids) AS cwe_id FROM " + sql_values(
         [(c, ids) for c, ids in CWE_CATEGORIES], ["category", "cwe_ids"])),
     "v_map": (["v_findings", "v_units"], """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules as RU
-from ..sources.fixed import SEVERITY_CONFIDENCE, TEXT_RULES, TEXT_RULE_DESCRIPTIONS
+from ..sources.fixed import SEVERITY_CONFIDENCE, TEXT_RULES
 from ..functions import text as TX
 from . import views as V
 from .registry import register
@@ -128,7 +128,7 @@ def rule_hits_by_cwe_re2(spark, d):
 
 def _detect_sql():
     parts = []
-    for (cwe, name, sev, pats, safe, mit, fix), text in zip(TEXT_RULES, TEXT_RULE_DESCRIPTIONS, strict=True):
+    for cwe, name, sev, text, pats, safe, mit, fix in TEXT_RULES:
         vul = " OR ".join(f"regexp_matches(code, {_sql_str('(?i)' + p)})" for p in pats)
         ok = " OR ".join(f"regexp_matches(code, {_sql_str('(?i)' + p)})" for p in safe) or "FALSE"
         parts.append(f"SELECT uid, '{cwe}' AS cwe_id, {_sql_str(name)} AS name, '{sev}' AS severity, {_sql_str(text)} AS description, {_sql_str(mit)} AS mitigation, "
