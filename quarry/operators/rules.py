@@ -28,9 +28,10 @@ def match_lines(code: Column, pattern: str) -> Column:
     """Lines with matches of ``pattern``: array of (off: 0-based line, text: the line,
     n: matches that start in it)."""
     marked = F.regexp_replace(F.translate(code, MARK, OTHER), pattern, MARK + "$0")
+    own = F.split(code, "\n", -1)  # marks break no line, so a line's text is the untouched one
     lines = F.transform(
         F.split(marked, "\n", -1),
-        lambda l, i: F.struct(i.alias("off"), F.translate(l, MARK, "").alias("text"),
+        lambda l, i: F.struct(i.alias("off"), F.get(own, i).alias("text"),
                               (F.length(l) - F.length(F.translate(l, MARK, ""))).alias("n")))
     return F.when(code.rlike(pattern), F.filter(lines, lambda x: x["n"] > 0))
 

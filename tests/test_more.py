@@ -3,6 +3,7 @@
 import json
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators import findings as FD
@@ -197,3 +198,10 @@ def test_verdicts_state_percentages(spark):
     v = spark.createDataFrame([(e, x, "c", True, True, "d") for e, x in rows], "error string, label int, language string, cwe_empty boolean, cve_empty boolean, dataset string")
     got = C.corpus_verdict(v, ["dataset"]).first()
     assert got.issues == "12.5% of records are invalid; Class imbalance: Safe is only 1.4%" and not got.is_safe
+
+
+def test_lines_of_matches_are_the_text_s_own(spark):
+    """A private-use character of the text, the scan's own mark, stays as it is."""
+    code = "int x;\nstrcpy(a, \"\ue000b\ue001\"); strcpy(c, d);\n"
+    row = spark.createDataFrame([(code,)], "code string").select(RU.match_lines(F.col("code"), r"strcpy\s*\(").alias("m")).first()
+    assert [(x.off, x.text, x.n) for x in row.m] == [(1, "strcpy(a, \"\ue000b\ue001\"); strcpy(c, d);", 2)]
