@@ -5,9 +5,12 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+
 from quarry.operators import corpus as C
 from quarry.operators import findings as FD
 from quarry.operators import rules as RU
+from quarry.plans.registry import queries
 from quarry.sources import files as FS
 
 C_FILE = """int add(int a, int b) {
@@ -41,6 +44,15 @@ def test_complexity_features(spark):
     assert r.halstead_difficulty > 0
 
 
+def test_complexity_features_can_be_written(spark, tmp_path):
+    df = queries()["complexity_features"](spark, SF)
+    df.write.parquet(str(tmp_path / "out"))
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
+    back = df.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert back.columns == df.columns and {"n1", "N1", "n2", "N2"} < set(back.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_segment_units(spark):
     files = spark.createDataFrame([("f.c", C_FILE)], "path string, content string")
     got = sorted((r.function_name, r.start_line, r.end_line) for r in RU.segment_units(files).collect())
