@@ -1,6 +1,8 @@
 """Features, segmentation, tokenizer, validator and remaining readers."""
 
 import json
+import re
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tests.conftest import SF
 from quarry.operators import corpus as C
 from quarry.operators import findings as FD
 from quarry.operators import rules as RU
+from quarry.plans.q_rules import C_SAMPLE
 from quarry.plans.registry import queries
 from quarry.sources import files as FS
 
@@ -53,6 +56,28 @@ def test_complexity_features_can_be_written(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_rules_run_only_on_units_with_their_literals(spark):
+    assert RU.needed_literals(r"(\w+)\s*=\s*\b(malloc|calloc)\s*\([^)]*\)(?:x|y)?(?!z)") == [
+        frozenset(["="]), frozenset(["malloc", "calloc"]), frozenset(["("]), frozenset([")"])]
+    assert RU.needed_literals(r"a|\w") == RU.needed_literals("(?:abc)*[ab]") == []
+    assert RU.needed_literals("Ab|(?:c{2})") == [frozenset(["ab", "c"])]
+    # one long word: \w+ fails at every place of it, which is square in its length
+    word = "a" * 400_000
+    began = time.time()
+    got = RU.scan_rules(_units(spark, word + "\nSTRCPY (a, b);")).collect()
+    assert [(r.pattern_id, r.line) for r in got] == [("CWE-120#0", 2)] and time.time() - began < 30
+
+
+def test_literals_lose_no_match():
+    texts = [c for *_, c in C_SAMPLE] + [c.upper() for *_, c in C_SAMPLE] + [
+        "p = malloc(n * 4); p[0] = 1;", "free(p); x = p->y; *p; free ( p )", "f = fopen(a); fread (b", "stat(x); open (x)", "int n; n+1",
+        " read (fd)", "memcpy(a, b, n)", "x[ argv", "strdup(a)", "../a", "open(getenv", "printf(s)", "fprintf(f, s)", "popen (", "atof(", "gets("]
+    for *_, p, _, safe in RU.live_c_rules():
+        for pattern in (p, *safe):
+            found = [x for x in texts if re.search(pattern, x, re.I | re.S)]
+            assert all(any(w in x.lower() for w in clause) for x in found for clause in RU.needed_literals(pattern))
+
+
 def test_segment_units(spark):
     files = spark.createDataFrame([("f.c", C_FILE)], "path string, content string")
     got = sorted((r.function_name, r.start_line, r.end_line) for r in RU.segment_units(files).collect())
