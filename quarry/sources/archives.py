@@ -278,7 +278,7 @@ def ingest_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def write_archives(df: DataFrame, root: str) -> int:
     """Rows (archive, member, content, mode) as deflated ZIP archives under ``root``, a shared
     folder; an archive's members meet in one task.  Returns the number of archives."""
-    from .files import write_files
+    from .files import write_file
 
     def pack(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("member", "content", "mode"))))
@@ -288,7 +288,10 @@ def write_archives(df: DataFrame, root: str) -> int:
                 info = zipfile.ZipInfo(member)
                 info.create_system, info.external_attr = 3, mode << 16
                 z.writestr(info, content, zipfile.ZIP_DEFLATED)
-        return pa.table({"path": t.column("archive").slice(0, 1), "content": [out.getvalue()]})
+        fs, base = pafs.FileSystem.from_uri(root)
+        write_file(fs, f"{base}/{t.column('archive')[0].as_py()}", out.getbuffer())
+        return pa.table({"n": [1]})
 
     rows = df.select("archive", "member", F.col("content").cast("binary"), F.col("mode").cast("int"))
-    return write_files(rows.groupBy("archive").applyInArrow(pack, "path string, content binary"), root)
+    # an archive is written where it is packed: none is handed on
+    return rows.groupBy("archive").applyInArrow(pack, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

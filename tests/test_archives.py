@@ -125,3 +125,14 @@ def test_tree_with_links_and_unreadable_files(spark, tmp_path, monkeypatch):
 
 def test_an_empty_tree(spark, tmp_path):
     assert FS.source_tree_status(spark, str(tmp_path))[0].collect() == []
+
+
+def test_archives_are_written_where_they_are_packed(spark, tmp_path, monkeypatch):
+    def handed_on(df, root):
+        raise AssertionError("packed archives are handed on to other tasks")
+
+    monkeypatch.setattr(FS, "write_files", handed_on)
+    docs = spark.range(40).selectExpr("concat('sub/a', id div 10, '.zip') AS archive", "concat('m', id) AS member", "repeat('x', int(id)) AS content", "33188 AS mode")
+    assert A.write_archives(docs, f"file://{tmp_path}") == 4
+    got = rows(spark, tmp_path / "sub/*.zip")
+    assert got == sorted((f"a{i // 10}.zip", f"m{i}", b"x" * i, i) for i in range(40))
