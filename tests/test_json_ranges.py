@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.sources import files as FS
@@ -143,3 +144,29 @@ def test_effects_compose(seed):
                 a, low = int(total[-1]), min(0, int(total.min()))
                 for d in range(5):
                     assert max(d + a, a - low) == J._depths(step, d)[-1]
+
+
+def test_tasks_hold_a_piece_at_a_time(monkeypatch):
+    monkeypatch.setattr(J, "PIECE", 1000)
+    texts = [json.dumps({"i": i, "s": "x{}" * (i % 40)}) for i in range(400)]
+    parts = " ".join(texts).encode().split(b"}")[:-1]
+    n = len(parts)
+    longest = max(map(len, texts))
+    rows = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n), pa.array([False] * n), pa.array([0] * n), pa.array([0] * n),
+                                       pa.array([0] * n), pa.array([-1] * n), pa.array([-1] * n), pa.array(parts, pa.binary())], [*J._arrow(J._ENTRY).names, "raw"])
+    assert max(len(data) for _, data in J._pieces(iter([rows]), 8)) < 1000 + 2 * longest + n
+    out = list(J._values(False)(iter([rows])))
+    assert max(b.column(2).nbytes for b in out) < 3000 + 2 * longest
+    assert [v.decode() for b in out for v in b.column(2).to_pylist()] == texts
+    found = list(J._objects(iter([pa.Table.from_batches(out).combine_chunks().to_batches()[0]])))
+    assert len(found) > 10 and [v for b in found for v in b.column(2).to_pylist()] == texts
+
+
+def test_one_line_files_are_written_by_pieces(spark):
+    from quarry.plans.registry import queries
+    queries()  # loads the plans in their order
+    from quarry.plans.q_io import _one_line
+
+    rows = spark.range(5000, numPartitions=1).selectExpr("id AS i", "repeat('x', 2000) AS s")
+    got = FS.read_raw_json_array(spark, _one_line(spark, rows, "one-line", True), "i long, s string")
+    assert sorted((r.i, len(r.s)) for r in got.collect()) == [(i, 2000) for i in range(5000)]
