@@ -1,5 +1,6 @@
 """Streams equal their batch twins on the same input."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarry.operators import findings as FD
@@ -79,6 +80,34 @@ def test_verdicts_over_several_files_and_a_restart(spark):
     assert (last["a"].n_findings, last["a"].max_severity) == (4, "CRITICAL") and last["b"].n_findings == 1
 
 
+def test_verdict_state_costs_few_calls_a_unit():
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name == "update":
+                    self.value = args[0]
+                return self.value if name == "get" else None
+
+            return call
+
+    h, v = Handle(), ST._Verdicts(600)
+    v.init(h)
+    row = lambda n, c, s, rank, latest: Row(n=n, confidence=c, severity=s, rank=rank, latest=latest)
+    list(v.handleInputRows(("a",), iter([row(2, None, "LOW", 1, 50), row(1, 0.5, "HIGH", 3, 40)]), None))
+    assert h.calls == ["get", "registerTimer", "update"] and h.value == (3, 0.5, "HIGH", 3, 0, 650)
+    list(v.handleInputRows(("a",), iter([row(1, float("nan"), None, 0, 45)]), None))
+    assert h.calls[3:] == ["get", "update"] and h.value == (4, 0.5, "HIGH", 3, 0, 650)  # the timer stands as it is
+    assert [tuple(r) for r in v.handleExpiredTimer(("a",), None, None)] == [("a", 4, 0.5, "HIGH", 1)]
+    assert h.value == (4, 0.5, "HIGH", 3, 1, 0)
+
+
 def test_offsets_go_on_after_a_restart(spark):
     src, at = shared_path(spark, "t-logs"), shared_path(spark, "t-job")
     schema = "entry_id long, job_id long, ts timestamp, level string, msg string"
